@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .language_id import op9_language_id
+from .simhash import op7_simhash
 from .token_counts import op5_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +18,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
         "op5_token_counts": op5_token_counts,
+        "op7_simhash": op7_simhash,
+        "op9_language_id": op9_language_id,
     }
 
 
