@@ -7,7 +7,7 @@ character. So a text cut in front of such spaces can be encoded piece by piece,
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import regex
 
@@ -29,23 +29,22 @@ class PieceEncoder:
 
     `encode_many` maps a list of distinct pre-tokens to their values; `total` adds the values of consecutive pre-tokens up.
     What it made is kept for later texts, up to about `capacity` pieces; beyond that it starts afresh, so memory is bounded.
-    `special` is a string that is a pre-token of its own wherever it stands.
+    `special` are strings that are pre-tokens of their own wherever they stand.
     """
 
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable], total: Callable, special: str | None = None, capacity: int = 300_000):
+    def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable], total: Callable, special: Sequence[str] = (), capacity: int = 300_000):
         self._find = regex.compile(pattern).findall
-        self._encode_many, self._total, self._special, self._capacity = encode_many, total, special, capacity
+        self._special = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
+        self._encode_many, self._total, self._capacity = encode_many, total, capacity
         self._tokens: dict[str, object] = {}
         self._plain: dict[str, object] = {}
         self._spaced: dict[str, object] = {}
 
     def _pretokens(self, piece: str) -> list[str]:
-        if self._special is None or self._special not in piece:
+        if self._special is None or self._special.search(piece) is None:
             return self._find(piece)
-        found: list[str] = []
-        for k, part in enumerate(piece.split(self._special)):
-            found += ([self._special] if k else []) + self._find(part)
-        return found
+        parts = self._special.split(piece)  # every second part is a special string
+        return [token for k, part in enumerate(parts) for token in ([part] if k % 2 else self._find(part))]
 
     def _learn(self, book: dict, pieces: list[str], lead: str) -> None:
         cut = [self._pretokens(lead + piece) for piece in pieces]

@@ -10,6 +10,7 @@ from .bpe import op2_byte_bpe
 from .language_id import op9_language_id
 from .simhash import op7_simhash
 from .token_counts import op5_token_counts
+from .token_store import op10_token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op5_token_counts": op5_token_counts,
         "op7_simhash": op7_simhash,
         "op9_language_id": op9_language_id,
+        "op10_token_store": op10_token_store,
     }
 
 

@@ -131,8 +131,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, pattern: str = p
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        special = counter.value.special
-        encoder = PieceEncoder(pattern, counter.value.encode_many, sum, special[0] if special else None)
+        encoder = PieceEncoder(pattern, counter.value.encode_many, sum, counter.value.special)
         for texts in parts:
             yield pd.Series([n for part in slices(texts) for n in encoder.encode(part)], dtype="int64")
 
