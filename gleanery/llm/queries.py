@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
 from .language_id import op9_language_id
+from .mixing import OP4_SQL, op4_mixing
+from .sharding import op8_sharding
 from .simhash import op7_simhash
 from .token_counts import op5_token_counts
 from .token_store import op10_token_store
@@ -18,12 +20,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
         "op7_simhash": op7_simhash,
+        "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
         "op10_token_store": op10_token_store,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL}
