@@ -11,6 +11,7 @@ from .language_id import op9_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .sharding import op8_sharding
 from .simhash import op7_simhash
+from .toxicity import op6_toxicity
 from .token_counts import op5_token_counts
 from .token_store import op10_token_store
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op2_byte_bpe": op2_byte_bpe,
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
+        "op6_toxicity": op6_toxicity,
         "op7_simhash": op7_simhash,
         "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
