@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .graph_dedup import op1_vector_dedup
 from .language_id import op9_language_id
 from .mixing import OP4_SQL, op4_mixing
+from .quantized_search import op3_nearest_neighbours
 from .sharding import op8_sharding
 from .simhash import op7_simhash
 from .toxicity import op6_toxicity
@@ -20,7 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_vector_dedup": op1_vector_dedup,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
         "op6_toxicity": op6_toxicity,
