@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from ..functions.text import js_trim
 
 UNIT = ["file_id", "kind", "display_text", "search_text", "start_line", "end_line", "start_offset", "end_offset", "heading_trail", "symbol"]
-_BY_FILE = Window.partitionBy("file_id").orderBy("line")
-_SO_FAR = _BY_FILE.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _by_file():
+    return Window.partitionBy("file_id").orderBy("line")
+
+
+def _so_far():
+    return _by_file().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def normalized(text: Column) -> Column:
@@ -24,7 +30,7 @@ def normalized(text: Column) -> Column:
 def line_table(files: DataFrame) -> DataFrame:
     """file_id, line (from 1), text, start and end offset, of files (file_id, text, other columns kept). Every file has a line."""
     split = files.withColumn("text", normalized(F.col("text"))).select(*[c for c in files.columns if c != "text"], F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    end = F.sum(F.length("text") + 1).over(_SO_FAR) - 1
+    end = F.sum(F.length("text") + 1).over(_so_far()) - 1
     return split.withColumn("line", F.col("line") + 1).withColumn("end", end).withColumn("start", F.col("end") - F.length("text"))
 
 
@@ -44,14 +50,14 @@ def runs(lines: DataFrame, group: Column, kind: Column) -> DataFrame:
 
 def fallback_units(lines: DataFrame, size: int = 50, kind: str = "text") -> DataFrame:
     """Runs of non-blank lines, `size` lines at most."""
-    marked = lines.withColumn("gap", F.sum(_blank(F.col("text")).cast("int")).over(_SO_FAR))
+    marked = lines.withColumn("gap", F.sum(_blank(F.col("text")).cast("int")).over(_so_far()))
     place = F.row_number().over(Window.partitionBy("file_id", "gap", _blank(F.col("text"))).orderBy("line")) - 1
     return runs(marked, F.concat_ws(":", "gap", F.floor(place / size)), F.lit(kind))
 
 
 def csv_units(lines: DataFrame, size: int = 25) -> DataFrame:
     """Records of `size` lines; the header stands before each but the first for search."""
-    headed = lines.withColumn("header", F.first("text").over(_BY_FILE)).withColumn("record", F.floor((F.col("line") - 1) / size))
+    headed = lines.withColumn("header", F.first("text").over(_by_file())).withColumn("record", F.floor((F.col("line") - 1) / size))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
     made = headed.groupBy("file_id", "record").agg(
         js_trim(joined).alias("display_text"), F.first("header").alias("header"), F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.min("start").alias("start_offset"), F.max("end").alias("end_offset")
@@ -75,9 +81,9 @@ def _trail(lines: DataFrame, level: Column, title: Column) -> DataFrame:
     out = lines.withColumn("level", level).withColumn("title", title)
     names = []
     for k in range(1, 7):
-        closed = F.max(F.when(F.col("level") < k, F.col("line"))).over(_SO_FAR)
-        opened = F.max(F.when(F.col("level") == k, F.col("line"))).over(_SO_FAR)
-        name = F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(_SO_FAR)
+        closed = F.max(F.when(F.col("level") < k, F.col("line"))).over(_so_far())
+        opened = F.max(F.when(F.col("level") == k, F.col("line"))).over(_so_far())
+        name = F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(_so_far())
         out = out.withColumn(f"h{k}", F.when(opened > F.coalesce(closed, F.lit(0)), name))
         names.append(f"h{k}")
     deepest = F.greatest(*[F.when(F.col(n).isNotNull(), k + 1).otherwise(0) for k, n in enumerate(names)])
@@ -94,7 +100,7 @@ def markdown_units(lines: DataFrame) -> DataFrame:
     close = F.min(F.when((js_trim(text) == "---") & (F.col("line") > 1), F.col("line"))).over(Window.partitionBy("file_id"))
     marked = lines.withColumn("front", (first == 1) & close.isNotNull() & (F.col("line") <= close))
     fence = ~F.col("front") & text.rlike(r"^\s*(```|~~~)")
-    before = F.coalesce(F.sum(fence.cast("int")).over(_BY_FILE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(fence.cast("int")).over(_by_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     marked = marked.withColumn("fences", before + fence.cast("int")).withColumn("code", fence | (before % 2 == 1)).withColumn("edge", fence)
     kind = (
         F.when(F.col("front"), "record").when(F.col("code"), "code").when(text.rlike(r"^\s{0,3}#{1,6}\s+"), "heading").when(text.rlike(r"^\s*(?:[-+*]|\d+[.)])\s+"), "list")
@@ -104,8 +110,8 @@ def markdown_units(lines: DataFrame) -> DataFrame:
     title = cleaned(F.regexp_replace(F.regexp_extract(text, r"^\s{0,3}#{1,6}\s+(.+)$", 1), r"\s*#*\s*$", ""))
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(text, r"^\s{0,3}(#{1,6})", 1)))
     marked = _trail(marked, level, title)
-    other = (F.lag("kind").over(_BY_FILE) != F.col("kind")) | (F.col("kind") == "heading") | (F.col("edge") & (F.col("fences") % 2 == 1)) | (_blank(F.lag("text").over(_BY_FILE)) & ~F.col("kind").isin("code", "record"))
-    marked = marked.withColumn("run", F.sum(F.coalesce(other, F.lit(True)).cast("int")).over(_SO_FAR))
+    other = (F.lag("kind").over(_by_file()) != F.col("kind")) | (F.col("kind") == "heading") | (F.col("edge") & (F.col("fences") % 2 == 1)) | (_blank(F.lag("text").over(_by_file())) & ~F.col("kind").isin("code", "record"))
+    marked = marked.withColumn("run", F.sum(F.coalesce(other, F.lit(True)).cast("int")).over(_so_far()))
     body = F.when(F.col("edge"), None).when(F.col("kind") == "heading", F.col("title")).when(F.col("front"), F.regexp_replace(F.regexp_extract(text, r"^\s*([^:#]+:\s*.+)$", 1), r"\s*:\s*", ": ")).otherwise(text)
     parts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("line", c.alias("t"))))), lambda x: x["t"]), "\n")
     kept = marked.withColumn("body", body).where(~_blank(text) | F.col("code"))
@@ -143,11 +149,11 @@ def code_units(lines: DataFrame, fmt: str) -> DataFrame:
     # a line belongs to the next declaration if only comment and decorator lines lie between
     led = text.rlike(r"^\s*(?:@|//|#)") & F.col("name").isNull()
     marked = marked.withColumn("led", led)
-    after = _BY_FILE.rowsBetween(1, Window.unboundedFollowing)
+    after = _by_file().rowsBetween(1, Window.unboundedFollowing)
     next_plain = F.min(F.when(~F.col("led"), F.col("line"))).over(after)
     next_name = F.min(F.when(F.col("name").isNotNull(), F.col("line"))).over(after)
     begins = F.col("name").isNotNull() | (F.col("led") & (next_plain == next_name))
-    marked = marked.withColumn("owner", F.when(F.col("name").isNotNull(), F.col("line")).when(begins, next_name).otherwise(F.max(F.when(F.col("name").isNotNull(), F.col("line"))).over(_SO_FAR)))
+    marked = marked.withColumn("owner", F.when(F.col("name").isNotNull(), F.col("line")).when(begins, next_name).otherwise(F.max(F.when(F.col("name").isNotNull(), F.col("line"))).over(_so_far())))
     declared = marked.where("any").withColumn("owner", F.coalesce("owner", F.lit(0)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
     made = declared.groupBy("file_id", "owner").agg(
@@ -163,7 +169,7 @@ def keyed_line_units(lines: DataFrame, fmt: str) -> DataFrame:
     rows = lines.where(~_blank(text) & ~text.rlike(r"^\s*[#;]"))
     if fmt == "toml":
         section = js_trim(F.regexp_extract(text, r"^\s*\[\[?([^\]]+)\]\]?\s*$", 1))
-        rows = rows.withColumn("is", F.when(section != "", section)).withColumn("section", F.last("is", ignorenulls=True).over(_SO_FAR))
+        rows = rows.withColumn("is", F.when(section != "", section)).withColumn("section", F.last("is", ignorenulls=True).over(_so_far()))
         key = F.regexp_extract(text, r"^\s*([^=]+?)\s*=", 1)
         path = F.when(F.col("is").isNotNull(), F.col("is")).when(key != "", F.concat_ws(".", "section", key))
         search = F.when(F.col("is").isNull() & (key != ""), F.concat(path, F.lit(": "), js_trim(F.regexp_extract(text, r"=(.*)$", 1)))).otherwise(js_trim(text))
@@ -171,7 +177,7 @@ def keyed_line_units(lines: DataFrame, fmt: str) -> DataFrame:
         key = js_trim(F.regexp_extract(text, r"^\s*(?:-\s*)?([^:#][^:]*):(?:\s.*)?$", 1))
         indent = F.when(key != "", F.length(F.regexp_extract(text, r"^(\s*)", 1)))
         rows = rows.withColumn("indent", indent).withColumn("key", F.when(key != "", key))
-        stack = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("indent", "key"))).over(_SO_FAR)
+        stack = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("indent", "key"))).over(_so_far())
         # a key stays open until one of no deeper indent follows
         open_ = F.aggregate(stack, F.array().cast("array<struct<indent:int,key:string>>"), lambda held, x: F.concat(F.filter(held, lambda h: h["indent"] < x["indent"]), F.array(x)))
         path = F.array_join(F.transform(open_, lambda x: x["key"]), ".")

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import retrieval, tables
+
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return retrieval.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return retrieval.SQL | tables.SQL
