@@ -227,8 +227,8 @@ def html_units(files: DataFrame) -> DataFrame:
         F.when((F.col("half") == 2) | F.col("tag").rlike("^h[1-6]$"), "heading").when(F.col("tag") == "li", "list").when(F.col("tag") == "tr", "table")
         .when(F.col("tag") == "blockquote", "quote").when(F.col("tag").isin("pre", "code"), "code").when(F.col("half") == 1, "paragraph").otherwise("text")
     )
-    rows = _trail(rows.withColumn("kind", kind), F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int")), F.col("search_text"))
-    trail = F.when(F.col("half") == 2, F.array("title")).when((F.col("kind") == "text") & (F.size("heading_trail") == 0) & (F.col("title") != ""), F.array("title")).otherwise(F.col("heading_trail"))
+    rows = _trail(rows.withColumn("kind", kind).withColumn("outer", F.col("title")), F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int")), F.col("search_text"))
+    trail = F.when(F.col("half") == 2, F.array("outer")).when((F.col("kind") == "text") & (F.size("heading_trail") == 0) & (F.col("outer") != ""), F.array("outer")).otherwise(F.col("heading_trail"))
     number = F.row_number().over(Window.partitionBy("file_id").orderBy("line")) - 1
     return rows.select("file_id", number.alias("unit"), "kind", "search_text", trail.alias("heading_trail"))
 
