@@ -20,11 +20,14 @@ def extracted(files: DataFrame) -> DataFrame:
     table = lines.line_table(files.select("file_id", "format", "text"))
     of = lambda *names: table.where(F.col("format").isin(*names)).drop("format")
     present = {r.format for r in files.select("format").distinct().collect()}  # formats are a fixed list
-    rules = [(("markdown",), lines.markdown_units), (("csv",), lines.csv_units), (("text", "json", "unknown"), lambda x: lines.fallback_units(x, 50))]
+    rules = [(("markdown",), lines.markdown_units), (("csv",), lines.csv_units), (("text", "unknown"), lambda x: lines.fallback_units(x, 50))]
     rules += [(names, partial(lines.code_units, fmt=names[0])) for names in (("python",), ("javascript", "typescript"), ("shell",), ("sql",), ("stylesheet",))]
     rules += [((name,), partial(lines.keyed_line_units, fmt=name)) for name in ("yaml", "toml")]
     parts = [build(of(*names)) for names, build in rules if present & set(names)]
-    for name, build in (("html", lines.html_units), ("xml", lines.xml_units)):
+    if "json" in present:
+        good = lines.json_units(files.where("format = 'json'")).select("file_id").distinct()
+        parts.append(lines.fallback_units(of("json").join(good, "file_id", "left_anti"), 30, "record"))
+    for name, build in (("html", lines.html_units), ("xml", lines.xml_units), ("json", lines.json_units)):
         if name not in present:
             continue
         found = build(files.where(F.col("format") == name).select("file_id", "text"))

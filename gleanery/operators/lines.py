@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import json_leaves
 from ..functions.text import js_trim
 
 UNIT = ["file_id", "kind", "display_text", "search_text", "start_line", "end_line", "start_offset", "end_offset", "heading_trail", "symbol"]
@@ -241,6 +242,15 @@ def xml_units(files: DataFrame) -> DataFrame:
     return rows.where(value != "").select("file_id", "unit", F.lit("record").alias("kind"), F.concat(symbol, F.lit(": "), value).alias("search_text"), symbol.alias("symbol"))
 
 
+def json_units(files: DataFrame) -> DataFrame:
+    """`path: value` of every scalar of JSON files, comments and trailing commas allowed. file_id, unit, kind, search_text, symbol.
+
+    Malformed files have no units here.
+    """
+    rows = files.select("file_id", F.posexplode(json_leaves(F.col("text"))).alias("unit", "leaf"))
+    return rows.select("file_id", "unit", F.lit("record").alias("kind"), F.concat("leaf.path", F.lit(": "), "leaf.value").alias("search_text"), F.col("leaf.path").alias("symbol"))
+
+
 def highlight_ranges(texts: DataFrame, terms: list[str]) -> DataFrame:
     """id, start, end of what to highlight in texts (id, text): occurrences of the terms, touching or overlapping ones as one."""
     found = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, lines, maintenance
+from ..operators import evaluation, grep, lines, maintenance
 from ..streaming import sessions
 from .retrieval import table
 
@@ -74,6 +74,19 @@ def grep_lines(spark, sf_dir):
     return rows.select("file_id", F.col("line").cast("long").alias("line"), "matches", (F.length(F.regexp_extract("text", r"(?is)^(.*?)\b(?:released|license|token)\b", 1)) + 1).cast("long").alias("column_no"))
 
 
+def grep_matches(spark, sf_dir):
+    """Every place of a word's beginning, overlapping places included."""
+    found = grep.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "ana")
+    rows = found.select("doc_id", F.col("found.limited").alias("limited"), F.explode("found.matches").alias("m"))
+    return rows.select("doc_id", F.col("m.start").cast("long").alias("start_offset"), F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column_no"), "limited")
+
+
+def json_records(spark, sf_dir):
+    """Leaves of each event's properties, read as JSON files."""
+    files_ = table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.col("props").alias("text"))
+    return lines.json_units(files_).select(F.col("file_id").alias("event_id"), "symbol", "search_text")
+
+
 def token_count_unicode(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.unicode_token_count(F.col("text")).cast("long").alias("tokens"))
 
@@ -276,7 +289,7 @@ _MIMES = " ".join(f"when '{e}' then '{m}'" for e, (_, m) in T.EXTENSIONS.items()
 QUERIES = {
     f.__name__: f
     for f in (
-        line_table, fallback_line_units, csv_records, markdown_units, html_title_text, html_units, xml_records, code_declarations, highlight_ranges, grep_lines, token_count_unicode, token_bucket_padding, file_identity_hash, fake_embedding,
+        line_table, fallback_line_units, csv_records, markdown_units, html_title_text, html_units, xml_records, code_declarations, highlight_ranges, grep_lines, grep_matches, json_records, token_count_unicode, token_bucket_padding, file_identity_hash, fake_embedding,
         format_dispatch, ignore_glob_filter, scan_diff_classify, scan_progress, commit_visibility, vector_reuse_multiset, replace_by_key, delete_by_key, metadata_only_update, change_feed_apply, dedupe_max_score, debounce_sessions,
         reconcile_wake, event_replay, latency_distribution, stage_throughput, count_by_format, corpus_rollup, section_hit, set_operations, json_leaves, enriched_text,
     )
@@ -301,6 +314,7 @@ SQL = {
       select doc_id, min(s)::bigint as start_offset, max(e)::bigint as end_offset from island group by doc_id, i""",
     "grep_lines": f"""with {_L} found as (select *, len(regexp_extract_all(text, '(?i)\\b(released|license|token)\\b')) as matches from line)
       select file_id, line, matches, length(regexp_extract(text, '(?is)^(.*?)\\b(?:released|license|token)\\b', 1)) + 1 as column_no from found where matches > 0""",
+    "json_records": "with k as (select event_id, unnest(json_keys(props)) as symbol, props from events) select event_id, symbol, symbol || ': ' || json_extract_string(props, '$.' || symbol) as search_text from k",
     "token_count_unicode": "select doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\s]')) + 2 as tokens from documents",
     "token_bucket_padding": """with c as (select least(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\s]')) + 2, 8192) as tokens from documents),
       b as (select tokens, (case when tokens <= 1024 then 1024 when tokens <= 2048 then 2048 when tokens <= 4096 then 4096 when tokens <= 6144 then 6144 else 8192 end)::bigint as bucket from c)

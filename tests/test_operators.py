@@ -189,3 +189,20 @@ def test_bursts(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(["2024-01-01 00:00:00", "2024-01-01 00:00:05", "2024-01-01 00:01:00"])], "event_id long, t string").select("event_id", F.to_timestamp("t").alias("ts"))
     assert [r.n_events for r in sessions.bursts(df, "10 seconds").orderBy("first_ts").collect()] == [2, 1]
     assert [r.event_id for r in sessions.replay(df, 0, 2).orderBy("event_id").collect()] == [1, 2]
+
+
+def test_grep():
+    from gleanery.operators.grep import find
+
+    assert find("Banana\nBANANA", "ana")[0] == [(1, 4, 1, 2), (3, 6, 1, 4), (8, 11, 2, 2), (10, 13, 2, 4)]
+    assert find("\U0001f642 café\ncafé", "café")[0] == [(3, 7, 1, 4), (8, 12, 2, 1)]
+    assert len(find("ab12 cd34", r"[a-z]+(?=\d)", regex=True)[0]) == 2 and len(find("abc", "(?=.)", regex=True)[0]) == 3
+    assert find("aaaa", "a", most=2) == ([(0, 1, 1, 1), (1, 2, 1, 2)], True) and find("x", "") == ([], False)
+
+
+def test_json_leaves():
+    from gleanery.functions.jsontext import leaves
+
+    text = '{"b": {"x": [1, 2.0, "s, // not a comment"]}, // note\n "a": null, "t": true, "big": 1e21, }'
+    assert leaves(text) == [("b.x[0]", "1"), ("b.x[1]", "2"), ("b.x[2]", "s, // not a comment"), ("a", "null"), ("t", "true"), ("big", "1e+21")]
+    assert leaves("{nope") is None and leaves("3") == [("$", "3")]
