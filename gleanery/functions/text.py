@@ -150,3 +150,15 @@ def anchor_safe(pattern: str) -> str | None:
     except re.error as error:
         return f"not a regular expression: {error}"
     return None
+
+
+def link_kind(target: Column) -> Column:
+    """`fragment` for places in the same text, `external` for web addresses, `blocked` for all else, relative paths included."""
+    t = js_trim(F.coalesce(target, F.lit("")))
+    return F.when(t.rlike(r"^#\S*$"), "fragment").when(t.rlike(r"(?i)^https?://[^/\s]"), "external").otherwise("blocked")
+
+
+def step_match(current: Column, count: Column, step: int) -> Column:
+    """The match after (step 1) or before (-1) the current one, around both ends; from none the first or last; -1 if there are none."""
+    start = F.lit(0) if step > 0 else count - 1
+    return F.when(count <= 0, -1).when(current < 0, start).otherwise(F.pmod(current + step, F.greatest(count, F.lit(1))))

@@ -66,3 +66,13 @@ def index_decision(stored: Column, compatible: Column, same_fingerprint: Column,
     """What indexing does with a file: skipped, failed, unchanged, metadata or content."""
     refused = status.isin("unsupported", "malformed")
     return F.when(~ready & refused, "skipped").when(~ready, "failed").when(stored & compatible & same_fingerprint, "unchanged").when(stored & compatible, "metadata").otherwise("content")
+
+
+def differences(stored: dict[str, object], wanted: dict[str, object]) -> Column:
+    """Names of the settings in which a stored index differs from what is wanted, in the order of `wanted`, as an array."""
+    return F.array_compact(F.array(*[F.when(~F.lit(stored.get(k)).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in wanted.items()]))
+
+
+def compatibility(reasons: Column, same_descriptor: Column) -> Column:
+    """`rebuild` if any setting differs, `migrate` if only the descriptor's own version does, else `compatible`."""
+    return F.when(F.size(reasons) > 0, "rebuild").when(~same_descriptor, "migrate").otherwise("compatible")
