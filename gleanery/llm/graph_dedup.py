@@ -25,6 +25,8 @@ class Settings:
     links: int = 12  # a node's neighbours; twice as many on the lowest layer
     build_beam: int = 48
     beam: int = 24
+    widest: int = 384  # beam; a batch that fails its audit even so is compared with the whole shard
+    spare: int = 4  # places of a node for links to nodes that no search would reach
     together: int = 4  # nodes of a beam expanded at a time
     audited: int = 24  # queries of a batch of up to 1024 compared with the whole shard
     recall: float = 0.99
@@ -41,12 +43,43 @@ class Graph:
         height = (-np.log(1 - np.random.default_rng(settings.seed).random(n)) / log(settings.links)).astype(int)
         order = np.argsort(-height, kind="stable")  # the tallest first: the entry point is settled at once
         self.top, self.entry = int(height[order[0]]), int(order[0])
-        self.near = [np.full((n, settings.links * (2 if level == 0 else 1)), -1, np.int32) for level in range(self.top + 1)]
+        self.near = [np.full((n, settings.links * 2 + settings.spare if level == 0 else settings.links), -1, np.int32) for level in range(self.top + 1)]
         at = 1
         while at < n:
             batch = order[at : at + min(max(1, at), 512)]
             self._insert(batch, height[batch])
             at += len(batch)
+        self._reconnect()
+
+    def _width(self, level: int) -> int:
+        return self.s.links * (2 if level == 0 else 1)
+
+    def _reached(self) -> np.ndarray:
+        """Which nodes a walk from the entry point can come to on the lowest layer."""
+        seen = np.zeros(len(self.v), bool)
+        seen[self.entry] = True
+        edge = np.array([self.entry])
+        while len(edge):
+            out = np.unique(self.near[0][edge])
+            out = out[out >= 0]
+            edge = out[~seen[out]]
+            seen[edge] = True
+        return seen
+
+    def _reconnect(self) -> None:
+        """Links to nodes out of reach, from the nearest nodes within reach that have a spare place."""
+        spare = self.near[0][:, self._width(0) :]
+        for _ in range(8):
+            lost = np.flatnonzero(~self._reached())
+            if not len(lost):
+                break
+            hosts = self.search(self.v[lost], self.s.build_beam)[0]
+            for node, row in zip(lost.tolist(), hosts):
+                for host in row[row >= 0].tolist():
+                    free = np.flatnonzero(spare[host] < 0)
+                    if len(free) and host != node:
+                        spare[host, free[0]] = node
+                        break
 
     def _expand(self, queries: np.ndarray, start: np.ndarray, level: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam's ids and inner products for each query, best first; -1 where it found fewer."""
@@ -134,12 +167,12 @@ class Graph:
             k = min(len(nodes) - 1, self.s.links)
             if k > 0:
                 ids = np.concatenate([ids, nodes[np.argpartition(-sims, k - 1, axis=1)[:, :k]].astype(np.int32)], 1)
-            near = self.near[level]
+            near = self.near[level][:, : self._width(level)]
             near[nodes] = self._diverse(nodes, ids, near.shape[1])
             self._link_back(nodes, level)
 
     def _link_back(self, nodes: np.ndarray, level: int) -> None:
-        near = self.near[level]
+        near = self.near[level][:, : self._width(level)]
         source = np.repeat(nodes, near.shape[1])
         to = near[nodes].ravel()
         source, to = source[to >= 0], to[to >= 0]
@@ -164,7 +197,7 @@ class ShardLinks:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, least: float, settings: Settings):
         self.ids, self.exact, self.least, self.s = ids, unit(vectors), least, settings
         self.graph = Graph(self.exact, settings)
-        self.beam = settings.beam
+        self.compared = 0  # batches that only a comparison with the whole shard could settle
 
     def _found(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) of hits in single precision, with a little to spare; full beams of hits alone are widened."""
@@ -185,14 +218,20 @@ class ShardLinks:
         queries = unit(queries)
         audited = np.linspace(0, len(queries) - 1, min(self.s.audited, len(queries))).astype(int)
         truth = queries[audited] @ self.exact.T >= self.least
+        beam = self.s.beam
         while True:
-            q, row = self._found(queries, self.beam)
+            q, row = self._found(queries, beam)
             found = np.zeros_like(truth)
             for k, a in enumerate(audited):
                 found[k, row[q == a]] = True
-            if (truth & found).sum() >= self.s.recall * truth.sum() or self.beam >= len(self.ids):
+            if (truth & found).sum() >= self.s.recall * truth.sum():
+                break
+            if beam >= min(self.s.widest, len(self.ids)):
+                self.compared += 1
+                hits = [np.nonzero(queries[k : k + 64] @ self.exact.T >= self.least) for k in range(0, len(queries), 64)]
+                q, row = np.concatenate([64 * k + h[0] for k, h in enumerate(hits)]), np.concatenate([h[1] for h in hits])
                 break
-            self.beam = min(2 * self.beam, len(self.ids))
+            beam *= 2
         sure = np.einsum("kd,kd->k", queries[q], self.exact[row]) >= self.least if len(q) else np.zeros(0, bool)
         a, b = query_ids[q[sure]], self.ids[row[sure]]
         other = a != b

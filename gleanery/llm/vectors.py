@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,14 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def partition_keys(spark: SparkSession, count: int) -> list[int]:
+    """For each of `count` hash partitions an int that falls into it: shards named so are dealt one to a partition."""
+    key = F.col("id").cast("int")
+    first = spark.range(40 * count).groupBy(F.pmod(F.hash(key), F.lit(count)).alias("part")).agg(F.min(key).alias("key"))
+    found = {r.part: r.key for r in first.collect()}
+    return [found.get(part, -1 - part) for part in range(count)]
+
+
 def search_shards(data: DataFrame, queries: DataFrame, shards: int, open_shard: Callable, schema: str) -> DataFrame:
     """Every query against every shard of the data: data rows once, queries once a shard.
 
@@ -32,9 +40,10 @@ def search_shards(data: DataFrame, queries: DataFrame, shards: int, open_shard:
     batches of any number. `open_shard(ids, vectors)` returns a function of a query batch (ids, vectors) that returns a pandas
     frame of `schema`.
     """
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    keys = F.array(*[F.lit(k) for k in partition_keys(data.sparkSession, shards)])
+    shard = F.get(keys, F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     rows = data.select(shard.alias("shard"), F.lit(0).alias("kind"), "id", "vector")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vector")
+    asked = queries.select(F.explode(keys).alias("shard"), F.lit(1).alias("kind"), "id", "vector")
     dealt = rows.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
