@@ -57,7 +57,7 @@ def _planned(docs: DataFrame, weights, passes, ramp, id_col, source_col, text_co
     placed = running_totals(rows, ["source"], "key", "size", "place", count, ("doc_id", "size", "text_hash"))
     targets = source_targets(sizes.select("source", "source_size"), weights, passes, ramp).withColumnRenamed("source", "name")
     joined = placed.join(targets, placed.source.eqNullSafe(targets["name"])).drop("name")
-    exposures = F.expr(f"transform(sequence(0, {passes - 1}), p -> named_struct('pass', p, 'words', greatest(0L, least(size, quota - source_size * p - place)), 'share', (source_size * p + place) / cast(quota as double)))")
+    exposures = F.expr(f"transform(sequence(0, {passes - 1}), p -> named_struct('pass', p, 'words', greatest(0L, least(size, quota - source_size * p - place)), 'share', (source_size * p + place) / cast(greatest(quota, 1L) as double)))")
     taken = joined.withColumn("exposures", F.filter(exposures, lambda x: x["words"] > 0))
     placed_at = lambda x: F.struct(x["pass"].alias("pass"), x["words"].alias("words"), (due(x["share"], F.col("slope")) * F.col("all_quota")).alias("position"))
     taken = taken.withColumn("exposures", F.transform("exposures", placed_at))
