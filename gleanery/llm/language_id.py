@@ -73,14 +73,16 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
-def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 500, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> RankProfiles:
-    """Profiles from at most `docs_per_language` documents of each language, the first by a hash of their id.
+def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 500, max_languages: int = 1000, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> RankProfiles:
+    """Profiles from at most `docs_per_language` documents of each of at most `max_languages`, the first by a hash of their id.
 
     Only ids and labels are read to choose them; n-grams are counted where the texts are. Rows with a null id, text or label
     are not learnt from. The driver receives `size` codes a language.
     """
     usable = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     pool = docs.where(usable if held_out is None else usable & ~held_out).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    if pool.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages to learn")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = pool.select("id", "lang").withColumn("at", F.row_number().over(first)).where(F.col("at") <= docs_per_language).select("id", "lang").distinct()
 
@@ -90,7 +92,8 @@ def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 500,
                 codes, n = np.unique(np.concatenate([ngrams(text) for text in texts]), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
 
-    counted = pool.join(chosen, ["id", "lang"], "left_semi").select("lang", "text").mapInPandas(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    # docs_per_language * max_languages ids are broadcast at most
+    counted = pool.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text").mapInPandas(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     rows = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size).select("lang", "code", "rank").collect()
     profiles: dict[str, list[int]] = {}
