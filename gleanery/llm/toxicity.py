@@ -375,7 +375,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), hel
     limit = F.when(F.col("label") == 1, settings.positives).otherwise(settings.negatives)
     first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     chosen = marked.withColumn("at", F.row_number().over(first)).where((F.col("at") <= max(settings.positives, settings.negatives)) & (F.col("at") <= limit)).drop("at")
-    rows = texts.join(chosen, "id").dropDuplicates(["id"]).collect()
+    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()  # positives + negatives ids at most
     rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), str(r.id)))
     return train([r.text for r in rows], [r.label for r in rows], settings)
 
