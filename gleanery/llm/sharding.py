@@ -7,7 +7,7 @@ Documents without links fill what remains, and a last step evens all shards out
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, remove, written
@@ -26,16 +26,18 @@ def _lookup(values: dict[int, int] | list[int], shard) -> F.Column:
     return F.get(F.array(*[F.lit(int(v)).cast("long") for v in listed]), shard)
 
 
-def _round(state: DataFrame, quota: list[int], count: int) -> tuple[DataFrame, int]:
-    """Labels after one round, and how many documents moved. Shard counts alone come to the driver."""
+def _round(state: DataFrame, quota: list[int], count: int, largest: int) -> tuple[DataFrame, int]:
+    """Labels after one round, and how many documents moved; groups of over `largest` rows do not ask. Shard counts alone come to the driver."""
     linked = state.where("linked")
     held = {r.label: r.n for r in linked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     room = _room(held, quota)
-    spread = linked.groupBy("text_key", "label").agg(F.count("*").alias("n"))
-    # the fullest shard of each group that still has room; groups that lie on one shard stay
-    best = F.max_by("label", F.struct("n", -F.col("label")))
-    wanted = spread.where(_lookup(room, F.col("label")) > 0).groupBy("text_key").agg(best.alias("to"))
-    asked = linked.join(wanted, "text_key").where((F.col("label") != F.col("to")) & (_lookup(room, F.col("label")) > 0))
+    spread = linked.groupBy("text_key", "label").agg(F.count("*").alias("n")).withColumn("room", _lookup(room, F.col("label"))).where("room > 0")
+    # each group's fullest shards that have room, as many as could hold it all; most groups need one. A group has a row a shard.
+    fullest = Window.partitionBy("text_key").orderBy(F.desc("n"), "label").rowsBetween(Window.unboundedPreceding, -1)
+    spread = spread.withColumn("before", F.coalesce(F.sum(F.col("n") + F.col("room")).over(fullest), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("text_key")))
+    wanted = spread.where(f"before < total and total <= {largest}").groupBy("text_key").agg(F.array_sort(F.collect_list("label")).alias("targets"))
+    asked = linked.join(wanted, "text_key").where(~F.array_contains("targets", F.col("label")) & (_lookup(room, F.col("label")) > 0))
+    asked = asked.withColumn("to", F.get("targets", F.pmod("key", F.size("targets")).cast("int"))).drop("targets")
     asked = running_totals(asked.withColumn("one", F.lit(1).cast("long")), ["to"], "key", "one", "turn", count, ("doc_id", "text_key"))
     moves = written(asked.where(F.col("turn") < _lookup(room, F.col("to"))).select("row", "to"), "moves")
     moved = moves.count()
@@ -43,7 +45,7 @@ def _round(state: DataFrame, quota: list[int], count: int) -> tuple[DataFrame, i
     return after, moved
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `rows`: counts of any two shards differ by one at most. Equal texts (null texts among themselves) share a shard
@@ -67,13 +69,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 4, id_c
     groups = rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key", F.lit(True).alias("more"))
     start = F.pmod("key", F.lit(shards)).cast("int")
     state = written(rows.join(groups, "text_key", "left").select(*rows.columns, start.alias("label"), F.coalesce("more", F.lit(False)).alias("linked")), "state")
-    for _ in range(rounds):
-        after, moved = _round(state, quota, count)
-        if not moved:
-            break
-        after = written(after, "state")
-        remove(state)
-        state = after
+    for largest in (max(1, quota[0] // 8), count):  # small groups first, while there is room for all of each
+        for _ in range(rounds // 2):
+            after, moved = _round(state, quota, count, largest)
+            if not moved:
+                break
+            after = written(after, "state")
+            remove(state)
+            state = after
     return _evened(state, quota, count).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
