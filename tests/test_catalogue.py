@@ -1,8 +1,11 @@
 """Every query against its SQL on the smallest tables, as the driver compares them."""
 
 import glob
+import numbers
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from gleanery.plans import catalogue
@@ -21,10 +24,17 @@ def duck():
     return con
 
 
+def shown(value):
+    if pd.isna(value):
+        return "null"
+    if isinstance(value, numbers.Number) and not isinstance(value, (bool, np.bool_)):
+        return str(round(float(value), 6) + 0.0)
+    return str(value)
+
+
 def plain(frame):
     columns = sorted(frame.columns)
-    text = lambda v: str(round(float(v), 6) + 0.0) if isinstance(v, float) else str(v)
-    return columns, sorted(tuple(text(v) for v in row) for row in frame[columns].itertuples(index=False))
+    return columns, sorted(tuple(map(shown, row)) for row in frame[columns].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
