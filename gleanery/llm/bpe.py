@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,7 +135,7 @@ class BytePairCoder:
     def encode_many(self, tokens: list[str]) -> Iterator[bytes]:
         """Ids of each pre-token as little-endian unsigned 32-bit integers."""
         for token in tokens:
-            yield np.array(self.encode_pretoken(token.encode()), "<u4").tobytes()
+            yield array("I", self.encode_pretoken(token.encode())).tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))

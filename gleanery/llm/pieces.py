@@ -23,6 +23,9 @@ def split_pieces(text: str) -> tuple[list[str], bool]:
         return text.split(" "), True
     return _CUT.split(text), False
 
+#: Signs that are a pre-token by themselves behind letters.
+_STOPS = frozenset(",.;:!?")
+
 
 class PieceEncoder:
     """Values (bytes or counts) of whole texts from the values of their pre-tokens.
@@ -34,31 +37,41 @@ class PieceEncoder:
 
     def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable], total: Callable, special: Sequence[str] = (), capacity: int = 300_000):
         self._find = regex.compile(pattern).findall
+        self._strings = tuple(special)
         self._special = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
         self._encode_many, self._total, self._capacity = encode_many, total, capacity
         self._tokens: dict[str, object] = {}
         self._plain: dict[str, object] = {}
         self._spaced: dict[str, object] = {}
 
-    def _pretokens(self, piece: str) -> list[str]:
-        if self._special is None or self._special.search(piece) is None:
-            return self._find(piece)
-        parts = self._special.split(piece)  # every second part is a special string
+    def _pretokens(self, lead: str, piece: str, special: bool) -> list[str]:
+        if piece.isalpha():  # letters alone, as most pieces: one pre-token
+            return [lead + piece]
+        if piece and piece[-1] in _STOPS and piece[:-1].isalpha():
+            return [lead + piece[:-1], piece[-1]]
+        if not special or self._special.search(piece) is None:
+            return self._find(lead + piece)
+        parts = self._special.split(lead + piece)  # every second part is a special string
         return [token for k, part in enumerate(parts) for token in ([part] if k % 2 else self._find(part))]
 
-    def _learn(self, book: dict, pieces: list[str], lead: str) -> None:
-        cut = [self._pretokens(lead + piece) for piece in pieces]
+    def _learn(self, book: dict, pieces: list[str], lead: str, special: bool) -> None:
+        cut = [self._pretokens(lead, piece, special) for piece in pieces]
         new = list(set().union(*cut) - self._tokens.keys())
         if new:
             self._tokens.update(zip(new, self._encode_many(new)))
         value, total = self._tokens.__getitem__, self._total
-        book.update((piece, total(map(value, tokens))) for piece, tokens in zip(pieces, cut))
+        for piece, tokens in zip(pieces, cut):
+            if len(tokens) == 2:
+                book[piece] = value(tokens[0]) + value(tokens[1])
+            else:
+                book[piece] = value(tokens[0]) if len(tokens) == 1 else total(map(value, tokens))
 
     def encode(self, texts: list[str]) -> list:
         """The value of each text."""
         for book in (self._tokens, self._plain, self._spaced):
             if len(book) > self._capacity:
                 book.clear()
+        special = any(string in text for string in self._strings for text in texts)
         plain: set[str] = set()
         spaced: set[str] = set()
         cut = []
@@ -71,6 +84,6 @@ class PieceEncoder:
             cut.append((first, rest))
         for book, seen, lead in ((self._plain, plain, ""), (self._spaced, spaced, " ")):
             if missing := list(seen - book.keys()):
-                self._learn(book, missing, lead)
+                self._learn(book, missing, lead, special)
         total, one, other = self._total, self._plain.__getitem__, self._spaced.__getitem__
         return [total((total(map(one, first)), total(map(other, rest)))) for first, rest in cut]

@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, read_table, slices
 from .pieces import PieceEncoder
+from .token_counts import byte_letters
 
 _BLOCK = "shard int, block int, dictionary_hash string, first long, doc_ids array<long>, counts array<long>, offsets array<long>, frames binary"
 
@@ -50,10 +51,20 @@ class LibraryEncoder:
         plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
         byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         if plain and byte_level and not said.get("normalizer") and not said.get("truncation"):
-            self.encode = PieceEncoder(public_tokenizers.PATTERN, self._encode_many, b"".join, [x["content"] for x in added]).encode
+            self.special = {x["content"]: x["id"] for x in added}
+            self.encode = PieceEncoder(public_tokenizers.PATTERN, self._encode_pretokens, b"".join, list(self.special)).encode
         else:
             self.encode = self._encode_many
 
+    def _encode_pretokens(self, tokens: list[str]) -> Iterator[bytes]:
+        """By the library's merge model alone: no other step of it bears on a pre-token."""
+        model, letters = self.tokenizer.model.tokenize, byte_letters()
+        for token in tokens:
+            if token in self.special:
+                yield array("I", [self.special[token]]).tobytes()
+            else:
+                yield array("I", [x.id for x in model(token.encode().decode("latin-1").translate(letters))]).tobytes()
+
     def _encode_many(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -100,9 +111,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
         for texts in parts:
             yield pd.Series([ids.tobytes() for ids in serialized(encoder, texts)], dtype=object)
 
+    # at most sample_docs ids are broadcast
     short = rows.where(F.length("text") <= sample_chars)
     chosen = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    samples = short.join(chosen.distinct(), "doc_id", "left_semi").select(sampled("text").alias("ids")).limit(sample_docs).collect()
+    samples = short.join(F.broadcast(chosen), "doc_id", "left_semi").select(sampled("text").alias("ids")).limit(sample_docs).collect()
     data = train_dictionary(sorted(bytes(x.ids) for x in samples), dictionary_size)
     name = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(name, data, width)], "hash string, data binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
