@@ -52,7 +52,7 @@ class LibraryEncoder:
         byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         if plain and byte_level and not said.get("normalizer") and not said.get("truncation"):
             self.special = {x["content"]: x["id"] for x in added}
-            self.encode = PieceEncoder(public_tokenizers.PATTERN, self._encode_pretokens, b"".join, list(self.special)).encode
+            self.encode = PieceEncoder(public_tokenizers.PATTERN, self._encode_pretokens, b"".join, list(self.special), capacity=200_000).encode
         else:
             self.encode = self._encode_many
 
