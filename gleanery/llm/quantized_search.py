@@ -2,7 +2,8 @@
 
 Vectors are cut into subspaces, each coded in four bits. Codebooks and codes minimise a loss that weighs the part of the
 residual parallel to the vector more than the rest, since that part is what moves large inner products. A query becomes a table
-of its inner products with all centres; scanning the codes adds table entries up, and the best are ranked again exactly.
+of its inner products with all centres; scanning the codes adds table entries up, and the best are ranked again exactly, as is
+every row whose code does not rule out that it belongs among them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class Settings:
     rounds: int = 8
     sweeps: int = 2
     shard_rows: int = 4096
-    rerank: int = 100  # of a shard, for each query
+    rerank: int = 100  # of a shard, for each query, at first; then whatever could still be among the nearest
     seed: int = 5
 
 
@@ -88,6 +89,11 @@ class Codebook:
         codes = self._assign(self._cut(rows), self.settings.sweeps)
         return (codes[:, 0::2] * CENTRES + codes[:, 1::2]).astype(np.uint8)
 
+    def decode(self, packed: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        codes = np.stack([packed // CENTRES, packed % CENTRES], axis=2).reshape(len(packed), self.parts)
+        return self.centres[np.arange(self.parts), codes].reshape(len(packed), -1)[:, : self.dim]
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Queries x byte positions x 256: what each pair of codes adds to the inner product."""
         single = np.einsum("qpw,pcw->qpc", self._cut(queries), self.centres)
@@ -99,7 +105,22 @@ class QuantizedShard:
 
     def __init__(self, book: Codebook, ids: np.ndarray, vectors: np.ndarray):
         self.book, self.ids, self.vectors = book, ids, unit(vectors)
-        self.codes = np.ascontiguousarray(book.encode(self.vectors).T)
+        packed = book.encode(self.vectors)
+        self.codes = np.ascontiguousarray(packed.T)
+        coded = book.decode(packed)
+        self.along = np.einsum("nd,nd->n", self.vectors, coded)  # of the coded vector: its part along the row's own, and the rest
+        self.aside = np.sqrt(np.maximum(0, (coded * coded).sum(axis=1) - self.along**2))
+
+    def _least(self, cosine: float) -> np.ndarray:
+        """The score that each row has at least if its cosine with a query is at least `cosine`.
+
+        With a query at cosine c, the coded vector's part along the row adds c * along to the score and its rest takes off
+        aside * sqrt(1 - c^2) at most. That grows with c from 0 on; below, and for codes that point away, nothing is ruled out.
+        """
+        if not cosine > 0:
+            return np.full(len(self.ids), -np.inf)
+        least = cosine * self.along - self.aside * np.sqrt(max(0.0, 1 - cosine**2)) - 1e-6 * (len(self.codes) + 1)  # single precision
+        return np.where(self.along > 0, least, -np.inf)
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
         found = []
@@ -111,11 +132,11 @@ class QuantizedShard:
                 scores += tables[:, p][:, codes]
             for own, query, score in zip(query_ids[at : at + 64], queries[at : at + 64], scores):
                 score[self.ids == own] = -np.inf
-                want = min(self.book.settings.rerank, len(score))
-                least = np.partition(score, len(score) - want)[len(score) - want]
-                some = np.flatnonzero(score > least)
-                some = np.r_[some, np.flatnonzero(score == least)[: want - len(some)]]  # of equal codes the smaller ids
-                some = some[self.ids[some] != own]
+                want = min(max(k, self.book.settings.rerank), len(score))
+                some = np.argpartition(score, len(score) - want)[len(score) - want :]
+                exact = self.vectors[some[self.ids[some] != own]] @ query
+                kth = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+                some = np.flatnonzero((score >= self._least(kth)) & (self.ids != own))
                 exact = self.vectors[some] @ query
                 best = np.lexsort((self.ids[some], -exact))[:k]
                 found += [(int(own), int(self.ids[some[b]]), float(exact[b])) for b in best]
@@ -128,7 +149,7 @@ def nearest_vectors(vectors: DataFrame, is_query: F.Column, k: int = 5, settings
     Queries are the rows of `vectors` where is_query holds. Every row is indexed; codebooks are fitted on at most
     `settings.sample` rows, the first by a hash of their id. Vectors that are null, zero, of null or non-finite components, or
     of another length than the sample's first take no part, nor do rows of null id; rows that repeat an id count once. Other
-    columns are ignored. Scores are exact; which rows are ranked again exactly is what is approximate.
+    columns are ignored. Scores are exact, and so is the choice: codes only rule out rows that cannot be among the nearest.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull())

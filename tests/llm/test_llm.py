@@ -349,6 +349,21 @@ def test_nearest_vectors_recall(spark):
     assert [(r.query_id, r.vec_id) for r in quantized_search.nearest_vectors(two, F.col("vec_id") == 1).collect()] == [(1, 2)]
 
 
+def test_nearest_within_a_large_group_of_near_copies():
+    draw = np.random.default_rng(12)
+    vectors = draw.standard_normal((4096, 64))
+    vectors[::3] = vectors[0] + draw.uniform(0.02, 0.2, (1366, 1)) * draw.standard_normal((1366, 64))
+    held, ids = quantized_search.unit(vectors), np.arange(4096)
+    shard = quantized_search.QuantizedShard(quantized_search.Codebook(held, quantized_search.Settings()), ids, vectors)
+    asked = np.r_[0:300:3, 1:300:30]
+    found = shard.nearest(ids[asked], vectors[asked], 5)
+    for q, part in found.groupby("query_id"):
+        exact = held @ held[q]
+        exact[q] = -np.inf
+        assert part.vec_id.tolist() == np.argsort(-exact, kind="stable")[:5].tolist()
+    assert found.groupby("query_id").size().to_dict() == {q: 5 for q in asked}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
