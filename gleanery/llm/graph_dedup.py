@@ -2,7 +2,8 @@
 
 Each shard builds a graph of its vectors; every vector then queries every shard. Searches run in batches, all queries a step at
 a time. A query whose beam holds nothing but links gets a wider one, and so does a whole batch if its audited queries, compared
-with all vectors of the shard, show too few of the links found. Links are verified in double precision and united.
+with all vectors of the shard, show too few of their links found, or of their nearest where they have no links. What no walk
+reaches is compared with every query. Links are verified in double precision and united.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ class Settings:
     spare: int = 4  # places of a node for links to nodes that no search would reach
     together: int = 4  # nodes of a beam expanded at a time
     audited: int = 24  # queries of a batch of up to 1024 compared with the whole shard
-    recall: float = 0.99
+    nearest: int = 3  # neighbours that an audited query without links has to find
+    recall: float = 0.99  # the mean over audited queries
     shard_rows: int = 200_000  # a shard's vectors and graph stay in memory
     seed: int = 3
 
@@ -197,6 +199,7 @@ class ShardLinks:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, least: float, settings: Settings):
         self.ids, self.exact, self.least, self.s = ids, unit(vectors), least, settings
         self.graph = Graph(self.exact, settings)
+        self.lost = np.flatnonzero(~self.graph._reached())  # compared with every query
         self.compared = 0  # batches that only a comparison with the whole shard could settle
 
     def _found(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,22 +217,48 @@ class ShardLinks:
                 mine, wide = mine[more], min(2 * wide, len(self.ids))
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
+    def _compared(self, queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the links of every query with these rows."""
+        hits = [np.nonzero(queries[k : k + 64] @ self.exact[rows].T >= self.least) for k in range(0, len(queries), 64)]
+        return np.concatenate([64 * k + h[0] for k, h in enumerate(hits)]), rows[np.concatenate([h[1] for h in hits])]
+
+    def _recall(self, sims: np.ndarray, queries: np.ndarray, audited: np.ndarray, q: np.ndarray, row: np.ndarray, beam: int) -> float:
+        """The mean over audited queries of the share that was found of their links, or of their nearest if they have none.
+
+        sims: their cosines with all rows, own rows left out. Rows out of reach are compared anyway and count for neither.
+        """
+        found = np.zeros(sims.shape, bool)
+        for k, a in enumerate(audited):
+            found[k, row[q == a]] = True
+        want = sims >= self.least
+        alone = np.flatnonzero(~want.any(axis=1))
+        k = min(self.s.nearest, sims.shape[1])
+        if len(alone):
+            best = np.argpartition(-sims[alone], k - 1, axis=1)[:, :k]
+            want[alone[:, None], best] = sims[alone[:, None], best] > -np.inf
+            ids = self.graph.search(queries[audited[alone]], min(beam, len(self.ids)))[0]
+            r, c = np.nonzero(ids >= 0)
+            found[alone[r], ids[r, c]] = True
+        some = want.any(axis=1)
+        return float(((want & found).sum(axis=1)[some] / want.sum(axis=1)[some]).mean()) if some.any() else 1.0
+
     def links(self, query_ids: np.ndarray, queries: np.ndarray) -> pd.DataFrame:
         queries = unit(queries)
         audited = np.linspace(0, len(queries) - 1, min(self.s.audited, len(queries))).astype(int)
-        truth = queries[audited] @ self.exact.T >= self.least
+        sims = queries[audited] @ self.exact.T
+        sims[query_ids[audited][:, None] == self.ids[None, :]] = -np.inf
+        sims[:, self.lost] = -np.inf
         beam = self.s.beam
         while True:
             q, row = self._found(queries, beam)
-            found = np.zeros_like(truth)
-            for k, a in enumerate(audited):
-                found[k, row[q == a]] = True
-            if (truth & found).sum() >= self.s.recall * truth.sum():
+            if self._recall(sims, queries, audited, q, row, beam) >= self.s.recall:
+                if len(self.lost):
+                    more = self._compared(queries, self.lost)
+                    q, row = np.concatenate([q, more[0]]), np.concatenate([row, more[1]])
                 break
             if beam >= min(self.s.widest, len(self.ids)):
                 self.compared += 1
-                hits = [np.nonzero(queries[k : k + 64] @ self.exact.T >= self.least) for k in range(0, len(queries), 64)]
-                q, row = np.concatenate([64 * k + h[0] for k, h in enumerate(hits)]), np.concatenate([h[1] for h in hits])
+                q, row = self._compared(queries, np.arange(len(self.ids)))
                 break
             beam *= 2
         sure = np.einsum("kd,kd->k", queries[q], self.exact[row]) >= self.least if len(q) else np.zeros(0, bool)

@@ -329,6 +329,40 @@ def test_graph_finds_what_is_near():
     assert links.graph._reached().all()
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_audit_sees_lost_links_of_small_groups(monkeypatch, hot):
+    draw = np.random.default_rng(13)
+    n = np.arange(999)
+    v = draw.standard_normal((999, 24))
+    twin = (n % 3 == 2) & (hot | ~np.isin(n, [k + d for k in np.linspace(0, 998, 24).astype(int) for d in (0, 1)]))  # without the hot group, no audited row has a link
+    v[twin] = v[n[twin] - 1] + 0.05 * draw.standard_normal((twin.sum(), 24))
+    if hot:  # its links outnumber all others
+        v[::3] = v[0] + 0.05 * draw.standard_normal((333, 24))
+    v = graph_dedup.unit(v)
+    links = graph_dedup.ShardLinks(n, v, 0.9, graph_dedup.Settings(widest=24))
+    whole = links.graph.search
+
+    def blind(queries, beam, bottom=0):  # finds the hot group, and of all others the query's own row alone
+        ids, sims = whole(queries, beam, bottom)
+        gone = (sims < 0.99999) & ~(hot & (ids % 3 == 0))
+        return np.where(gone, -1, ids), np.where(gone, -np.inf, sims)
+
+    monkeypatch.setattr(links.graph, "search", blind)
+    found = {tuple(r) for r in links.links(n, v).itertuples(index=False)}
+    assert found == {(a, b) for a, b in zip(*np.nonzero(np.tril(v @ v.T >= 0.9, -1)))}
+
+
+def test_nodes_out_of_reach_are_compared(monkeypatch):
+    draw = np.random.default_rng(14)
+    base = draw.standard_normal((600, 24))
+    v = graph_dedup.unit(np.concatenate([base, base[5:6] + 0.1 * draw.standard_normal((2, 24))]))
+    monkeypatch.setattr(graph_dedup.Graph, "_reconnect", lambda self: [np.copyto(near, -1, where=np.isin(near, [5, 600, 601])) for near in self.near])
+    links = graph_dedup.ShardLinks(np.arange(len(v)), v, 0.9, graph_dedup.Settings(audited=2))
+    assert {5, 600, 601} <= set(links.lost.tolist()) | {links.graph.entry}
+    found = {tuple(r) for r in links.links(np.arange(len(v)), v).itertuples(index=False)}
+    assert found == {(a, b) for a, b in zip(*np.nonzero(np.tril(v @ v.T >= 0.9, -1)))} >= {(600, 5), (601, 5), (601, 600)}
+
+
 def test_nearest_vectors_recall(spark):
     rows, df = vectors(spark)
     found = quantized_search.nearest_vectors(df, F.pmod(F.col("vec_id"), F.lit(5)) == 0).toPandas()
