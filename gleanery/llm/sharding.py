@@ -1,8 +1,10 @@
 """Sharding by balanced label propagation.
 
 Documents of equal text are linked. Every document starts on a shard by hash; in each round the linked ones learn on which
-shard most of their neighbours are and ask to move there, and a shard admits as many as its quota of rows leaves room for.
-Documents without links fill what remains, and a last step evens all shards out to the row.
+shard most of their neighbours are and ask to move there, and a shard admits as many as its quota of rows leaves room for. Groups
+that the rounds leave cut, or that do not fit where they are, are then packed whole, the largest first; at most one group a
+shard that would have fitted into one is cut by this. Documents without links fill what remains, and a last step evens all
+shards out to the row.
 """
 
 from __future__ import annotations
@@ -45,6 +47,70 @@ def _round(state: DataFrame, quota: list[int], count: int, largest: int) -> tupl
     return after, moved
 
 
+def _pack(sizes: dict[int, int], vacant: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int, int]]]:
+    """Shards for groups (size: how many), the largest first; `vacant` is drawn down. Only groups that fit into no shard are cut.
+
+    Whole groups: (size, first, end, shard) for the first-th to the last before the end-th of their size. Cut ones: (size, turn,
+    first, end, shard) for rows of the turn-th. Each piece but a group's last fills a shard.
+    """
+    whole, cut = [], []
+    for size in sorted(sizes, reverse=True):
+        turn = 0
+        for shard in range(len(vacant)):
+            fit = min(sizes[size] - turn, vacant[shard] // size)
+            if fit:
+                whole.append((size, turn, turn + fit, shard))
+                vacant[shard] -= fit * size
+                turn += fit
+        for turn in range(turn, sizes[size]):
+            at = 0
+            while at < size:
+                holding = [s for s, v in enumerate(vacant) if v >= size - at]
+                shard = min(holding, key=lambda s: vacant[s]) if holding else max(range(len(vacant)), key=lambda s: vacant[s])
+                take = min(size - at, vacant[shard])
+                cut.append((size, turn, at, at + take, shard))
+                vacant[shard] -= take
+                at += take
+    return whole, cut
+
+
+def _packed(state: DataFrame, quota: list[int], largest: int, count: int) -> DataFrame:
+    """Labels under which linked documents keep to the quotas: large groups, then whole small ones that fit where they are, then the rest.
+
+    A group has one row here. Group counts by size come to the driver (sizes differ, so there are at most sqrt(2 * count)), and
+    as many ranges go back.
+    """
+    spark = state.sparkSession
+    spread = state.where("linked").groupBy("text_key", "label").agg(F.count("*").alias("n"))
+    groups = spread.groupBy("text_key").agg(F.sum("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    groups = groups.withColumns({"group_key": spread_key("text_key"), "one": F.lit(1).cast("long"), "kept": (F.col("n") <= largest) & (F.col("low") == F.col("high"))})
+    vacant = list(quota)
+    big = {r.n: r.many for r in groups.where(f"n > {largest}").groupBy("n").agg(F.count("*").alias("many")).collect()}
+    whole, cut = _pack(big, vacant)
+    # whole groups stay as far as there is room
+    stay = running_totals(groups.where("kept"), ["low"], "group_key", "n", "before", count, ("text_key",))
+    stay = stay.withColumn("kept", F.col("before") + F.col("n") <= _lookup(list(vacant), F.col("low"))).drop("before")
+    groups = written(groups.where("not kept").unionByName(stay), "groups")
+    for r in groups.where("kept").groupBy("low").agg(F.sum("n").alias("n")).collect():
+        vacant[r.low] -= r.n
+    small = {r.n: r.many for r in groups.where(f"not kept and n <= {largest}").groupBy("n").agg(F.count("*").alias("many")).collect()}
+    for have, more in zip((whole, cut), _pack(small, vacant)):
+        have += more
+    ranges = spark.createDataFrame(whole + [(size, turn, turn + 1, -1) for size, turn in {c[:2] for c in cut}], "n long, first long, end long, to int")
+    turned = running_totals(groups.where("not kept"), ["n"], "group_key", "one", "turn", count, ("text_key",))
+    dealt = turned.join(F.broadcast(ranges), "n").where("turn >= first and turn < end").select("text_key", "n", "turn", "to")
+    dealt = written(dealt, "dealt")
+    plan = dealt.select("text_key", "to").unionByName(groups.where("kept").select("text_key", F.col("low").alias("to")))
+    state = written(state.join(plan, "text_key", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "state")
+    if not cut:
+        return state
+    pieces = spark.createDataFrame(cut, "n long, turn long, first long, end long, to int")
+    pieces = F.broadcast(dealt.where("to < 0").drop("to").join(F.broadcast(pieces), ["n", "turn"]).select("text_key", "first", "end", "to"))  # each but a group's last fills a shard
+    rows = running_totals(state.where("label < 0").withColumn("one", F.lit(1).cast("long")), ["text_key"], "key", "one", "place", count, ("doc_id", "row"))
+    rows = rows.join(pieces, "text_key").where("place >= first and place < end").withColumn("label", F.col("to"))
+    return written(state.where("label >= 0").unionByName(rows.select(*state.columns)), "state")
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -69,14 +135,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 8, id_c
     groups = rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key", F.lit(True).alias("more"))
     start = F.pmod("key", F.lit(shards)).cast("int")
     state = written(rows.join(groups, "text_key", "left").select(*rows.columns, start.alias("label"), F.coalesce("more", F.lit(False)).alias("linked")), "state")
-    for largest in (max(1, quota[0] // 8), count):  # small groups first, while there is room for all of each
-        for _ in range(rounds // 2):
-            after, moved = _round(state, quota, count, largest)
-            if not moved:
-                break
-            after = written(after, "state")
-            remove(state)
-            state = after
+    largest = max(1, quota[0] // 8)  # larger groups are few and are packed
+    for _ in range(rounds // 2):
+        after, moved = _round(state, quota, count, largest)
+        if not moved:
+            break
+        after = written(after, "state")
+        remove(state)
+        state = after
+    state = _packed(state, quota, largest, count)
     return _evened(state, quota, count).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -294,6 +294,30 @@ def test_sharding(spark):
     assert sorted(few.slot) == [0] * 5 and few.shard.nunique() == 5
 
 
+def test_sharding_nothing_but_copies(spark):
+    sizes = [1600, *[40 + k % 3 for k in range(30)], *[2 + k % 5 for k in range(500)]]
+    rows = [(f"t{k}",) for k, n in enumerate(sizes) for _ in range(n)]
+    docs = spark.createDataFrame([(k, t) for k, (t,) in enumerate(rows)], "doc_id long, text string")
+    found = sharding.shard_documents(docs).toPandas()
+    counts = found.groupby("shard").size()
+    assert len(found) == len(rows) and found.doc_id.nunique() == len(rows) and counts.max() - counts.min() <= 1
+    assert all(sorted(part.slot) == list(range(len(part))) for _, part in found.groupby("shard"))
+    shards = found.groupby(found.doc_id.map(lambda k: rows[k][0])).shard.nunique()
+    assert shards["t0"] <= math.ceil(1600 / counts.min()) + 1
+    assert (shards.drop("t0") > 1).sum() <= 24
+
+
+def test_packing_cuts_only_what_fits_nowhere():
+    draw = random.Random(15)
+    sizes = {n: draw.randint(1, 20) for n in range(2, 60)} | {700: 1}
+    total = sum(n * many for n, many in sizes.items())
+    vacant = [total // 24 + (s < total % 24) for s in range(24)]
+    whole, cut = sharding._pack(sizes, vacant)
+    assert vacant == [0] * 24 and len({c[:2] for c in cut}) <= 24
+    for n, many in sizes.items():
+        assert sorted([t for size, a, b, _ in whole if size == n for t in range(a, b)] + list({turn for size, turn, *_ in cut if size == n})) == list(range(many))
+
+
 def vectors(spark):
     draw = np.random.default_rng(5)
     base = draw.standard_normal((40, 16))
