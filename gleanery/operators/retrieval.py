@@ -146,9 +146,15 @@ def metadata_matches(chunks: DataFrame, queries: DataFrame, config: SearchConfig
 
 
 def metadata_pool(chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """query_id, chunk_id, raw_score, rank: the strongest matches, at most a few of a file."""
+    """query_id, chunk_id, raw_score, rank: the strongest matches, at most a few of a file.
+
+    If queries have formats, matches of others are left out before any are counted.
+    """
     order = [F.desc("strength"), "relative_path", "chunk_id"]
     found = metadata_matches(chunks, queries, config)
+    if "formats" in queries.columns:
+        found = found.join(chunks.select("chunk_id", "format"), "chunk_id").join(F.broadcast(queries.select("query_id", "formats")), "query_id")
+        found = only_formats(found, F.col("formats"), F.col("format"))
     capped = found.withColumn("in_file", F.row_number().over(Window.partitionBy("query_id", "file_id").orderBy(*order))).where(F.col("in_file") <= config.metadata_chunks_per_file)
     ranked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= config.metadata_candidates)
     return ranked.select("query_id", "chunk_id", F.col("strength").alias("raw_score"), "rank")

@@ -218,3 +218,12 @@ def test_compatibility_links_and_wrapping(spark):
     kinds = [one.select(T.link_kind(F.lit(x)).alias("k")).first().k for x in ("HTTPS://a", "#top", "javascript:x", "docs/a.md", None)]
     assert kinds == ["external", "fragment", "blocked", "blocked", "blocked"]
     assert [one.select(T.step_match(F.lit(c), F.lit(n), d).alias("w")).first().w for c, n, d in ((2, 3, 1), (0, 3, -1), (-1, 3, -1), (0, 0, 1))] == [0, 2, 2, -1]
+
+
+def test_metadata_pool_leaves_out_other_formats_first(spark):
+    rows = [(k, f"f{k}", f"f{k}/walk", "walk", "go") for k in range(150)] + [(900, "far", "far/walking.py", "walking.py", "python")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, file_id string, relative_path string, filename string, format string").withColumns({"heading_trail": F.array().cast("array<string>"), "symbols": F.array().cast("array<string>")})
+    asked = spark.createDataFrame([("q", "walk", ["python"]), ("all", "walk", [])], "query_id string, query string, formats array<string>")
+    found = retrieval.metadata_pool(chunks, asked).collect()
+    assert [(r.chunk_id, r["rank"]) for r in found if r.query_id == "q"] == [(900, 1)]
+    assert len([r for r in found if r.query_id == "all"]) == 100
