@@ -6,6 +6,10 @@ batch of queries; a query's vector is the centroid of a label of `embeddings`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +44,24 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
+def blocked(find: Callable[[DataFrame], DataFrame], queries: DataFrame, most: int = CONFIG.max_batch) -> DataFrame:
+    """What `find` finds for all queries, asked in blocks (by a hash of query_id) of at most `most`, the bound of a broadcast."""
+    parts = max(1, ceil(queries.count() / most))
+    while True:
+        of = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        counts = {r.block: r.n for r in queries.groupBy(of.alias("block")).agg(F.count("*").alias("n")).collect()}
+        if max(counts.values(), default=0) <= most:
+            break
+        parts += ceil(parts / 4)
+    return reduce(DataFrame.unionByName, [find(queries.where(of == block)) for block in sorted(counts)] or [find(queries)])
+
+
 def phrase_of(query: F.Column, size: int = 3) -> F.Column:
     return F.array_join(F.slice(terms(query), 1, size), " ")
 
 
 def vector_knn_batch(spark, sf_dir):
-    found = retrieval.vector_pool(vectors(spark, sf_dir), centroids(spark, sf_dir).withColumnRenamed("label", "query_id"), CONFIG)
+    found = blocked(lambda asked: retrieval.vector_pool(vectors(spark, sf_dir), asked, CONFIG), centroids(spark, sf_dir).withColumnRenamed("label", "query_id"))
     return found.select(F.col("query_id").cast("long"), "chunk_id", F.col("raw_score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -56,13 +72,13 @@ def vector_truncate_normalize(spark, sf_dir):
 
 
 def bm25_match_batch(spark, sf_dir):
-    found = retrieval.bm25_pool(chunks(spark, sf_dir), text_queries(spark, sf_dir), CONFIG)
+    found = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text_queries(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.col("raw_score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_within_formats(spark, sf_dir):
     all_chunks = chunks(spark, sf_dir)
-    scored = retrieval.bm25_scores(all_chunks, text_queries(spark, sf_dir), CONFIG).join(all_chunks.select("chunk_id", "format"), "chunk_id")
+    scored = blocked(lambda asked: retrieval.bm25_scores(all_chunks, asked, CONFIG), text_queries(spark, sf_dir)).join(all_chunks.select("chunk_id", "format"), "chunk_id")
     found = retrieval.top(retrieval.only_formats(scored, F.array(F.lit("de"), F.lit("fr")), F.col("format")), CONFIG.bm25_candidates)
     return found.select("query_id", "chunk_id", "format", F.col("raw_score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -74,7 +90,7 @@ def phrase_match(spark, sf_dir):
 
 def boolean_should(spark, sf_dir):
     quoted = text_queries(spark, sf_dir).withColumn("query", F.concat(F.lit('"'), phrase_of(F.col("query")), F.lit('" '), F.get(F.slice(terms(F.col("query")), 5, 1), F.lit(0))))
-    found = retrieval.bm25_pool(chunks(spark, sf_dir), quoted, CONFIG)
+    found = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), quoted)
     return found.select("query_id", "chunk_id", F.col("raw_score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -96,12 +112,12 @@ def part_queries(spark, sf_dir):
 
 
 def metadata_match_best(spark, sf_dir):
-    found = retrieval.metadata_matches(part_chunks(spark, sf_dir), part_queries(spark, sf_dir), CONFIG)
+    found = blocked(lambda asked: retrieval.metadata_matches(part_chunks(spark, sf_dir), asked, CONFIG), part_queries(spark, sf_dir))
     return found.select("query_id", "chunk_id", "field", "kind", F.round("strength", 6).alias("strength"), "term")
 
 
 def metadata_pool(spark, sf_dir):
-    found = retrieval.metadata_pool(part_chunks(spark, sf_dir), part_queries(spark, sf_dir), CONFIG)
+    found = blocked(lambda asked: retrieval.metadata_pool(part_chunks(spark, sf_dir), asked, CONFIG), part_queries(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.round("raw_score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -115,8 +131,8 @@ def pools(spark, sf_dir):
     text = text_queries(spark, sf_dir)
     centres = centroids(spark, sf_dir).withColumn("at", F.row_number().over(Window.orderBy("label")) - 1)
     number = text.select("query_id", F.pmod("query_id", F.lit(10)).alias("at"))
-    near = retrieval.vector_pool(vectors(spark, sf_dir), number.join(centres, "at").select("query_id", "query_vector"), CONFIG)
-    match = retrieval.bm25_pool(chunks(spark, sf_dir), text, CONFIG)
+    near = blocked(lambda asked: retrieval.vector_pool(vectors(spark, sf_dir), asked, CONFIG), number.join(centres, "at").select("query_id", "query_vector"))
+    match = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text)
     return near.select("query_id", F.lit("vector").alias("source"), "chunk_id", "raw_score").unionByName(match.select("query_id", F.lit("bm25").alias("source"), "chunk_id", "raw_score"))
 
 
@@ -148,7 +164,7 @@ def hybrid_search(spark, sf_dir):
 
 def highlight_query_terms(spark, sf_dir):
     """Which of a query's terms each of its best chunks holds."""
-    found = retrieval.bm25_pool(chunks(spark, sf_dir), text_queries(spark, sf_dir), CONFIG).select("query_id", "chunk_id")
+    found = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text_queries(spark, sf_dir)).select("query_id", "chunk_id")
     asked = text_queries(spark, sf_dir).select("query_id", query_terms(F.col("query")).alias("wanted"))
     rows = found.join(asked, "query_id").join(chunks(spark, sf_dir).select("chunk_id", "search_text"), "chunk_id")
     return rows.select("query_id", "chunk_id", F.size("wanted").cast("long").alias("n_terms"), F.size(highlight_terms(F.col("wanted"), F.col("search_text"))).cast("long").alias("n_found"))
@@ -161,7 +177,7 @@ def expected_documents(spark, sf_dir):
 
 
 def metrics(spark, sf_dir):
-    ranked = retrieval.bm25_pool(chunks(spark, sf_dir), text_queries(spark, sf_dir), CONFIG).select("query_id", F.col("chunk_id").alias("item"), "rank")
+    ranked = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text_queries(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("item"), "rank")
     return evaluation.query_metrics(expected_documents(spark, sf_dir), ranked)
 
 
@@ -184,7 +200,7 @@ def model_comparison(spark, sf_dir):
     """BM25 alone against phrases first: does the second rank expected documents so much better as to be preferred?"""
     expected = expected_documents(spark, sf_dir)
     text = text_queries(spark, sf_dir)
-    plain = evaluation.query_metrics(expected, retrieval.bm25_pool(chunks(spark, sf_dir), text, CONFIG).select("query_id", F.col("chunk_id").alias("item"), "rank"))
+    plain = evaluation.query_metrics(expected, blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text).select("query_id", F.col("chunk_id").alias("item"), "rank"))
     exact = retrieval.top(retrieval.phrase_scores(chunks(spark, sf_dir), text.select("query_id", phrase_of(F.col("query")).alias("phrase")), CONFIG), CONFIG.bm25_candidates)
     other = evaluation.query_metrics(expected, exact.select("query_id", F.col("chunk_id").alias("item"), "rank"))
     both = plain.select("query_id", F.col("recall_5").alias("small"), F.col("reciprocal_rank").alias("small_rr")).join(other.select("query_id", F.col("recall_5").alias("base"), F.col("reciprocal_rank").alias("base_rr")), "query_id")

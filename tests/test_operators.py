@@ -227,3 +227,15 @@ def test_metadata_pool_leaves_out_other_formats_first(spark):
     found = retrieval.metadata_pool(chunks, asked).collect()
     assert [(r.chunk_id, r["rank"]) for r in found if r.query_id == "q"] == [(900, 1)]
     assert len([r for r in found if r.query_id == "all"]) == 100
+
+
+def test_queries_beyond_a_batch_are_asked_in_blocks(spark):
+    from gleanery.config import SearchConfig
+    from gleanery.plans.retrieval import blocked
+
+    chunks = spark.createDataFrame([(k, f"word{k % 7} shared") for k in range(40)], "chunk_id long, search_text string")
+    asked = spark.createDataFrame([(k, f"word{k % 7}") for k in range(23)], "query_id long, query string")
+    small = SearchConfig(**{**SearchConfig().__dict__, "max_batch": 6})
+    found = blocked(lambda some: retrieval.bm25_pool(chunks, some, small), asked, 6)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.bm25_pool(chunks, asked).collect()))
+    assert blocked(lambda some: retrieval.bm25_pool(chunks, some, small), asked.limit(0), 6).count() == 0
