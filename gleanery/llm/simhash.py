@@ -106,23 +106,34 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, blocks
     of null ids only has a null component_id. Other columns of docs are ignored. An empty table gives an empty result.
     """
     prints = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
+    named = rooted_classes(prints, distance, blocks).select("fp", "component_id")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def rooted_classes(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """fp, root (one fingerprint of the group) and component_id of every distinct fingerprint of prints (doc_id, fp)."""
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = components(close_links(classes.select("fp"), distance, blocks), "a", "b")
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one of smallest id, once.
+def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one of smallest id, of equal ids the one of smallest text hash.
 
-    Rows without an id cannot be named as the one to stay; of those with equal texts one stays.
+    Rows without an id cannot be named as the one to stay; of those in a group one stays besides.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    with_id = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return with_id.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    text_hash = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))
+    prints = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp"), text_hash.alias("text_hash")), "fingerprints")
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    firsts = prints.groupBy("fp", F.col("doc_id").isNull().alias("nameless")).agg(least)
+    stay = firsts.join(rooted_classes(prints, distance, blocks), "fp").groupBy("root", "nameless").agg(F.min("least").alias("least"))
+    stay = stay.select(F.col("least.doc_id").alias("__stay_id"), F.col("least.text_hash").alias("__stay_hash"))
+    hashed = docs.withColumn("__hash", text_hash)
+    kept = hashed.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__hash") == F.col("__stay_hash")), "left_semi")
+    return kept.dropDuplicates([id_col, "__hash"]).drop("__hash")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

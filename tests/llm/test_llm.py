@@ -151,6 +151,14 @@ def test_simhash_without_ids_or_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_rows_not_ids(spark):
+    draw = random.Random(16)
+    one, other, third = (" ".join(f"w{draw.randrange(3000)}" for _ in range(200)) for _ in range(3))
+    rows = [(7, one, "en", "s"), (7, other, "en", "s"), (8, one, "en", "s"), (None, third, "en", "s"), (None, third.upper(), "en", "s")]
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.keep_one(documents(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(7, one), (7, other), (None, third)], key=str)
+
+
 def speech(draw, syllables, n):
     return " ".join("".join(draw.choice(syllables) for _ in range(draw.randint(1, 3))) for _ in range(n))
 
