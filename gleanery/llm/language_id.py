@@ -73,18 +73,24 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
-def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 500, max_languages: int = 1000, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> RankProfiles:
-    """Profiles from at most `docs_per_language` documents of each of at most `max_languages`, the first by a hash of their id.
-
-    Only ids and labels are read to choose them; n-grams are counted where the texts are. Rows with a null id, text or label
-    are not learnt from. The driver receives `size` codes a language.
-    """
+def _learnt_from(docs: DataFrame, docs_per_language: int, max_languages: int, held_out: Column | None, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, lang, text) to learn from, and the ids and languages chosen among them."""
     usable = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     pool = docs.where(usable if held_out is None else usable & ~held_out).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     if pool.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
         raise ValueError(f"more than {max_languages} languages to learn")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = pool.select("id", "lang").withColumn("at", F.row_number().over(first)).where(F.col("at") <= docs_per_language).select("id", "lang").distinct()
+    return pool, chosen
+
+
+def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 500, max_languages: int = 1000, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> RankProfiles:
+    """Profiles from at most `docs_per_language` documents of each of at most `max_languages`, the first by a hash of their id.
+
+    Only ids and labels are read to choose them; n-grams are counted where the texts are. Rows with a null id, text or label
+    are not learnt from. The driver receives `size` codes a language.
+    """
+    pool, chosen = _learnt_from(docs, docs_per_language, max_languages, held_out, id_col, text_col, lang_col)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,13 +132,35 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
 
 
+def least_score(docs: DataFrame, profiles: RankProfiles, docs_per_language: int = 500, max_languages: int = 1000, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """Half the score that all but a hundredth of the learned documents with letters reach: what is below is like no language learnt."""
+    pool, chosen = _learnt_from(docs, docs_per_language, max_languages, held_out, id_col, text_col, lang_col)
+    learned = pool.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select(predicted(docs.sparkSession, F.col("text"), profiles).alias("found"))
+    row = learned.where(F.col("found.lang_pred") != UNDETERMINED).agg(F.percentile_approx("found.score", 0.01, 10000)).first()
+    return (row[0] or 0.0) / 2
+
+
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those of no determinable language (no letters at all): those are rejected, all others stay unchanged."""
+    """docs without those of no determinable language: no letters at all, or far from every profile. All others stay unchanged.
+
+    How far is too far follows from the documents learnt from. With nothing to learn from, every text that has letters stays.
+    """
     held_out = F.coalesce(remainder(F.col(id_col), 4) == 2, F.lit(True))
     profiles = fit_profiles(docs, held_out=held_out, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if not profiles.languages:
+        return docs.where(_has_letters(F.col(text_col)))
+    least = least_score(docs, profiles, held_out=held_out, id_col=id_col, text_col=text_col, lang_col=lang_col)
     mark = "__found_language"
     judged = docs.withColumn(mark, predicted(docs.sparkSession, F.col(text_col), profiles))
-    return judged.where(F.col(f"{mark}.lang_pred") != UNDETERMINED).drop(mark)
+    return judged.where((F.col(f"{mark}.lang_pred") != UNDETERMINED) & (F.col(f"{mark}.score") >= least)).drop(mark)
+
+
+def _has_letters(text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def lettered(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(ngrams(x if isinstance(x, str) else None)) > 0 for x in texts], dtype=bool)
+
+    return lettered(text)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,16 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_known_languages_are_kept_by_their_distance(spark):
+    draw = random.Random(17)
+    clean = [(k, speech(draw, TONGUES[lang], draw.randint(5, 60)), lang, "s") for k, lang in enumerate(draw.choices(list(TONGUES), k=200))]
+    junk = [(900, speech(draw, ["жщ", "ъы", "цю"], 80), None, "s"), (901, "12 34", "aa", "s")]
+    docs = documents(spark, clean + junk)
+    assert {r.doc_id for r in language_id.keep_known(docs).collect()} == set(range(200))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language_id.keep_known(unlabelled).collect()} == {*range(200), 900}
+
+
 def test_toxicity_gradients():
     s = toxicity.Settings(buckets=64, embedding_buckets=16, hidden=3, attention=3)
     net = toxicity.Network(s)
