@@ -155,7 +155,7 @@ def diverse_excerpts(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    """The whole search of every query: pools, fusion, files and excerpts of each file's best chunks."""
+    """Search of every query by vectors and terms: pools, fusion, files and excerpts of each file's best chunks. Like its SQL, without the metadata pool."""
     candidates = fused(spark, sf_dir)
     best = fusion.aggregate_files(candidates, CONFIG.default_files, CONFIG)
     shown = fusion.diverse_excerpts(candidates, CONFIG).groupBy("query_id", "file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("excerpt", F.col("chunk_id").cast("string").alias("c")))), lambda x: x["c"]), ",").alias("excerpts"))
