@@ -33,6 +33,12 @@ def partition_keys(spark: SparkSession, count: int) -> list[int]:
     return [found.get(part, -1 - part) for part in range(count)]
 
 
+def dealt_evenly(df: DataFrame, number: str, parts: int) -> DataFrame:
+    """df in `parts` partitions, rows by their number (from 0) modulo parts: as even as numbers are, which hashes of few are not."""
+    keys = F.array(*[F.lit(k) for k in partition_keys(df.sparkSession, parts)])
+    return df.withColumn("__part", F.get(keys, F.pmod(F.col(number), F.lit(parts)).cast("int"))).repartition(parts, "__part").drop("__part")
+
+
 def search_shards(data: DataFrame, queries: DataFrame, shards: int, open_shard: Callable, schema: str) -> DataFrame:
     """Every query against every shard of the data: data rows once, queries once a shard.
 

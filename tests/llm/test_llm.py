@@ -362,47 +362,94 @@ def test_vector_dedup_against_brute_force(spark):
     assert graph_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
-def test_graph_finds_what_is_near():
+def test_vector_dedup_with_repeated_ids_of_unlike_vectors(spark):
+    draw = np.random.default_rng(21)
+    one, other = draw.standard_normal((2, 16))
+    rows = [(7, one.tolist()), (7, other.tolist()), (9, (other + 0.01 * draw.standard_normal(16)).tolist()), (11, (one * 2).tolist()), (12, one[:4].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in graph_dedup.near_duplicate_vectors(df).collect())
+    assert found == [(7, 1, 7, True), (7, 1, 7, True), (9, 1, 7, False), (11, 1, 7, False), (12, 0, 12, True)]
+
+
+def test_vector_dedup_over_several_shards_and_blocks(spark):
+    rows, df = vectors(spark)
+    v = graph_dedup.unit(np.array([r[1] for r in rows]))
+    near = v @ v.T >= 0.9
+    root = roots(len(rows), [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+    small = graph_dedup.Settings(shard_floats=16 * 100, block_rows=15, tasks=7)
+    found = graph_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), settings=small).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(k, int(near[k].sum()) - 1, root[k]) for k in range(len(rows))}
+    assert all(r.recall >= 0.99 for r in found)
+
+
+def linked_rows(shard, v):
+    """vec_id -> links, and the pairs that unite, of all rows of a shard of one copy each."""
+    found = pd.concat([shard.links(np.arange(k, min(k + 500, len(v))), v[k : k + 500]) for k in range(0, len(v), 500)])
+    own = found[found.id.notna()]
+    return own.groupby("id").linked.sum().to_dict(), roots(len(v), [(int(a), int(b)) for a, b in zip(own.id, own.root) if a != b]), found[found.id.isna()]
+
+
+def brute_links(v):
+    near = v @ v.T >= 0.9
+    return {k: int(n) - 1 for k, n in enumerate(near.sum(axis=1))}, roots(len(v), [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.09, 0.14])
+def test_graph_finds_what_is_near(spread):
     draw = np.random.default_rng(11)
-    v = graph_dedup.unit(np.concatenate([draw.standard_normal((3000, 24)), np.repeat(draw.standard_normal((4, 24)), 60, axis=0) + 0.05 * draw.standard_normal((240, 24))]))
-    links = graph_dedup.ShardLinks(np.arange(len(v)), v, 0.9, graph_dedup.Settings())
-    found = {tuple(r) for k in range(0, len(v), 500) for r in links.links(np.arange(k, min(k + 500, len(v))), v[k : k + 500]).itertuples(index=False)}
-    assert found == {(a, b) for a, b in zip(*np.nonzero(np.tril(v @ v.T >= 0.9, -1)))}
-    assert links.graph._reached().all()
+    v = graph_dedup.unit(np.concatenate([draw.standard_normal((2000, 24)), np.repeat(draw.standard_normal((4, 24)), 160, axis=0) + spread * 2 * draw.standard_normal((640, 24))]))
+    shard = graph_dedup.Shard(np.arange(len(v)), np.ones(len(v), np.int64), v, 0.9, graph_dedup.Settings())
+    links, root, audit = linked_rows(shard, v)
+    assert (links, root) == brute_links(v)
+    assert shard.graph.reached()[shard.nodes].all() and len(shard.nodes) < len(v)
+    assert (audit.found / audit.audited >= 0.99).all()
+    again = graph_dedup.Shard.unpacked(shard.packed(), 0.9, graph_dedup.Settings())
+    assert linked_rows(again, v)[:2] == (links, root)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_audit_sees_lost_links_of_small_groups(monkeypatch, hot):
+def test_links_are_rows_of_queries_not_of_pairs():
+    draw = np.random.default_rng(22)
+    v = graph_dedup.unit(draw.standard_normal(32) + 0.03 * draw.standard_normal((3000, 32)))  # one group: millions of pairs
+    shard = graph_dedup.Shard(np.arange(len(v)), np.ones(len(v), np.int64), v, 0.9, graph_dedup.Settings())
+    found = shard.links(np.arange(len(v)), v)
+    assert len(found) <= 2 * len(v) + 1 and set(found[found.linked > 0].linked) == {len(v) - 1} and len(shard.nodes) < 10
+
+
+def test_beams_widen_until_the_audit_passes(monkeypatch):
     draw = np.random.default_rng(13)
-    n = np.arange(999)
-    v = draw.standard_normal((999, 24))
-    twin = (n % 3 == 2) & (hot | ~np.isin(n, [k + d for k in np.linspace(0, 998, 24).astype(int) for d in (0, 1)]))  # without the hot group, no audited row has a link
-    v[twin] = v[n[twin] - 1] + 0.05 * draw.standard_normal((twin.sum(), 24))
-    if hot:  # its links outnumber all others
-        v[::3] = v[0] + 0.05 * draw.standard_normal((333, 24))
-    v = graph_dedup.unit(v)
-    links = graph_dedup.ShardLinks(n, v, 0.9, graph_dedup.Settings(widest=24))
-    whole = links.graph.search
-
-    def blind(queries, beam, bottom=0):  # finds the hot group, and of all others the query's own row alone
+    base = draw.standard_normal((900, 24))
+    v = graph_dedup.unit(np.concatenate([base, base[:300] + 0.05 * draw.standard_normal((300, 24))]))
+    shard = graph_dedup.Shard(np.arange(len(v)), np.ones(len(v), np.int64), v, 0.99, graph_dedup.Settings(beam=2))
+    whole, beams = shard.graph.search, []
+
+    def blind(queries, beam, bottom=0):  # narrow beams see half of what there is
+        beams.append(beam)
         ids, sims = whole(queries, beam, bottom)
-        gone = (sims < 0.99999) & ~(hot & (ids % 3 == 0))
+        gone = (beam < 64) & (ids % 2 == 0)
         return np.where(gone, -1, ids), np.where(gone, -np.inf, sims)
 
-    monkeypatch.setattr(links.graph, "search", blind)
-    found = {tuple(r) for r in links.links(n, v).itertuples(index=False)}
-    assert found == {(a, b) for a, b in zip(*np.nonzero(np.tril(v @ v.T >= 0.9, -1)))}
+    monkeypatch.setattr(shard.graph, "search", blind)
+    links, _, audit = linked_rows(shard, v)
+    near = v @ v.T >= 0.99
+    assert max(beams) >= 64 and links == {k: int(n) - 1 for k, n in enumerate(near.sum(axis=1))}
+    assert (audit.audited > 200).all()
 
 
-def test_nodes_out_of_reach_are_compared(monkeypatch):
+def test_nodes_out_of_reach_are_linked(monkeypatch):
     draw = np.random.default_rng(14)
-    base = draw.standard_normal((600, 24))
-    v = graph_dedup.unit(np.concatenate([base, base[5:6] + 0.1 * draw.standard_normal((2, 24))]))
-    monkeypatch.setattr(graph_dedup.Graph, "_reconnect", lambda self: [np.copyto(near, -1, where=np.isin(near, [5, 600, 601])) for near in self.near])
-    links = graph_dedup.ShardLinks(np.arange(len(v)), v, 0.9, graph_dedup.Settings(audited=2))
-    assert {5, 600, 601} <= set(links.lost.tolist()) | {links.graph.entry}
-    found = {tuple(r) for r in links.links(np.arange(len(v)), v).itertuples(index=False)}
-    assert found == {(a, b) for a, b in zip(*np.nonzero(np.tril(v @ v.T >= 0.9, -1)))} >= {(600, 5), (601, 5), (601, 600)}
+    v = graph_dedup.unit(draw.standard_normal((600, 24)))
+    link = graph_dedup.Graph._spread_links
+
+    def cut_first(self):
+        for near in self.near:
+            near[np.isin(near, np.arange(300, 420))] = -1
+        self.near[0][:, self._width(0) : self._width(0) + 11] = self.entry  # all but one spare place is taken
+        link(self)
+
+    monkeypatch.setattr(graph_dedup.Graph, "_spread_links", cut_first)
+    graph = graph_dedup.Graph(v, graph_dedup.Settings(known_by=0))
+    assert graph.reached().all()
+    assert (graph.search(v, 96)[0] == np.arange(600)[:, None]).any(axis=1).mean() > 0.98
 
 
 def test_nearest_vectors_recall(spark):
