@@ -17,12 +17,25 @@ _UNEVEN = re.compile(rf" [{_WHITE}]|[{_WHITE}] ")
 _CUT = re.compile(rf"(?<=[^{_WHITE}])(?= [^{_WHITE}])")
 
 
+_WHITE_BYTES = [bytes([b]) for b in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0)]
+
+
+def _uneven(text: str) -> bool:
+    """Whether white space stands beside a space. Most texts fit in one byte a character: plain searches tell at once."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _UNEVEN.search(text) is not None
+    return b"  " in raw or any(white in raw and (b" " + white in raw or white + b" " in raw) for white in _WHITE_BYTES)
+
+
 def split_pieces(text: str) -> tuple[list[str], bool]:
     """The pieces, and whether all but the first have lost the space that they begin with."""
-    if _UNEVEN.search(text) is None and not text.startswith(" ") and not text.endswith(" "):
+    if not text.startswith(" ") and not text.endswith(" ") and not _uneven(text):
         return text.split(" "), True
     return _CUT.split(text), False
 
+
 #: Signs that are a pre-token by themselves behind letters.
 _STOPS = frozenset(",.;:!?")
 
@@ -87,3 +100,34 @@ class PieceEncoder:
                 self._learn(book, missing, lead, special)
         total, one, other = self._total, self._plain.__getitem__, self._spaced.__getitem__
         return [total((total(map(one, first)), total(map(other, rest)))) for first, rest in cut]
+
+
+class PieceBook(dict):
+    """Values (bytes) of pieces behind `lead`, made when first asked for.
+
+    `value` gives that of one pre-token. A book of more than `capacity` pieces is followed by an empty one, which takes over what
+    is asked for again: common pieces stay, rare ones go, and memory is bounded by two books.
+    """
+
+    def __init__(self, lead: str, pretokens: Callable[[str], Iterable[str]], value: Callable[[str], bytes], capacity: int, old: dict | None = None):
+        super().__init__()
+        self.lead, self.pretokens, self.value, self.capacity, self.old = lead, pretokens, value, capacity, old or {}
+
+    def following(self) -> PieceBook:
+        """This book, or the one that follows it once it is full."""
+        if len(self) <= self.capacity:
+            return self
+        held, self.old = self, {}
+        return PieceBook(self.lead, self.pretokens, self.value, self.capacity, held)
+
+    def __missing__(self, piece: str) -> bytes:
+        found = dict.get(self.old, piece)
+        if found is None:
+            if piece.isalpha():  # letters alone, as most pieces: one pre-token
+                found = self.value(self.lead + piece)
+            elif piece and piece[-1] in _STOPS and piece[:-1].isalpha():
+                found = self[piece[:-1]] + self.value(piece[-1])
+            else:
+                found = b"".join(map(self.value, self.pretokens(self.lead + piece)))
+        self[piece] = found
+        return found

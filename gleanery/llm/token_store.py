@@ -17,56 +17,80 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, read_table, slices
-from .pieces import PieceEncoder
+from .pieces import PieceBook, split_pieces
 from .token_counts import byte_letters
 
+_ID = attrgetter("id")
 _BLOCK = "shard int, block int, dictionary_hash string, first long, doc_ids array<long>, counts array<long>, offsets array<long>, frames binary"
 
 
 class LibraryEncoder:
-    """Ids of texts by the tokenizers library, from a tokenizer file's content.
+    """Ids of texts by the tokenizers library, from a tokenizer file's content, as little-endian numbers of `width` bytes.
 
     Where the file's settings make pieces independent of each other (byte-level pre-tokens, no normalizer, plain special
-    strings), the library is called once for each distinct pre-token; else for each text.
+    strings), the library is asked once for each distinct pre-token; else for each text.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, capacity: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer, self.width = Tokenizer.from_str(content), id_width(content)
+        self._kind, self._tokenize = {2: "H", 4: "I"}[self.width], self.tokenizer.model.tokenize
         said = json.loads(content)
         before, added = said.get("pre_tokenizer") or {}, said.get("added_tokens", [])
         plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
         byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.books: list[PieceBook] = []
         if plain and byte_level and not said.get("normalizer") and not said.get("truncation"):
-            self.special = {x["content"]: x["id"] for x in added}
-            self.encode = PieceEncoder(public_tokenizers.PATTERN, self._encode_pretokens, b"".join, list(self.special), capacity=200_000).encode
-        else:
-            self.encode = self._encode_many
-
-    def _encode_pretokens(self, tokens: list[str]) -> Iterator[bytes]:
-        """By the library's merge model alone: no other step of it bears on a pre-token."""
-        model, letters = self.tokenizer.model.tokenize, byte_letters()
-        for token in tokens:
-            if token in self.special:
-                yield array("I", [self.special[token]]).tobytes()
-            else:
-                yield array("I", [x.id for x in model(token.encode().decode("latin-1").translate(letters))]).tobytes()
-
-    def _encode_many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.special = {x["content"]: array(self._kind, [x["id"]]).tobytes() for x in added}
+            strings = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+            self._special = re.compile(f"({strings})") if strings else None
+            self._find, self._letters = regex.compile(public_tokenizers.PATTERN).findall, byte_letters()
+            self.books = [PieceBook(lead, self._pretokens, self._value, capacity) for lead in ("", " ")]
+
+    def _pretokens(self, text: str) -> list[str]:
+        if self._special is None or self._special.search(text) is None:
+            return self._find(text)
+        return [token for k, part in enumerate(self._special.split(text)) for token in ([part] if k % 2 else self._find(part))]
+
+    def _value(self, token: str) -> bytes:
+        """By the library's model: no other step of it bears on a pre-token."""
+        if token in self.special:
+            return self.special[token]
+        return array(self._kind, map(_ID, self._tokenize(token.encode().decode("latin-1").translate(self._letters)))).tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.books:
+            for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                yield array(self._kind, found.ids).tobytes()
+            return
+        for text in texts:
+            self.books = [book.following() for book in self.books]
+            plain, spaced = self.books
+            pieces, lost = split_pieces(text)
+            yield plain[pieces[0]] + b"".join(map(spaced.__getitem__, pieces[1:])) if lost else b"".join(map(plain.__getitem__, pieces))
+
+
+@lru_cache(1)
+def _encoder(content: str) -> LibraryEncoder:
+    """One a Python worker: what it has learnt serves later tasks too."""
+    return LibraryEncoder(content)
 
 
 def id_width(content: str) -> int:
@@ -100,16 +124,18 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
     tokenizer = spark.sparkContext.broadcast(content)  # bounded: the vocabulary
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def serialized(encoder: LibraryEncoder, texts) -> Iterator[np.ndarray]:
+    end = end_id.to_bytes(width, "little")
+
+    def serialized(encoder: LibraryEncoder, texts) -> Iterator[bytes]:
         for part in slices(texts):
-            for packed in encoder.encode(part):
-                yield np.append(np.frombuffer(packed, "<u4"), np.uint32(end_id)).astype(f"<u{width}")
+            for ids in encoder.encode(part):
+                yield ids + end
 
     @F.pandas_udf("binary")
     def sampled(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = LibraryEncoder(tokenizer.value)
+        encoder = _encoder(tokenizer.value)
         for texts in parts:
-            yield pd.Series([ids.tobytes() for ids in serialized(encoder, texts)], dtype=object)
+            yield pd.Series(list(serialized(encoder, texts)), dtype=object)
 
     # at most sample_docs ids are broadcast
     short = rows.where(F.length("text") <= sample_chars)
@@ -126,15 +152,15 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
 
     @F.pandas_udf("shard int, n long, frame binary")
     def packed(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encoder = LibraryEncoder(tokenizer.value)
+        encoder = _encoder(tokenizer.value)
         data, bounds = shared.value
         compress = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(data)).compress
         for ids, texts in parts:
             shard = np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="left"))
             counts, frames = [], []
             for own in serialized(encoder, texts):
-                counts.append(len(own))
-                frames.append(compress(own.tobytes()))
+                counts.append(len(own) // width)
+                frames.append(compress(own))
             yield pd.DataFrame({"shard": shard.astype("int32"), "n": np.array(counts, np.int64), "frame": pd.Series(frames, dtype=object)})
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
