@@ -29,7 +29,7 @@ class Settings:
     sample: int = 8192  # vectors that codebooks are fitted on, at most
     rounds: int = 8
     sweeps: int = 2
-    shard_rows: int = 4096
+    shard_floats: int = 1 << 21  # components of a shard's vectors
     rerank: int = 100  # of a shard, for each query, at first; then whatever could still be among the nearest
     seed: int = 5
 
@@ -147,28 +147,29 @@ def nearest_vectors(vectors: DataFrame, is_query: F.Column, k: int = 5, settings
     """The k nearest by cosine of each query among all other vectors: query_id, rank, vec_id, score.
 
     Queries are the rows of `vectors` where is_query holds. Every row is indexed; codebooks are fitted on at most
-    `settings.sample` rows, the first by a hash of their id. Vectors that are null, zero, of null or non-finite components, or
-    of another length than the sample's first take no part, nor do rows of null id; rows that repeat an id count once. Other
-    columns are ignored. Scores are exact, and so is the choice: codes only rule out rows that cannot be among the nearest.
+    `settings.sample` rows of each length, the first by a hash of their id. Vectors of different lengths have no cosine: each
+    length is searched by itself. Vectors that are null, zero or of null or non-finite components take no part, nor do rows of
+    null id; rows that repeat an id count once, with the best score among them. Equal scores go by vec_id. Other columns are
+    ignored; an empty table gives an empty result. Scores are exact, and so is the choice: codes only rule out rows that cannot
+    be among the nearest. The number of shards follows from the number of rows alone.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull())
-    narrow = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    drawn = narrow.orderBy(F.xxhash64("id"), "id").limit(settings.sample).collect()
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     schema = "query_id long, vec_id long, score double"
-    if not drawn:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(drawn[0].vector)
-    book = spark.sparkContext.broadcast(Codebook(matrix([r.vector for r in drawn if len(r.vector) == dim]), settings))
-    narrow = narrow.where(F.size("vector") == dim)
-    asked = rows.where(is_query & (F.size(vector_col) == dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    shards = max(1, ceil(narrow.count() / settings.shard_rows))
-
-    def open_shard(ids, held):
-        shard = QuantizedShard(book.value, ids, held)
-        return lambda query_ids, queries: shard.nearest(query_ids, queries, k)
-
-    found = search_shards(narrow, asked, shards, open_shard, schema).dropDuplicates(["query_id", "vec_id"])
+    found = spark.createDataFrame([], schema)
+    for dim, count in sorted(tuple(r) for r in rows.groupBy(F.size("vector")).agg(F.count("*")).collect()):
+        same = rows.where(F.size("vector") == dim)
+        drawn = same.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(settings.sample).collect()
+        book = spark.sparkContext.broadcast(Codebook(matrix([r.vector for r in drawn]), settings))  # bounded: 16 centres a subspace
+
+        def open_shard(ids, held, book=book):
+            shard = QuantizedShard(book.value, ids, held)
+            return lambda query_ids, queries: shard.nearest(query_ids, queries, k)
+
+        shards = ceil(count * dim / settings.shard_floats)
+        found = found.unionByName(search_shards(same.select("id", "vector"), same.where("asked").select("id", "vector"), shards, open_shard, schema))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
