@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,11 +16,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see (spark.checkpoint.dir). Only where that is unset, as in tests, a local one is made."""
+    """The folder all machines see (spark.checkpoint.dir). Only where that is unset and Spark is local, as in tests, one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="gleanery-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -44,6 +48,19 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sampled_by_group(rows: DataFrame, group: str, limit: Column, spare: int = 4) -> DataFrame:
+    """Of each group the first `limit` rows (of its value) by a hash of id; group and id are columns. rows is read twice.
+
+    Counts by group say which hashes come too late to be among the first, so a group's last choice sees about `spare` times its
+    limit, whatever its size. One row a group is broadcast: groups are as many as the caller has bounded.
+    """
+    spread = F.xxhash64("id", F.lit(11)).cast("double") / 2.0**64 + 0.5
+    counts = rows.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
+    early = rows.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("__group"))).where(spread * F.col("__n") <= spare * limit + 64)
+    first = Window.partitionBy(group).orderBy(F.xxhash64("id", F.lit(11)), "id")
+    return early.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= limit).drop("__at", "__n", "__group")
+
+
 def slices(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
     """Consecutive texts (null as empty) in lists of about `limit` characters; a longer text is a list of its own."""
     part: list[str] = []

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, sampled_by_group
 
 UNDETERMINED = "und"
 _GAP = 1  # stands for what is no letter; no letter has this code point
@@ -77,15 +77,15 @@ def _learnt_from(docs: DataFrame, docs_per_language: int, max_languages: int, he
     """Rows (id, lang, text) to learn from, and the ids and languages chosen among them."""
     usable = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     pool = docs.where(usable if held_out is None else usable & ~held_out).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    if pool.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
-        raise ValueError(f"more than {max_languages} languages to learn")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = pool.select("id", "lang").withColumn("at", F.row_number().over(first)).where(F.col("at") <= docs_per_language).select("id", "lang").distinct()
-    return pool, chosen
+    known = pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    ids = pool.select("id", "lang").distinct().join(F.broadcast(known), "lang", "left_semi")
+    return pool, sampled_by_group(ids, "lang", F.lit(docs_per_language))
 
 
 def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 500, max_languages: int = 1000, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> RankProfiles:
-    """Profiles from at most `docs_per_language` documents of each of at most `max_languages`, the first by a hash of their id.
+    """Profiles from at most `docs_per_language` documents of each language, the first by a hash of their id.
+
+    Languages are the `max_languages` most frequent ones (ties by name): what else stands in the column is not learnt.
 
     Only ids and labels are read to choose them; n-grams are counted where the texts are. Rows with a null id, text or label
     are not learnt from. The driver receives `size` codes a language.
