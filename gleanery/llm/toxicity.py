@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import read_table, sampled_by_group, slices, written
 from .language_id import remainder
 
 #: ASCII other than letters parts words; bytes of longer characters belong to them.
@@ -35,7 +35,7 @@ class Settings:
     grams: tuple[int, ...] = (5, 7, 8)  # bytes, of the word with a mark at either end
     positives: int = 1000  # labelled documents learnt from, at most
     negatives: int = 2000
-    longest: int = 1 << 16  # characters of a document learnt from, at most
+    sample_chars: int = 1 << 24  # of all documents learnt from, at most; of any length each
     epochs: int = 4
     batch: int = 256
     rate: float = 0.02
@@ -365,18 +365,22 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
     """The network learnt from at most `positives` and `negatives` labelled documents, the first by a hash of their id.
 
-    Rows with a null id, text or label, held-out ones and those over `longest` characters are not learnt from; several labels
-    of a document count as their largest. Only the chosen documents' texts come to the driver.
+    Rows with a null id, text or label and held-out ones are not learnt from; several labels of a document count as their
+    largest. Only the chosen documents' texts come to the driver: in the order of that hash, as many as `sample_chars` hold.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     marked = marked if held_out is None else marked.where(~held_out)
     marked = marked.groupBy("id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= settings.longest)
-    limit = F.when(F.col("label") == 1, settings.positives).otherwise(settings.negatives)
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = marked.withColumn("at", F.row_number().over(first)).where((F.col("at") <= max(settings.positives, settings.negatives)) & (F.col("at") <= limit)).drop("at")
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()  # positives + negatives ids at most
-    rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), str(r.id)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    chosen = sampled_by_group(marked, "label", F.when(F.col("label") == 1, settings.positives).otherwise(settings.negatives))
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # positives + negatives ids at most
+    order = [F.crc32(F.col("id").cast("string").cast("binary")), F.col("id").cast("string")]
+    rows, held = [], 0
+    for row in written(found, "labelled-sample").orderBy(*order).toLocalIterator():
+        held += len(row.text)
+        if held > settings.sample_chars:
+            break
+        rows.append(row)
     return train([r.text for r in rows], [r.label for r in rows], settings)
 
 
