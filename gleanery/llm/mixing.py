@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, written
-from .prefix import running_totals, spread_key
+from .prefix import in_order, running_totals, spread_key
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
@@ -23,23 +23,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
     """source, source_size, target, quota (whole words) and slope, from source and source_size.
 
     Sources by code point, null last, weigh `weights` in turn. A level is poured over them: target = least(passes * size,
-    level * weight), with the level at which targets add up to all words. One row a source, so one window holds them.
+    level * weight), with the level at which targets add up to all words. Sources may be as many as hosts: they are numbered and
+    added up by ranges, and only sums over all come in one row.
     """
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
     weight = F.array(*[F.lit(w) for w in weights])
-    named = sizes.withColumn("at", F.row_number().over(ordered) - 1).withColumn("weight", F.get(weight, F.pmod("at", F.lit(len(weights)))))
+    named = in_order(sizes, [F.col("source").asc_nulls_last()], "at").withColumn("weight", F.get(weight, F.pmod("at", F.lit(len(weights)))))
     named = named.withColumn("cap", passes * F.col("source_size")).withColumn("full_at", F.col("cap").cast("double") / F.col("weight"))
-    filling = Window.orderBy("full_at", "at")
-    earlier = F.coalesce(F.sum("cap").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_weight = F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.sum("source_size").over(everything) - earlier).cast("double") / open_weight
-    poured = named.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
-    poured = poured.withColumn("target", target).withColumn("quota", F.least("cap", F.floor(F.col("target") + 0.5)))
-    mean = F.sum(F.col("quota") * F.col("at")).over(everything).cast("double") / F.greatest(F.sum("quota").over(everything), F.lit(1))
-    slope = ramp * (F.col("at") - mean) / F.greatest(F.count("*").over(everything) - 1, F.lit(1))
-    return poured.select("source", "source_size", "target", "quota", slope.alias("slope"), F.sum("quota").over(everything).alias("all_quota"))
+    filled = in_order(named, [F.col("full_at"), F.col("at")], "turn", {"cap": "earlier", "weight": "closed_weight"})
+    whole = filled.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"), F.count("*").alias("n"))
+    level = (F.col("all_size") - F.col("earlier")).cast("double") / (F.col("all_weight") - F.col("closed_weight"))
+    poured = filled.crossJoin(F.broadcast(whole)).withColumn("level", level)
+    poured = written(poured.drop("level").crossJoin(F.broadcast(poured.agg(F.max("level").alias("level")))), "levels")  # one row
+    poured = poured.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
+    poured = poured.withColumn("quota", F.least("cap", F.floor(F.col("target") + 0.5)))
+    sums = poured.agg(F.sum("quota").alias("all_quota"), F.sum(F.col("quota") * F.col("at")).alias("quota_at"))
+    poured = poured.crossJoin(F.broadcast(sums))  # one row
+    mean = F.col("quota_at").cast("double") / F.greatest("all_quota", F.lit(1))
+    slope = ramp * (F.col("at") - mean) / F.greatest(F.col("n") - 1, F.lit(1))
+    return poured.select("source", "source_size", "target", "quota", slope.alias("slope"), "all_quota")
 
 
 def due(share: Column, slope: Column) -> Column:
@@ -96,7 +97,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The contract's columns, and what the curriculum makes of a document: how often it is shown and when (in words) at first."""
+    planned = _planned(read_table(spark, sf_dir, "documents"), WEIGHTS, PASSES, RAMP, "doc_id", "source", "text")
+    shown = planned.select("doc_id", "size", "source_size", "target", "taken", F.size("exposures").cast("long").alias("exposures"), F.round("position", 6).alias("position"))
+    return shown.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 OP4_SQL = r"""
@@ -117,11 +121,19 @@ levels as (
              / sum(weight) over (order by cap::double / weight, place_no rows between current row and unbounded following)) as level
   from weighed),
 targets as (
-  select source, source_size, least(cap::double, max(level) over () * weight) as target, cap from levels),
+  select source, source_size, place_no, least(cap::double, max(level) over () * weight) as target, cap from levels),
 quotas as (
-  select *, least(cap, floor(target + 0.5)::bigint) as quota from targets)
-select p.doc_id, p.size, q.source_size, q.target,
-       (greatest(0, least(p.size, q.quota - p.place)) + greatest(0, least(p.size, q.quota - q.source_size - p.place))
-        + greatest(0, least(p.size, q.quota - 2 * q.source_size - p.place)))::bigint as taken
-from placed p join quotas q on p.source is not distinct from q.source
+  select *, least(cap, floor(target + 0.5)::bigint) as quota from targets),
+sums as (
+  select sum(quota)::bigint as all_quota, sum(quota * place_no)::bigint as quota_at, count(*) as n from quotas),
+schedules as (
+  select *, 0.5::double * (place_no - quota_at::double / greatest(all_quota, 1)) / greatest(n - 1, 1) as slope from quotas, sums),
+shown as (
+  select p.doc_id, p.size, q.source_size, q.target, slope, all_quota, p.place::double / greatest(q.quota, 1)::double as share,
+         greatest(0, least(p.size, q.quota - p.place)) as w0, greatest(0, least(p.size, q.quota - q.source_size - p.place)) as w1,
+         greatest(0, least(p.size, q.quota - 2 * q.source_size - p.place)) as w2
+  from placed p join schedules q on p.source is not distinct from q.source)
+select doc_id, size, source_size, target, (w0 + w1 + w2)::bigint as taken, ((w0 > 0)::int + (w1 > 0)::int + (w2 > 0)::int)::bigint as exposures,
+       case when w0 > 0 then round(2 * share / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) * all_quota, 6) end as position
+from shown
 """

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from math import ceil, log2
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 KEY_BITS = 60
 
 
@@ -36,3 +38,22 @@ def running_totals(rows: DataFrame, groups: list[str], key: str, value: str, out
     own = F.coalesce(F.sum(value).over(Window.partitionBy(*by, "__leaf").orderBy(key, *ties).rowsBetween(*before)), F.lit(0))
     summed = leafed.withColumn("__own", own).join(bases, [*by, "__leaf"])
     return summed.withColumn(out, F.col("__own") + F.col("__base")).drop("__leaf", "__own", "__base", *by)
+
+
+def in_order(rows: DataFrame, order: list[Column], place: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """rows with `place` (from 0) in the whole order, and for each column of sums the sum over the rows before, by its new name.
+
+    Ranges of the order are numbered each by itself, and added up over one row a range. Rows that are equal in the order meet in
+    one range.
+    """
+    sums = sums or {}
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = written(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = ranges.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__sum_{c}") for c in sums])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("__range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__base{c}") for c in ("__n", *[f"__sum_{c}" for c in sums])])
+    own = Window.partitionBy("__range").orderBy(*order)
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    found = ranges.join(F.broadcast(bases), "__range").withColumn(place, F.col("__base__n") + F.row_number().over(own) - 1)
+    found = found.withColumns({new: F.col(f"__base__sum_{c}") + F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c, new in sums.items()})
+    return found.select(*rows.columns, place, *sums.values())
