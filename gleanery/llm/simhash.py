@@ -59,7 +59,7 @@ def block_masks(blocks: int, distance: int) -> list[int]:
 
 
 def _tile_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that connect what links within distance connect among a few hundred fingerprints: one per further member."""
+    """Links that connect what links within distance connect among a few thousand fingerprints: one per further member."""
     if len(prints) == 2:
         a, b = prints.tolist()
         return [(max(a, b), min(a, b))] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance else []
@@ -77,7 +77,7 @@ def _tile_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return list(zip(prints[far].tolist(), prints[label[far]].tolist()))
 
 
-def close_links(prints: DataFrame, distance: int = 3, blocks: int = 6, tile: int = 256) -> DataFrame:
+def close_links(prints: DataFrame, distance: int = 3, blocks: int = 6, tile: int = 1024) -> DataFrame:
     """(a, b): links among the distinct fingerprints `fp` that connect all and only what pairs within distance connect.
 
     A key shared by n fingerprints is cut into n / tile parts by hash, and each pair of parts is compared by itself: no task
