@@ -111,7 +111,13 @@ def _packed(state: DataFrame, quota: list[int], largest: int, count: int) -> Dat
     return written(state.where("label >= 0").unionByName(rows.select(*state.columns)), "state")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_rows(state: DataFrame) -> int:
+    """Linked rows that are not on the shard where most of their group is: the edges that the present shards cut, one a row."""
+    spread = state.where("linked").groupBy("text_key", "label").agg(F.count("*").alias("n"))
+    return spread.groupBy("text_key").agg((F.sum("n") - F.max("n")).alias("cut")).agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0]
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, large_share: int = 8, id_col: str = "doc_id", text_col: str = "text", report: list[dict] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `rows`: counts of any two shards differ by one at most. Equal texts (null texts among themselves) share a shard
@@ -119,8 +125,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 8, id_c
     8, and the CRC-32 of nothing). slot counts each shard's rows from 0; grown_shard is null under this law. Null ids and
     repeated rows are rows like any other; other columns of docs are ignored. An empty table gives an empty result.
 
-    Groups of any size are met only as counts by shard; turns and slots come from running_totals. The state is written to the
-    shared folder after each round.
+    Rounds go on until one cuts no fewer rows than the one before. Groups of more than a `large_share`-th of a shard are placed
+    when the rounds are over, before the others, as they need the room. `report` gets the rows moved by each round and the rows
+    cut before it, then the rows that packing and evening out leave cut.
+
+    Groups of any size are met only as counts by shard; turns and slots come from running_totals. Each state is written to the
+    shared folder, and removed once the next one is there.
     """
     text = F.col(text_col)
     rows = docs.select(
@@ -135,16 +145,23 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = 8, id_c
     groups = rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key", F.lit(True).alias("more"))
     start = F.pmod("key", F.lit(shards)).cast("int")
     state = written(rows.join(groups, "text_key", "left").select(*rows.columns, start.alias("label"), F.coalesce("more", F.lit(False)).alias("linked")), "state")
-    largest = max(1, quota[0] // 8)  # larger groups are few and are packed
-    for _ in range(rounds // 2):
+    largest, report, cut = max(1, quota[0] // large_share), [] if report is None else report, cut_rows(state)
+    while cut:
         after, moved = _round(state, quota, count, largest)
-        if not moved:
-            break
         after = written(after, "state")
+        left = cut_rows(after)
+        report.append({"moved": moved, "cut": cut})
+        if not moved or left >= cut:
+            remove(after)
+            break
         remove(state)
-        state = after
-    state = _packed(state, quota, largest, count)
-    return _evened(state, quota, count).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        state, cut = after, left
+    placed = _packed(state, quota, largest, count)
+    remove(state)
+    found = written(_evened(placed, quota, count), "sharded")
+    remove(placed)
+    report.append({"moved": 0, "cut": cut_rows(found.withColumn("label", F.col("shard")))})
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _evened(state: DataFrame, quota: list[int], count: int) -> DataFrame:

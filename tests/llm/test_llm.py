@@ -16,7 +16,8 @@ from tokenizers import Tokenizer
 
 from gleanery.llm import bpe, graph_dedup, language_id, mixing, quantized_search, sharding, simhash, token_counts, token_store, toxicity
 from gleanery.llm.components import components
-from gleanery.llm.prefix import running_totals, spread_key
+from gleanery.llm.common import sampled_by_group
+from gleanery.llm.prefix import in_order, running_totals, spread_key
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, score string"
@@ -509,3 +510,168 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(seen["byte_bpe"]) == sorted(seen["mixing"])
     found = sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert found == sorted((r.doc_id, r.n_tokens) for r in docs.collect())
+
+
+def test_books_of_few_pieces_change_nothing(mixed_rows, library):
+    encoder = token_store.LibraryEncoder(open(JSON, encoding="utf-8").read(), capacity=3)
+    some = [t or "" for _, t, _, _ in mixed_rows]
+    expect = [np.array(library[1].encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in some]
+    assert list(encoder.encode(some)) == expect and list(encoder.encode(some[::-1])) == expect[::-1]
+    assert all(len(book) <= 3 + 8000 for book in encoder.books)
+
+
+def test_uneven_white_space_is_seen():
+    from gleanery.llm.pieces import _UNEVEN, _uneven
+
+    draw = random.Random(31)
+    signs = " ab\n\t\x1c\x85\xa0é中　"
+    for _ in range(3000):
+        text = "".join(draw.choice(signs) for _ in range(draw.randint(0, 8)))
+        assert _uneven(text) == (_UNEVEN.search(text) is not None)
+
+
+def test_in_order(spark):
+    draw = random.Random(32)
+    rows = [(f"s{draw.randrange(10**6)}" if k else None, draw.randrange(100)) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    found = in_order(df, [F.col("g").asc_nulls_last(), F.col("v")], "place", {"v": "before"}).toPandas().sort_values("place")
+    expect = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))
+    assert list(found.place) == list(range(900)) and list(found.v) == [v for _, v in expect] and list(found.before) == np.r_[0, np.cumsum([v for _, v in expect])[:-1]].tolist()
+    assert in_order(df.limit(0), [F.col("g")], "place").count() == 0
+
+
+def test_samples_by_group(spark):
+    rows = [(k, "large" if k % 3 else None) for k in range(30_000)] + [(k, "small") for k in range(7)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    found = sampled_by_group(df, "g", F.when(F.col("g") == "large", 100).otherwise(50))
+    assert found.columns == df.columns and {r.g: r.n for r in found.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"large": 100, None: 50, "small": 7}
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, sampled_by_group(df.repartition(5), "g", F.when(F.col("g") == "large", 100).otherwise(50)).collect()), key=str)
+
+
+def test_mixing_through_the_schedule(spark):
+    """Positions and exposures against a plain walk along every source's stream."""
+    draw = random.Random(33)
+    rows = [(k, " ".join(["w"] * draw.randint(0, 40)), "en", f"host{draw.randrange(60):02}") for k in range(900)] + [(900, "word " * 60_000, "en", "host00"), (901, None, None, None)]
+    docs = documents(spark, rows)
+    sources = mixing.source_targets(docs.groupBy("source").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0))).alias("source_size"))).toPandas()
+    sources = sources.sort_values("source", na_position="last", ignore_index=True)
+    mean = (sources.quota * sources.index).sum() / sources.quota.sum()
+    assert np.allclose(sources.slope, mixing.RAMP * (sources.index - mean) / (len(sources) - 1)) and abs(sources.quota.sum() - sources.source_size.sum()) <= len(sources)
+    found = mixing.mix(docs).toPandas()
+    for _, own in found.merge(pd.DataFrame([(r[0], r[3]) for r in rows], columns=["doc_id", "source"])).groupby("source"):
+        plan = sources[sources.source == own.source.iloc[0]].iloc[0]
+        for row in own.itertuples():
+            for x in row.exposures:
+                t = x["position"] / sources.quota.sum()  # its share of the integrated schedule is what the stream had taken by then
+                place = (t + plan.slope * (t * t - t)) * plan.quota
+                assert -1e-6 <= place <= plan.quota and x["words"] == max(0, min(row.size, plan.quota - round(place)))
+            assert row.taken == sum(x["words"] for x in row.exposures)
+
+
+def test_sharding_reports_what_it_cuts(spark):
+    draw = random.Random(34)
+    sizes = [draw.choice([1, 1, 2, 3, 9]) for _ in range(600)] + [400]
+    rows = [(f"t{k}",) for k, n in enumerate(sizes) for _ in range(n)] + [("long words " * 100_000,)] * 2
+    docs = spark.createDataFrame([(k, t) for k, (t,) in enumerate(rows)], "doc_id long, text string")
+    report = []
+    found = sharding.shard_documents(docs, report=report).toPandas()
+    spread = found.groupby([found.doc_id.map(lambda k: rows[k][0]), "shard"]).size()
+    cut = int((spread.groupby(level=0).sum() - spread.groupby(level=0).max()).sum())
+    assert report[-1]["cut"] == cut and all(a["cut"] > b["cut"] for a, b in zip(report[:-1], report[1:-1]))
+    room = len(rows) // 24
+    assert cut <= 400 - room + 2 * 24  # the large group fills several shards; hardly another is cut
+    assert found[found.doc_id >= len(rows) - 2].shard.nunique() == 1 and found["size"].max() == 8 + len(rows[-1][0])
+
+
+def test_language_distances_as_written_out(spark):
+    draw = random.Random(35)
+    profiles = {k: language_id.ranked(language_id.ngrams(speech(draw, own, 400)), 300).tolist() for k, own in TONGUES.items()}
+    model = language_id.RankProfiles(profiles, 300)
+    for text in [speech(draw, own, draw.randint(1, 60)) for own in TONGUES.values() for _ in range(20)] + ["the " * 200_000]:
+        own = language_id.ranked(language_id.ngrams(text), 300).tolist()
+        apart = {k: sum(abs(p.index(g) - at) if g in p else 300 for at, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(apart, key=lambda k: (apart[k], k))
+        assert model.predict(text) == (best, pytest.approx(1 - apart[best] / (300 * len(own))))
+    rows = [(k, speech(draw, TONGUES[lang], 30), lang, "s") for k, lang in enumerate(["aa"] * 40 + ["bb"] * 30 + ["cc"] * 10)]
+    assert language_id.fit_profiles(documents(spark, rows), max_languages=2).languages == ["aa", "bb"]
+
+
+def plain_score(net, text):
+    """The network written out word by word: every window's gates, states, attention and logit."""
+    p, s = net.p, net.settings
+    words = toxicity.words_of(text)
+    logits = []
+    for first in range(0, max(len(words) - (s.window - s.stride), 1), s.stride):
+        inputs = []
+        for w in words[first : first + s.window]:
+            one = toxicity.Words([w], s)
+            grams = one.grams.tolist()
+            odds = [float(net.grams[g]) for g in grams]
+            chars = np.mean([p["gram"][g % s.embedding_buckets] for g in grams], axis=0) if grams else np.zeros(s.embedding)
+            inputs.append(np.concatenate([[net.forms[one.form[0]], max(odds, default=0), np.mean(odds) if odds else 0], p["form"][one.form[0] % s.embedding_buckets], chars]))
+        sides = []
+        for way, line in (("f", inputs), ("b", inputs[::-1])):
+            h, own = np.zeros(s.hidden), []
+            for x in line:
+                g, a, n = x @ p[f"w{way}"] + p[f"c{way}"], h @ p[f"u{way}"], s.hidden
+                z, r = (1 / (1 + np.exp(-(g[k * n : (k + 1) * n] + a[k * n : (k + 1) * n]))) for k in (0, 1))
+                h = h + z * (np.tanh(g[2 * n :] + r * a[2 * n :]) - h)
+                own.append(h)
+            sides.append(own if way == "f" else own[::-1])
+        states = [np.concatenate(pair) for pair in zip(*sides)]
+        energy = np.array([np.tanh(x @ p["wa"] + p["ca"]) @ p["va"] for x in states])
+        weight = np.exp(energy - energy.max()) / np.exp(energy - energy.max()).sum()
+        logits.append(float(sum(w * x for w, x in zip(weight, states)) @ p["wo"] + p["co"][0]))
+    return 1 / (1 + math.exp(-max(logits)))
+
+
+def toxic_rows(draw, n, lengths, words=("grumble", "snarlish", "vexing")):
+    rows, labels = [], []
+    for k in range(n):
+        own = speech(draw, TONGUES["aa"], draw.randint(*lengths)).split()
+        for _ in range(3 * (k % 4 == 0)):
+            own.insert(draw.randrange(len(own)), draw.choice(words))
+        rows.append((k, " ".join(own), "en", "s"))
+        labels.append((k, 1, int(k % 4 == 0)))
+    return rows, labels
+
+
+def test_scores_as_written_out():
+    draw = random.Random(36)
+    rows, labels = toxic_rows(draw, 120, (10, 150))
+    net = toxicity.train([r[1] for r in rows], [x[2] for x in labels])
+    scorer = toxicity.Scorer(net, capacity=50)
+    for text in ["a", "grumble", *(r[1] for r in rows[:12]), rows[0][1] * 5]:
+        assert scorer.score([text])[0] == pytest.approx(plain_score(net, text), abs=1e-4)
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    draw = random.Random(37)
+    rows, labels = toxic_rows(draw, 60, (16_000, 17_000))
+    assert min(len(r[1]) for r in rows) > 1 << 16
+    found = toxicity.toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert np.mean([r.predicted == labels[r.doc_id][2] for r in found if not r.held_out]) > 0.9
+
+
+def test_nearest_vectors_of_several_lengths_and_ties(spark):
+    draw = np.random.default_rng(38)
+    rows = [(k, draw.standard_normal(8).tolist()) for k in range(100)] + [(200 + k, draw.standard_normal(5).tolist()) for k in range(30)]
+    rows += [(300, rows[3][1]), (301, rows[3][1]), (302, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash")).withColumn("id", F.lit("clash"))
+    found = quantized_search.nearest_vectors(df, F.col("vec_id").isin(3, 210), settings=quantized_search.Settings(shard_floats=8 * 20)).collect()
+    for q in (3, 210):
+        own = np.array(dict(rows)[q])
+        near = sorted(((-float(np.dot(v, own) / np.linalg.norm(v) / np.linalg.norm(own)), k) for k, v in rows if len(v) == len(own) and k != q))[:5]
+        got = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [(r, v) for r, v, _ in got] == [(n + 1, k) for n, (_, k) in enumerate(sorted((round(s, 12), k) for s, k in near))] and np.allclose([s for _, _, s in got], [-s for s, _ in near])
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
