@@ -39,7 +39,7 @@ class SearchConfig:
     max_distance: float = 0.9
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
-    max_batch: int = 1000  # queries of one batch; their terms and vectors are broadcast
+    max_batch: int = 1000  # queries of a block: their terms and vectors are broadcast; more are asked block by block
 
     def __post_init__(self):
         counts = ("default_files", "max_files", "max_query_units", "max_formats", "vector_candidates", "bm25_candidates", "metadata_candidates", "metadata_chunks_per_file", "excerpts_per_file", "max_batch")

@@ -11,7 +11,9 @@ from .config import IndexConfig
 from .functions.chunks import chunked
 from .functions.embedding import Provider, embedded
 from .operators import lines
+from .operators.retrieval import lengths, postings
 from .operators.maintenance import deleted, index_decision, replaced, reuse_vectors
+from .session import safe_unions
 from .sources.store import SnapshotStore
 
 
@@ -44,6 +46,7 @@ class Indexer:
 
     def __init__(self, store: SnapshotStore, provider: Provider, config: IndexConfig = IndexConfig()):
         self.store, self.provider, self.config = store, provider, config
+        safe_unions(store.spark)
 
     def decisions(self, listing: DataFrame) -> DataFrame:
         """listing with `decision` (see index_decision); files that are gone come as `deleted`."""
@@ -96,6 +99,10 @@ class Indexer:
             if set(counts) - {"unchanged", "metadata"}:
                 window = decided.where("decision not in ('unchanged', 'metadata')")
                 frames["chunks"] = replaced(chunks, "file_id", window, good.select(*chunks.columns))
+                of = good.select("chunk_id", "file_id").distinct()
+                for name, made_of in (("postings", postings), ("lengths", lengths)):  # of changed files alone
+                    held = self.store.read(name)
+                    frames[name] = replaced(held, "file_id", window, made_of(good).join(of, "chunk_id").select(*held.columns))
             self.store.commit(frames)
             made.unpersist()
             return counts

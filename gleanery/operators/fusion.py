@@ -24,7 +24,8 @@ def fuse(pools: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
 
     A chunk's best score in a pool counts. Contributions are added in the order of SOURCES, so equal sums are equal to the bit.
     """
-    best = pools.groupBy("query_id", "source", "chunk_id").agg(F.max("raw_score").alias("raw_score"))
+    # one shuffle by query serves all that follows
+    best = pools.repartition("query_id").groupBy("query_id", "source", "chunk_id").agg(F.max("raw_score").alias("raw_score"))
     ranked = best.withColumn("rank", competition_rank(["query_id", "source"], F.col("raw_score")))
     weights = {"vector": config.vector_weight, "bm25": config.bm25_weight, "metadata": config.metadata_weight}
     share = {s: F.coalesce(F.max(F.when(F.col("source") == s, reciprocal(F.col("rank"), config.rrf_k, weights[s]))), F.lit(0.0)) for s in SOURCES}

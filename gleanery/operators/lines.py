@@ -94,13 +94,21 @@ def _trail(lines: DataFrame, level: Column, title: Column) -> DataFrame:
 def markdown_units(lines: DataFrame) -> DataFrame:
     """Front matter, headings, fenced code, and runs of lists, tables, quotes and paragraphs, each under its open headings.
 
-    Fences open and close in turn, whichever of the two marks they use.
+    A fence is closed by the mark that opened it.
     """
     text = F.col("text")
     first = F.min(F.when(js_trim(text) == "---", F.col("line"))).over(Window.partitionBy("file_id"))
     close = F.min(F.when((js_trim(text) == "---") & (F.col("line") > 1), F.col("line"))).over(Window.partitionBy("file_id"))
     marked = lines.withColumn("front", (first == 1) & close.isNotNull() & (F.col("line") <= close))
-    fence = ~F.col("front") & text.rlike(r"^\s*(```|~~~)")
+    mark = F.when(~F.col("front"), F.nullif(F.regexp_extract(text, r"^\s*(```|~~~)", 1), F.lit("")))
+    marks = F.array_sort(F.collect_list(F.when(mark.isNotNull(), F.struct("line", mark.alias("mark")))).over(Window.partitionBy("file_id")))
+    # a fence closes by its own mark alone: the other one inside it is code
+    edges = F.aggregate(
+        marks, F.struct(F.lit("").alias("open"), F.array().cast("array<int>").alias("lines")),
+        lambda at, x: F.when((at["open"] == "") | (at["open"] == x["mark"]), F.struct(F.when(at["open"] == "", x["mark"]).otherwise("").alias("open"), F.concat(at["lines"], F.array(x["line"])).alias("lines"))).otherwise(at),
+    )["lines"]
+    marked = marked.withColumn("edges", edges)
+    fence = F.array_contains("edges", F.col("line"))
     before = F.coalesce(F.sum(fence.cast("int")).over(_by_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     marked = marked.withColumn("fences", before + fence.cast("int")).withColumn("code", fence | (before % 2 == 1)).withColumn("edge", fence)
     kind = (
@@ -113,7 +121,7 @@ def markdown_units(lines: DataFrame) -> DataFrame:
     marked = _trail(marked, level, title)
     other = (F.lag("kind").over(_by_file()) != F.col("kind")) | (F.col("kind") == "heading") | (F.col("edge") & (F.col("fences") % 2 == 1)) | (_blank(F.lag("text").over(_by_file())) & ~F.col("kind").isin("code", "record"))
     marked = marked.withColumn("run", F.sum(F.coalesce(other, F.lit(True)).cast("int")).over(_so_far()))
-    body = F.when(F.col("edge"), None).when(F.col("kind") == "heading", F.col("title")).when(F.col("front"), F.regexp_replace(F.regexp_extract(text, r"^\s*([^:#]+:\s*.+)$", 1), r"\s*:\s*", ": ")).otherwise(text)
+    body = F.when(F.col("edge"), None).when(F.col("kind") == "heading", F.col("title")).when(F.col("front"), F.regexp_replace(F.regexp_extract(text, r"^\s*([^:#]+:\s*.+)$", 1), r"^([^:]*?)\s*:\s*", "$1: ")).otherwise(text)
     parts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("line", c.alias("t"))))), lambda x: x["t"]), "\n")
     kept = marked.withColumn("body", body).where(~_blank(text) | F.col("code"))
     made = kept.groupBy("file_id", "run").agg(
@@ -132,17 +140,19 @@ DECLARATIONS = {
     "javascript": r"^(?:export\s+(?:default\s+)?)?(?:(?:async\s+)?function\s+|class\s+|interface\s+|type\s+|enum\s+|(?:const|let|var)\s+)([A-Za-z_$][\w$]*)",
     "shell": r"^\s*(?:function\s+)?([A-Za-z_]\w*)\s*\(\s*\)\s*\{",
     "sql": r"(?i)^\s*(?:create|alter)\s+(?:or\s+replace\s+)?(?:function|procedure|table|view)\s+([^\s(]+)",
-    "stylesheet": r"^\s*(?:@(?:media|supports|keyframes)\s+)?([^@/\s{][^{]*?)\s*\{",
+    "stylesheet": r"^\s*(?:([^@/\s{][^{]*)\s*\{|@(?:media|supports|keyframes)\s+([^\s{]+))",  # either group
 }
 
 
 def code_units(lines: DataFrame, fmt: str) -> DataFrame:
     """A unit a declaration, with the comments and decorators right above it; what precedes the first is a comment.
 
+    Comments between two declarations stand at the end of the first and at the head of the second.
     Files without declarations, and Python files with an unclosed triple quote, fall back to runs of 40 lines.
     """
     text = F.col("text")
-    name = F.regexp_extract(text, DECLARATIONS["javascript" if fmt == "typescript" else fmt], 1)
+    pattern = DECLARATIONS["javascript" if fmt == "typescript" else fmt]
+    name = F.concat(*[F.regexp_extract(text, pattern, k) for k in ((1, 2) if fmt == "stylesheet" else (1,))])
     quotes = lambda q: F.sum(F.size(F.split(text, q)) - 1).over(Window.partitionBy("file_id"))
     broken = (quotes('"""') % 2 == 1) | (quotes("'''") % 2 == 1) if fmt == "python" else F.lit(False)
     marked = lines.withColumn("broken", broken).withColumn("name", F.when(~F.col("broken") & (name != ""), js_trim(name)))
@@ -155,7 +165,9 @@ def code_units(lines: DataFrame, fmt: str) -> DataFrame:
     next_name = F.min(F.when(F.col("name").isNotNull(), F.col("line"))).over(after)
     begins = F.col("name").isNotNull() | (F.col("led") & (next_plain == next_name))
     marked = marked.withColumn("owner", F.when(F.col("name").isNotNull(), F.col("line")).when(begins, next_name).otherwise(F.max(F.when(F.col("name").isNotNull(), F.col("line"))).over(_so_far())))
-    declared = marked.where("any").withColumn("owner", F.coalesce("owner", F.lit(0)))
+    earlier = F.max(F.when(F.col("name").isNotNull(), F.col("line"))).over(_so_far())
+    owners = F.when(F.col("led") & begins, F.array_compact(F.array("owner", earlier))).otherwise(F.array(F.coalesce("owner", F.lit(0))))
+    declared = marked.withColumn("owners", owners).where("any").withColumn("owner", F.explode("owners"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
     made = declared.groupBy("file_id", "owner").agg(
         js_trim(joined).alias("display_text"), F.max("name").alias("symbol"), F.min("line").alias("start_line"), F.max(F.when(~_blank(text), F.col("line"))).alias("end_line"), F.min("start").alias("start_offset"), F.max(F.when(~_blank(text), F.col("end"))).alias("end_offset")
@@ -196,11 +208,22 @@ BLOCK = r"(?is)<(h[1-6]|p|li|tr|blockquote|pre|code)(?:\s[^>]*)?>.*?</\1\s*>"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
+def _sign(entity: Column) -> Column:
+    """The character of `&#65;` or `&#x41;`; the entity itself if there is none of that number."""
+    digits = F.regexp_extract(entity, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(F.lower(F.substring(entity, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    there = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(there, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+
+
 def visible_text(fragment: Column) -> Column:
-    """What a reader sees of an HTML fragment: breaks as line ends, other tags as spaces, blanks collapsed, named entities read."""
+    """What a reader sees of an HTML fragment: breaks as line ends, other tags as spaces, blanks collapsed, entities read."""
     text = F.regexp_replace(fragment, r"(?i)<(br|hr)\s*/?\s*>", "\n")
     text = F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"[ \t]+", " ")
     text = F.regexp_replace(text, r"\s*\n\s*", "\n")
+    # numbered signs first, the ampersand's name last: what it sets free is no entity
+    numbered = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
+    text = F.aggregate(numbered, text, lambda at, x: F.replace(at, x, _sign(x)))
     for name, sign in ENTITIES.items():
         text = F.regexp_replace(text, f"(?i){name}", sign)
     return js_trim(text)

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import SearchConfig, SearchError
+from ..config import SearchConfig
 from ..functions.text import match_kind, metadata_terms, quoted_phrases, stem, strength, terms, unquoted
 
 SCORE_DIGITS = 6
 
 
-def bounded(queries: DataFrame, config: SearchConfig) -> DataFrame:
-    """The batch, once its size is checked against the bound up to which it is broadcast."""
-    if len(queries.select("query_id").limit(config.max_batch + 1).collect()) > config.max_batch:
-        raise SearchError("SEARCH_REQUEST_INVALID", f"at most {config.max_batch} queries a batch")
-    return queries
+def blocked(find: Callable[[DataFrame], DataFrame], queries: DataFrame, most: int) -> DataFrame:
+    """What `find` finds for all queries, asked in blocks (by a hash of query_id) of at most `most`, the bound of a broadcast."""
+    parts = max(1, ceil(queries.count() / most))
+    while True:
+        of = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        counts = {r.block: r.n for r in queries.groupBy(of.alias("block")).agg(F.count("*").alias("n")).collect()}
+        if max(counts.values(), default=0) <= most or len(counts) < parts // 4:  # rows of one id stay together
+            break
+        parts += ceil(parts / 4)
+    return reduce(DataFrame.unionByName, [find(queries.where(of == block)) for block in sorted(counts)] or [find(queries)])
 
 
 def top(pool: DataFrame, k: int, *, score: str = "raw_score", item: str = "chunk_id") -> DataFrame:
@@ -38,26 +47,36 @@ def committed(chunks: DataFrame, files: DataFrame) -> DataFrame:
 def vector_pool(chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """query_id, chunk_id, raw_score, rank: the nearest chunks (chunk_id, vector) of each query (query_id, query_vector) by cosine.
 
-    A batch of queries is one matrix, sent to all tasks; each keeps its best, so what is shuffled does not grow with the chunks
-    of a task. Vectors of another length, zero or not finite find nothing.
+    A block of queries is one matrix, sent to all tasks; each keeps its best, so what is shuffled does not grow with the chunks
+    of a task. Vectors of another length, zero or not finite find nothing. If queries have formats, only chunks of those count.
     """
-    asked = bounded(queries, config).select("query_id", "query_vector").collect()
-    ids = np.array([r.query_id for r in asked])
-    wanted = np.array([np.asarray(r.query_vector, np.float64) for r in asked]).reshape(len(asked), -1)
+    return blocked(lambda some: _vector_block(chunks, some, config), queries, config.max_batch)
+
+
+def _vector_block(chunks: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
+    asked = [r.asDict() for r in queries.collect()]
+    ids = np.array([r["query_id"] for r in asked])
+    wanted = np.array([np.asarray(r["query_vector"], np.float64) for r in asked]).reshape(len(asked), -1)
     wanted = wanted / np.linalg.norm(wanted, axis=1, keepdims=True) if len(asked) else wanted
+    formats = [frozenset(r.get("formats") or ()) for r in asked]
+    columns = ["chunk_id", "vector", *(["format"] if any(formats) else [])]
     k, far = config.vector_candidates, config.max_distance
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for batch in batches:
-            rows = [(c, np.asarray(v, np.float64)) for c, v in zip(batch["chunk_id"], batch["vector"]) if v is not None and len(v) == wanted.shape[1]]
-            rows = [(c, v) for c, v in rows if np.isfinite(v).all() and v.any()]
-            if not rows or not len(ids):
+            batch = batch[[v is not None and len(v) == wanted.shape[1] for v in batch["vector"]]]
+            if not len(batch) or not len(ids):
                 continue
-            vectors = np.stack([v for _, v in rows])
+            vectors = np.stack(batch["vector"].to_list()).astype(np.float64)
+            fine = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
+            batch, vectors = batch[fine], vectors[fine]
             scores = wanted @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+            if any(formats):
+                kinds, kind = np.unique(batch["format"].astype(str), return_inverse=True)
+                scores[~np.array([[not own or x in own for x in kinds] for own in formats])[:, kind]] = -np.inf
             q, c = np.nonzero(1 - scores < far)
-            found = pd.DataFrame({"query_id": ids[q], "chunk_id": np.array([x for x, _ in rows])[c], "raw_score": scores[q, c].round(SCORE_DIGITS)})
+            found = pd.DataFrame({"query_id": ids[q], "chunk_id": batch["chunk_id"].to_numpy()[c], "raw_score": scores[q, c].round(SCORE_DIGITS)})
             best = found if best is None else pd.concat([best, found])
             best = best.sort_values(["query_id", "raw_score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if best is not None:
@@ -65,64 +84,158 @@ def vector_pool(chunks: DataFrame, queries: DataFrame, config: SearchConfig = Se
 
     kinds = dict(chunks.dtypes) | dict(queries.dtypes)
     schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, raw_score double"
-    return top(chunks.select("chunk_id", "vector").mapInPandas(scan, schema), k)
+    return top(chunks.select(*columns).mapInPandas(scan, schema), k)
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """unit, chunk_id, positions, length: where each term of a chunk stands (from 0), and how many terms the chunk has."""
+    listed = chunks.select("chunk_id", terms(F.coalesce(F.col("search_text"), F.lit(""))).alias("terms"))
+    held = listed.select("chunk_id", F.size("terms").alias("length"), F.posexplode("terms").alias("at", "unit"))
+    return held.groupBy("unit", "chunk_id", "length").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+
+
+def lengths(chunks: DataFrame) -> DataFrame:
+    """chunk_id and the number of its terms, chunks without any included."""
+    return chunks.select("chunk_id", F.size(terms(F.coalesce(F.col("search_text"), F.lit("")))).alias("length"))
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings of a corpus and the one row of its size (n, mean): what BM25 reads instead of texts."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
+    @staticmethod
+    def of(chunks: DataFrame) -> TextIndex:
+        """Of chunks without a stored index: postings are made once and kept until the session's cache is cleared."""
+        return TextIndex.stored(postings(chunks).persist(StorageLevel.MEMORY_AND_DISK), lengths(chunks))
+
+    @staticmethod
+    def stored(postings: DataFrame, lengths: DataFrame) -> TextIndex:
+        return TextIndex(postings, lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
 
 
-def corpus_terms(chunks: DataFrame) -> DataFrame:
-    """chunk_id, terms and their number, of all chunks."""
-    return chunks.select("chunk_id", terms(F.coalesce(F.col("search_text"), F.lit(""))).alias("terms")).withColumn("length", F.size("terms"))
+def _index(corpus: DataFrame | TextIndex) -> TextIndex:
+    return corpus if isinstance(corpus, TextIndex) else TextIndex.of(corpus)
 
 
-def _scored(hits: DataFrame, sizes: DataFrame, config: SearchConfig) -> DataFrame:
-    """BM25 of hits (query_id, unit, chunk_id, tf, length), added up by query and chunk."""
-    df = hits.select("unit", "chunk_id").distinct().groupBy("unit").agg(F.count("*").alias("df"))
+def _scored(hits: DataFrame, df: DataFrame, sizes: DataFrame, config: SearchConfig) -> DataFrame:
+    """BM25 of hits (query_id, unit, chunk_id, tf, length), added up by query and chunk; df: unit, df."""
     n, mean = F.col("n"), F.col("mean")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     k1, b = config.bm25_k1, config.bm25_b
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    joined = hits.join(F.broadcast(df), "unit").crossJoin(F.broadcast(sizes))  # units of a bounded batch; one row
+    joined = hits.join(F.broadcast(df), "unit").crossJoin(F.broadcast(sizes))  # units of a block of queries; one row
     return joined.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * gain), SCORE_DIGITS).alias("raw_score"))
 
 
-def _sizes(corpus: DataFrame) -> DataFrame:
-    return corpus.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+def match_scores(corpus: DataFrame | TextIndex, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """query_id, chunk_id, raw_score of every chunk that holds a term of the query (query_id, query)."""
+    index = _index(corpus)
 
+    def block(some: DataFrame) -> DataFrame:
+        asked = some.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("unit"))
+        held = index.postings.join(F.broadcast(asked.select("unit").distinct()), "unit", "left_semi")
+        hits = held.select("unit", "chunk_id", "length", F.size("positions").alias("tf")).join(F.broadcast(asked), "unit")
+        return _scored(hits, held.groupBy("unit").agg(F.count("*").alias("df")), index.sizes, config)
 
-def match_scores(chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """query_id, chunk_id, raw_score of every chunk that holds a term of the query (query_id, query)."""
-    corpus = corpus_terms(chunks)
-    asked = bounded(queries, config).select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("unit"))
-    known = asked.select("unit").distinct()
-    held = corpus.select("chunk_id", "length", F.explode("terms").alias("unit")).join(F.broadcast(known), "unit", "left_semi")
-    counts = held.groupBy("chunk_id", "unit", "length").agg(F.count("*").alias("tf"))
-    return _scored(counts.join(F.broadcast(asked), "unit"), _sizes(corpus), config)
+    return blocked(block, queries, config.max_batch)
 
 
-def phrase_scores(chunks: DataFrame, phrases: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+def phrase_scores(corpus: DataFrame | TextIndex, phrases: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """query_id, chunk_id, raw_score of chunks that hold a phrase (query_id, phrase) as consecutive terms.
 
-    Each term of a phrase votes for where the phrase would begin; it begins where all of them agree. A phrase counts as one unit.
+    Chunks that hold a phrase's rarest term are its candidates; there, the places where each of its terms would have the phrase
+    begin are intersected. A phrase counts as one unit. Only postings of the phrases' terms are read.
     """
-    corpus = corpus_terms(chunks)
-    listed = phrases.select("query_id", F.array_join(terms(F.col("phrase")), " ").alias("unit")).where("unit != ''").distinct()
-    parts = listed.select("unit").distinct().select("unit", F.size(F.split("unit", " ")).alias("parts"), F.posexplode(F.split("unit", " ")).alias("offset", "term"))
-    held = corpus.select("chunk_id", "length", F.posexplode("terms").alias("at", "term"))
-    votes = held.join(F.broadcast(parts), "term").groupBy("unit", "parts", "chunk_id", "length", (F.col("at") - F.col("offset")).alias("start")).agg(F.count("*").alias("votes"))
-    found = votes.where("votes = parts").groupBy("unit", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    return _scored(found.join(F.broadcast(listed), "unit"), _sizes(corpus), config)
-
-
-def bm25_scores(chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    index = _index(corpus)
+
+    def block(some: DataFrame) -> DataFrame:
+        listed = some.select("query_id", F.array_join(terms(F.col("phrase")), " ").alias("phrase")).where("phrase != ''").distinct()
+        parts = listed.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "unit"))
+        held = index.postings.join(F.broadcast(parts.select("unit").distinct()), "unit", "left_semi")
+        counts = held.groupBy("unit").agg(F.count("*").alias("df"))
+        known = parts.join(counts, "unit", "left")  # a phrase with a term that no chunk has is nowhere
+        rare = known.groupBy("phrase").agg(F.min(F.when(F.col("df").isNull(), F.struct(F.lit(-1).cast("long").alias("df"), "offset", "unit")).otherwise(F.struct("df", "offset", "unit"))).alias("r"))
+        rare = rare.where("r.df >= 0").select("phrase", F.col("r.unit").alias("unit"), F.col("r.offset").alias("offset"))
+        begins = lambda: F.transform("positions", lambda p: p - F.col("offset"))
+        first = held.join(F.broadcast(rare), "unit").select("phrase", "chunk_id", "length", begins().alias("begins"), "offset")
+        others = parts.join(rare.select("phrase", F.col("offset").alias("rare")), "phrase").where("offset != rare").drop("rare")
+        wanted = first.select("phrase", "chunk_id").join(F.broadcast(others), "phrase")
+        more = held.select("unit", "chunk_id", "positions").join(wanted, ["unit", "chunk_id"]).select("phrase", "chunk_id", F.lit(None).cast("int").alias("length"), begins().alias("begins"), "offset")
+        met = first.unionByName(more).groupBy("phrase", "chunk_id").agg(F.max("length").alias("length"), F.collect_list("begins").alias("all"))
+        met = met.withColumn("parts", F.size(F.split("phrase", " "))).where(F.size("all") == F.col("parts"))
+        tf = F.size(F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), F.get("all", F.lit(0)), lambda at, x: F.array_intersect(at, x)))
+        found = met.select(F.col("phrase").alias("unit"), "chunk_id", "length", tf.alias("tf")).where("tf > 0")
+        hits = found.join(F.broadcast(listed.withColumnRenamed("phrase", "unit")), "unit")
+        return _scored(hits, found.groupBy("unit").agg(F.count("*").alias("df")), index.sizes, config)
+
+    return blocked(block, phrases, config.max_batch)
+
+
+def bm25_scores(corpus: DataFrame | TextIndex, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Terms, or a phrase, or any of phrases and the other terms, as the query's quotes ask; scores add up."""
-    asked = bounded(queries, config).select("query_id", quoted_phrases(F.col("query")).alias("phrases"), unquoted(F.col("query")).alias("rest"), "query")
+    index = _index(corpus)
+    asked = queries.select("query_id", quoted_phrases(F.col("query")).alias("phrases"), unquoted(F.col("query")).alias("rest"), "query")
     loose = asked.select("query_id", F.when(F.size("phrases") == 0, F.col("query")).otherwise(F.col("rest")).alias("query")).where("query != ''")
+    matched = match_scores(index, loose, config)
     exact = asked.select("query_id", F.explode("phrases").alias("phrase"))
-    both = match_scores(chunks, loose, config).unionByName(phrase_scores(chunks, exact, config))
+    if exact.isEmpty():  # no quotes, no phrases to look for
+        return matched
+    both = matched.unionByName(phrase_scores(index, exact, config))
     return both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("raw_score"), SCORE_DIGITS).alias("raw_score"))
 
 
-def bm25_pool(chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    return top(bm25_scores(chunks, queries, config), config.bm25_candidates)
+def bm25_pool(corpus: DataFrame | TextIndex, queries: DataFrame, config: SearchConfig = SearchConfig(), formats: DataFrame | None = None) -> DataFrame:
+    """The best chunks of each query. formats (chunk_id, format): chunks of formats that a query does not ask for are left out before."""
+    scores = bm25_scores(corpus, queries, config)
+    if formats is not None and "formats" in queries.columns:
+        wanted = queries.select("query_id", "formats").where(F.size("formats") > 0)
+        scores = scores.join(formats, "chunk_id").join(F.broadcast(wanted), "query_id", "left")
+        scores = only_formats(scores, F.col("formats"), F.col("format")).select("query_id", "chunk_id", "raw_score")
+    return top(scores, config.bm25_candidates)
+
+
+def _fuzzy_keys(text: Column, lengths: list[Column], shifts: int, most: int) -> Column:
+    """`length:part:letters` of the parts that a term of each length is cut into, each taken at up to `shifts` places about its own.
+
+    A term that is at most d edits from a word is cut into d + 1 parts; one of them stands in the word unchanged, at most d
+    places off.
+    """
+    keys = []
+    for length in lengths:
+        edits = F.when(length <= 4, min(1, most)).otherwise(min(2, most))
+        for part in range(min(2, most) + 1):
+            start = F.floor(length * part / (edits + 1)).cast("int")
+            size = F.floor(length * (part + 1) / (edits + 1)).cast("int") - start
+            for shift in range(-shifts, shifts + 1):
+                at = start + shift
+                inside = (part <= edits) & (at >= 0) & (F.lit(abs(shift)) <= edits) & (at + size <= F.length(text)) & (length >= 2)
+                keys.append(F.when(inside, F.concat_ws(":", length.cast("string"), F.lit(str(part)), F.substring(text, at + 1, size))))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
+def _grams(text: Column) -> Column:
+    """All runs of two and of three letters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+    return F.array_distinct(F.concat(F.transform(at, lambda k: F.substring(text, k, F.lit(2))), F.transform(at, lambda k: F.substring(text, k, F.lit(3)))))
+
+
+def matching_values(values: DataFrame, asked: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """field, value, kind and the columns of asked (term among them) of every value that matches a term.
+
+    Values meet terms by their first three letters (what holds a term holds those) and, for fuzzy matches, by parts of words;
+    only pairs that meet are compared.
+    """
+    most = config.fuzzy_max_distance
+    v, t = F.lower("value"), F.lower("term")
+    words = F.array_distinct(F.filter(F.split(v, r"[^\p{L}\p{N}_@.\-]+"), lambda p: p != ""))
+    near = lambda p: _fuzzy_keys(p, [F.length(p) + k for k in range(-min(2, most), min(2, most) + 1)], min(2, most), most)
+    held = values.select("field", "value", F.explode(F.array_distinct(F.concat(_grams(v), *([F.flatten(F.transform(words, near))] if most else [])))).alias("key"))
+    sought = asked.withColumn("key", F.explode(F.concat(F.array(F.substring(t, 1, 3)), *([_fuzzy_keys(t, [F.length(t)], 0, most)] if most else []))))
+    met = held.join(F.broadcast(sought), "key").drop("key").distinct()
+    return met.withColumn("kind", match_kind(F.col("value"), F.col("term"), most)).where("kind is not null")
 
 
 def metadata_matches(chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -131,14 +244,17 @@ def metadata_matches(chunks: DataFrame, queries: DataFrame, config: SearchConfig
     Fields are tried in the order filename, its stem, path, headings, symbols; the strongest match wins, then the longer term,
     then the earlier one. Equal metadata is compared once, whatever number of chunks share it.
     """
-    asked = bounded(queries, config).select("query_id", F.posexplode(metadata_terms(F.col("query"))).alias("term_at", "term"))
+    return blocked(lambda some: _metadata_block(chunks, some, config), queries, config.max_batch)
+
+
+def _metadata_block(chunks: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
+    asked = queries.select("query_id", F.posexplode(metadata_terms(F.col("query"))).alias("term_at", "term"))
     entry = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"))
     listed = lambda name, column: F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: entry(name, x))
     fixed = F.array(entry("filename", F.col("filename")), entry("filename", stem(F.col("filename"))), entry("path", F.col("relative_path")))
     fields = F.concat(fixed, listed("heading", "heading_trail"), listed("symbol", "symbols"))
     described = chunks.select("chunk_id", "file_id", "relative_path", F.posexplode(fields).alias("field_at", "x")).select("chunk_id", "file_id", "relative_path", "field_at", "x.*")
-    values = described.select("field", "value").distinct()
-    kinds = values.crossJoin(F.broadcast(asked)).withColumn("kind", match_kind(F.col("value"), F.col("term"), config.fuzzy_max_distance)).where("kind is not null")
+    kinds = matching_values(described.select("field", "value").where("value is not null").distinct(), asked, config)
     kinds = kinds.withColumn("strength", strength(F.col("field"), F.col("kind")))
     best = F.max_by(F.struct("field", "kind", "strength", "term"), F.struct("strength", F.length("term"), -F.col("term_at"), -F.col("field_at")))
     found = described.join(kinds, ["field", "value"]).groupBy("query_id", "chunk_id", "file_id", "relative_path").agg(best.alias("m"))
@@ -153,7 +269,8 @@ def metadata_pool(chunks: DataFrame, queries: DataFrame, config: SearchConfig =
     order = [F.desc("strength"), "relative_path", "chunk_id"]
     found = metadata_matches(chunks, queries, config)
     if "formats" in queries.columns:
-        found = found.join(chunks.select("chunk_id", "format"), "chunk_id").join(F.broadcast(queries.select("query_id", "formats")), "query_id")
+        wanted = queries.select("query_id", "formats").where(F.size("formats") > 0)
+        found = found.join(chunks.select("chunk_id", "format"), "chunk_id").join(F.broadcast(wanted), "query_id", "left")
         found = only_formats(found, F.col("formats"), F.col("format"))
     capped = found.withColumn("in_file", F.row_number().over(Window.partitionBy("query_id", "file_id").orderBy(*order))).where(F.col("in_file") <= config.metadata_chunks_per_file)
     ranked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= config.metadata_candidates)

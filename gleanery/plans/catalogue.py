@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import with_safe_unions
 from . import retrieval, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,7 +14,7 @@ FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Query]:
-    return retrieval.QUERIES | tables.QUERIES
+    return {name: with_safe_unions(query) for name, query in (retrieval.QUERIES | tables.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,6 @@ batch of queries; a query's vector is the centroid of a label of `embeddings`.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-from math import ceil
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +13,7 @@ from ..config import SearchConfig
 from ..functions.text import highlight_terms, query_terms, terms
 from ..functions.vectors import norm, truncated
 from ..operators import evaluation, fusion, retrieval
+from ..operators.retrieval import TextIndex, blocked  # noqa: F401
 
 CONFIG = SearchConfig()
 
@@ -44,24 +41,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
-def blocked(find: Callable[[DataFrame], DataFrame], queries: DataFrame, most: int = CONFIG.max_batch) -> DataFrame:
-    """What `find` finds for all queries, asked in blocks (by a hash of query_id) of at most `most`, the bound of a broadcast."""
-    parts = max(1, ceil(queries.count() / most))
-    while True:
-        of = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        counts = {r.block: r.n for r in queries.groupBy(of.alias("block")).agg(F.count("*").alias("n")).collect()}
-        if max(counts.values(), default=0) <= most:
-            break
-        parts += ceil(parts / 4)
-    return reduce(DataFrame.unionByName, [find(queries.where(of == block)) for block in sorted(counts)] or [find(queries)])
-
-
 def phrase_of(query: F.Column, size: int = 3) -> F.Column:
     return F.array_join(F.slice(terms(query), 1, size), " ")
 
 
 def vector_knn_batch(spark, sf_dir):
-    found = blocked(lambda asked: retrieval.vector_pool(vectors(spark, sf_dir), asked, CONFIG), centroids(spark, sf_dir).withColumnRenamed("label", "query_id"))
+    found = retrieval.vector_pool(vectors(spark, sf_dir), centroids(spark, sf_dir).withColumnRenamed("label", "query_id"), CONFIG)
     return found.select(F.col("query_id").cast("long"), "chunk_id", F.col("raw_score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -72,13 +57,13 @@ def vector_truncate_normalize(spark, sf_dir):
 
 
 def bm25_match_batch(spark, sf_dir):
-    found = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text_queries(spark, sf_dir))
+    found = retrieval.bm25_pool(chunks(spark, sf_dir), text_queries(spark, sf_dir), CONFIG)
     return found.select("query_id", "chunk_id", F.col("raw_score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_within_formats(spark, sf_dir):
     all_chunks = chunks(spark, sf_dir)
-    scored = blocked(lambda asked: retrieval.bm25_scores(all_chunks, asked, CONFIG), text_queries(spark, sf_dir)).join(all_chunks.select("chunk_id", "format"), "chunk_id")
+    scored = retrieval.bm25_scores(all_chunks, text_queries(spark, sf_dir), CONFIG).join(all_chunks.select("chunk_id", "format"), "chunk_id")
     found = retrieval.top(retrieval.only_formats(scored, F.array(F.lit("de"), F.lit("fr")), F.col("format")), CONFIG.bm25_candidates)
     return found.select("query_id", "chunk_id", "format", F.col("raw_score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -90,7 +75,7 @@ def phrase_match(spark, sf_dir):
 
 def boolean_should(spark, sf_dir):
     quoted = text_queries(spark, sf_dir).withColumn("query", F.concat(F.lit('"'), phrase_of(F.col("query")), F.lit('" '), F.get(F.slice(terms(F.col("query")), 5, 1), F.lit(0))))
-    found = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), quoted)
+    found = retrieval.bm25_pool(chunks(spark, sf_dir), quoted, CONFIG)
     return found.select("query_id", "chunk_id", F.col("raw_score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -112,12 +97,12 @@ def part_queries(spark, sf_dir):
 
 
 def metadata_match_best(spark, sf_dir):
-    found = blocked(lambda asked: retrieval.metadata_matches(part_chunks(spark, sf_dir), asked, CONFIG), part_queries(spark, sf_dir))
+    found = retrieval.metadata_matches(part_chunks(spark, sf_dir), part_queries(spark, sf_dir), CONFIG)
     return found.select("query_id", "chunk_id", "field", "kind", F.round("strength", 6).alias("strength"), "term")
 
 
 def metadata_pool(spark, sf_dir):
-    found = blocked(lambda asked: retrieval.metadata_pool(part_chunks(spark, sf_dir), asked, CONFIG), part_queries(spark, sf_dir))
+    found = retrieval.metadata_pool(part_chunks(spark, sf_dir), part_queries(spark, sf_dir), CONFIG)
     return found.select("query_id", "chunk_id", F.round("raw_score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -126,14 +111,25 @@ def competition_rank(spark, sf_dir):
     return o.select("o_orderkey", "o_orderpriority", fusion.competition_rank(["o_orderpriority"], F.floor(F.col("o_totalprice") / 1000)).cast("long").alias("rank"))
 
 
+def described_chunks(spark, sf_dir):
+    """Documents as files of their source, under a heading of their language."""
+    none = F.array().cast("array<string>")
+    return chunks(spark, sf_dir).withColumns({"filename": F.col("file_id"), "heading_trail": F.array("format"), "symbols": none})
+
+
 def pools(spark, sf_dir):
-    """Candidates of all queries by terms and by vectors; queries take the labels' centroids in turn."""
+    """Candidates of all queries by vectors, terms and metadata; queries take the labels' centroids in turn."""
     text = text_queries(spark, sf_dir)
     centres = centroids(spark, sf_dir).withColumn("at", F.row_number().over(Window.orderBy("label")) - 1)
-    number = text.select("query_id", F.pmod("query_id", F.lit(10)).alias("at"))
-    near = blocked(lambda asked: retrieval.vector_pool(vectors(spark, sf_dir), asked, CONFIG), number.join(centres, "at").select("query_id", "query_vector"))
-    match = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text)
-    return near.select("query_id", F.lit("vector").alias("source"), "chunk_id", "raw_score").unionByName(match.select("query_id", F.lit("bm25").alias("source"), "chunk_id", "raw_score"))
+    turns = F.broadcast(centres.agg(F.greatest(F.count("*"), F.lit(1)).alias("turns")))  # one row
+    number = text.select("query_id").crossJoin(turns).select("query_id", F.pmod("query_id", "turns").alias("at"))
+    found = {
+        "vector": retrieval.vector_pool(vectors(spark, sf_dir), number.join(centres, "at").select("query_id", "query_vector"), CONFIG),
+        "bm25": retrieval.bm25_pool(chunks(spark, sf_dir), text, CONFIG),
+        "metadata": retrieval.metadata_pool(described_chunks(spark, sf_dir), text, CONFIG),
+    }
+    named = [pool.select("query_id", F.lit(name).alias("source"), "chunk_id", "raw_score") for name, pool in found.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 def fused(spark, sf_dir):
@@ -155,7 +151,7 @@ def diverse_excerpts(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    """Search of every query by vectors and terms: pools, fusion, files and excerpts of each file's best chunks. Like its SQL, without the metadata pool."""
+    """The whole search of every query: three pools, fusion, files and excerpts of each file's best chunks."""
     candidates = fused(spark, sf_dir)
     best = fusion.aggregate_files(candidates, CONFIG.default_files, CONFIG)
     shown = fusion.diverse_excerpts(candidates, CONFIG).groupBy("query_id", "file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("excerpt", F.col("chunk_id").cast("string").alias("c")))), lambda x: x["c"]), ",").alias("excerpts"))
@@ -164,21 +160,26 @@ def hybrid_search(spark, sf_dir):
 
 def highlight_query_terms(spark, sf_dir):
     """Which of a query's terms each of its best chunks holds."""
-    found = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text_queries(spark, sf_dir)).select("query_id", "chunk_id")
+    found = retrieval.bm25_pool(chunks(spark, sf_dir), text_queries(spark, sf_dir), CONFIG).select("query_id", "chunk_id")
     asked = text_queries(spark, sf_dir).select("query_id", query_terms(F.col("query")).alias("wanted"))
     rows = found.join(asked, "query_id").join(chunks(spark, sf_dir).select("chunk_id", "search_text"), "chunk_id")
     return rows.select("query_id", "chunk_id", F.size("wanted").cast("long").alias("n_terms"), F.size(highlight_terms(F.col("wanted"), F.col("search_text"))).cast("long").alias("n_found"))
 
 
-def expected_documents(spark, sf_dir):
-    """Judgments: the documents that hold a benchmark passage's first eight terms in a row."""
+def expected_documents(spark, sf_dir, index):
+    """Judgments: the documents that hold a benchmark passage's first eight terms in a row (eight are enough to name a passage)."""
     phrases = text_queries(spark, sf_dir).select("query_id", phrase_of(F.col("query"), 8).alias("phrase"))
-    return retrieval.phrase_scores(chunks(spark, sf_dir), phrases, CONFIG).select("query_id", F.col("chunk_id").alias("item"))
+    return retrieval.phrase_scores(index, phrases, CONFIG).select("query_id", F.col("chunk_id").alias("item"))
+
+
+def ranked_documents(spark, sf_dir, index):
+    ranked = retrieval.bm25_pool(index, text_queries(spark, sf_dir), CONFIG).select("query_id", F.col("chunk_id").alias("item"), "rank")
+    return ranked.persist()  # read twice; as many rows as candidates
 
 
 def metrics(spark, sf_dir):
-    ranked = blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text_queries(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("item"), "rank")
-    return evaluation.query_metrics(expected_documents(spark, sf_dir), ranked)
+    index = TextIndex.of(chunks(spark, sf_dir))
+    return evaluation.query_metrics(expected_documents(spark, sf_dir, index), ranked_documents(spark, sf_dir, index))
 
 
 def recall_mrr_by_query(spark, sf_dir):
@@ -198,10 +199,10 @@ def release_gate_failures(spark, sf_dir):
 
 def model_comparison(spark, sf_dir):
     """BM25 alone against phrases first: does the second rank expected documents so much better as to be preferred?"""
-    expected = expected_documents(spark, sf_dir)
-    text = text_queries(spark, sf_dir)
-    plain = evaluation.query_metrics(expected, blocked(lambda asked: retrieval.bm25_pool(chunks(spark, sf_dir), asked, CONFIG), text).select("query_id", F.col("chunk_id").alias("item"), "rank"))
-    exact = retrieval.top(retrieval.phrase_scores(chunks(spark, sf_dir), text.select("query_id", phrase_of(F.col("query")).alias("phrase")), CONFIG), CONFIG.bm25_candidates)
+    index, text = TextIndex.of(chunks(spark, sf_dir)), text_queries(spark, sf_dir)
+    expected = expected_documents(spark, sf_dir, index).persist()
+    plain = evaluation.query_metrics(expected, ranked_documents(spark, sf_dir, index))
+    exact = retrieval.top(retrieval.phrase_scores(index, text.select("query_id", phrase_of(F.col("query")).alias("phrase")), CONFIG), CONFIG.bm25_candidates)
     other = evaluation.query_metrics(expected, exact.select("query_id", F.col("chunk_id").alias("item"), "rank"))
     both = plain.select("query_id", F.col("recall_5").alias("small"), F.col("reciprocal_rank").alias("small_rr")).join(other.select("query_id", F.col("recall_5").alias("base"), F.col("reciprocal_rank").alias("base_rr")), "query_id")
     summed = both.agg(F.round(F.avg("small"), 9).alias("small_recall_5"), F.round(F.avg("base"), 9).alias("base_recall_5"), F.count_if((F.col("small_rr") == 0) & (F.col("base_rr") > 0)).alias("fixed_misses"))
@@ -242,17 +243,32 @@ dims as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1)
 means as (select label, pos, avg(x::double) as x from dims group by 1, 2),
 centres as (select label, list(x order by pos) as v from means group by 1),
 """
+_TRIMMED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 _TOP = "row_number() over (partition by query_id order by score desc, chunk_id)"
 _POOLS = f"""
 {_CENTRES}
-number as (select item_id as query_id, mod(item_id, 10) as turn from benchmark),
+number as (select item_id as query_id, mod(item_id, (select greatest(count(*), 1) from centres)) as turn from benchmark),
 turns as (select row_number() over (order by label) - 1 as turn, v from centres),
 near0 as (select query_id, vec_id as chunk_id, 1 - list_cosine_similarity(embedding::double[], v) as d from embeddings, number join turns using (turn)),
 near as (select query_id, chunk_id, round(1 - d, 6) as score, {_TOP} as rank from near0 where d < 0.9 qualify rank <= 100),
 best_match as (select *, {_TOP} as rank from match_scores qualify rank <= 100),
-pool as (select query_id, chunk_id, score, 'vector' as source from near union all select query_id, chunk_id, score, 'bm25' from best_match),
+named as (select item_id as query_id, unnest(list_distinct(list_transform(list_concat([{_TRIMMED}],
+    regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_./:@-]+')), lambda x: lower(x)))) as term from benchmark),
+field as (select distinct 'filename' as field, source as value from documents union select distinct 'filename', regexp_replace(source, '\\.[^.]+$', '') from documents
+  union select distinct 'path', source from documents union select distinct 'heading', lang from documents),
+alike as (select field, value, term, case when lower(value) = term then 'exact' when starts_with(lower(value), term) then 'prefix' when contains(lower(value), term) then 'substring'
+    when len(list_filter(regexp_split_to_array(lower(value), '[^\\p{{L}}\\p{{N}}_@.\\-]+'), lambda p: p <> '' and levenshtein(p, term) <= (case when length(term) <= 4 then 1 else 2 end))) > 0 then 'fuzzy' end as kind
+  from field, (select distinct term from named where length(term) >= 2)),
+strong as (select *, (case field when 'filename' then 1.0::double when 'path' then 0.95::double else 0.7::double end) * (case kind when 'exact' then 1.0::double when 'prefix' then 0.8::double when 'substring' then 0.65::double else 0.35::double end) as strength
+  from alike where kind is not null),
+about as (select distinct doc_id as chunk_id, source, lang from documents),
+met as (select query_id, chunk_id, source, max(strength) as strength from named join strong using (term)
+  join about on (field = 'heading' and value = lang) or (field <> 'heading' and (value = source or (field = 'filename' and value = regexp_replace(source, '\\.[^.]+$', '')))) group by all),
+capped as (select * from met qualify row_number() over (partition by query_id, source order by strength desc, source, chunk_id) <= 3),
+described as (select * from capped qualify row_number() over (partition by query_id order by strength desc, source, chunk_id) <= 100),
+pool as (select query_id, chunk_id, score, 'vector' as source from near union all select query_id, chunk_id, score, 'bm25' from best_match union all select query_id, chunk_id, strength, 'metadata' from described),
 ranked as (select *, rank() over (partition by query_id, source order by score desc) as r from pool),
-fused as (select query_id, chunk_id, coalesce(max(case when source = 'vector' then 1.0::double / (60.0::double + r) end), 0) + coalesce(max(case when source = 'bm25' then 1.0::double / (60.0::double + r) end), 0) as score,
+fused as (select query_id, chunk_id, coalesce(max(case when source = 'vector' then 1.0::double / (60.0::double + r) end), 0) + coalesce(max(case when source = 'bm25' then 1.0::double / (60.0::double + r) end), 0) + coalesce(max(case when source = 'metadata' then 2.0::double / (60.0::double + r) end), 0) as score,
   list_sort(list(distinct source)) as sources from ranked group by 1, 2),
 placed as (select f.*, d.source as file_id, d.lang as context, row_number() over (partition by query_id, d.source order by score desc, chunk_id) as in_file
   from fused f join documents d on d.doc_id = f.chunk_id),

@@ -10,7 +10,9 @@ extractor_version int, chunker_version int, schema_version int"""
 CHUNKS = """chunk_id string, file_id string, relative_path string, filename string, format string, ordinal int, display_text string, search_text string,
 embedding_input_hash string, embedding_model string, vector array<float>, start_line int, end_line int, start_offset long, end_offset long,
 heading_trail array<string>, symbols array<string>, content_hash string, file_content_hash string, token_count int"""
-TABLES = {"files": FILES, "chunks": CHUNKS}
+POSTINGS = "unit string, chunk_id string, file_id string, length int, positions array<int>"
+LENGTHS = "chunk_id string, file_id string, length int"
+TABLES = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS}
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import SearchConfig, normalize_request
 from .functions.embedding import Provider, checked
 from .operators import fusion, retrieval
+from .session import safe_unions
 from .sources.store import SnapshotStore
 
 
@@ -16,6 +20,7 @@ class HybridSearch:
 
     def __init__(self, store: SnapshotStore, provider: Provider, config: SearchConfig = SearchConfig()):
         self.store, self.provider, self.config = store, provider, config
+        safe_unions(store.spark)
         self._held: tuple[str | None, DataFrame] | None = None
 
     def catalog(self) -> DataFrame:
@@ -27,6 +32,12 @@ class HybridSearch:
             self._held = name, retrieval.committed(self.store.read("chunks"), self.store.read("files")).persist()
         return self._held[1]
 
+    def index(self) -> retrieval.TextIndex:
+        """The stored postings and lengths of the chunks that the catalog shows."""
+        seen = self.catalog().select("chunk_id")
+        of = lambda table: self.store.read(table).join(seen, "chunk_id", "left_semi")
+        return retrieval.TextIndex.stored(of("postings"), of("lengths"))
+
     def search(self, query: str, files: int | None = None, formats: tuple[str, ...] = ()) -> DataFrame:
         request = normalize_request(query, files, formats, self.config)
         spark = self.store.spark
@@ -36,25 +47,25 @@ class HybridSearch:
     def search_batch(self, queries: DataFrame, files: int | None = None) -> DataFrame:
         """query_id, rank, file_id, relative_path, score, sources, n_chunks, excerpts of the best files of each query.
 
-        queries: query_id, query and, if wanted, formats. They are embedded on the driver, at most `max_batch` at once.
+        queries: query_id, query and, if wanted, formats: all pools leave out other formats before they take their best. Any
+        number of queries; they are asked in blocks of `max_batch`.
         """
         spark, config, chunks = self.store.spark, self.config, self.catalog()
         queries = queries if "formats" in queries.columns else queries.withColumn("formats", F.array().cast("array<string>"))
-        asked = retrieval.bounded(queries, config).collect()
-        vectors = checked(self.provider, [r.query for r in asked]) if asked else []
         kind = dict(queries.dtypes)["query_id"]
-        embedded = spark.createDataFrame([(r.query_id, v.tolist()) for r, v in zip(asked, vectors)], f"query_id {kind}, query_vector array<double>")
-        formats = F.broadcast(queries.select("query_id", "formats"))
+        provider, schema = self.provider, f"query_id {kind}, formats array<string>, query_vector array<double>"
 
-        def within(pool: DataFrame, limit: int) -> DataFrame:
-            kept = retrieval.only_formats(pool.join(chunks.select("chunk_id", "format"), "chunk_id").join(formats, "query_id"), F.col("formats"), F.col("format"))
-            return retrieval.top(kept.select("query_id", "chunk_id", "raw_score"), limit)
+        def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = checked(provider, batch["query"].to_list()) if len(batch) else []
+                yield batch[["query_id", "formats"]].assign(query_vector=[v.tolist() for v in found])
 
-        wide = SearchConfig(**{**config.__dict__, "vector_candidates": 1 << 30}) if any(r.formats for r in asked) else config
+        embedded = queries.select("query_id", "query", "formats").mapInPandas(embed, schema)
+        formats = chunks.select("chunk_id", "format")
         pools = {
-            "vector": within(retrieval.vector_pool(chunks, embedded, wide), config.vector_candidates),
-            "bm25": within(retrieval.bm25_scores(chunks, queries, config), config.bm25_candidates),
-            "metadata": within(retrieval.metadata_pool(chunks, queries, config), config.metadata_candidates),
+            "vector": retrieval.vector_pool(chunks, embedded, config),
+            "bm25": retrieval.bm25_pool(self.index(), queries, config, formats),
+            "metadata": retrieval.metadata_pool(chunks, queries, config),
         }
         named = [pool.select("query_id", F.lit(name).alias("source"), "chunk_id", "raw_score") for name, pool in pools.items()]
         fused = fusion.fuse(named[0].unionByName(named[1]).unionByName(named[2]), config)

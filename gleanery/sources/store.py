@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from ..schema import TABLES, conformed, empty
 class SnapshotStore:
     """Tables below a folder of any file system that Spark reaches.
 
-    A commit writes all tables to a folder of its own and then points `CURRENT` at it by one rename. A reader resolves the
-    pointer once; a commit that breaks off leaves the present snapshot as it is.
+    A commit writes the tables that changed to a folder of its own and then points `CURRENT`, which names the folder of every
+    table, at it by one rename that replaces the old pointer. A reader resolves the pointer once; a commit that breaks off leaves
+    the present snapshot as it is. Where a file system lost the pointer, the newest pending one counts.
     """
 
     def __init__(self, spark: SparkSession, root: str, tables: tuple[str, ...] = tuple(TABLES)):
@@ -23,35 +25,43 @@ class SnapshotStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
-        """The name of the present snapshot; None before the first commit."""
+    def _pointer(self) -> dict:
         path, fs = self._path("CURRENT")
         if not fs.exists(path):
-            return None
-        return self.spark.read.text(path.toString()).first()[0]
+            top, _ = self._path()
+            pending = [x for x in (fs.listStatus(top) if fs.exists(top) else []) if x.getPath().getName().startswith("PENDING-")]
+            if not pending:
+                return {"name": None, "tables": {}}
+            path = max(pending, key=lambda x: x.getModificationTime()).getPath()
+        return json.loads("".join(r.value for r in self.spark.read.text(path.toString()).collect()))  # a line
+
+    def current(self) -> str | None:
+        """The name of the present snapshot; None before the first commit."""
+        return self._pointer()["name"]
 
     def read(self, table: str) -> DataFrame:
-        name = self.current()
-        if name is None:
+        folder = self._pointer()["tables"].get(table)
+        if folder is None:
             return empty(self.spark, table)
-        return self.spark.read.schema(empty(self.spark, table).schema).parquet(f"{self.root}/{name}/{table}")
+        return self.spark.read.schema(empty(self.spark, table).schema).parquet(f"{self.root}/{folder}/{table}")
 
     def commit(self, frames: dict[str, DataFrame]) -> str:
-        """Replace the tables by frames; tables not named stay as they are."""
-        held = self.current()
-        name = f"snapshot-{uuid.uuid4().hex}"
-        for table in self.tables:
-            frame = frames.get(table)
-            if frame is None:
-                frame = self.read(table) if held else empty(self.spark, table)
+        """Replace the tables by frames; tables not named stay where they are, unread and unwritten."""
+        name, tables = f"snapshot-{uuid.uuid4().hex}", dict(self._pointer()["tables"])
+        for table, frame in frames.items():
             conformed(frame, table).write.parquet(f"{self.root}/{name}/{table}")
+            tables[table] = name
         pending, fs = self._path(f"PENDING-{uuid.uuid4().hex}")
         stream = fs.create(pending, True)
-        stream.write(bytearray(name.encode()))
+        stream.write(bytearray(json.dumps({"name": name, "tables": tables}).encode()))
         stream.close()
-        target, _ = self._path("CURRENT")
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(pending, target):
-            raise OSError("the snapshot's pointer could not be moved")
+        self._point(pending)
         return name
+
+    def _point(self, pending) -> None:
+        jvm, target = self.spark._jvm, self._path("CURRENT")[0]
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration())
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files.rename(pending, target, how)

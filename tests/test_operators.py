@@ -44,15 +44,15 @@ def test_file_score_is_capped_and_excerpts_differ(spark):
 
 @pytest.mark.parametrize(
     "value, term, kind",
-    [("GatewayRetry.ts", "gatewayretry.ts", "exact"), ("GatewayRetry.ts", "Gateway", "prefix"), ("src/payments/Gateway.ts", "payments/gateway", "substring"), ("retryPayment", "retryPaymant", "fuzzy"), ("abc", "xyz", None), ("tea", "tee", "fuzzy"), ("", "ab", None)],
+    [("TeaLeaf.md", "tealeaf.MD", "exact"), ("TeaLeaf.md", "teal", "prefix"), ("shelf/tins/Green.md", "tins/green", "substring"), ("steepingTime", "stepingTimes", "fuzzy"), ("abc", "xyz", None), ("tea", "tee", "fuzzy"), ("", "ab", None)],
 )
 def test_match_kind(spark, value, term, kind):
     assert spark.range(1).select(T.match_kind(F.lit(value), F.lit(term)).alias("k")).first().k == kind
 
 
 def test_query_terms(spark):
-    found = spark.range(1).select(T.query_terms(F.lit('find "gateway timeout" in config/retry.yaml Find x timeout_ms')).alias("t")).first().t
-    assert found == ["gateway timeout", "find", "gateway", "timeout", "in", "config/retry.yaml", "timeout_ms"]
+    found = spark.range(1).select(T.query_terms(F.lit('Tea "green leaf" tea steep/long.txt y cup_size')).alias("t")).first().t
+    assert found == ["green leaf", "Tea", "green", "leaf", "steep/long.txt", "cup_size"]
 
 
 def test_phrases_and_terms(spark):
@@ -120,6 +120,40 @@ def test_keyed_units(spark):
     assert [u.search_text for u in found] == ["k: 1", "[s.t]", "s.t.v: 'x'"]
 
 
+def test_front_matter_fences_and_names(spark):
+    found = units(spark, lines.markdown_units, "---\nurl: https://x.org/a\nat :  10:30\n---\n```\n~~~\n# no heading\n```\n# Heading\n\ntext\n")
+    assert [(u.kind, u.search_text) for u in found] == [("record", "url: https://x.org/a\nat: 10:30"), ("code", "~~~\n# no heading"), ("heading", "Heading"), ("paragraph", "text")]
+    found = units(spark, lambda t: lines.code_units(t, "stylesheet"), "a, b {\n}\n@media (min-width: 3px) {\n}\n@keyframes spin {\n}\n")
+    assert [u.symbol for u in found] == ["a, b", "(min-width:", "spin"]
+    found = units(spark, lambda t: lines.code_units(t, "python"), "def a():\n    pass\n\n# about b\n@wraps\ndef b():\n    pass\n")
+    assert [(u.symbol, u.start_line, u.end_line) for u in found] == [("a", 1, 5), ("b", 4, 7)]
+
+
+def test_entities(spark):
+    shown = lambda x: spark.range(1).select(lines.visible_text(F.lit(x)).alias("t")).first().t
+    assert shown("&#65;&#x42;&#x1F642; &amp;#65; &lt;b&gt; &#xD800; &#99999999; caf&#233;") == "AB\U0001f642 &#65; <b> &#xD800; &#99999999; café"
+
+
+def test_values_meet_terms_without_a_cross_join(spark):
+    """Every pair that matches, however: against a comparison of all pairs."""
+    import random
+
+    draw = random.Random(41)
+    word = lambda: "".join(draw.choice("abcé_") for _ in range(draw.randint(1, 9)))
+    values = spark.createDataFrame([("path", "/".join(word() for _ in range(draw.randint(1, 3)))) for _ in range(150)], "field string, value string").distinct()
+    asked = spark.createDataFrame([(k, 0, word() + draw.choice(["", "", "/" + word()])) for k in range(120)], "query_id int, term_at int, term string").where("length(term) >= 2")
+    pairs = values.crossJoin(asked).withColumn("kind", T.match_kind(F.col("value"), F.col("term"), 2)).where("kind is not null")
+    expect = {(r.value, r.query_id, r.kind) for r in pairs.collect()}
+    found = [(r.value, r.query_id, r.kind) for r in retrieval.matching_values(values, asked).collect()]
+    assert set(found) == expect and len(found) == len(expect) and {k for *_, k in expect} == {"prefix", "substring", "fuzzy"} | ({"exact"} & {k for *_, k in expect})
+
+
+def test_phrases_by_their_rarest_term(spark):
+    chunks = spark.createDataFrame([(1, "to be or not to be"), (2, "be to or"), (3, "not to be to be"), (4, "a a a a")], "chunk_id int, search_text string")
+    ask = lambda p: {r.chunk_id for r in retrieval.phrase_scores(chunks, spark.createDataFrame([("q", p)], "query_id string, phrase string")).collect()}
+    assert ask("to be") == {1, 3} and ask("not to be") == {1, 3} and ask("be or not") == {1} and ask("a a") == {4} and ask("to be absent") == set() and ask("be") == {1, 2, 3}
+
+
 def test_html_units(spark):
     html = "<head><title>T &amp; U</title></head><body>loose<nav>menu</nav><h1>Top</h1><p>one<br>two</p><ul><li>item</li></ul><table><tr><td>a</td><td>b</td></tr></table><script>no()</script></body>"
     found = lines.html_units(spark.createDataFrame([("f", html)], "file_id string, text string")).orderBy("unit").collect()

@@ -46,3 +46,24 @@ def test_snapshots(spark, tmp_path):
         store.commit({"files": full.mapInPandas(broken, full.schema)})
     assert store.current() == first and store.read("files").count() == 1 and store.read("chunks").count() == 0
     assert store.commit({"files": full.limit(0)}) != first and store.read("files").count() == 0
+
+
+def test_a_commit_that_breaks_off_before_the_rename_keeps_the_snapshot(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    full = empty(spark, "files").unionByName(spark.createDataFrame([("f1", "a.md")], "file_id string, relative_path string"), allowMissingColumns=True)
+    first = store.commit({"files": full, "chunks": empty(spark, "chunks")})
+    with monkeypatch.context() as broken:
+        broken.setattr(SnapshotStore, "_point", lambda self, pending: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.commit({"files": full.limit(0)})
+    assert store.current() == first and store.read("files").count() == 1
+    second = store.commit({"files": full.limit(0)})
+    assert store.current() == second and store.read("files").count() == 0
+    assert not (tmp_path / "s" / second / "chunks").exists() and store.read("chunks").count() == 0  # chunks were not written again
+
+
+def test_the_newest_pending_pointer_counts_where_the_present_one_is_lost(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    name = store.commit({"files": empty(spark, "files")})
+    (tmp_path / "s" / "CURRENT").rename(tmp_path / "s" / "PENDING-x")
+    assert store.current() == name
