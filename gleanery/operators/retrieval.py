@@ -87,10 +87,14 @@ def _vector_block(chunks: DataFrame, queries: DataFrame, config: SearchConfig) -
     return top(chunks.select(*columns).mapInPandas(scan, schema), k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """unit, chunk_id, positions, length: where each term of a chunk stands (from 0), and how many terms the chunk has."""
+def postings(chunks: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """unit, chunk_id, positions, length: where each term of a chunk stands (from 0), and how many terms the chunk has.
+
+    With units (unit), of those terms alone: the others are left out before anything is shuffled.
+    """
     listed = chunks.select("chunk_id", terms(F.coalesce(F.col("search_text"), F.lit(""))).alias("terms"))
     held = listed.select("chunk_id", F.size("terms").alias("length"), F.posexplode("terms").alias("at", "unit"))
+    held = held if units is None else held.join(units.select("unit").distinct(), "unit", "left_semi")
     return held.groupBy("unit", "chunk_id", "length").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 
@@ -107,17 +111,18 @@ class TextIndex:
     sizes: DataFrame
 
     @staticmethod
-    def of(chunks: DataFrame) -> TextIndex:
-        """Of chunks without a stored index: postings are made once and kept until the session's cache is cleared."""
-        return TextIndex.stored(postings(chunks).persist(StorageLevel.MEMORY_AND_DISK), lengths(chunks))
+    def of(chunks: DataFrame, asked: DataFrame, column: str = "query") -> TextIndex:
+        """Of chunks without a stored index, for the terms in a column of asked: made once, kept until the session's cache is cleared."""
+        units = asked.select(F.explode(terms(F.col(column))).alias("unit"))
+        return TextIndex.stored(postings(chunks, units).persist(StorageLevel.MEMORY_AND_DISK), lengths(chunks))
 
     @staticmethod
     def stored(postings: DataFrame, lengths: DataFrame) -> TextIndex:
         return TextIndex(postings, lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
 
 
-def _index(corpus: DataFrame | TextIndex) -> TextIndex:
-    return corpus if isinstance(corpus, TextIndex) else TextIndex.of(corpus)
+def _index(corpus: DataFrame | TextIndex, asked: DataFrame, column: str = "query") -> TextIndex:
+    return corpus if isinstance(corpus, TextIndex) else TextIndex.of(corpus, asked, column)
 
 
 def _scored(hits: DataFrame, df: DataFrame, sizes: DataFrame, config: SearchConfig) -> DataFrame:
@@ -132,7 +137,7 @@ def _scored(hits: DataFrame, df: DataFrame, sizes: DataFrame, config: SearchConf
 
 def match_scores(corpus: DataFrame | TextIndex, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """query_id, chunk_id, raw_score of every chunk that holds a term of the query (query_id, query)."""
-    index = _index(corpus)
+    index = _index(corpus, queries)
 
     def block(some: DataFrame) -> DataFrame:
         asked = some.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("unit"))
@@ -149,7 +154,7 @@ def phrase_scores(corpus: DataFrame | TextIndex, phrases: DataFrame, config: Sea
     Chunks that hold a phrase's rarest term are its candidates; there, the places where each of its terms would have the phrase
     begin are intersected. A phrase counts as one unit. Only postings of the phrases' terms are read.
     """
-    index = _index(corpus)
+    index = _index(corpus, phrases, "phrase")
 
     def block(some: DataFrame) -> DataFrame:
         listed = some.select("query_id", F.array_join(terms(F.col("phrase")), " ").alias("phrase")).where("phrase != ''").distinct()
@@ -176,7 +181,7 @@ def phrase_scores(corpus: DataFrame | TextIndex, phrases: DataFrame, config: Sea
 
 def bm25_scores(corpus: DataFrame | TextIndex, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Terms, or a phrase, or any of phrases and the other terms, as the query's quotes ask; scores add up."""
-    index = _index(corpus)
+    index = _index(corpus, queries)
     asked = queries.select("query_id", quoted_phrases(F.col("query")).alias("phrases"), unquoted(F.col("query")).alias("rest"), "query")
     loose = asked.select("query_id", F.when(F.size("phrases") == 0, F.col("query")).otherwise(F.col("rest")).alias("query")).where("query != ''")
     matched = match_scores(index, loose, config)
@@ -230,11 +235,15 @@ def matching_values(values: DataFrame, asked: DataFrame, config: SearchConfig =
     """
     most = config.fuzzy_max_distance
     v, t = F.lower("value"), F.lower("term")
-    words = F.array_distinct(F.filter(F.split(v, r"[^\p{L}\p{N}_@.\-]+"), lambda p: p != ""))
-    near = lambda p: _fuzzy_keys(p, [F.length(p) + k for k in range(-min(2, most), min(2, most) + 1)], min(2, most), most)
-    held = values.select("field", "value", F.explode(F.array_distinct(F.concat(_grams(v), *([F.flatten(F.transform(words, near))] if most else [])))).alias("key"))
-    sought = asked.withColumn("key", F.explode(F.concat(F.array(F.substring(t, 1, 3)), *([_fuzzy_keys(t, [F.length(t)], 0, most)] if most else []))))
-    met = held.join(F.broadcast(sought), "key").drop("key").distinct()
+    grams = values.select("field", "value", F.explode(_grams(v)).alias("key"))
+    met = grams.join(F.broadcast(asked.withColumn("key", F.substring(t, 1, 3))), "key").drop("key").distinct().where(F.contains(v, t))
+    if most:
+        words = values.select("field", "value", F.explode(F.array_distinct(F.filter(F.split(v, r"[^\p{L}\p{N}_@.\-]+"), lambda p: p != ""))).alias("word"))
+        reach = min(2, most)
+        keyed = words.select("word").distinct().withColumn("key", F.explode(_fuzzy_keys(F.col("word"), [F.length("word") + k for k in range(-reach, reach + 1)], reach, most)))
+        sought = asked.withColumn("key", F.explode(_fuzzy_keys(t, [F.length(t)], 0, most)))
+        near = keyed.join(F.broadcast(sought), "key").drop("key").distinct().where(F.levenshtein(F.col("word"), t) <= reach)
+        met = met.unionByName(words.join(near, "word").drop("word")).distinct()
     return met.withColumn("kind", match_kind(F.col("value"), F.col("term"), most)).where("kind is not null")
 
 

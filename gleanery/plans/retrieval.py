@@ -178,7 +178,7 @@ def ranked_documents(spark, sf_dir, index):
 
 
 def metrics(spark, sf_dir):
-    index = TextIndex.of(chunks(spark, sf_dir))
+    index = TextIndex.of(chunks(spark, sf_dir), text_queries(spark, sf_dir))
     return evaluation.query_metrics(expected_documents(spark, sf_dir, index), ranked_documents(spark, sf_dir, index))
 
 
@@ -199,7 +199,8 @@ def release_gate_failures(spark, sf_dir):
 
 def model_comparison(spark, sf_dir):
     """BM25 alone against phrases first: does the second rank expected documents so much better as to be preferred?"""
-    index, text = TextIndex.of(chunks(spark, sf_dir)), text_queries(spark, sf_dir)
+    text = text_queries(spark, sf_dir)
+    index = TextIndex.of(chunks(spark, sf_dir), text)
     expected = expected_documents(spark, sf_dir, index).persist()
     plain = evaluation.query_metrics(expected, ranked_documents(spark, sf_dir, index))
     exact = retrieval.top(retrieval.phrase_scores(index, text.select("query_id", phrase_of(F.col("query")).alias("phrase")), CONFIG), CONFIG.bm25_candidates)
