@@ -236,7 +236,7 @@ def matching_values(values: DataFrame, asked: DataFrame, config: SearchConfig =
     most = config.fuzzy_max_distance
     v, t = F.lower("value"), F.lower("term")
     grams = values.select("field", "value", F.explode(_grams(v)).alias("key"))
-    met = grams.join(F.broadcast(asked.withColumn("key", F.substring(t, 1, 3))), "key").drop("key").distinct().where(F.contains(v, t))
+    met = grams.join(F.broadcast(asked.withColumn("key", F.substring(t, 1, 3))), "key").drop("key").where(F.contains(v, t))  # a pair meets once
     if most:
         words = values.select("field", "value", F.explode(F.array_distinct(F.filter(F.split(v, r"[^\p{L}\p{N}_@.\-]+"), lambda p: p != ""))).alias("word"))
         reach = min(2, most)
