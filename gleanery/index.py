@@ -48,12 +48,30 @@ class Indexer:
         self.store, self.provider, self.config = store, provider, config
         safe_unions(store.spark)
 
+    def settings(self) -> dict[str, object]:
+        """What an index depends on; kept with every commit."""
+        c = self.config
+        sizes = {k: getattr(c, k) for k in ("chunk_size_tokens", "chunk_overlap_tokens", "max_tokens")}
+        versions = {k: getattr(c, k) for k in ("extractor_version", "chunker_version", "schema_version", "embedding_input_version")}
+        return {"provider": self.provider.name, "dimension": self.provider.dimension, **sizes, **versions}
+
+    def differing(self) -> list[str]:
+        """Names of the settings in which the store's last commit differs; none before the first."""
+        stored = self.store.settings()
+        return [k for k, v in self.settings().items() if stored and stored.get(k) != v]
+
+    def known(self) -> DataFrame:
+        """Files indexed under the present settings, whose contents need no second reading while size and time are the same."""
+        c, files = self.config, self.store.read("files")
+        fine = (F.col("index_status") == "indexed") & (F.col("extractor_version") == c.extractor_version) & (F.col("chunker_version") == c.chunker_version) & (F.col("schema_version") == c.schema_version)
+        return files.where(F.lit(not self.differing()) & fine & F.col("content_hash").isNotNull())
+
     def decisions(self, listing: DataFrame) -> DataFrame:
         """listing with `decision` (see index_decision); files that are gone come as `deleted`."""
         c = self.config
         stored = self.store.read("files").select(
             F.col("file_id").alias("s_id"), ((F.col("content_hash") == "") | F.col("content_hash").isNotNull()).alias("s_here"), F.col("content_hash").alias("s_hash"), F.col("fingerprint_hash").alias("s_print"),
-            ((F.col("index_status") == "indexed") & (F.col("extractor_version") == c.extractor_version) & (F.col("chunker_version") == c.chunker_version) & (F.col("schema_version") == c.schema_version)).alias("s_fine"),
+            ((F.col("index_status") == "indexed") & (F.col("extractor_version") == c.extractor_version) & (F.col("chunker_version") == c.chunker_version) & (F.col("schema_version") == c.schema_version) & F.lit(not self.differing())).alias("s_fine"),
         )
         both = listing.join(stored, listing.file_id == stored.s_id, "full_outer")
         same = F.col("content_hash") == F.col("s_hash")
@@ -103,7 +121,7 @@ class Indexer:
                 for name, made_of in (("postings", postings), ("lengths", lengths)):  # of changed files alone
                     held = self.store.read(name)
                     frames[name] = replaced(held, "file_id", window, made_of(good).join(of, "chunk_id").select(*held.columns))
-            self.store.commit(frames)
+            self.store.commit(frames, self.settings())
             made.unpersist()
             return counts
         finally:

@@ -30,23 +30,50 @@ def inspected(files: DataFrame) -> DataFrame:
     return files.withColumns({"extension": ext, "format": F.coalesce(known, F.lit("text")), "mime_family": mime_of(ext, "text/plain"), "read_status": status, "last_error": error})
 
 
-def listed(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """A row a file below root: identities, fingerprint, format, status and text (null unless it is ready).
+def exact_time(modified_at_ms: Column) -> Column:
+    """Whether a file's time is finer than whole seconds, so that a later edit of the same size would show."""
+    return F.pmod(modified_at_ms, F.lit(1000.0)) != 0
 
-    Ignored paths are dropped before contents are read; contents are hashed where they are read.
-    """
-    top = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
+
+def _located(found: DataFrame, top: str, ignore: list[str]) -> DataFrame:
+    """found (of binaryFile) with identities and times, without ignored paths; its other columns stay."""
     path = F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", "")
     bare = "/" + top.split("://")[-1].removeprefix("file:").lstrip("/")
-    relative = F.substring(path, len(bare) + 2, 1 << 20)
-    rows = found.withColumn("relative_path", relative).where(~ignored(F.col("relative_path"), ignore or []))
+    rows = found.withColumn("relative_path", F.substring(path, len(bare) + 2, 1 << 20)).where(~ignored(F.col("relative_path"), ignore))
     identity = root_identity(F.lit(bare))
-    rows = rows.select(
+    return rows.select(
         file_id(identity, F.col("relative_path")).alias("file_id"), identity.alias("root_identity"), "relative_path", F.col("path").alias("canonical_path"), basename(F.col("relative_path")).alias("filename"),
-        F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000.0).alias("modified_at_ms"), F.sha2("content", 256).alias("content_hash"), "content",
-    )
-    rows = inspected(rows)
+        F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000.0).alias("modified_at_ms"), *[c for c in found.columns if c == "content"],
+    )
+
+
+def listed(spark: SparkSession, root: str, ignore: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """A row a file below root: identities, fingerprint, format, status and text (null unless it is ready).
+
+    Ignored paths are dropped before contents are read; contents are hashed where they are read. A file of `known` (see
+    Indexer.known) whose size and time are the same, the time finer than a second, keeps its hashes unread and has no text: only
+    the span of times that holds all other files is read, and nothing if there are none.
+    """
+    top = root.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
+    if known is None:
+        return _read(_located(found, top, ignore or []))
+    held = known.select("file_id", "size", "modified_at_ms", "content_hash", "fingerprint_hash", "format", "mime_family", F.lit(True).alias("held"))
+    places = _located(found.drop("content"), top, ignore or []).join(held, ["file_id", "size", "modified_at_ms"], "left")
+    sure = F.coalesce(F.col("held") & exact_time(F.col("modified_at_ms")), F.lit(False))
+    span = places.where(~sure).agg(F.min("modified_at_ms").alias("a"), F.max("modified_at_ms").alias("b")).first()
+    ready = {"extension": extension(F.col("filename")), "read_status": F.lit("ready"), "last_error": F.lit(None).cast("string"), "text": F.lit(None).cast("string")}
+    if span.a is None:
+        kept, columns = places.withColumns(ready), _read(_located(found, top, ignore or [])).columns
+        return kept.select(*columns)
+    at = [F.timestamp_micros(F.lit(round(t * 1000))) for t in (span.a, span.b)]
+    fresh = _read(_located(found.where(F.col("modificationTime").between(*at)), top, ignore or []))
+    kept = places.where(sure & ~F.col("modified_at_ms").between(span.a, span.b)).withColumns(ready)
+    return fresh.unionByName(kept.select(*fresh.columns))
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    rows = inspected(rows.withColumn("content_hash", F.sha2("content", 256)))
     fingerprint = F.sha2(F.to_json(F.struct("size", "modified_at_ms", "content_hash")), 256)
     text = F.when(F.col("read_status") == "ready", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
     return rows.withColumns({"fingerprint_hash": fingerprint, "text": text}).drop("content")

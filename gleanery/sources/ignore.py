@@ -8,6 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What a folder of work usually holds that nobody searches; a list given instead replaces it.
+USUAL = (
+    ".git/", ".hg/", ".svn/", "node_modules/", "bower_components/", "vendor/", "dist/", "build/", "out/", "target/", "coverage/", "__pycache__/", ".venv/", "venv/", ".tox/", ".nox/", ".cache/", ".gradle/", ".idea/",
+    ".vscode/", ".pytest_cache/", ".mypy_cache/", ".ruff_cache/", ".ipynb_checkpoints/", ".next/", ".nuxt/", ".terraform/", "tmp/", "temp/", "*.pyc", "*.class", "*.o", "*.so", "*.dll", "*.exe", "*.jar", "*.min.js",
+    "*.min.css", "*.map", "*.lock", "package-lock.json", "*.zip", "*.tar", "*.gz", "*.7z", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.webp", "*.ico", "*.pdf", "*.mp3", "*.mp4", "*.woff", "*.woff2", "*.ttf", "*.sqlite",
+    "*.parquet", "*.swp", ".DS_Store", "Thumbs.db", ".env", ".env.*", "*.pem", "*.key",
+)
+
+
 def glob_pattern(glob: str) -> str:
     """A regular expression for a glob: `*` and `?` stay within a segment, `**` does not; what lies below a match matches."""
     out = ""

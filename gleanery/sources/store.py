@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import TABLES, conformed, empty
 
@@ -29,7 +30,7 @@ class SnapshotStore:
         path, fs = self._path("CURRENT")
         if not fs.exists(path):
             top, _ = self._path()
-            pending = [x for x in (fs.listStatus(top) if fs.exists(top) else []) if x.getPath().getName().startswith("PENDING-")]
+            pending = [x for x in (fs.listStatus(top) if fs.exists(top) else []) if x.getPath().getName().startswith("PENDING-") and x.getLen() > 0]
             if not pending:
                 return {"name": None, "tables": {}}
             path = max(pending, key=lambda x: x.getModificationTime()).getPath()
@@ -45,15 +46,29 @@ class SnapshotStore:
             return empty(self.spark, table)
         return self.spark.read.schema(empty(self.spark, table).schema).parquet(f"{self.root}/{folder}/{table}")
 
-    def commit(self, frames: dict[str, DataFrame]) -> str:
-        """Replace the tables by frames; tables not named stay where they are, unread and unwritten."""
-        name, tables = f"snapshot-{uuid.uuid4().hex}", dict(self._pointer()["tables"])
+    def settings(self) -> dict[str, object]:
+        """The settings named by the last commit; empty if it named none."""
+        return self._pointer().get("settings") or {}
+
+    def manifest(self) -> DataFrame:
+        """files in the order of their paths' UTF-16 code units."""
+        return self.read("files").orderBy(F.encode("relative_path", "UTF-16BE"))
+
+    def of(self, table: str, ids: DataFrame, key: str = "file_id") -> DataFrame:
+        """The rows of a table whose key is among ids (a column of that name; repeats count once); chunks by file and place."""
+        found = self.read(table).join(ids.select(key), key, "left_semi")
+        return found.orderBy("file_id", "ordinal") if table == "chunks" else found
+
+    def commit(self, frames: dict[str, DataFrame], settings: dict[str, object] | None = None) -> str:
+        """Replace the tables by frames; tables not named stay where they are, unread and unwritten, as do settings not given."""
+        present = self._pointer()
+        name, tables = f"snapshot-{uuid.uuid4().hex}", dict(present["tables"])
         for table, frame in frames.items():
             conformed(frame, table).write.parquet(f"{self.root}/{name}/{table}")
             tables[table] = name
         pending, fs = self._path(f"PENDING-{uuid.uuid4().hex}")
         stream = fs.create(pending, True)
-        stream.write(bytearray(json.dumps({"name": name, "tables": tables}).encode()))
+        stream.write(bytearray(json.dumps({"name": name, "tables": tables, "settings": present.get("settings") if settings is None else settings}).encode()))
         stream.close()
         self._point(pending)
         return name

@@ -13,12 +13,12 @@ def reconcile(spark: SparkSession, root: str, indexer: Indexer, checkpoint: str,
     """A query that lists root at every tick and indexes what differs from the last snapshot.
 
     File streams tell of new paths alone; edits and deletions show when snapshots are compared. Ticks never overlap, and one
-    that finds nothing changed writes nothing. `report` gets each tick's numbers of files by decision.
+    that finds nothing changed writes nothing and reads no contents. `report` gets each tick's numbers of files by decision.
     """
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def tick(_, number: int) -> None:
-        counts = indexer.run(listed(spark, root, ignore))
+        counts = indexer.run(listed(spark, root, ignore, indexer.known()))
         if report is not None:
             report(number, counts)
 

@@ -1,6 +1,7 @@
 """Files as they are found on disk, and snapshots that survive a commit that breaks off."""
 
 import hashlib
+import os
 
 import pytest
 
@@ -67,3 +68,38 @@ def test_the_newest_pending_pointer_counts_where_the_present_one_is_lost(spark,
     name = store.commit({"files": empty(spark, "files")})
     (tmp_path / "s" / "CURRENT").rename(tmp_path / "s" / "PENDING-x")
     assert store.current() == name
+
+
+def test_a_file_of_the_same_size_and_exact_time_is_not_read_again(spark, tmp_path):
+    from gleanery.functions.embedding import DigestProvider
+    from gleanery.index import Indexer
+
+    root, exact, whole = tmp_path / "root", 1_700_000_000_123_000_000, 1_700_000_100_000_000_000
+    root.mkdir()
+    for name, at in (("exact.txt", exact), ("whole.txt", whole), ("later.txt", whole + 999_000_000)):
+        (root / name).write_text("first words")
+        os.utime(root / name, ns=(at, at))
+    indexer = Indexer(SnapshotStore(spark, str(tmp_path / "s")), DigestProvider())
+    tick = lambda: indexer.run(listed(spark, str(root), None, indexer.known()))
+    assert tick() == {"content": 3} and tick() == {"unchanged": 3}
+    for name, at in (("exact.txt", exact), ("whole.txt", whole)):
+        (root / name).write_text("other words")  # as long, at the same time
+        os.utime(root / name, ns=(at, at))
+    assert tick() == {"content": 1, "unchanged": 2}  # a time of whole seconds is not trusted
+    (root / "later.txt").write_text("words that differ")
+    (root / "new.txt").write_text("new words")
+    assert tick() == {"content": 2, "unchanged": 2}
+    assert [r.relative_path for r in indexer.store.manifest().collect()] == ["exact.txt", "later.txt", "new.txt", "whole.txt"]
+    ids = indexer.store.read("files").where("relative_path = 'new.txt'").select("file_id")
+    assert [r.relative_path for r in indexer.store.of("chunks", ids.union(ids)).collect()] == ["new.txt"]
+    other = Indexer(indexer.store, DigestProvider(64))
+    assert other.differing() == ["provider", "dimension"] and other.known().count() == 0
+    assert other.run(listed(spark, str(root), None, other.known())) == {"content": 4} and other.differing() == []
+    assert other.store.read("chunks").where("size(vector) != 64").count() == 0
+
+
+def test_usual_ignores(spark):
+    from gleanery.sources.ignore import USUAL, ignored
+
+    rows = spark.createDataFrame([("src/a.py",), ("node_modules/x/y.js",), ("web/dist/app.js",), ("a/b.min.js",), ("targets/x.md",)], "path string")
+    assert {r.path for r in rows.where(~ignored(rows.path, list(USUAL))).collect()} == {"src/a.py", "targets/x.md"}
