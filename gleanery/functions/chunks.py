@@ -42,7 +42,11 @@ class Packer:
     def _cut(self, unit: dict, start: int) -> int:
         """Where the longest text from `start` that fits ends: at white space if that lies in its last two fifths."""
         text, limit = unit["search_text"], self.config.chunk_size_tokens
-        end = start + bisect_right(range(start + 1, len(text) + 1), limit, key=lambda e: self.full(unit, text[start:e]))
+        reach = 8 * limit  # counts grow with the text, so only as much as may fit is ever counted
+        while start + reach < len(text) and self.full(unit, text[start : start + reach]) <= limit:
+            reach *= 2
+        places = range(start + 1, min(len(text), start + reach) + 1)
+        end = start + bisect_right(places, limit, key=lambda e: self.full(unit, text[start:e]))
         if end == start:
             return start + 1
         if end < len(text):
@@ -120,8 +124,8 @@ class Packer:
         return chunks
 
 
-def chunked(units: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
-    """Chunks of documents from their units (file_id, relative_path, format and the columns of a unit).
+def chunked(units: DataFrame, config: IndexConfig = IndexConfig(), count: Callable[[str], int] = count_tokens) -> DataFrame:
+    """Chunks of documents from their units (file_id, relative_path, format and the columns of a unit), sized by `count`.
 
     A document's units meet in one row, as a document is packed in order; documents are independent. A document that cannot be
     packed has one row with last_error instead of chunks.
@@ -136,7 +140,7 @@ def chunked(units: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
         for path, fmt, own in zip(paths, formats, listed):
             try:
                 plain = [dict(u) | {"heading_trail": list(u["heading_trail"]), "symbols": list(u["symbols"])} for u in own]
-                out.append((Packer(path, fmt, config).pack(plain), None))
+                out.append((Packer(path, fmt, config, count).pack(plain), None))
             except ValueError as error:
                 out.append(([], f"CHUNKING_FAILED: {error}"))
         return pd.DataFrame(out, columns=["pieces", "error"])

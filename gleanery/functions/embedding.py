@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .chunks import count_tokens
+
 #: Word stems of like meaning, a dimension each; any word that begins with one counts. Others can be given to the provider.
 CONCEPTS = (
     ("retr", "attempt", "again", "resend"),
@@ -24,6 +27,36 @@ CONCEPTS = (
 )
 
 
+@dataclass(frozen=True)
+class Profile:
+    """How a model wants its inputs, and how many tokens of them go to it at once."""
+
+    max_tokens: int = 512
+    batch_rows: int = 256
+    batch_tokens: int = 65_536  # rows of a batch times its longest
+    document_prefix: str = ""
+    query_prefix: str = ""
+    suffix: str = ""
+
+    def __post_init__(self):
+        if min(self.max_tokens, self.batch_rows, self.batch_tokens) < 1:
+            raise ValueError("a profile's numbers must be positive")
+
+    def composed(self, text: str, query: bool = False) -> str:
+        return (self.query_prefix if query else self.document_prefix) + text + self.suffix
+
+    def batches(self, counts: Sequence[int]) -> Iterator[range]:
+        """Consecutive texts of these token counts, as many as both bounds allow; a text too large for them goes alone."""
+        first, longest = 0, 0
+        for place, count in enumerate(counts):
+            longest = max(longest, count)
+            if place > first and (place - first == self.batch_rows or longest * (place - first + 1) > self.batch_tokens):
+                yield range(first, place)
+                first, longest = place, count
+        if first < len(counts):
+            yield range(first, len(counts))
+
+
 class Provider(Protocol):
     name: str
     dimension: int
@@ -86,7 +119,7 @@ def pooled(tokens: np.ndarray, mask: np.ndarray, how: str = "mean", size: int |
     return unit_rows(rows[:, : size or rows.shape[1]])
 
 
-def embedded(text: Column, provider: Provider, batch: int = 256) -> Column:
+def embedded(text: Column, provider: Provider, profile: Profile = Profile()) -> Column:
     """array<float> of each text; a text that the provider refuses gets null, and its neighbours do not."""
 
     @F.pandas_udf("array<float>")
@@ -98,8 +131,9 @@ def embedded(text: Column, provider: Provider, batch: int = 256) -> Column:
                 return [None] if len(texts) == 1 else [v for t in texts for v in vectors([t])]
 
         for column in parts:
-            texts = [t or "" for t in column]
-            yield pd.Series([v for k in range(0, len(texts), batch) for v in vectors(texts[k : k + batch])], dtype=object)
+            texts = [profile.composed(t or "") for t in column]
+            made = [v for some in profile.batches([count_tokens(t) for t in texts]) for v in vectors(texts[some.start : some.stop])]
+            yield pd.Series(made, dtype=object)
 
     return embed(text)
 

@@ -1,9 +1,13 @@
-"""Columns over text: terms, phrases, token counts, identities and matches. All of them are built-in expressions."""
+"""Columns over text: terms, phrases, token counts, identities and matches. All but `anchor_id` are built-in expressions."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import FIELD_WEIGHTS, KIND_WEIGHTS
 
@@ -135,6 +139,17 @@ def enriched(path: Column, language: Column, headings: Column, symbols: Column,
     return F.concat(lines, F.lit("\n\n"), text)
 
 
+@F.pandas_udf(StringType())
+def _decomposed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+
+def anchor_id(heading: Column) -> Column:
+    """A heading as the fragment that links to it: letters and digits in lower case, words joined by hyphens."""
+    kept = F.regexp_replace(F.lower(_decomposed(heading)), r"[^\p{L}\p{N}\s-]", "")
+    return F.regexp_replace(js_trim(kept), r"[\s-]+", "-")
+
+
 def anchor_safe(pattern: str) -> str | None:
     """Why a regular expression is refused for searching in files; None if it is fine."""
     import re

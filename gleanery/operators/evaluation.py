@@ -2,9 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import js_trim
+
+
+# Kinds of judged queries.
+CATEGORIES = ("filename-path", "symbol-config", "error-message", "concept", "synonym", "mixed")
+
+JUDGMENTS = """version int, name string, corpus string, judgments array<struct<id:string,query:string,expectedFiles:array<string>,category:string,
+rationale:string,relevantSections:map<string,array<string>>>>"""
+
+
+def judgments(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, query, category, rationale, item and sections (may be null) of judgment files (JSON), a row an expected file.
+
+    ValueError names the files or judgments that are incomplete, repeat an id or name sections of files that are not expected.
+    """
+    sets = spark.read.schema(JUDGMENTS).option("multiLine", True).json(path)
+    blank = lambda c: c.isNull() | (js_trim(c) == "")
+    strings = lambda c: c.isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: ~blank(x))
+    whole = (F.col("version") == 1) & ~blank(F.col("name")) & ~blank(F.col("corpus")) & (F.size("judgments") > 0)
+    refused = sets.where(~F.coalesce(whole, F.lit(False))).limit(1).count()
+    if refused or sets.isEmpty():
+        raise ValueError("a judgment set is incomplete or of another version")
+    each = sets.select(F.inline("judgments"))
+    sections = F.col("relevantSections")
+    placed = F.forall(F.map_entries(sections), lambda e: strings(e["value"]) & F.array_contains("expectedFiles", e["key"]))
+    good = ~blank(F.col("id")) & ~blank(F.col("query")) & ~blank(F.col("rationale")) & strings(F.col("expectedFiles")) & F.col("category").isin(*CATEGORIES) & (sections.isNull() | placed)
+    judged = each.groupBy("id").agg(F.count("*").alias("n"), F.min(F.coalesce(good, F.lit(False)).cast("int")).alias("good"))
+    wrong = [r.id for r in judged.where("n > 1 or good = 0").orderBy("id").limit(10).collect()]
+    if wrong:
+        raise ValueError(f"judgments that are invalid or repeat an id: {wrong}")
+    return each.select(F.col("id").alias("query_id"), "query", "category", "rationale", F.explode(F.array_distinct("expectedFiles")).alias("item"), sections.alias("sections")).withColumn("sections", F.try_element_at("sections", F.col("item")))
+
+
+def remaining_ms(done: Column, total: Column, elapsed_ms: Column) -> Column:
+    """Milliseconds left if the rest goes as fast as what is done; null before the first and after the last."""
+    return F.when((done > 0) & (done < total), F.floor(F.greatest(elapsed_ms, F.lit(0)) / done * (total - done) + 0.5))
+
 
 def query_metrics(expected: DataFrame, ranked: DataFrame) -> DataFrame:
     """query_id, recall_5, recall_10, reciprocal_rank, distinct_ratio from expected (query_id, item) and ranked (query_id, item, rank)."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.chunks import chunked
 from ..operators import evaluation, grep, lines, maintenance
 from ..streaming import sessions
 from .retrieval import table
@@ -37,6 +38,13 @@ def markdown_units(spark, sf_dir):
     return units.select("file_id", "kind", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.size("heading_trail").cast("long").alias("depth"), F.length("search_text").cast("long").alias("n_chars"))
 
 
+def chunk_documents(spark, sf_dir):
+    """Every document's lines packed into chunks as an index holds them."""
+    units = lines.fallback_units(lines.line_table(files(spark, sf_dir)))
+    made = chunked(units.withColumns({"relative_path": F.concat(F.col("file_id").cast("string"), F.lit(".txt")), "format": F.lit("text")}))
+    return made.select(F.col("file_id").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("token_count").cast("long").alias("tokens"), F.md5("search_text").alias("text_md5"), "last_error")
+
+
 def html_title_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", lines.html_title(F.col("html")).alias("title"), F.md5(lines.html_title(F.col("html"))).alias("title_md5"))
 
@@ -92,11 +100,12 @@ def token_count_unicode(spark, sf_dir):
 
 
 def token_bucket_padding(spark, sf_dir):
-    """Useful and padded tokens of texts dealt to input shapes of an eighth to the whole of 8192 tokens."""
-    tokens = F.least(T.unicode_token_count(F.col("text")), F.lit(8192)).cast("long")
+    """Useful and padded tokens of texts dealt to input shapes of an eighth to the whole of 8192 tokens, and what is beyond that."""
+    whole = T.unicode_token_count(F.col("text")).cast("long")
+    tokens = F.least(whole, F.lit(8192)).cast("long")
     bucket = F.expr("case when tokens <= 1024 then 1024 when tokens <= 2048 then 2048 when tokens <= 4096 then 4096 when tokens <= 6144 then 6144 else 8192 end").cast("long")
-    counted = table(spark, sf_dir, "documents").select(tokens.alias("tokens")).withColumn("bucket", bucket)
-    return counted.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum("tokens").alias("useful"), F.sum("bucket").alias("padded"), F.round(F.sum("tokens") / F.sum("bucket"), 6).alias("fill"))
+    counted = table(spark, sf_dir, "documents").select(tokens.alias("tokens"), (whole - tokens).alias("beyond")).withColumn("bucket", bucket)
+    return counted.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum("tokens").alias("useful"), F.sum("bucket").alias("padded"), F.sum("beyond").alias("beyond"), F.round(F.sum("tokens") / F.sum("bucket"), 6).alias("fill"))
 
 
 def file_identity_hash(spark, sf_dir):
@@ -289,7 +298,7 @@ _MIMES = " ".join(f"when '{e}' then '{m}'" for e, (_, m) in T.EXTENSIONS.items()
 QUERIES = {
     f.__name__: f
     for f in (
-        line_table, fallback_line_units, csv_records, markdown_units, html_title_text, html_units, xml_records, code_declarations, highlight_ranges, grep_lines, grep_matches, json_records, token_count_unicode, token_bucket_padding, file_identity_hash, fake_embedding,
+        line_table, fallback_line_units, chunk_documents, csv_records, markdown_units, html_title_text, html_units, xml_records, code_declarations, highlight_ranges, grep_lines, grep_matches, json_records, token_count_unicode, token_bucket_padding, file_identity_hash, fake_embedding,
         format_dispatch, ignore_glob_filter, scan_diff_classify, scan_progress, commit_visibility, vector_reuse_multiset, replace_by_key, delete_by_key, metadata_only_update, change_feed_apply, dedupe_max_score, debounce_sessions,
         reconcile_wake, event_replay, latency_distribution, stage_throughput, count_by_format, corpus_rollup, section_hit, set_operations, json_leaves, enriched_text,
     )
@@ -316,9 +325,9 @@ SQL = {
       select file_id, line, matches, length(regexp_extract(text, '(?is)^(.*?)\\b(?:released|license|token)\\b', 1)) + 1 as column_no from found where matches > 0""",
     "json_records": "with k as (select event_id, unnest(json_keys(props)) as symbol, props from events) select event_id, symbol, symbol || ': ' || json_extract_string(props, '$.' || symbol) as search_text from k",
     "token_count_unicode": "select doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\s]')) + 2 as tokens from documents",
-    "token_bucket_padding": """with c as (select least(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\s]')) + 2, 8192) as tokens from documents),
-      b as (select tokens, (case when tokens <= 1024 then 1024 when tokens <= 2048 then 2048 when tokens <= 4096 then 4096 when tokens <= 6144 then 6144 else 8192 end)::bigint as bucket from c)
-      select bucket, count(*) as texts, sum(tokens)::bigint as useful, sum(bucket)::bigint as padded, round(sum(tokens) / sum(bucket), 6) as fill from b group by 1""",
+    "token_bucket_padding": """with w as (select len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\s]')) + 2 as whole from documents), c as (select least(whole, 8192) as tokens, whole from w),
+      b as (select tokens, whole - tokens as beyond, (case when tokens <= 1024 then 1024 when tokens <= 2048 then 2048 when tokens <= 4096 then 4096 when tokens <= 6144 then 6144 else 8192 end)::bigint as bucket from c)
+      select bucket, count(*) as texts, sum(tokens)::bigint as useful, sum(bucket)::bigint as padded, sum(beyond)::bigint as beyond, round(sum(tokens) / sum(bucket), 6) as fill from b group by 1""",
     "file_identity_hash": "select doc_id, sha256('file-v1' || chr(0) || sha256('canonical-root-v1' || chr(0) || '/corpus') || chr(0) || source || '/' || doc_id || '.txt') as file_id, sha256(text) as content_hash from documents",
     "fake_embedding": """with r as (select doc_id, list_transform(range(32), lambda i: ('0x' || substr(sha256(text), (2 * i + 1)::int, 2))::int / 127.5::double - 1) as raw from documents),
       n as (select doc_id, raw, sqrt(list_sum(list_transform(raw, lambda x: x * x))) as length from r)
