@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
+from itertools import islice
 
 import regex
 
@@ -39,16 +40,22 @@ def split_pieces(text: str) -> tuple[list[str], bool]:
 #: Signs that are a pre-token by themselves behind letters.
 _STOPS = frozenset(",.;:!?")
 
+#: Pieces of more letters are not remembered: they hardly come again, and one may be as long as its text.
+LONGEST_KEPT = 64
+#: Bytes that a kept piece takes at most: two objects and a place in a table, four bytes a letter and twelve for its ids.
+_SLOT, _LETTER = 250, 16
+
 
 class PieceEncoder:
     """Values (bytes or counts) of whole texts from the values of their pre-tokens.
 
     `encode_many` maps a list of distinct pre-tokens to their values; `total` adds the values of consecutive pre-tokens up.
-    What it made is kept for later texts, up to about `capacity` pieces; beyond that it starts afresh, so memory is bounded.
+    What it made of pieces of at most LONGEST_KEPT letters is kept for later texts, in at most `capacity` bytes; beyond that it
+    starts afresh, so memory is bounded by that and the current batch of texts.
     `special` are strings that are pre-tokens of their own wherever they stand.
     """
 
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable], total: Callable, special: Sequence[str] = (), capacity: int = 300_000):
+    def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable], total: Callable, special: Sequence[str] = (), capacity: int = 256 << 20):
         self._find = regex.compile(pattern).findall
         self._strings = tuple(special)
         self._special = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
@@ -56,6 +63,7 @@ class PieceEncoder:
         self._tokens: dict[str, object] = {}
         self._plain: dict[str, object] = {}
         self._spaced: dict[str, object] = {}
+        self._held = 0
 
     def _pretokens(self, lead: str, piece: str, special: bool) -> list[str]:
         if piece.isalpha():  # letters alone, as most pieces: one pre-token
@@ -81,9 +89,12 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list:
         """The value of each text."""
-        for book in (self._tokens, self._plain, self._spaced):
-            if len(book) > self._capacity:
+        books = (self._tokens, self._plain, self._spaced)
+        if self._held > self._capacity:
+            self._held = 0
+            for book in books:
                 book.clear()
+        known = [len(book) for book in books]
         special = any(string in text for string in self._strings for text in texts)
         plain: set[str] = set()
         spaced: set[str] = set()
@@ -99,14 +110,22 @@ class PieceEncoder:
             if missing := list(seen - book.keys()):
                 self._learn(book, missing, lead, special)
         total, one, other = self._total, self._plain.__getitem__, self._spaced.__getitem__
-        return [total((total(map(one, first)), total(map(other, rest)))) for first, rest in cut]
+        found = [total((total(map(one, first)), total(map(other, rest)))) for first, rest in cut]
+        for book, n in zip(books, known):
+            new = list(islice(reversed(book), len(book) - n))  # the last that came
+            for piece in [piece for piece in new if len(piece) > LONGEST_KEPT]:
+                del book[piece]
+            kept = list(islice(reversed(book), len(book) - n))
+            self._held += _SLOT * len(kept) + _LETTER * sum(map(len, kept))
+        return found
 
 
 class PieceBook(dict):
     """Values (bytes) of pieces behind `lead`, made when first asked for.
 
     `value` gives that of one pre-token. A book of more than `capacity` pieces is followed by an empty one, which takes over what
-    is asked for again: common pieces stay, rare ones go, and memory is bounded by two books.
+    is asked for again: common pieces stay, rare ones go, and memory is bounded by two books of pieces of at most LONGEST_KEPT
+    letters.
     """
 
     def __init__(self, lead: str, pretokens: Callable[[str], Iterable[str]], value: Callable[[str], bytes], capacity: int, old: dict | None = None):
@@ -129,5 +148,6 @@ class PieceBook(dict):
                 found = self[piece[:-1]] + self.value(piece[-1])
             else:
                 found = b"".join(map(self.value, self.pretokens(self.lead + piece)))
-        self[piece] = found
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = found
         return found

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .bpe_rounds import op13_bpe_rounds
 from .graph_dedup import op1_vector_dedup
 from .language_id import op9_language_id
 from .mixing import OP4_SQL, op4_mixing
@@ -32,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
         "op10_token_store": op10_token_store,
+        "op13_bpe_rounds": op13_bpe_rounds,
     }
 
 
