@@ -17,6 +17,7 @@ from .simhash import op7_simhash
 from .toxicity import op6_toxicity
 from .token_counts import op5_token_counts
 from .token_store import op10_token_store
+from .whitening import op12_whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
         "op10_token_store": op10_token_store,
+        "op12_whitening": op12_whitening,
         "op13_bpe_rounds": op13_bpe_rounds,
     }
 
