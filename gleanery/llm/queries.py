@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
 from .bpe_rounds import op13_bpe_rounds
+from .divergence import OP11_SQL, op11_source_divergence
 from .graph_dedup import op1_vector_dedup
 from .language_id import op9_language_id
 from .mixing import OP4_SQL, op4_mixing
@@ -34,10 +35,11 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
         "op10_token_store": op10_token_store,
+        "op11_source_divergence": op11_source_divergence,
         "op12_whitening": op12_whitening,
         "op13_bpe_rounds": op13_bpe_rounds,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL}
+    return {"op4_mixing": OP4_SQL, "op11_source_divergence": OP11_SQL}
