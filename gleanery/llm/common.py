@@ -51,15 +51,20 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few_broadcast(table: DataFrame, limit: int = 100_000) -> DataFrame:
+    """table, marked for broadcast if it has at most `limit` rows. For narrow tables: ids, names, counts."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+
+
 def sampled_by_group(rows: DataFrame, group: str, limit: Column, spare: int = 4) -> DataFrame:
     """Of each group the first `limit` rows (of its value) by a hash of id; group and id are columns. rows is read twice.
 
     Counts by group say which hashes come too late to be among the first, so a group's last choice sees about `spare` times its
-    limit, whatever its size. One row a group is broadcast: groups are as many as the caller has bounded.
+    limit, whatever its size. One row a group is broadcast where they are few; else Spark joins them by its own measure.
     """
     spread = F.xxhash64("id", F.lit(11)).cast("double") / 2.0**64 + 0.5
     counts = rows.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
-    early = rows.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("__group"))).where(spread * F.col("__n") <= spare * limit + 64)
+    early = rows.join(few_broadcast(counts), F.col(group).eqNullSafe(F.col("__group"))).where(spread * F.col("__n") <= spare * limit + 64)
     first = Window.partitionBy(group).orderBy(F.xxhash64("id", F.lit(11)), "id")
     return early.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= limit).drop("__at", "__n", "__group")
 

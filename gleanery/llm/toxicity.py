@@ -366,7 +366,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), hel
     """The network learnt from at most `positives` and `negatives` labelled documents, the first by a hash of their id.
 
     Rows with a null id, text or label and held-out ones are not learnt from; several labels of a document count as their
-    largest. Only the chosen documents' texts come to the driver: in the order of that hash, as many as `sample_chars` hold.
+    largest. Only the chosen documents' texts come to the driver, in the order of that hash: those that `sample_chars` leave room
+    for. A text that is longer than what is left is passed over, and those behind it have their turn.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     marked = marked if held_out is None else marked.where(~held_out)
@@ -377,10 +378,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), hel
     order = [F.crc32(F.col("id").cast("string").cast("binary")), F.col("id").cast("string")]
     rows, held = [], 0
     for row in written(found, "labelled-sample").orderBy(*order).toLocalIterator():
-        held += len(row.text)
-        if held > settings.sample_chars:
-            break
-        rows.append(row)
+        if held + len(row.text) <= settings.sample_chars:
+            held += len(row.text)
+            rows.append(row)
     return train([r.text for r in rows], [r.label for r in rows], settings)
 
 
