@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, sampled_by_group
+from .common import few_broadcast, read_table, sampled_by_group, written
 
 UNDETERMINED = "und"
 _GAP = 1  # stands for what is no letter; no letter has this code point
@@ -73,19 +73,21 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
-def _learnt_from(docs: DataFrame, docs_per_language: int, max_languages: int, held_out: Column | None, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
+def _learnt_from(docs: DataFrame, docs_per_language: int, max_languages: int | None, held_out: Column | None, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, lang, text) to learn from, and the ids and languages chosen among them."""
     usable = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     pool = docs.where(usable if held_out is None else usable & ~held_out).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    known = pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
-    ids = pool.select("id", "lang").distinct().join(F.broadcast(known), "lang", "left_semi")
-    return pool, sampled_by_group(ids, "lang", F.lit(docs_per_language))
+    ids = pool.select("id", "lang").distinct()
+    if max_languages is not None:
+        ids = ids.join(pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang"), "lang", "left_semi")
+    return pool, few_broadcast(written(sampled_by_group(ids, "lang", F.lit(docs_per_language)), "chosen"))
 
 
-def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 500, max_languages: int = 1000, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> RankProfiles:
+def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 500, max_languages: int | None = None, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> RankProfiles:
     """Profiles from at most `docs_per_language` documents of each language, the first by a hash of their id.
 
-    Languages are the `max_languages` most frequent ones (ties by name): what else stands in the column is not learnt.
+    Every language in the column is learnt, however many there are: the model has `size` codes of each. Only a caller that names
+    `max_languages` gets no more than so many, the most frequent ones (ties by name).
 
     Only ids and labels are read to choose them; n-grams are counted where the texts are. Rows with a null id, text or label
     are not learnt from. The driver receives `size` codes a language.
@@ -98,8 +100,7 @@ def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 500,
                 codes, n = np.unique(np.concatenate([ngrams(text) for text in texts]), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
 
-    # docs_per_language * max_languages ids are broadcast at most
-    counted = pool.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text").mapInPandas(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = pool.join(chosen, ["id", "lang"], "left_semi").select("lang", "text").mapInPandas(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     rows = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size).select("lang", "code", "rank").collect()
     profiles: dict[str, list[int]] = {}
@@ -132,10 +133,10 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
 
 
-def least_score(docs: DataFrame, profiles: RankProfiles, docs_per_language: int = 500, max_languages: int = 1000, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+def least_score(docs: DataFrame, profiles: RankProfiles, docs_per_language: int = 500, max_languages: int | None = None, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
     """Half the score that all but a hundredth of the learned documents with letters reach: what is below is like no language learnt."""
     pool, chosen = _learnt_from(docs, docs_per_language, max_languages, held_out, id_col, text_col, lang_col)
-    learned = pool.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select(predicted(docs.sparkSession, F.col("text"), profiles).alias("found"))
+    learned = pool.join(chosen, ["id", "lang"], "left_semi").select(predicted(docs.sparkSession, F.col("text"), profiles).alias("found"))
     row = learned.where(F.col("found.lang_pred") != UNDETERMINED).agg(F.percentile_approx("found.score", 0.01, 10000)).first()
     return (row[0] or 0.0) / 2
 
