@@ -18,6 +18,7 @@ import hashlib
 import json
 import os
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -113,9 +114,10 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0, level: int = 3, dictionary_size: int = 1 << 16, sample_docs: int = 1000, sample_chars: int = 1 << 14, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append end_id and write the store.
 
-    The dictionary is trained on at most `sample_docs` documents of at most `sample_chars` characters, the first by a hash of
-    their id; it bears on size only, and every document is compressed with it. Null ids come first; a null text is empty (its
-    one id is end_id); rows of one id lie together, shorter first; an empty table gives a store without blocks.
+    The dictionary is trained on at most `sample_docs` documents, the first by a hash of their id, of longer ones on a stretch of
+    `sample_chars` characters at a place by that hash; it bears on size only, and every document is compressed with it. Null ids
+    come first; a null text is empty (its one id is end_id); rows of one id lie together, over as many shards as they fill and
+    within each the shorter first; an empty table gives a store without blocks.
     """
     spark = docs.sparkSession
     with open(tokenizer_json, encoding="utf-8") as file:
@@ -138,16 +140,19 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
             yield pd.Series(list(serialized(encoder, texts)), dtype=object)
 
     # at most sample_docs ids are broadcast
-    short = rows.where(F.length("text") <= sample_chars)
-    chosen = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    samples = short.join(F.broadcast(chosen), "doc_id", "left_semi").select(sampled("text").alias("ids")).limit(sample_docs).collect()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - sample_chars + 1, F.lit(1))).cast("int") + 1
+    stretches = rows.where("text is not null").select("doc_id", F.substring("text", place, sample_chars).alias("text"))
+    chosen = rows.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    samples = stretches.join(F.broadcast(chosen), "doc_id", "left_semi").select(sampled("text").alias("ids")).limit(sample_docs).collect()
     data = train_dictionary(sorted(bytes(x.ids) for x in samples), dictionary_size)
     name = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(name, data, width)], "hash string, data binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 10 * shards)).first()[0]
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    lowest = -(1 << 63)  # where null ids stand
+    number = F.coalesce("doc_id", F.lit(lowest))
+    cuts = rows.agg(F.percentile_approx(number, [k / shards for k in range(1, shards)], 10 * shards)).first()[0]
+    bounds = np.array(cuts or [], np.int64)
     shared = spark.sparkContext.broadcast((data, bounds))  # bounded: dictionary_size and one number a shard
 
     @F.pandas_udf("shard int, n long, frame binary")
@@ -156,11 +161,13 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
         data, bounds = shared.value
         compress = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(data)).compress
         for ids, texts in parts:
-            shard = np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="left"))
             counts, frames = [], []
             for own in serialized(encoder, texts):
                 counts.append(len(own) // width)
                 frames.append(compress(own))
+            shard, end_shard = np.searchsorted(bounds, ids.to_numpy(), side="left"), np.searchsorted(bounds, ids.to_numpy(), side="right")
+            spread = np.array([zlib.crc32(frame) for frame in frames], np.int64)  # an id that several cuts fall on fills their shards
+            shard = shard + spread % np.maximum(1, end_shard - shard)
             yield pd.DataFrame({"shard": shard.astype("int32"), "n": np.array(counts, np.int64), "frame": pd.Series(frames, dtype=object)})
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +193,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
         if held:
             yield row()
 
-    encoded = rows.select("doc_id", packed("doc_id", "text").alias("x")).select("doc_id", "x.*")
+    encoded = rows.select("doc_id", packed(number, "text").alias("x")).select("doc_id", "x.*")
     dealt = encoded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", F.xxhash64("frame"))
     dealt.mapInPandas(blocks, _BLOCK).write.parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n_docs"), F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n_tokens"))
