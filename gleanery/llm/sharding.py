@@ -28,8 +28,8 @@ def _lookup(values: dict[int, int] | list[int], shard) -> F.Column:
     return F.get(F.array(*[F.lit(int(v)).cast("long") for v in listed]), shard)
 
 
-def _round(state: DataFrame, quota: list[int], count: int, largest: int) -> tuple[DataFrame, int]:
-    """Labels after one round, and how many documents moved; groups of over `largest` rows do not ask. Shard counts alone come to the driver."""
+def _round(state: DataFrame, quota: list[int], count: int) -> tuple[DataFrame, int]:
+    """Labels after one round, and how many documents moved. Shard counts alone come to the driver."""
     linked = state.where("linked")
     held = {r.label: r.n for r in linked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     room = _room(held, quota)
@@ -37,7 +37,7 @@ def _round(state: DataFrame, quota: list[int], count: int, largest: int) -> tupl
     # each group's fullest shards that have room, as many as could hold it all; most groups need one. A group has a row a shard.
     fullest = Window.partitionBy("text_key").orderBy(F.desc("n"), "label").rowsBetween(Window.unboundedPreceding, -1)
     spread = spread.withColumn("before", F.coalesce(F.sum(F.col("n") + F.col("room")).over(fullest), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("text_key")))
-    wanted = spread.where(f"before < total and total <= {largest}").groupBy("text_key").agg(F.array_sort(F.collect_list("label")).alias("targets"))
+    wanted = spread.where("before < total").groupBy("text_key").agg(F.array_sort(F.collect_list("label")).alias("targets"))
     asked = linked.join(wanted, "text_key").where(~F.array_contains("targets", F.col("label")) & (_lookup(room, F.col("label")) > 0))
     asked = asked.withColumn("to", F.get("targets", F.pmod("key", F.size("targets")).cast("int"))).drop("targets")
     asked = running_totals(asked.withColumn("one", F.lit(1).cast("long")), ["to"], "key", "one", "turn", count, ("doc_id", "text_key"))
@@ -125,8 +125,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, large_share: int = 8,
     8, and the CRC-32 of nothing). slot counts each shard's rows from 0; grown_shard is null under this law. Null ids and
     repeated rows are rows like any other; other columns of docs are ignored. An empty table gives an empty result.
 
-    Rounds go on until one cuts no fewer rows than the one before. Groups of more than a `large_share`-th of a shard are placed
-    when the rounds are over, before the others, as they need the room. `report` gets the rows moved by each round and the rows
+    Rounds go on until one cuts no fewer rows than the one before. Groups of any size ask for as many shards as they fill. What
+    stays cut is packed when the rounds are over, groups of more than a `large_share`-th of a shard first, as they need the room,
+    and they leave a shard that others fill. `report` gets the rows moved by each round and the rows
     cut before it, then the rows that packing and evening out leave cut.
 
     Groups of any size are met only as counts by shard; turns and slots come from running_totals. Each state is written to the
@@ -147,7 +148,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, large_share: int = 8,
     state = written(rows.join(groups, "text_key", "left").select(*rows.columns, start.alias("label"), F.coalesce("more", F.lit(False)).alias("linked")), "state")
     largest, report, cut = max(1, quota[0] // large_share), [] if report is None else report, cut_rows(state)
     while cut:
-        after, moved = _round(state, quota, count, largest)
+        after, moved = _round(state, quota, count)
         after = written(after, "state")
         left = cut_rows(after)
         report.append({"moved": moved, "cut": cut})
