@@ -675,3 +675,46 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    settings = toxicity.Settings(sample_chars=100_000)
+    draw = random.Random(3)
+    rows = [(k, f"{'you vile idiot' if k % 3 == 0 else 'a calm day'} {draw.choice('abc')} {'filler text ' * 5}", None, None) for k in range(120)]
+    early = min((k for k in range(5000, 9000) if zlib.crc32(str(k).encode()) % 5), key=lambda k: zlib.crc32(str(k).encode()))
+    docs = documents(spark, [*rows, (early, "long " * 30_000, None, None)])
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)] + [(early, 0)], "doc_id long, toxic int")
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels, settings).collect()}
+    assert sum(found[k] for k in range(0, 120, 3)) >= 36 and sum(found[k] for k in range(120) if k % 3) <= 4
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than documents of any: all have a profile."""
+    rows = [(k, chr(0x3041 + k % 80) * 3 + " " + chr(0x4E00 + k % 80) * 3, f"l{k % 80}", None) for k in range(240)]
+    profiles = language_id.fit_profiles(documents(spark, rows), docs_per_language=2)
+    assert sorted(profiles.languages) == sorted({f"l{k}" for k in range(80)})
+
+
+def test_store_of_one_id_and_of_long_texts(spark, tmp_path, library):
+    """A third of the rows share an id, another third have none: they lie in order over several shards."""
+    draw = random.Random(12)
+    words = lambda: " ".join(draw.choice(["stone", "river", "cloud", "ember"]) for _ in range(draw.randint(1, 3000)))
+    rows = [(None if k % 3 == 0 else 40 if k % 3 == 1 else k, words(), None, None) for k in range(150)]
+    token_store.write_store(documents(spark, rows), str(tmp_path / "s"), JSON, sample_chars=500)
+    assert spark.read.parquet(str(tmp_path / "s/blocks")).where("first is not null").select("shard").distinct().count() > 8
+    found = [tuple(r) for r in token_store.digests(token_store.read_store(spark, str(tmp_path / "s"))).collect()]
+    found.sort(key=lambda r: r[1])
+    assert [r[0] for r in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for _, start, n, *_ in found:
+        assert start == at
+        at += n
+    expect = {}
+    for i, text, *_ in rows:
+        ids = [*library[1].encode(text, add_special_tokens=False).ids, 0]
+        expect.setdefault(i, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    got = {}
+    for i, _, n, crc in found:
+        got.setdefault(i, []).append((n, crc))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in expect.items()}
+    assert len(spark.read.parquet(str(tmp_path / "s/dictionary")).first().data) > 0
