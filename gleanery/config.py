@@ -39,7 +39,8 @@ class SearchConfig:
     max_distance: float = 0.9
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
-    max_batch: int = 1000  # queries of a block: their terms and vectors are broadcast; more are asked block by block
+    max_batch: int = 1000  # queries of a block, whose vectors are one matrix; more are asked block by block
+    cell_probes: float = 0.125  # the part of all cells that a vector query looks into
 
     def __post_init__(self):
         counts = ("default_files", "max_files", "max_query_units", "max_formats", "vector_candidates", "bm25_candidates", "metadata_candidates", "metadata_chunks_per_file", "excerpts_per_file", "max_batch")
@@ -54,6 +55,8 @@ class SearchConfig:
         for name in ("supplemental_cap", "supplemental_decay"):
             if not 0 <= getattr(self, name) <= 1:
                 raise SearchError("SEARCH_CONFIG_INVALID", f"{name} must lie between 0 and 1")
+        if not 0 < self.cell_probes <= 1:
+            raise SearchError("SEARCH_CONFIG_INVALID", "cell_probes must lie above 0, up to 1")
         if not 0 <= self.max_distance <= 2 or self.fuzzy_max_distance < 0:
             raise SearchError("SEARCH_CONFIG_INVALID", "distances are out of range")
 
@@ -67,6 +70,8 @@ class IndexConfig:
     extractor_version: int = 1
     schema_version: int = 2
     embedding_input_version: int = 1
+    cells_from: int = 20_000  # vectors; below, a search compares all of them
+    cells_recall: float = 0.95
 
     def __post_init__(self):
         if self.chunk_size_tokens < 1 or self.max_tokens < 1:

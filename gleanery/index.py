@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .config import IndexConfig
 from .functions.chunks import chunked
 from .functions.embedding import Provider, embedded
-from .operators import lines
+from .operators import cells, lines
 from .operators.retrieval import lengths, postings
-from .operators.maintenance import deleted, index_decision, replaced, reuse_vectors
+from .operators.maintenance import deleted, index_decision, reuse_vectors
+from .scratch import kept
 from .session import safe_unions
-from .sources.store import SnapshotStore
+from .sources.store import Snapshot, SnapshotStore
 
 
 def extracted(files: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def extracted(files: DataFrame) -> DataFrame:
 
 
 class Indexer:
-    """Keeps a store's files and chunks in step with a listing of files."""
+    """Keeps a store's files, chunks, postings and vectors in step with a listing of files."""
 
     def __init__(self, store: SnapshotStore, provider: Provider, config: IndexConfig = IndexConfig()):
         self.store, self.provider, self.config = store, provider, config
@@ -55,74 +56,103 @@ class Indexer:
         versions = {k: getattr(c, k) for k in ("extractor_version", "chunker_version", "schema_version", "embedding_input_version")}
         return {"provider": self.provider.name, "dimension": self.provider.dimension, **sizes, **versions}
 
-    def differing(self) -> list[str]:
+    def differing(self, base: Snapshot | None = None) -> list[str]:
         """Names of the settings in which the store's last commit differs; none before the first."""
-        stored = self.store.settings()
+        stored = (base or self.store.snapshot()).settings
         return [k for k, v in self.settings().items() if stored and stored.get(k) != v]
 
     def known(self) -> DataFrame:
         """Files indexed under the present settings, whose contents need no second reading while size and time are the same."""
-        c, files = self.config, self.store.read("files")
-        fine = (F.col("index_status") == "indexed") & (F.col("extractor_version") == c.extractor_version) & (F.col("chunker_version") == c.chunker_version) & (F.col("schema_version") == c.schema_version)
-        return files.where(F.lit(not self.differing()) & fine & F.col("content_hash").isNotNull())
+        base = self.store.snapshot()
+        return base.read("files").where(F.lit(not self.differing(base)) & self._current() & F.col("content_hash").isNotNull())
 
-    def decisions(self, listing: DataFrame) -> DataFrame:
-        """listing with `decision` (see index_decision); files that are gone come as `deleted`."""
+    def _current(self) -> Column:
         c = self.config
-        stored = self.store.read("files").select(
-            F.col("file_id").alias("s_id"), ((F.col("content_hash") == "") | F.col("content_hash").isNotNull()).alias("s_here"), F.col("content_hash").alias("s_hash"), F.col("fingerprint_hash").alias("s_print"),
-            ((F.col("index_status") == "indexed") & (F.col("extractor_version") == c.extractor_version) & (F.col("chunker_version") == c.chunker_version) & (F.col("schema_version") == c.schema_version) & F.lit(not self.differing())).alias("s_fine"),
+        return (F.col("index_status") == "indexed") & (F.col("extractor_version") == c.extractor_version) & (F.col("chunker_version") == c.chunker_version) & (F.col("schema_version") == c.schema_version)
+
+    def decisions(self, listing: DataFrame, base: Snapshot | None = None) -> DataFrame:
+        """listing with `decision` (see index_decision); files that are gone come as `deleted`."""
+        base = base or self.store.snapshot()
+        stored = base.read("files").select(
+            F.col("file_id").alias("s_id"), F.col("content_hash").alias("s_hash"), F.col("fingerprint_hash").alias("s_print"), (self._current() & F.lit(not self.differing(base))).alias("s_fine")
         )
         both = listing.join(stored, listing.file_id == stored.s_id, "full_outer")
         same = F.col("content_hash") == F.col("s_hash")
         kind = index_decision(F.col("s_id").isNotNull(), F.coalesce(F.col("s_fine") & same, F.lit(False)), F.coalesce(F.col("fingerprint_hash") == F.col("s_print"), F.lit(False)), F.col("read_status") == "ready", F.col("read_status"))
         decided = both.withColumn("decision", F.when(F.col("file_id").isNull(), "deleted").otherwise(kind)).withColumn("file_id", F.coalesce("file_id", "s_id"))
-        return decided.drop("s_id", "s_here", "s_hash", "s_print", "s_fine")
+        return decided.drop("s_id", "s_hash", "s_print", "s_fine")
 
-    def _chunks(self, files: DataFrame) -> DataFrame:
+    def _chunks(self, files: DataFrame, base: Snapshot) -> DataFrame:
         """Chunks of files with their vectors; those whose input was embedded before keep its vector, each prior one once."""
         units = extracted(files).join(files.select("file_id", "relative_path", "format"), "file_id")
         made = chunked(units, self.config)
         text = F.concat(F.lit(f"embedding-input-v{self.config.embedding_input_version}\0"), "search_text")
         made = made.withColumn("embedding_input_hash", F.sha2(text, 256)).join(files.select("file_id", "filename", F.col("content_hash").alias("file_content_hash")), "file_id")
-        prior = self.store.read("chunks").where((F.col("embedding_model") == self.provider.name) & (F.size("vector") == self.provider.dimension))
+        prior = base.read("chunks").where((F.col("embedding_model") == self.provider.name) & (F.size("vector") == self.provider.dimension))
+        prior = prior.join(files.select("file_id"), "file_id", "left_semi")
         known = reuse_vectors(made, prior.select("file_id", "embedding_input_hash", "chunk_id", "vector").withColumnRenamed("chunk_id", "prior_id"), ["file_id", "embedding_input_hash"], "ordinal", "prior_id", ["vector"])
         fresh = known.where("vector is null and search_text is not null").withColumn("vector", embedded(F.col("search_text"), self.provider))
         return known.where("vector is not null or search_text is null").unionByName(fresh).withColumn("embedding_model", F.lit(self.provider.name))
 
     def run(self, listing: DataFrame) -> dict[str, int]:
-        """Bring the store up to date; numbers of files by decision. Nothing is written if nothing changed."""
-        decided = self.decisions(listing).persist()
-        try:
-            counts = {r.decision: r.n for r in decided.groupBy("decision").agg(F.count("*").alias("n")).collect()}
-            if not set(counts) - {"unchanged"}:
-                return counts
-            c, files, chunks = self.config, self.store.read("files"), self.store.read("chunks")
-            content = decided.where("decision = 'content'")
-            made = self._chunks(content).persist()
-            bad = made.where("last_error is not null or vector is null").groupBy("file_id").agg(F.coalesce(F.max("last_error"), F.lit("EMBEDDING_FAILED")).alias("why"))
-            good = deleted(made, "file_id", bad)
-            sizes = good.groupBy("file_id").agg(F.count("*").cast("int").alias("chunk_count"))
-            touched = decided.where("decision in ('content', 'metadata', 'failed', 'skipped')").join(bad, "file_id", "left").join(sizes, "file_id", "left")
-            failed = F.col("decision").isin("failed", "skipped") | F.col("why").isNotNull()
-            rows = touched.withColumns({
-                "extraction_status": F.when(failed, "failed").otherwise("extracted"), "index_status": F.when(failed, "failed").otherwise("indexed"),
-                "last_error": F.coalesce("why", "last_error", F.lit("")), "chunk_count": F.coalesce("chunk_count", F.lit(0)),
-                "extractor_version": F.lit(c.extractor_version), "chunker_version": F.lit(c.chunker_version), "schema_version": F.lit(c.schema_version),
-            })
-            known = files.select("file_id", F.col("chunk_count").alias("known_count"))
-            rows = rows.join(known, "file_id", "left").withColumn("chunk_count", F.when(F.col("decision") == "metadata", F.col("known_count")).otherwise(F.col("chunk_count")))
-            new_files = replaced(files, "file_id", decided.where("decision != 'unchanged'"), rows.select(*files.columns))
-            frames = {"files": new_files}
-            if set(counts) - {"unchanged", "metadata"}:
-                window = decided.where("decision not in ('unchanged', 'metadata')")
-                frames["chunks"] = replaced(chunks, "file_id", window, good.select(*chunks.columns))
-                of = good.select("chunk_id", "file_id").distinct()
-                for name, made_of in (("postings", postings), ("lengths", lengths)):  # of changed files alone
-                    held = self.store.read(name)
-                    frames[name] = replaced(held, "file_id", window, made_of(good).join(of, "chunk_id").select(*held.columns))
-            self.store.commit(frames, self.settings())
-            made.unpersist()
+        """Bring the store up to date; numbers of files by decision. Nothing is written if nothing changed.
+
+        One snapshot is compared, and only rows of changed files are written. Another commit in between is a CommitConflict:
+        nothing of this run is seen, and a new run finds what is left to do. Chunks stay together with the state of their file,
+        so a search sees no chunk of a file that is not indexed.
+        """
+        base = self.store.snapshot()
+        decided = kept(self.decisions(listing, base), "decided")  # what is read of changed files is read once
+        counts = {r.decision: r.n for r in decided.groupBy("decision").agg(F.count("*").alias("n")).collect()}
+        if not set(counts) - {"unchanged"}:
             return counts
-        finally:
-            decided.unpersist()
+        c, files = self.config, base.read("files")
+        made = kept(self._chunks(decided.where("decision = 'content'"), base), "made")  # vectors are inferred once
+        bad = made.where("last_error is not null or vector is null").groupBy("file_id").agg(F.coalesce(F.max("last_error"), F.lit("EMBEDDING_FAILED")).alias("why"))
+        good = deleted(made, "file_id", bad)
+        sizes = good.groupBy("file_id").agg(F.count("*").cast("int").alias("chunk_count"))
+        touched = decided.where("decision in ('content', 'metadata', 'failed', 'skipped')").join(bad, "file_id", "left").join(sizes, "file_id", "left")
+        failed = F.col("decision").isin("failed", "skipped") | F.col("why").isNotNull()
+        rows = touched.withColumns({
+            "extraction_status": F.when(failed, "failed").otherwise("extracted"), "index_status": F.when(failed, "failed").otherwise("indexed"),
+            "last_error": F.coalesce("why", "last_error", F.lit("")), "chunk_count": F.coalesce("chunk_count", F.lit(0)),
+            "extractor_version": F.lit(c.extractor_version), "chunker_version": F.lit(c.chunker_version), "schema_version": F.lit(c.schema_version),
+        })
+        known = files.select("file_id", F.col("chunk_count").alias("known_count"))
+        rows = rows.join(known, "file_id", "left").withColumn("chunk_count", F.when(F.col("decision") == "metadata", F.col("known_count")).otherwise(F.col("chunk_count")))
+        changes: dict[str, tuple] = {"files": (decided.where("decision != 'unchanged'"), rows.select(*files.columns))}
+        if set(counts) - {"unchanged", "metadata"}:
+            window = decided.where("decision not in ('unchanged', 'metadata')")
+            of = good.select("chunk_id", "file_id").distinct()
+            changes["chunks"] = window, good
+            changes["postings"] = window, postings(good).join(of, "chunk_id")
+            changes["lengths"] = window, lengths(good).join(of, "chunk_id")
+            changes["cells"] = window, cells.dealt(good, self._quantiser(base))
+        self.store.change(changes, self.settings(), base)
+        return counts
+
+    def _quantiser(self, base: Snapshot) -> cells.Quantiser | None:
+        """The stored quantiser, if it is of this provider's vectors."""
+        found = cells.Quantiser.stored(base.read("quantiser"))
+        return found if found is not None and found.centres.shape[1] == self.provider.dimension else None
+
+    def refresh(self) -> str | None:
+        """Make searches fast again after many runs: deal vectors out to cells anew where there are twice as many as before, and
+        rewrite every table as one sorted segment. The name of the new snapshot; None if there was nothing to do.
+
+        Below `cells_from` vectors there are no cells, and searches compare all of them. Runs and searches may go on meanwhile; a
+        run that commits first makes this one a CommitConflict.
+        """
+        base = self.store.snapshot()
+        held = base.read("cells")
+        count, stored = held.count(), self._quantiser(base)
+        if count < self.config.cells_from or stored is not None and stored.trained_on * 2 > count > stored.trained_on / 2:
+            return self.store.compact()
+        made = cells.trained(held, count, self.provider.dimension)
+        if made is None:
+            return self.store.compact()
+        frames = {t: base.read(t) for t in self.store.tables if t not in ("cells", "quantiser") and base.segments(t)}
+        again = kept(cells.dealt(held, made), "dealt")
+        share = cells.probes_for(again, made, self.config.cells_recall) / len(made.centres)
+        frames |= {"cells": again, "quantiser": made.table(self.store.spark)}
+        return self.store.commit(frames, {**base.settings, "cell_probes": share}, base)

@@ -9,25 +9,29 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.text import match_kind, metadata_terms, quoted_phrases, stem, strength, terms, unquoted
+from ..schema import bucket
+from ..scratch import kept
 
 SCORE_DIGITS = 6
 
 
 def blocked(find: Callable[[DataFrame], DataFrame], queries: DataFrame, most: int) -> DataFrame:
-    """What `find` finds for all queries, asked in blocks (by a hash of query_id) of at most `most`, the bound of a broadcast."""
+    """What `find` finds for all queries, asked in blocks (by a hash of query_id) of at most `most`. Queries are computed once."""
+    queries = kept(queries, "queries")
     parts = max(1, ceil(queries.count() / most))
     while True:
         of = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        counts = {r.block: r.n for r in queries.groupBy(of.alias("block")).agg(F.count("*").alias("n")).collect()}
+        counts = {r.block: r.n for r in queries.groupBy(of.alias("block")).agg(F.count("*").alias("n")).collect()} if parts > 1 else {0: 0}
         if max(counts.values(), default=0) <= most or len(counts) < parts // 4:  # rows of one id stay together
             break
         parts += ceil(parts / 4)
+    if parts == 1:
+        return find(queries)
     return reduce(DataFrame.unionByName, [find(queries.where(of == block)) for block in sorted(counts)] or [find(queries)])
 
 
@@ -55,35 +59,45 @@ def vector_pool(chunks: DataFrame, queries: DataFrame, config: SearchConfig = Se
 
 def _vector_block(chunks: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
     asked = [r.asDict() for r in queries.collect()]
-    ids = np.array([r["query_id"] for r in asked])
     wanted = np.array([np.asarray(r["query_vector"], np.float64) for r in asked]).reshape(len(asked), -1)
     wanted = wanted / np.linalg.norm(wanted, axis=1, keepdims=True) if len(asked) else wanted
+    return scanned(chunks, dict(queries.dtypes)["query_id"], asked, wanted, config)
+
+
+def scanned(chunks: DataFrame, kind: str, asked: list[dict], wanted: np.ndarray, config: SearchConfig, looks: np.ndarray | None = None) -> DataFrame:
+    """The nearest chunks of a block of queries: their rows (query_id of SQL type `kind`, formats if wanted) and unit vectors.
+
+    looks: which query looks into which cell (the last column: chunks without one); without it, every query meets every chunk.
+    """
+    ids = np.array([r["query_id"] for r in asked])
     formats = [frozenset(r.get("formats") or ()) for r in asked]
-    columns = ["chunk_id", "vector", *(["format"] if any(formats) else [])]
+    columns = ["chunk_id", "vector", *(["format"] if any(formats) else []), *(["cell"] if looks is not None else [])]
     k, far = config.vector_candidates, config.max_distance
 
+    def near(batch: pd.DataFrame, some: np.ndarray) -> pd.DataFrame:
+        """What of a batch the queries numbered `some` find."""
+        vectors = np.stack(batch["vector"].to_list()).astype(np.float64)
+        scores = wanted[some] @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+        if any(formats):
+            kinds, kind_at = np.unique(batch["format"].astype(str), return_inverse=True)
+            scores[~np.array([[not formats[q] or x in formats[q] for x in kinds] for q in some])[:, kind_at]] = -np.inf
+        q, c = np.nonzero(1 - scores < far)
+        return pd.DataFrame({"query_id": ids[some[q]], "chunk_id": batch["chunk_id"].to_numpy()[c], "raw_score": scores[q, c].round(SCORE_DIGITS)})
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for batch in batches:
-            batch = batch[[v is not None and len(v) == wanted.shape[1] for v in batch["vector"]]]
+            batch = batch[[v is not None and len(v) == wanted.shape[1] and bool(np.isfinite(v).all() and np.any(v)) for v in batch["vector"]]]
             if not len(batch) or not len(ids):
                 continue
-            vectors = np.stack(batch["vector"].to_list()).astype(np.float64)
-            fine = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
-            batch, vectors = batch[fine], vectors[fine]
-            scores = wanted @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
-            if any(formats):
-                kinds, kind = np.unique(batch["format"].astype(str), return_inverse=True)
-                scores[~np.array([[not own or x in own for x in kinds] for own in formats])[:, kind]] = -np.inf
-            q, c = np.nonzero(1 - scores < far)
-            found = pd.DataFrame({"query_id": ids[q], "chunk_id": batch["chunk_id"].to_numpy()[c], "raw_score": scores[q, c].round(SCORE_DIGITS)})
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["query_id", "raw_score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            parts = [(batch, np.arange(len(ids)))] if looks is None else [(own, np.flatnonzero(looks[:, cell])) for cell, own in batch.groupby("cell")]
+            found = [near(own, some) for own, some in parts if len(some)]
+            best = pd.concat([x for x in (best, *found) if x is not None]) if found else best
+            best = best if best is None else best.sort_values(["query_id", "raw_score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if best is not None:
             yield best
 
-    kinds = dict(chunks.dtypes) | dict(queries.dtypes)
-    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, raw_score double"
+    schema = f"query_id {kind}, chunk_id {dict(chunks.dtypes)['chunk_id']}, raw_score double"
     return top(chunks.select(*columns).mapInPandas(scan, schema), k)
 
 
@@ -103,22 +117,48 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(terms(F.coalesce(F.col("search_text"), F.lit("")))).alias("length"))
 
 
+#: Up to so many different terms of a search are a filter of the scan; more are a join.
+TERMS_IN_FILTER = 4096
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings of a corpus and the one row of its size (n, mean): what BM25 reads instead of texts."""
+    """Postings of a corpus and the one row of its size (n, mean): what BM25 reads instead of texts.
+
+    foldered: postings have `bucket`, the folder in which an index keeps a term (see schema.bucket).
+    """
 
     postings: DataFrame
     sizes: DataFrame
+    foldered: bool = False
 
     @staticmethod
     def of(chunks: DataFrame, asked: DataFrame, column: str = "query") -> TextIndex:
-        """Of chunks without a stored index, for the terms in a column of asked: made once, kept until the session's cache is cleared."""
-        units = asked.select(F.explode(terms(F.col(column))).alias("unit"))
-        return TextIndex.stored(postings(chunks, units).persist(StorageLevel.MEMORY_AND_DISK), lengths(chunks))
+        """Of chunks without a stored index, for the terms in a column of asked. The texts are read once.
+
+        A chunk's length stands in a posting of the empty term, which no text has.
+        """
+        units = kept(asked.select(F.explode(terms(F.col(column))).alias("unit")).distinct(), "units")
+        listed = chunks.select("chunk_id", terms(F.coalesce(F.col("search_text"), F.lit(""))).alias("terms"))
+        held = listed.select("chunk_id", F.size("terms").alias("length"), F.posexplode(F.concat(F.array(F.lit("")), "terms")).alias("at", "unit"))
+        held = held.join(units.unionByName(units.sparkSession.createDataFrame([("",)], "unit string")), "unit", "left_semi")
+        rows = kept(held.groupBy("unit", "chunk_id", "length").agg(F.array_sort(F.collect_list(F.col("at") - 1)).alias("positions")), "postings")
+        return TextIndex.stored(rows.where("unit != ''"), rows.where("unit = ''").select("chunk_id", "length"))
 
     @staticmethod
-    def stored(postings: DataFrame, lengths: DataFrame) -> TextIndex:
-        return TextIndex(postings, lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
+    def stored(postings: DataFrame, lengths: DataFrame, foldered: bool = False) -> TextIndex:
+        return TextIndex(postings, lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")), foldered)
+
+    def of_units(self, units: DataFrame) -> DataFrame:
+        """The postings of terms (unit; each once). Few terms are looked up: folders and row groups without them are not read."""
+        few = [r.unit for r in units.limit(TERMS_IN_FILTER + 1).collect()]
+        if len(few) > TERMS_IN_FILTER:
+            return self.postings.join(units, "unit", "left_semi")
+        held = self.postings.where(F.col("unit").isin(few))
+        if not self.foldered:
+            return held
+        places = units.sparkSession.createDataFrame([(u,) for u in few], "unit string").select(bucket(F.col("unit")).alias("b")).distinct()
+        return held.where(F.col("bucket").isin([r.b for r in places.collect()]))
 
 
 def _index(corpus: DataFrame | TextIndex, asked: DataFrame, column: str = "query") -> TextIndex:
@@ -131,21 +171,22 @@ def _scored(hits: DataFrame, df: DataFrame, sizes: DataFrame, config: SearchConf
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     k1, b = config.bm25_k1, config.bm25_b
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    joined = hits.join(F.broadcast(df), "unit").crossJoin(F.broadcast(sizes))  # units of a block of queries; one row
+    joined = hits.join(df, "unit").crossJoin(F.broadcast(sizes))  # one row
     return joined.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * gain), SCORE_DIGITS).alias("raw_score"))
 
 
 def match_scores(corpus: DataFrame | TextIndex, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """query_id, chunk_id, raw_score of every chunk that holds a term of the query (query_id, query)."""
-    index = _index(corpus, queries)
-
-    def block(some: DataFrame) -> DataFrame:
-        asked = some.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("unit"))
-        held = index.postings.join(F.broadcast(asked.select("unit").distinct()), "unit", "left_semi")
-        hits = held.select("unit", "chunk_id", "length", F.size("positions").alias("tf")).join(F.broadcast(asked), "unit")
-        return _scored(hits, held.groupBy("unit").agg(F.count("*").alias("df")), index.sizes, config)
+    """query_id, chunk_id, raw_score of every chunk that holds a term of the query (query_id, query).
 
-    return blocked(block, queries, config.max_batch)
+    Any number of queries: postings of their terms meet them by term. Spark broadcasts what is small, as both sides' sizes are
+    known when the join is planned.
+    """
+    index = _index(corpus, queries)
+    asked = kept(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("unit")), "asked")
+    held = index.of_units(kept(asked.select("unit").distinct(), "units"))
+    counts = kept(held.groupBy("unit").agg(F.count("*").alias("df")), "document-counts")
+    hits = held.select("unit", "chunk_id", "length", F.size("positions").alias("tf")).join(asked, "unit")
+    return _scored(hits, counts, index.sizes, config)
 
 
 def phrase_scores(corpus: DataFrame | TextIndex, phrases: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -155,28 +196,23 @@ def phrase_scores(corpus: DataFrame | TextIndex, phrases: DataFrame, config: Sea
     begin are intersected. A phrase counts as one unit. Only postings of the phrases' terms are read.
     """
     index = _index(corpus, phrases, "phrase")
-
-    def block(some: DataFrame) -> DataFrame:
-        listed = some.select("query_id", F.array_join(terms(F.col("phrase")), " ").alias("phrase")).where("phrase != ''").distinct()
-        parts = listed.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "unit"))
-        held = index.postings.join(F.broadcast(parts.select("unit").distinct()), "unit", "left_semi")
-        counts = held.groupBy("unit").agg(F.count("*").alias("df"))
-        known = parts.join(counts, "unit", "left")  # a phrase with a term that no chunk has is nowhere
-        rare = known.groupBy("phrase").agg(F.min(F.when(F.col("df").isNull(), F.struct(F.lit(-1).cast("long").alias("df"), "offset", "unit")).otherwise(F.struct("df", "offset", "unit"))).alias("r"))
-        rare = rare.where("r.df >= 0").select("phrase", F.col("r.unit").alias("unit"), F.col("r.offset").alias("offset"))
-        begins = lambda: F.transform("positions", lambda p: p - F.col("offset"))
-        first = held.join(F.broadcast(rare), "unit").select("phrase", "chunk_id", "length", begins().alias("begins"), "offset")
-        others = parts.join(rare.select("phrase", F.col("offset").alias("rare")), "phrase").where("offset != rare").drop("rare")
-        wanted = first.select("phrase", "chunk_id").join(F.broadcast(others), "phrase")
-        more = held.select("unit", "chunk_id", "positions").join(wanted, ["unit", "chunk_id"]).select("phrase", "chunk_id", F.lit(None).cast("int").alias("length"), begins().alias("begins"), "offset")
-        met = first.unionByName(more).groupBy("phrase", "chunk_id").agg(F.max("length").alias("length"), F.collect_list("begins").alias("all"))
-        met = met.withColumn("parts", F.size(F.split("phrase", " "))).where(F.size("all") == F.col("parts"))
-        tf = F.size(F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), F.get("all", F.lit(0)), lambda at, x: F.array_intersect(at, x)))
-        found = met.select(F.col("phrase").alias("unit"), "chunk_id", "length", tf.alias("tf")).where("tf > 0")
-        hits = found.join(F.broadcast(listed.withColumnRenamed("phrase", "unit")), "unit")
-        return _scored(hits, found.groupBy("unit").agg(F.count("*").alias("df")), index.sizes, config)
-
-    return blocked(block, phrases, config.max_batch)
+    listed = kept(phrases.select("query_id", F.array_join(terms(F.col("phrase")), " ").alias("phrase")).where("phrase != ''").distinct(), "phrases")
+    parts = listed.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "unit"))
+    held = index.of_units(kept(parts.select("unit").distinct(), "units"))
+    known = parts.join(held.groupBy("unit").agg(F.count("*").alias("df")), "unit", "left")  # a phrase with a term that no chunk has is nowhere
+    rare = known.groupBy("phrase").agg(F.min(F.when(F.col("df").isNull(), F.struct(F.lit(-1).cast("long").alias("df"), "offset", "unit")).otherwise(F.struct("df", "offset", "unit"))).alias("r"))
+    rare = kept(rare.where("r.df >= 0").select("phrase", F.col("r.unit").alias("unit"), F.col("r.offset").alias("offset")), "rarest")
+    begins = lambda: F.transform("positions", lambda p: p - F.col("offset"))
+    first = held.join(rare, "unit").select("phrase", "chunk_id", "length", begins().alias("begins"), "offset")
+    others = kept(parts.join(rare.select("phrase", F.col("offset").alias("rare")), "phrase").where("offset != rare").drop("rare"), "others")
+    wanted = first.select("phrase", "chunk_id").join(others, "phrase")
+    more = held.select("unit", "chunk_id", "positions").join(wanted, ["unit", "chunk_id"]).select("phrase", "chunk_id", F.lit(None).cast("int").alias("length"), begins().alias("begins"), "offset")
+    met = first.unionByName(more).groupBy("phrase", "chunk_id").agg(F.max("length").alias("length"), F.collect_list("begins").alias("all"))
+    met = met.withColumn("parts", F.size(F.split("phrase", " "))).where(F.size("all") == F.col("parts"))
+    tf = F.size(F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), F.get("all", F.lit(0)), lambda at, x: F.array_intersect(at, x)))
+    found = kept(met.select(F.col("phrase").alias("unit"), "chunk_id", "length", tf.alias("tf")).where("tf > 0"), "phrases-found")
+    hits = found.join(listed.withColumnRenamed("phrase", "unit"), "unit")
+    return _scored(hits, found.groupBy("unit").agg(F.count("*").alias("df")), index.sizes, config)
 
 
 def bm25_scores(corpus: DataFrame | TextIndex, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -197,7 +233,7 @@ def bm25_pool(corpus: DataFrame | TextIndex, queries: DataFrame, config: SearchC
     scores = bm25_scores(corpus, queries, config)
     if formats is not None and "formats" in queries.columns:
         wanted = queries.select("query_id", "formats").where(F.size("formats") > 0)
-        scores = scores.join(formats, "chunk_id").join(F.broadcast(wanted), "query_id", "left")
+        scores = scores.join(formats, "chunk_id").join(wanted, "query_id", "left")
         scores = only_formats(scores, F.col("formats"), F.col("format")).select("query_id", "chunk_id", "raw_score")
     return top(scores, config.bm25_candidates)
 
@@ -236,13 +272,13 @@ def matching_values(values: DataFrame, asked: DataFrame, config: SearchConfig =
     most = config.fuzzy_max_distance
     v, t = F.lower("value"), F.lower("term")
     grams = values.select("field", "value", F.explode(_grams(v)).alias("key"))
-    met = grams.join(F.broadcast(asked.withColumn("key", F.substring(t, 1, 3))), "key").drop("key").where(F.contains(v, t))  # a pair meets once
+    met = grams.join(asked.withColumn("key", F.substring(t, 1, 3)), "key").drop("key").where(F.contains(v, t))  # a pair meets once
     if most:
         words = values.select("field", "value", F.explode(F.array_distinct(F.filter(F.split(v, r"[^\p{L}\p{N}_@.\-]+"), lambda p: p != ""))).alias("word"))
         reach = min(2, most)
         keyed = words.select("word").distinct().withColumn("key", F.explode(_fuzzy_keys(F.col("word"), [F.length("word") + k for k in range(-reach, reach + 1)], reach, most)))
         sought = asked.withColumn("key", F.explode(_fuzzy_keys(t, [F.length(t)], 0, most)))
-        near = keyed.join(F.broadcast(sought), "key").drop("key").distinct().where(F.levenshtein(F.col("word"), t) <= reach)
+        near = keyed.join(sought, "key").drop("key").distinct().where(F.levenshtein(F.col("word"), t) <= reach)
         met = met.unionByName(words.join(near, "word").drop("word")).distinct()
     return met.withColumn("kind", match_kind(F.col("value"), F.col("term"), most)).where("kind is not null")
 
@@ -253,36 +289,55 @@ def metadata_matches(chunks: DataFrame, queries: DataFrame, config: SearchConfig
     Fields are tried in the order filename, its stem, path, headings, symbols; the strongest match wins, then the longer term,
     then the earlier one. Equal metadata is compared once, whatever number of chunks share it.
     """
-    return blocked(lambda some: _metadata_block(chunks, some, config), queries, config.max_batch)
+    described = _described(chunks)
+    kinds = _value_matches(described, queries, config)
+    best = F.max_by(F.struct("field", "kind", "strength", "term"), F.struct("strength", F.length("term"), -F.col("term_at"), -F.col("field_at")))
+    found = described.join(kinds, ["field", "value"]).groupBy("query_id", "chunk_id", "file_id", "relative_path").agg(best.alias("m"))
+    return found.select("query_id", "chunk_id", "file_id", "relative_path", "m.*")
 
 
-def _metadata_block(chunks: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
-    asked = queries.select("query_id", F.posexplode(metadata_terms(F.col("query"))).alias("term_at", "term"))
+def _described(chunks: DataFrame, *more: str) -> DataFrame:
+    """A row for each different entry of a chunk's metadata: field, value and its place among the chunk's entries."""
     entry = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"))
     listed = lambda name, column: F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: entry(name, x))
     fixed = F.array(entry("filename", F.col("filename")), entry("filename", stem(F.col("filename"))), entry("path", F.col("relative_path")))
-    fields = F.concat(fixed, listed("heading", "heading_trail"), listed("symbol", "symbols"))
-    described = chunks.select("chunk_id", "file_id", "relative_path", F.posexplode(fields).alias("field_at", "x")).select("chunk_id", "file_id", "relative_path", "field_at", "x.*")
-    kinds = matching_values(described.select("field", "value").where("value is not null").distinct(), asked, config)
-    kinds = kinds.withColumn("strength", strength(F.col("field"), F.col("kind")))
-    best = F.max_by(F.struct("field", "kind", "strength", "term"), F.struct("strength", F.length("term"), -F.col("term_at"), -F.col("field_at")))
-    found = described.join(kinds, ["field", "value"]).groupBy("query_id", "chunk_id", "file_id", "relative_path").agg(best.alias("m"))
-    return found.select("query_id", "chunk_id", "file_id", "relative_path", "m.*")
+    fields = F.array_distinct(F.concat(fixed, listed("heading", "heading_trail"), listed("symbol", "symbols")))
+    rows = chunks.select("chunk_id", "file_id", "relative_path", *more, F.posexplode(fields).alias("field_at", "x"))
+    return rows.select("chunk_id", "file_id", "relative_path", *more, "field_at", "x.*").where("value is not null")
+
+
+def _value_matches(described: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
+    """query_id, term, its place in the query, field, value, kind and strength of every match of a query and a value."""
+    asked = kept(queries.select("query_id", F.posexplode(metadata_terms(F.col("query"))).alias("term_at", "term")), "asked-terms")
+    # equal terms of different queries are compared once
+    kinds = matching_values(described.select("field", "value").distinct(), asked.select("term").distinct(), config)
+    return kept(kinds.withColumn("strength", strength(F.col("field"), F.col("kind"))).join(asked, "term"), "value-matches")
 
 
 def metadata_pool(chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """query_id, chunk_id, raw_score, rank: the strongest matches, at most a few of a file.
 
-    If queries have formats, matches of others are left out before any are counted.
+    If queries have formats, matches of others are left out before any are counted. Queries meet a value's first chunks alone:
+    as many of a file as a pool takes of one, and of these as many as the pool has. What comes later in the order of a value
+    has that many before it in every query that matches the value, so nothing is lost, however many chunks share a value.
     """
-    order = [F.desc("strength"), "relative_path", "chunk_id"]
-    found = metadata_matches(chunks, queries, config)
-    if "formats" in queries.columns:
+    by_format = "formats" in queries.columns
+    order = ["relative_path", "chunk_id"]
+    own = ["field", "value", *(["format"] if by_format else [])]
+    entries = _described(chunks, *(["format"] if by_format else [])).drop("field_at").distinct()
+    matches = _value_matches(entries, queries, config).select("query_id", "field", "value", "strength").distinct()
+    matched = entries.join(matches.select("field", "value").distinct(), ["field", "value"], "left_semi")
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    firsts = matched.withColumn("at", place(*own, "file_id")).where(F.col("at") <= config.metadata_chunks_per_file)
+    firsts = firsts.withColumn("at", place(*own)).where(F.col("at") <= config.metadata_candidates).drop("at")
+    found = firsts.join(matches, ["field", "value"])
+    if by_format:
         wanted = queries.select("query_id", "formats").where(F.size("formats") > 0)
-        found = found.join(chunks.select("chunk_id", "format"), "chunk_id").join(F.broadcast(wanted), "query_id", "left")
-        found = only_formats(found, F.col("formats"), F.col("format"))
-    capped = found.withColumn("in_file", F.row_number().over(Window.partitionBy("query_id", "file_id").orderBy(*order))).where(F.col("in_file") <= config.metadata_chunks_per_file)
-    ranked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= config.metadata_candidates)
+        found = only_formats(found.join(wanted, "query_id", "left"), F.col("formats"), F.col("format"))
+    best = found.groupBy("query_id", "file_id", "relative_path", "chunk_id").agg(F.max("strength").alias("strength"))
+    strongest = [F.desc("strength"), *order]
+    capped = best.withColumn("in_file", F.row_number().over(Window.partitionBy("query_id", "file_id").orderBy(*strongest))).where(F.col("in_file") <= config.metadata_chunks_per_file)
+    ranked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*strongest))).where(F.col("rank") <= config.metadata_candidates)
     return ranked.select("query_id", "chunk_id", F.col("strength").alias("raw_score"), "rank")
 
 

@@ -14,6 +14,7 @@ from ..functions.text import highlight_terms, query_terms, terms
 from ..functions.vectors import norm, truncated
 from ..operators import evaluation, fusion, retrieval
 from ..operators.retrieval import TextIndex, blocked  # noqa: F401
+from ..scratch import kept
 
 CONFIG = SearchConfig()
 
@@ -120,7 +121,7 @@ def described_chunks(spark, sf_dir):
 def pools(spark, sf_dir):
     """Candidates of all queries by vectors, terms and metadata; queries take the labels' centroids in turn."""
     text = text_queries(spark, sf_dir)
-    centres = centroids(spark, sf_dir).withColumn("at", F.row_number().over(Window.orderBy("label")) - 1)
+    centres = kept(centroids(spark, sf_dir), "centres").withColumn("at", F.row_number().over(Window.orderBy("label")) - 1)
     turns = F.broadcast(centres.agg(F.greatest(F.count("*"), F.lit(1)).alias("turns")))  # one row
     number = text.select("query_id").crossJoin(turns).select("query_id", F.pmod("query_id", "turns").alias("at"))
     found = {
@@ -133,8 +134,9 @@ def pools(spark, sf_dir):
 
 
 def fused(spark, sf_dir):
+    """Candidates with what is shown of them, made once: files and excerpts both read them."""
     found = fusion.fuse(pools(spark, sf_dir), CONFIG)
-    return found.join(chunks(spark, sf_dir).select("chunk_id", "file_id", "relative_path", F.col("format").alias("context")), "chunk_id")
+    return kept(found.join(chunks(spark, sf_dir).select("chunk_id", "file_id", "relative_path", F.col("format").alias("context")), "chunk_id"), "candidates")
 
 
 def rrf_fusion(spark, sf_dir):
@@ -174,7 +176,7 @@ def expected_documents(spark, sf_dir, index):
 
 def ranked_documents(spark, sf_dir, index):
     ranked = retrieval.bm25_pool(index, text_queries(spark, sf_dir), CONFIG).select("query_id", F.col("chunk_id").alias("item"), "rank")
-    return ranked.persist()  # read twice; as many rows as candidates
+    return kept(ranked, "ranked")  # read twice
 
 
 def metrics(spark, sf_dir):
@@ -201,7 +203,7 @@ def model_comparison(spark, sf_dir):
     """BM25 alone against phrases first: does the second rank expected documents so much better as to be preferred?"""
     text = text_queries(spark, sf_dir)
     index = TextIndex.of(chunks(spark, sf_dir), text)
-    expected = expected_documents(spark, sf_dir, index).persist()
+    expected = kept(expected_documents(spark, sf_dir, index), "expected")
     plain = evaluation.query_metrics(expected, ranked_documents(spark, sf_dir, index))
     exact = retrieval.top(retrieval.phrase_scores(index, text.select("query_id", phrase_of(F.col("query")).alias("phrase")), CONFIG), CONFIG.bm25_candidates)
     other = evaluation.query_metrics(expected, exact.select("query_id", F.col("chunk_id").alias("item"), "rank"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FILES = """file_id string, relative_path string, filename string, format string, mime_family string, fingerprint_hash string, size long,
 modified_at_ms double, extraction_status string, index_status string, content_hash string, last_error string, chunk_count int,
@@ -12,7 +13,24 @@ embedding_input_hash string, embedding_model string, vector array<float>, start_
 heading_trail array<string>, symbols array<string>, content_hash string, file_content_hash string, token_count int"""
 POSTINGS = "unit string, chunk_id string, file_id string, length int, positions array<int>"
 LENGTHS = "chunk_id string, file_id string, length int"
-TABLES = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS}
+CELLS = "cell int, chunk_id string, file_id string, format string, vector array<float>"
+QUANTISER = "cell int, centre array<double>, trained_on long, file_id string"
+TABLES = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "cells": CELLS, "quantiser": QUANTISER}
+
+#: Terms are spread over so many folders; within a folder, files and row groups hold ranges of terms.
+BUCKETS = 64
+#: Tables kept in folders: by which column, and the order within.
+LAYOUT = {"postings": ("bucket", ["unit", "chunk_id"]), "cells": ("cell", ["chunk_id"])}
+
+
+def bucket(unit: Column) -> Column:
+    """The folder of a term's postings."""
+    return F.pmod(F.xxhash64(unit), F.lit(BUCKETS)).cast("int")
+
+
+def placed(df: DataFrame, table: str) -> DataFrame:
+    """df with the column that names its rows' folders."""
+    return df.withColumn("bucket", bucket(F.col("unit"))) if table == "postings" else df
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
