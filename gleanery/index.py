@@ -25,18 +25,22 @@ def extracted(files: DataFrame) -> DataFrame:
     present = {r.format for r in files.select("format").distinct().collect()}  # formats are a fixed list
     rules = [(("markdown",), lines.markdown_units), (("csv",), lines.csv_units), (("text", "unknown"), lambda x: lines.fallback_units(x, 50))]
     rules += [(names, partial(lines.code_units, fmt=names[0])) for names in (("python",), ("javascript", "typescript"), ("shell",), ("sql",), ("stylesheet",))]
-    rules += [((name,), partial(lines.keyed_line_units, fmt=name)) for name in ("yaml", "toml")]
+    records = [((name,), partial(lines.keyed_line_units, fmt=name)) for name in ("yaml", "toml")]
+    records += [(("html",), lines.html_units), (("xml",), lines.xml_units), (("json",), lines.json_units)]
     parts = [build(of(*names)) for names, build in rules if present & set(names)]
-    if "json" in present:
-        good = lines.json_units(files.where("format = 'json'")).select("file_id").distinct()
-        parts.append(lines.fallback_units(of("json").join(good, "file_id", "left_anti"), 30, "record"))
-    for name, build in (("html", lines.html_units), ("xml", lines.xml_units), ("json", lines.json_units)):
+    # what a format's own rules find nothing in is cut into records of 30 lines
+    for name, build in [(n, b) for names, b in records for n in names]:
         if name not in present:
             continue
-        found = build(files.where(F.col("format") == name).select("file_id", "text"))
-        place = {"start_line": F.lit(1), "end_line": F.lit(1), "start_offset": F.col("unit").cast("long"), "end_offset": F.col("unit").cast("long"), "display_text": F.col("search_text")}
-        extra = {"symbol": F.lit(None).cast("string")} if name == "html" else {"heading_trail": F.array().cast("array<string>")}
-        parts.append(found.withColumns(place | extra).select(*lines.UNIT))
+        if name in ("yaml", "toml"):
+            found = kept(build(of(name)), "units")
+        else:
+            made = build(files.where(F.col("format") == name).select("file_id", "text"))
+            extra = {"symbol": F.lit(None).cast("string")} if name == "html" else {"heading_trail": F.array().cast("array<string>")}
+            found = kept(made.withColumns({"display_text": F.col("search_text")} | extra).select(*lines.UNIT), "units")
+        parts.append(found)
+        if name != "html":
+            parts.append(lines.fallback_units(of(name).join(found.select("file_id").distinct(), "file_id", "left_anti"), 30, "record"))
     if not parts:
         return lines.fallback_units(table.drop("format"), 50)
     return reduce(DataFrame.unionByName, parts)

@@ -6,11 +6,15 @@ and symbol. Offsets count characters of the normalized text.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import json_leaves
 from ..functions.text import js_trim
+from ..scratch import kept
 
 UNIT = ["file_id", "kind", "display_text", "search_text", "start_line", "end_line", "start_offset", "end_offset", "heading_trail", "symbol"]
 
@@ -91,6 +95,59 @@ def _trail(lines: DataFrame, level: Column, title: Column) -> DataFrame:
     return out.withColumn("heading_trail", F.slice(F.array(*names), F.lit(1), deepest)).drop(*names)
 
 
+def _streamed(rows: DataFrame, walk: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """Rows (file_id, line, ...) in the order of their file through `walk()`, which is told each file's rows, in parts, by a state
+    of its own. A task holds a batch, whatever the length of a file."""
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, step = None, walk()
+        for batch in batches:
+            for own, part in batch.groupby("file_id", sort=False):
+                at, step = (at, step) if own == at else (own, walk())
+                yield step(part)
+
+    return rows.repartition("file_id").sortWithinPartitions("file_id", "line").mapInPandas(stream, schema)
+
+
+def _edges(marks: DataFrame) -> DataFrame:
+    """Of fence marks (file_id, line, mark) those that open or close: a fence is closed by its own mark, the other is code in it."""
+
+    def walk() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        held = [""]
+
+        def step(part: pd.DataFrame) -> pd.DataFrame:
+            edge = []
+            for mark in part["mark"]:
+                edge.append(held[0] in ("", mark))
+                held[0] = "" if held[0] == mark else held[0] or mark
+            return part.loc[edge, ["file_id", "line"]]
+
+        return step
+
+    return _streamed(marks, walk, f"file_id {dict(marks.dtypes)['file_id']}, line int")
+
+
+def _open_keys(rows: DataFrame) -> DataFrame:
+    """rows with `path`: the keys open at each line, joined by dots. A key closes at the next one that is indented no deeper."""
+
+    def walk() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        held: list[tuple[int, str]] = []
+
+        def step(part: pd.DataFrame) -> pd.DataFrame:
+            paths = []
+            for indent, key in zip(part["indent"], part["key"]):
+                if key is not None:
+                    while held and held[-1][0] >= indent:
+                        held.pop()
+                    held.append((indent, key))
+                paths.append(".".join(k for _, k in held))
+            return part.assign(path=paths)
+
+        return step
+
+    return _streamed(rows, walk, ", ".join(f"{name} {kind}" for name, kind in rows.dtypes) + ", path string")
+
+
 def markdown_units(lines: DataFrame) -> DataFrame:
     """Front matter, headings, fenced code, and runs of lists, tables, quotes and paragraphs, each under its open headings.
 
@@ -101,16 +158,12 @@ def markdown_units(lines: DataFrame) -> DataFrame:
     close = F.min(F.when((js_trim(text) == "---") & (F.col("line") > 1), F.col("line"))).over(Window.partitionBy("file_id"))
     marked = lines.withColumn("front", (first == 1) & close.isNotNull() & (F.col("line") <= close))
     mark = F.when(~F.col("front"), F.nullif(F.regexp_extract(text, r"^\s*(```|~~~)", 1), F.lit("")))
-    marks = F.array_sort(F.collect_list(F.when(mark.isNotNull(), F.struct("line", mark.alias("mark")))).over(Window.partitionBy("file_id")))
-    # a fence closes by its own mark alone: the other one inside it is code
-    edges = F.aggregate(
-        marks, F.struct(F.lit("").alias("open"), F.array().cast("array<int>").alias("lines")),
-        lambda at, x: F.when((at["open"] == "") | (at["open"] == x["mark"]), F.struct(F.when(at["open"] == "", x["mark"]).otherwise("").alias("open"), F.concat(at["lines"], F.array(x["line"])).alias("lines"))).otherwise(at),
-    )["lines"]
-    marked = marked.withColumn("edges", edges)
-    fence = F.array_contains("edges", F.col("line"))
+    marks = marked.where(mark.isNotNull()).select("file_id", "line", mark.alias("mark"))
+    edges = kept(_edges(marks), "fences")  # fence lines alone, made once and joined by their known size
+    marked = marked.join(edges.withColumn("edge", F.lit(True)), ["file_id", "line"], "left").withColumn("edge", F.coalesce("edge", F.lit(False)))
+    fence = F.col("edge")
     before = F.coalesce(F.sum(fence.cast("int")).over(_by_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = marked.withColumn("fences", before + fence.cast("int")).withColumn("code", fence | (before % 2 == 1)).withColumn("edge", fence)
+    marked = marked.withColumn("fences", before + fence.cast("int")).withColumn("code", fence | (before % 2 == 1))
     kind = (
         F.when(F.col("front"), "record").when(F.col("code"), "code").when(text.rlike(r"^\s{0,3}#{1,6}\s+"), "heading").when(text.rlike(r"^\s*(?:[-+*]|\d+[.)])\s+"), "list")
         .when(text.rlike(r"^\s*\|.*\|\s*$"), "table").when(text.rlike(r"^\s*>"), "quote").otherwise("paragraph")
@@ -123,8 +176,8 @@ def markdown_units(lines: DataFrame) -> DataFrame:
     marked = marked.withColumn("run", F.sum(F.coalesce(other, F.lit(True)).cast("int")).over(_so_far()))
     body = F.when(F.col("edge"), None).when(F.col("kind") == "heading", F.col("title")).when(F.col("front"), F.regexp_replace(F.regexp_extract(text, r"^\s*([^:#]+:\s*.+)$", 1), r"^([^:]*?)\s*:\s*", "$1: ")).otherwise(text)
     parts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("line", c.alias("t"))))), lambda x: x["t"]), "\n")
-    kept = marked.withColumn("body", body).where(~_blank(text) | F.col("code"))
-    made = kept.groupBy("file_id", "run").agg(
+    shown = marked.withColumn("body", body).where(~_blank(text) | F.col("code"))
+    made = shown.groupBy("file_id", "run").agg(
         F.min_by("kind", "line").alias("kind"), js_trim(parts(text)).alias("raw"), parts(F.col("body")).alias("body"), F.min_by("heading_trail", "line").alias("heading_trail"),
         F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.min("start").alias("start_offset"), F.max("end").alias("end_offset"),
     )
@@ -190,10 +243,8 @@ def keyed_line_units(lines: DataFrame, fmt: str) -> DataFrame:
         key = js_trim(F.regexp_extract(text, r"^\s*(?:-\s*)?([^:#][^:]*):(?:\s.*)?$", 1))
         indent = F.when(key != "", F.length(F.regexp_extract(text, r"^(\s*)", 1)))
         rows = rows.withColumn("indent", indent).withColumn("key", F.when(key != "", key))
-        stack = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("indent", "key"))).over(_so_far())
-        # a key stays open until one of no deeper indent follows
-        open_ = F.aggregate(stack, F.array().cast("array<struct<indent:int,key:string>>"), lambda held, x: F.concat(F.filter(held, lambda h: h["indent"] < x["indent"]), F.array(x)))
-        path = F.array_join(F.transform(open_, lambda x: x["key"]), ".")
+        rows = _open_keys(rows.select("file_id", "line", "text", "start", "end", "indent", "key"))
+        path = F.col("path")
         item = F.regexp_extract(text, r"^\s*-\s+(.+)$", 1)
         value = js_trim(F.regexp_extract(text, r"^\s*(?:-\s*)?[^:#][^:]*:(.*)$", 1))
         search = F.when(F.col("key").isNotNull(), F.regexp_replace(F.concat(path, F.lit(": "), value), r"\s+$", "")).when((item != "") & (path != ""), F.concat(path, F.lit("[]: "), item)).otherwise(js_trim(text))
@@ -205,28 +256,55 @@ def keyed_line_units(lines: DataFrame, fmt: str) -> DataFrame:
 OMITTED = r"(?is)<(script|style|template|nav|aside)(?:\s[^>]*)?>.*?(?:</\1\s*>|$)"
 HEAD = r"(?is)<head(?:\s[^>]*)?>.*?(?:</head\s*>|$)"
 BLOCK = r"(?is)<(h[1-6]|p|li|tr|blockquote|pre|code)(?:\s[^>]*)?>.*?</\1\s*>"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+_ENTITY = r"(?i)&(?:#x[0-9a-f]+|#[0-9]+|lt|gt|quot|apos|nbsp|amp);"
 
 
 def _sign(entity: Column) -> Column:
-    """The character of `&#65;` or `&#x41;`; the entity itself if there is none of that number."""
-    digits = F.regexp_extract(entity, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-    code = F.when(F.lower(F.substring(entity, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-    there = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(there, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+    """The character of an entity; the entity itself if its number is none of a character."""
+    name = F.lower(F.substring_index(F.substring(entity, 2, 1 << 20), ";", 1))
+    hexed = F.startswith(name, F.lit("#x"))
+    digits = F.regexp_replace(name, "^#x?0*", "")
+    number = F.when(F.length(digits) <= 7, F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits)).try_cast("long")
+    there = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    return F.when(F.startswith(name, F.lit("#")), F.when(there, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(entity)).otherwise(named[name])
+
+
+def _replaced(text: Column, pattern: str, to: Callable[[Column], Column]) -> Column:
+    """text with each match of pattern as `to` has it; what comes out is not looked at again."""
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, match: F.concat(gap, F.when(match.isNull(), "").otherwise(to(match)))), "")
 
 
 def visible_text(fragment: Column) -> Column:
-    """What a reader sees of an HTML fragment: breaks as line ends, other tags as spaces, blanks collapsed, entities read."""
+    """What a reader sees of an HTML fragment: breaks as line ends, other tags as spaces, blanks collapsed, entities read once."""
     text = F.regexp_replace(fragment, r"(?i)<(br|hr)\s*/?\s*>", "\n")
     text = F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"[ \t]+", " ")
     text = F.regexp_replace(text, r"\s*\n\s*", "\n")
-    # numbered signs first, the ampersand's name last: what it sets free is no entity
-    numbered = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
-    text = F.aggregate(numbered, text, lambda at, x: F.replace(at, x, _sign(x)))
-    for name, sign in ENTITIES.items():
-        text = F.regexp_replace(text, f"(?i){name}", sign)
-    return js_trim(text)
+    return js_trim(F.when(F.contains(text, F.lit("&")), _replaced(text, _ENTITY, _sign)).otherwise(text))
+
+
+def cut(files: DataFrame, text: Column, pattern: str) -> DataFrame:
+    """Matches of a pattern and what stands before, between and behind them, in order, with their places.
+
+    file_id, at (from 0), matched, raw, start_line, end_line, start_offset and end_offset of each part that is not empty, from
+    running totals over the parts of a file. What is blank at a part's ends counts to no line of it, nor do masked characters.
+    """
+    paired = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    rows = files.select("file_id", F.posexplode(paired).alias("pair", "x"))
+    both = F.array(F.struct((2 * F.col("pair")).alias("at"), F.lit(False).alias("matched"), F.col("x.gap").alias("raw")), F.struct((2 * F.col("pair") + 1).alias("at"), F.lit(True).alias("matched"), F.col("x.match").alias("raw")))
+    rows = rows.select("file_id", F.explode(both).alias("y")).select("file_id", "y.*").where("raw is not null and raw != ''")
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    lead = F.regexp_extract("raw", r"^(?:[\s\u0001]|<[^>]*>)*(?=[^\s\u0001])|^[\s\u0001]*", 0)
+    lead = F.when(F.col("matched"), F.lit("")).otherwise(lead)
+    tail = F.regexp_extract("raw", r"[\s\u0001]*$", 0)
+    before = Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    length, lines_ = F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)), F.coalesce(F.sum(breaks(F.col("raw"))).over(before), F.lit(0))
+    placed = rows.withColumns({"start_offset": length + F.length(lead), "end_offset": length + F.greatest(F.length("raw") - F.length(tail), F.length(lead)), "start_line": 1 + lines_ + breaks(lead), "end_line": 1 + lines_ + F.greatest(breaks(F.col("raw")) - breaks(tail), breaks(lead))})
+    return placed.withColumns({c: F.col(c).cast("int" if c.endswith("line") else "long") for c in PLACE})
+
+
+PLACE = ["start_line", "end_line", "start_offset", "end_offset"]
 
 
 def html_title(html: Column) -> Column:
@@ -236,17 +314,22 @@ def html_title(html: Column) -> Column:
 def html_units(files: DataFrame) -> DataFrame:
     """Title, then blocks and the loose text between them in order, without what is not content.
 
-    file_id, unit, kind, search_text, heading_trail. Blocks are cut out by one pattern whose matches and gaps alternate.
+    file_id, unit, kind, search_text, heading_trail and places in the normalized text. Blocks are cut out by one pattern; what
+    is not content is masked before, character by character, so that places stay.
     """
-    body = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), OMITTED, "\u0001"), HEAD, "\u0001")
-    blocks = F.regexp_extract_all(body, F.lit(BLOCK), F.lit(0))
-    gaps = F.split(body, BLOCK, -1)
-    paired = F.arrays_zip(gaps.alias("gap"), blocks.alias("block"))
-    rows = files.select("file_id", html_title(F.col("text")).alias("title"), F.posexplode(paired).alias("at", "x")).select("file_id", "title", "at", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("x.gap").alias("raw")), F.struct(F.lit(1).alias("half"), F.col("x.block").alias("raw")))).alias("y")).select("file_id", "title", (F.col("at") * 2 + F.col("y.half") + 2).alias("line"), "y.*")
-    titled = files.select("file_id", html_title(F.col("text")).alias("title")).where("title != ''").select("file_id", "title", F.lit(1).alias("line"), F.lit(2).alias("half"), F.col("title").alias("raw"))
-    rows = rows.where("raw is not null").unionByName(titled)
+    whole = normalized(F.col("text"))
+    masked = _replaced(_replaced(whole, OMITTED, _mask), HEAD, _mask)
+    files = files.select("file_id", whole.alias("text"), masked.alias("body"), html_title(whole).alias("title"))
+    rows = cut(files, F.col("body"), BLOCK).select("file_id", "at", F.col("matched").cast("int").alias("half"), "raw", *PLACE)
+    first = F.length(F.regexp_extract("text", r"(?is)^(.*?)<title(?:\s[^>]*)?>", 1)).cast("long")
+    line = 1 + F.length(F.regexp_replace(F.substring(F.col("text"), F.lit(1), first.cast("int")), "[^\n]", ""))
+    end = first + F.length(F.regexp_extract("text", r"(?is)<title(?:\s[^>]*)?>.*?</title\s*>", 0))
+    end_line = line + F.length(F.regexp_replace(F.regexp_extract("text", r"(?is)<title(?:\s[^>]*)?>.*?</title\s*>", 0), "[^\n]", ""))
+    titled = files.where("title != ''").select("file_id", F.lit(-1).alias("at"), F.lit(2).alias("half"), F.col("title").alias("raw"), line.cast("int").alias("start_line"), end_line.cast("int").alias("end_line"), first.alias("start_offset"), end.cast("long").alias("end_offset"))
+    rows = rows.unionByName(titled).join(files.select("file_id", "title"), "file_id").withColumn("line", F.col("at"))
     tag = F.when(F.col("half") == 1, F.lower(F.regexp_extract("raw", r"^<(\w+)", 1)))
-    rows = rows.withColumn("tag", tag).withColumn("search_text", F.when(F.col("half") == 2, F.col("raw")).otherwise(visible_text(F.translate("raw", "\u0001", " ")))).where("search_text != ''")
+    seen = visible_text(F.regexp_replace("raw", "\u0001(?:\n*\u0001)*", " "))
+    rows = rows.withColumn("tag", tag).withColumn("search_text", F.when(F.col("half") == 2, F.col("raw")).otherwise(seen)).where("search_text != ''")
     kind = (
         F.when((F.col("half") == 2) | F.col("tag").rlike("^h[1-6]$"), "heading").when(F.col("tag") == "li", "list").when(F.col("tag") == "tr", "table")
         .when(F.col("tag") == "blockquote", "quote").when(F.col("tag").isin("pre", "code"), "code").when(F.col("half") == 1, "paragraph").otherwise("text")
@@ -254,24 +337,30 @@ def html_units(files: DataFrame) -> DataFrame:
     rows = _trail(rows.withColumn("kind", kind).withColumn("outer", F.col("title")), F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int")), F.col("search_text"))
     trail = F.when(F.col("half") == 2, F.array("outer")).when((F.col("kind") == "text") & (F.size("heading_trail") == 0) & (F.col("outer") != ""), F.array("outer")).otherwise(F.col("heading_trail"))
     number = F.row_number().over(Window.partitionBy("file_id").orderBy("line")) - 1
-    return rows.select("file_id", number.alias("unit"), "kind", "search_text", trail.alias("heading_trail"))
+    return rows.select("file_id", number.alias("unit"), "kind", "search_text", trail.alias("heading_trail"), *PLACE)
+
+
+def _mask(match: Column) -> Column:
+    return F.regexp_replace(match, "[^\n]", "\u0001")
 
 
 def xml_units(files: DataFrame) -> DataFrame:
-    """`tag: text` of the elements that hold text alone."""
-    leaves = F.regexp_extract_all("text", F.lit(r"<([A-Za-z_][\w:.-]*)(?:\s[^>]*)?>[^<]+</\1\s*>"), F.lit(0))
-    rows = files.select("file_id", F.posexplode(leaves).alias("unit", "raw"))
+    """`tag: text` of the elements that hold text alone, with their places in the normalized text."""
+    found = cut(files, normalized(F.col("text")), r"<([A-Za-z_][\w:.-]*)(?:\s[^>]*)?>[^<]+</\1\s*>").where("matched")
     symbol, value = F.regexp_extract("raw", r"^<([^\s>]+)", 1), js_trim(F.regexp_extract("raw", r">([^<]+)<", 1))
-    return rows.where(value != "").select("file_id", "unit", F.lit("record").alias("kind"), F.concat(symbol, F.lit(": "), value).alias("search_text"), symbol.alias("symbol"))
+    number = F.row_number().over(Window.partitionBy("file_id").orderBy("at")) - 1
+    rows = found.withColumn("unit", number).where(value != "")
+    return rows.select("file_id", "unit", F.lit("record").alias("kind"), F.concat(symbol, F.lit(": "), value).alias("search_text"), symbol.alias("symbol"), *PLACE)
 
 
 def json_units(files: DataFrame) -> DataFrame:
-    """`path: value` of every scalar of JSON files, comments and trailing commas allowed. file_id, unit, kind, search_text, symbol.
+    """`path: value` of every scalar of JSON files, comments and trailing commas allowed: file_id, unit, kind, search_text, symbol
+    and places in the normalized text.
 
     Malformed files have no units here.
     """
-    rows = files.select("file_id", F.posexplode(json_leaves(F.col("text"))).alias("unit", "leaf"))
-    return rows.select("file_id", "unit", F.lit("record").alias("kind"), F.concat("leaf.path", F.lit(": "), "leaf.value").alias("search_text"), F.col("leaf.path").alias("symbol"))
+    rows = files.select("file_id", F.posexplode(json_leaves(normalized(F.col("text")))).alias("unit", "leaf"))
+    return rows.select("file_id", "unit", F.lit("record").alias("kind"), F.concat("leaf.path", F.lit(": "), "leaf.value").alias("search_text"), F.col("leaf.path").alias("symbol"), *[F.col(f"leaf.{c}").alias(c) for c in PLACE])
 
 
 def highlight_ranges(texts: DataFrame, terms: list[str]) -> DataFrame:

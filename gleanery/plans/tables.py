@@ -54,11 +54,12 @@ def _pages(spark, sf_dir):
 
 
 def html_units(spark, sf_dir):
-    return lines.html_units(_pages(spark, sf_dir)).withColumn("unit", F.col("unit").cast("long"))
+    places = [F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")]
+    return lines.html_units(_pages(spark, sf_dir)).select("file_id", F.col("unit").cast("long").alias("unit"), "kind", "search_text", "heading_trail", *places)
 
 
 def xml_records(spark, sf_dir):
-    return lines.xml_units(_pages(spark, sf_dir)).select("file_id", F.col("unit").cast("long").alias("unit"), "search_text", "symbol")
+    return lines.xml_units(_pages(spark, sf_dir)).select("file_id", F.col("unit").cast("long").alias("unit"), "search_text", "symbol", F.col("start_line").cast("long").alias("start_line"), "start_offset")
 
 
 def code_declarations(spark, sf_dir):
@@ -315,7 +316,10 @@ SQL = {
       select file_id, start_line, end_line, md5(s) as text_md5 from searched where s <> ''""",
     "html_title_text": """with t as (select page_id, regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1) as x from pages),
       v as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)<(br|hr)\\s*/?\\s*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g') as x from t),
-      d as (select page_id, regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') as x from v)
+      p as (select page_id, string_split_regex(x, '(?i)&(?:#x[0-9a-f]+|#[0-9]+|lt|gt|quot|apos|nbsp|amp);') as gaps, regexp_extract_all(x, '(?i)&(?:#x[0-9a-f]+|#[0-9]+|lt|gt|quot|apos|nbsp|amp);') as found from v),
+      e as (select page_id, gaps, list_transform(found, lambda f: case lower(f) when '&lt;' then '<' when '&gt;' then '>' when '&quot;' then '"' when '&apos;' then chr(39) when '&nbsp;' then ' ' when '&amp;' then '&'
+        else coalesce(chr(case when lower(f) like '&#x%' then try_cast('0x' || regexp_extract(f, '(?i)^&#x0*([0-9a-f]{1,5});$', 1) as integer) else try_cast(regexp_extract(f, '^&#0*([0-9]{1,6});$', 1) as integer) end), f) end) as signs from p),
+      d as (select page_id, regexp_replace(array_to_string(list_transform(range(1, len(gaps) + 1), lambda k: gaps[k] || coalesce(signs[k], '')), ''), '^\\s+|\\s+$', '', 'g') as x from e)
       select page_id, x as title, md5(x) as title_md5 from d""",
     "highlight_ranges": f"""with occ as ({' union all '.join(f"select doc_id, s, e from ({_occurrences(t)}) where part < n_parts" for t in ('the', 'heat', 'de'))}),
       reach as (select *, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) as r from occ),

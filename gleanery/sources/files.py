@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, extension, file_id, format_of, mime_of, root_identity
+from ..scratch import kept
 from .ignore import ignored
 
 SAMPLE = 8192
@@ -47,29 +50,36 @@ def _located(found: DataFrame, top: str, ignore: list[str]) -> DataFrame:
     )
 
 
+#: Up to so many changed files are opened by name; more by one listing of the folder.
+BY_NAME = 10_000
+
+
 def listed(spark: SparkSession, root: str, ignore: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """A row a file below root: identities, fingerprint, format, status and text (null unless it is ready).
 
     Ignored paths are dropped before contents are read; contents are hashed where they are read. A file of `known` (see
     Indexer.known) whose size and time are the same, the time finer than a second, keeps its hashes unread and has no text: only
-    the span of times that holds all other files is read, and nothing if there are none.
+    the others are opened, by name where they are few.
     """
     top = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = reader.load(top)
     if known is None:
         return _read(_located(found, top, ignore or []))
     held = known.select("file_id", "size", "modified_at_ms", "content_hash", "fingerprint_hash", "format", "mime_family", F.lit(True).alias("held"))
-    places = _located(found.drop("content"), top, ignore or []).join(held, ["file_id", "size", "modified_at_ms"], "left")
+    places = kept(_located(found.drop("content"), top, ignore or []).join(held, ["file_id", "size", "modified_at_ms"], "left"), "listing")
     sure = F.coalesce(F.col("held") & exact_time(F.col("modified_at_ms")), F.lit(False))
-    span = places.where(~sure).agg(F.min("modified_at_ms").alias("a"), F.max("modified_at_ms").alias("b")).first()
     ready = {"extension": extension(F.col("filename")), "read_status": F.lit("ready"), "last_error": F.lit(None).cast("string"), "text": F.lit(None).cast("string")}
-    if span.a is None:
-        kept, columns = places.withColumns(ready), _read(_located(found, top, ignore or [])).columns
-        return kept.select(*columns)
-    at = [F.timestamp_micros(F.lit(round(t * 1000))) for t in (span.a, span.b)]
-    fresh = _read(_located(found.where(F.col("modificationTime").between(*at)), top, ignore or []))
-    kept = places.where(sure & ~F.col("modified_at_ms").between(span.a, span.b)).withColumns(ready)
-    return fresh.unionByName(kept.select(*fresh.columns))
+    same = places.where(sure).withColumns(ready)
+    names = [r.canonical_path for r in places.where(~sure).select("canonical_path").limit(BY_NAME + 1).collect()]
+    if not names:
+        return same.select(*_read(_located(found, top, ignore or [])).columns)
+    if len(names) <= BY_NAME:
+        opened = reader.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", name) for name in names])
+    else:
+        opened = found.join(places.where(~sure).select(F.col("canonical_path").alias("path")), "path", "left_semi")
+    fresh = _read(_located(opened, top, ignore or []))
+    return fresh.unionByName(same.select(*fresh.columns))
 
 
 def _read(rows: DataFrame) -> DataFrame:
