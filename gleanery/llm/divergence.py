@@ -12,10 +12,12 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ def terms(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
+_RUN = pa.schema([("shard", pa.int32()), ("first", pa.binary()), ("run", pa.int32()), ("terms", pa.list_(pa.binary())), ("groups", pa.list_(pa.int32())), ("uses", pa.list_(pa.int64())), ("documents", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string()))])
+
+
 class Block:
     """Counts of terms by group (language, source) until they are given out as a run."""
 
@@ -56,61 +61,73 @@ class Block:
         documents.update(seen)
         self.entries += len(uses) - before
 
-    def run(self, number: int, rows: int = 512) -> Iterator[pd.DataFrame]:
+    def run(self, number: int) -> pa.RecordBatch:
         """The block's pages, by shard and term; the empty term marks each group, whether it has terms or not."""
         groups = sorted(self.held)
-        dealt: dict[int, list[tuple[bytes, int, int, int]]] = {}
+        terms, at, uses, documents = [b""] * len(groups), list(range(len(groups))), [0] * len(groups), [0] * len(groups)
+        shard = [zlib.crc32(repr(group).encode()) % self.shards for group in groups]
         for k, group in enumerate(groups):
-            uses, documents = self.held[group]
-            for term, n in uses.items():
-                dealt.setdefault(zlib.crc32(term) % self.shards, []).append((term, k, n, documents[term]))
-            dealt.setdefault(zlib.crc32(repr(group).encode()) % self.shards, []).append((b"", k, 0, 0))
-        self.held, self.entries = {}, 0
-        pages: list[dict] = []
-        for shard, entries in dealt.items():
-            entries.sort()
-            for start in range(0, len(entries), self.page):
-                own, at, uses, documents = zip(*entries[start : start + self.page])
-                place = {k: i for i, k in enumerate(sorted(set(at)))}
-                page = {"shard": shard, "first": own[0], "run": number, "terms": own, "groups": [place[k] for k in at], "uses": uses, "documents": documents}
-                pages.append(page | {"langs": [groups[k][0] for k in place], "sources": [groups[k][1] for k in place]})
-                if len(pages) == rows:
-                    yield pd.DataFrame(pages)
-                    pages = []
-        if pages:
-            yield pd.DataFrame(pages)
-
-
-def merged(pages: Iterator[tuple]) -> Iterator[tuple[bytes, dict[tuple[str, str], list[int]]]]:
+            counts, seen = self.held.pop(group)
+            terms += counts
+            at += [k] * len(counts)
+            uses += counts.values()
+            documents += map(seen.__getitem__, counts)
+        shard = np.concatenate([np.array(shard, np.int32), np.fromiter(map(zlib.crc32, terms[len(groups) :]), np.int64, len(terms) - len(groups)) % self.shards])
+        self.entries = 0
+        flat = pa.table({"shard": pa.array(shard, pa.int32()), "term": pa.array(terms, pa.binary()), "group": pa.array(at, pa.int32()), "uses": pa.array(uses, pa.int64()), "documents": pa.array(documents, pa.int64())})
+        flat = flat.take(pc.sort_indices(flat, [("shard", "ascending"), ("term", "ascending"), ("group", "ascending")])).combine_chunks()
+        of = flat["shard"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else np.zeros(1, np.int64)
+        starts = np.concatenate([np.arange(a, b, self.page) for a, b in zip(cuts, cuts[1:])] or [np.zeros(0, np.int64)])
+        offsets = pa.array(np.append(starts, len(of)), pa.int32())
+        column = lambda name: flat[name].chunk(0) if flat[name].num_chunks else flat[name].combine_chunks()
+        own = [np.unique(part, return_inverse=True) for part in np.split(flat["group"].to_numpy(), starts[1:])] if len(starts) else []
+        places = pa.array(np.concatenate([place for _, place in own] or [np.zeros(0, np.int64)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, values) for values in (column("term"), places, column("uses"), column("documents"))]
+        first = flat["term"].take(pa.array(starts)).combine_chunks()
+        names = [pa.array([[groups[k][side] for k in used.tolist()] for used, _ in own], pa.list_(pa.string())) for side in (0, 1)]
+        arrays = [pa.array(of[starts], pa.int32()), first, pa.array([number] * len(starts), pa.int32()), *lists, *names]
+        return pa.RecordBatch.from_arrays(arrays, schema=_RUN)
+
+
+def merged(pages: Iterator[tuple], least: int = 0) -> Iterator[tuple[bytes, dict[tuple[str, str], list[int]]]]:
     """Each term in order with [uses, documents] by group, of pages sorted by their first term.
 
-    A page is opened when the smallest term at hand reaches its first one; only pages that overlap are held at once.
+    A page is opened when the smallest term at hand reaches its first one; only pages that overlap are held at once. Terms in
+    fewer than `least` documents are passed over; marks of groups are not.
     """
-    heap: list[tuple[bytes, int, Iterator]] = []
-    waiting, count, term, held = next(pages, None), 0, None, {}
+    heap: list[tuple] = []
+    waiting, count, term, held, total = next(pages, None), 0, None, [], 0
+
+    def summed() -> dict[tuple[str, str], list[int]]:
+        sums: dict[tuple[str, str], list[int]] = {}
+        for k, n, d, names in held:
+            own = sums.setdefault(names[k], [0, 0])
+            own[0] += n
+            own[1] += d
+        return sums
+
     while heap or waiting is not None:
         while waiting is not None and (not heap or waiting[0] <= heap[0][0]):
             _, names, own, groups, uses, documents = waiting
-            entries = zip(own, groups, uses, documents)
-            first = next(entries)
-            heapq.heappush(heap, (first[0], count, first, entries, names))
+            entries = zip(own, repeat(count), groups, uses, documents, repeat(names))
+            entry = next(entries)
+            heapq.heappush(heap, (*entry, entries))
             waiting, count = next(pages, None), count + 1
-        at, number, entry, entries, names = heap[0]
+        at, _, k, n, d, names, entries = heap[0]
         if at != term:
-            if term is not None:
-                yield term, held
-            term, held = at, {}
-        _, k, n, d = entry
-        sums = held.setdefault(names[k], [0, 0])
-        sums[0] += n
-        sums[1] += d
+            if term is not None and (total >= least or not term):
+                yield term, summed()
+            term, held, total = at, [], 0
+        held.append((k, n, d, names))
+        total += d
         following = next(entries, None)
         if following is None:
             heapq.heappop(heap)
         else:
-            heapq.heapreplace(heap, (following[0], number, following, entries, names))
-    if term is not None:
-        yield term, held
+            heapq.heapreplace(heap, (*following, entries))
+    if term is not None and (total >= least or not term):
+        yield term, summed()
 
 
 def by_shard(pages: Iterator[tuple]) -> Iterator[tuple[int, Iterator[tuple]]]:
@@ -126,18 +143,18 @@ def frequencies(docs: DataFrame, columns: tuple[str, str, str], least: int, capa
     shards = 4 * tasks
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(to) for c, to in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(shards), 0
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
-                block.add(lang, source, text)
+            for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"]):
+                block.add(lang, source, text.as_py())
                 if block.entries >= capacity:
-                    yield from block.run(number)
+                    yield block.run(number)
                     number += 1
-        yield from block.run(number)
+        yield block.run(number)
 
     schema = "shard int, first binary, run int, terms array<binary>, groups array<int>, uses array<long>, documents array<long>, langs array<string>, sources array<string>"
-    spilled = rows.mapInPandas(runs, schema).repartition(tasks, "shard").sortWithinPartitions("shard", "first")
+    spilled = rows.mapInArrow(runs, schema).repartition(tasks, "shard").sortWithinPartitions("shard", "first")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pages() -> Iterator[tuple]:
@@ -147,7 +164,7 @@ def frequencies(docs: DataFrame, columns: tuple[str, str, str], least: int, capa
 
         out: list[tuple] = []
         for _, own in by_shard(pages()):
-            for term, groups in merged(own):
+            for term, groups in merged(own, least):
                 if term:
                     of_lang: dict[str, list[int]] = {}
                     for (lang, _), (n, d) in groups.items():
@@ -225,7 +242,7 @@ def corrections(held: DataFrame, flush: int = 1 << 20) -> DataFrame:
     return dealt.mapInPandas(stream, "lang string, a string, b string, amount long")
 
 
-def source_divergence(docs: DataFrame, least: int = 30, best: int = 50, capacity: int = 300_000, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def source_divergence(docs: DataFrame, least: int = 30, best: int = 50, capacity: int = 600_000, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Rows (lang, source, part, item, value, rank): how each source of a language differs from its others and from the whole.
 
     Null languages, sources and texts count as ''. Terms are matches of TERM with A-Z lower-cased; a language keeps those in at

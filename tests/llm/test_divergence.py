@@ -86,8 +86,8 @@ def test_pages_of_a_run_merge_in_order():
             block.add(*group, f"{word} {word}")
             expect[word.encode()][group][0] += 2
             expect[word.encode()][group][1] += 1
-        for frame in block.run(number):
-            pages += [(r.first, list(zip(r.langs, r.sources)), list(r.terms), list(r.groups), list(r.uses), list(r.documents)) for r in frame.itertuples(index=False)]
+        for r in block.run(number).to_pylist():
+            pages.append((r["first"], list(zip(r["langs"], r["sources"])), r["terms"], r["groups"], r["uses"], r["documents"]))
     found = list(divergence.merged(iter(sorted(pages, key=lambda p: p[0]))))
     assert [t for t, _ in found] == sorted({b"", *expect})
     assert {t: {g: tuple(n) for g, n in groups.items()} for t, groups in found if t} == {t: {g: tuple(n) for g, n in groups.items()} for t, groups in expect.items()}
