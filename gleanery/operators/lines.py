@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.jsontext import json_leaves
 from ..functions.text import js_trim
 from ..scratch import kept
+from .offsets import unbalanced
 
 UNIT = ["file_id", "kind", "display_text", "search_text", "start_line", "end_line", "start_offset", "end_offset", "heading_trail", "symbol"]
 
@@ -201,13 +202,18 @@ def code_units(lines: DataFrame, fmt: str) -> DataFrame:
     """A unit a declaration, with the comments and decorators right above it; what precedes the first is a comment.
 
     Comments between two declarations stand at the end of the first and at the head of the second.
-    Files without declarations, and Python files with an unclosed triple quote, fall back to runs of 40 lines.
+    Files without declarations, Python files with an unclosed triple quote and scripts whose brackets, strings or comments do not
+    close fall back to runs of 40 lines.
     """
     text = F.col("text")
     pattern = DECLARATIONS["javascript" if fmt == "typescript" else fmt]
     name = F.concat(*[F.regexp_extract(text, pattern, k) for k in ((1, 2) if fmt == "stylesheet" else (1,))])
     quotes = lambda q: F.sum(F.size(F.split(text, q)) - 1).over(Window.partitionBy("file_id"))
     broken = (quotes('"""') % 2 == 1) | (quotes("'''") % 2 == 1) if fmt == "python" else F.lit(False)
+    if fmt in ("javascript", "typescript"):
+        whole = lines.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+        lines = lines.join(unbalanced(whole).select("file_id", F.lit(True).alias("open")), "file_id", "left")
+        broken = F.coalesce("open", F.lit(False))
     marked = lines.withColumn("broken", broken).withColumn("name", F.when(~F.col("broken") & (name != ""), js_trim(name)))
     marked = marked.withColumn("any", F.count("name").over(Window.partitionBy("file_id")) > 0)
     # a line belongs to the next declaration if only comment and decorator lines lie between

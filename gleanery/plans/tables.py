@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.chunks import chunked
-from ..operators import evaluation, grep, lines, maintenance
+from ..operators import evaluation, grep, lines, maintenance, offsets
 from ..streaming import sessions
 from .retrieval import table
 
@@ -21,6 +21,28 @@ def line_table(spark, sf_dir):
     return rows.select("file_id", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start_offset"), F.col("end").cast("long").alias("end_offset"), F.md5("text").alias("text_md5"))
 
 
+def _mixed_breaks(spark, sf_dir):
+    """Every document with line ends of three kinds after its sentences, commas and semicolons."""
+    text = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n")), F.lit(", "), F.lit(",\r"))
+    return files(spark, sf_dir).withColumn("text", text)
+
+
+def original_line_places(spark, sf_dir):
+    """Where each line begins in the normalized text and in the text as it was, in UTF-16 code units."""
+    rows = offsets.line_places(_mixed_breaks(spark, sf_dir))
+    return rows.select("file_id", F.col("line").cast("long").alias("line"), "start", "end", "origin", F.md5("text").alias("text_md5"))
+
+
+def original_ranges(spark, sf_dir):
+    """The lines and original places of each document's quarters."""
+    places = offsets.line_places(_mixed_breaks(spark, sf_dir))
+    size = places.groupBy("file_id").agg(F.max("end").alias("size"))
+    parts = size.select("file_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"), "size")
+    asked = parts.select("file_id", F.col("part").cast("long").alias("part"), F.floor(F.col("size") * F.col("part") / 4).alias("start"), F.floor(F.col("size") * (F.col("part") + 1) / 4).alias("end"))
+    found = offsets.original_ranges(asked, places)
+    return found.select("file_id", "part", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "original_start", "original_end")
+
+
 def _unit_columns(units):
     return units.select("file_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5("search_text").alias("text_md5"))
 
@@ -299,13 +321,30 @@ _MIMES = " ".join(f"when '{e}' then '{m}'" for e, (_, m) in T.EXTENSIONS.items()
 QUERIES = {
     f.__name__: f
     for f in (
-        line_table, fallback_line_units, chunk_documents, csv_records, markdown_units, html_title_text, html_units, xml_records, code_declarations, highlight_ranges, grep_lines, grep_matches, json_records, token_count_unicode, token_bucket_padding, file_identity_hash, fake_embedding,
+        line_table, original_line_places, original_ranges, fallback_line_units, chunk_documents, csv_records, markdown_units, html_title_text, html_units, xml_records, code_declarations, highlight_ranges, grep_lines, grep_matches, json_records, token_count_unicode, token_bucket_padding, file_identity_hash, fake_embedding,
         format_dispatch, ignore_glob_filter, scan_diff_classify, scan_progress, commit_visibility, vector_reuse_multiset, replace_by_key, delete_by_key, metadata_only_update, change_feed_apply, dedupe_max_score, debounce_sessions,
         reconcile_wake, event_replay, latency_distribution, stage_throughput, count_by_format, corpus_rollup, section_hit, set_operations, json_leaves, enriched_text,
     )
 }
 
+_PLACES = r"""
+mixed as (select doc_id as file_id, replace(replace(text, '. ', '.' || chr(13) || chr(10)), ', ', ',' || chr(13)) as text from documents),
+split0 as (select file_id, string_split_regex(text, '\r\n|\r|\n') as ls, regexp_extract_all(text, '\r\n|\r|\n') as bs from mixed),
+split1 as (select file_id, ls[k] as text, coalesce(length(bs[k]), 0) as b, k as line from (select file_id, ls, bs, unnest(range(1, len(ls) + 1)) as k from split0)),
+sized1 as (select *, length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) as n from split1),
+placed as (select file_id, line, text, n, coalesce(sum(n + 1) over before, 0)::bigint as s, coalesce(sum(n + b) over before, 0)::bigint as origin from sized1
+  window before as (partition by file_id order by line rows between unbounded preceding and 1 preceding)),
+"""
 SQL = {
+    "original_line_places": f"with {_PLACES.strip().rstrip(',')} select file_id, line, s as start, s + n as \"end\", origin, md5(text) as text_md5 from placed",
+    "original_ranges": f"""with {_PLACES} sizes as (select file_id, max(s + n) as size from placed group by 1),
+      asked as (select file_id, part, (size * part // 4) as a, (size * (part + 1) // 4) as b from sizes, (select unnest(range(4)) as part)),
+      lows as (select file_id, part, max(line) as start_line from asked join placed using (file_id) where s <= a group by 1, 2),
+      highs as (select file_id, part, max(line) as end_at from asked join placed using (file_id) where s <= b group by 1, 2),
+      ends as (select file_id, part, coalesce(max(line) filter (s < b), 1) as end_line from asked join placed using (file_id) group by 1, 2)
+      select file_id, part, start_line, end_line, p.origin + a - p.s as original_start, q.origin + b - q.s as original_end
+      from asked join lows using (file_id, part) join highs using (file_id, part) join ends using (file_id, part)
+      join placed p on p.file_id = asked.file_id and p.line = start_line join placed q on q.file_id = asked.file_id and q.line = end_at""",
     "line_table": f"with {_L.strip().rstrip(',')} select file_id, line, (e - length(text))::bigint as start_offset, e::bigint as end_offset, md5(text) as text_md5 from line",
     "fallback_line_units": f"""with {_L} gaps as (select *, {_TRIM.format('text')} = '' as blank, sum(({_TRIM.format('text')} = '')::int) over (partition by file_id order by line) as gap from line),
       placed as (select *, floor((row_number() over (partition by file_id, gap order by line) - 1) / 5) as run from gaps where not blank)
