@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .config import IndexConfig
@@ -74,12 +74,13 @@ class Indexer:
         c = self.config
         return (F.col("index_status") == "indexed") & (F.col("extractor_version") == c.extractor_version) & (F.col("chunker_version") == c.chunker_version) & (F.col("schema_version") == c.schema_version)
 
-    def decisions(self, listing: DataFrame, base: Snapshot | None = None) -> DataFrame:
-        """listing with `decision` (see index_decision); files that are gone come as `deleted`."""
+    def decisions(self, listing: DataFrame, base: Snapshot | None = None, among: DataFrame | None = None) -> DataFrame:
+        """listing with `decision` (see index_decision); files that are gone come as `deleted`, of those named by `among` if given."""
         base = base or self.store.snapshot()
         stored = base.read("files").select(
             F.col("file_id").alias("s_id"), F.col("content_hash").alias("s_hash"), F.col("fingerprint_hash").alias("s_print"), (self._current() & F.lit(not self.differing(base))).alias("s_fine")
         )
+        stored = stored if among is None else stored.join(among.select(F.col("file_id").alias("s_id")), "s_id", "left_semi")
         both = listing.join(stored, listing.file_id == stored.s_id, "full_outer")
         same = F.col("content_hash") == F.col("s_hash")
         kind = index_decision(F.col("s_id").isNotNull(), F.coalesce(F.col("s_fine") & same, F.lit(False)), F.coalesce(F.col("fingerprint_hash") == F.col("s_print"), F.lit(False)), F.col("read_status") == "ready", F.col("read_status"))
@@ -106,9 +107,31 @@ class Indexer:
         so a search sees no chunk of a file that is not indexed.
         """
         base = self.store.snapshot()
-        decided = kept(self.decisions(listing, base), "decided")  # what is read of changed files is read once
+        return self._bring(kept(self.decisions(listing, base), "decided"), base)  # what is read of changed files is read once
+
+    def apply(self, feed: DataFrame) -> dict[str, int]:
+        """Apply versions of files as they come (see sources.files.versions), several of a file and late ones among them.
+
+        Of each file the version of the highest generation counts, and only if it is above that of the version applied last: what
+        belongs to an older generation changes nothing. Generations are committed with what they brought, so a feed that is
+        played again after a failure does nothing twice. Files that the feed does not name stay as they are.
+        """
+        base = self.store.snapshot()
+        newest = Window.partitionBy("file_id").orderBy(F.desc("generation"), F.desc("fingerprint_hash"))
+        last = feed.withColumn("__at", F.row_number().over(newest)).where("__at = 1").drop("__at")
+        seen = base.read("generations").select("file_id", F.col("generation").alias("seen"))
+        fresh = kept(last.join(seen, "file_id", "left").where("seen is null or generation > seen").drop("seen"), "fresh")
+        gone = fresh.where("op = 'delete'").select("file_id")
+        there = fresh.where("op != 'delete'").drop("op", "generation")
+        decided = self.decisions(there, base, there.select("file_id").unionByName(gone))
+        return self._bring(kept(decided, "decided"), base, {"generations": (fresh.select("file_id"), fresh.select("file_id", "generation"))}, fresh)
+
+    def _bring(self, decided: DataFrame, base: Snapshot, more: dict[str, tuple] | None = None, named: DataFrame | None = None) -> dict[str, int]:
+        """Commit what was decided, and changes of other tables with it, which alone are a commit if rows are named by them."""
         counts = {r.decision: r.n for r in decided.groupBy("decision").agg(F.count("*").alias("n")).collect()}
         if not set(counts) - {"unchanged"}:
+            if more and not named.isEmpty():
+                self.store.change(more, self.settings(), base)
             return counts
         c, files = self.config, base.read("files")
         made = kept(self._chunks(decided.where("decision = 'content'"), base), "made")  # vectors are inferred once
@@ -132,7 +155,7 @@ class Indexer:
             changes["postings"] = window, postings(good).join(of, "chunk_id")
             changes["lengths"] = window, lengths(good).join(of, "chunk_id")
             changes["cells"] = window, cells.dealt(good, self._quantiser(base))
-        self.store.change(changes, self.settings(), base)
+        self.store.change(changes | (more or {}), self.settings(), base)
         return counts
 
     def _quantiser(self, base: Snapshot) -> cells.Quantiser | None:

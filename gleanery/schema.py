@@ -15,7 +15,8 @@ POSTINGS = "unit string, chunk_id string, file_id string, length int, positions
 LENGTHS = "chunk_id string, file_id string, length int"
 CELLS = "cell int, chunk_id string, file_id string, format string, vector array<float>"
 QUANTISER = "cell int, centre array<double>, trained_on long, file_id string"
-TABLES = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "cells": CELLS, "quantiser": QUANTISER}
+GENERATIONS = "file_id string, generation long"
+TABLES = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "cells": CELLS, "quantiser": QUANTISER, "generations": GENERATIONS}
 
 #: Terms are spread over so many folders; within a folder, files and row groups hold ranges of terms.
 BUCKETS = 64

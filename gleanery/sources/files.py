@@ -89,6 +89,21 @@ def _read(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"fingerprint_hash": fingerprint, "text": text}).drop("content")
 
 
+def versions(rows: DataFrame, root: str) -> DataFrame:
+    """Listing rows (as of `listed`) with op and generation, of versions of files that come with their contents.
+
+    rows: relative_path, content (binary; null for a deletion), modified_at_ms, op (`delete` or another) and generation.
+    """
+    top = root.rstrip("/")
+    bare = "/" + top.split("://")[-1].removeprefix("file:").lstrip("/")
+    identity, path = root_identity(F.lit(bare)), F.col("relative_path")
+    said = rows.select(
+        file_id(identity, path).alias("file_id"), identity.alias("root_identity"), "relative_path", F.concat(F.lit(f"{top}/"), path).alias("canonical_path"), basename(path).alias("filename"),
+        F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size"), F.col("modified_at_ms").cast("double").alias("modified_at_ms"), F.coalesce("content", F.lit("").cast("binary")).alias("content"), "op", F.col("generation").cast("long").alias("generation"),
+    )
+    return _read(said)
+
+
 def coverage(spark: SparkSession, path: str, include: str = "") -> DataFrame:
     """Lines and functions found and hit of an LCOV report, over files whose path holds `include`; 100 % where none are found."""
     records = spark.read.option("lineSep", "end_of_record").text(path).where(F.contains("value", F.lit("SF:")))
