@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
@@ -54,8 +57,11 @@ def query_metrics(expected: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def summary(metrics: DataFrame) -> DataFrame:
-    """Means over queries; 0 where there are none."""
+    """Means over queries; 0 where there are none. With section_hit (see there), its mean over the queries that name sections."""
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 9).alias(c)
+    if "section_hit" in metrics.columns:
+        metrics = metrics.withColumn("section_hit", F.col("section_hit").cast("double"))
+        return metrics.agg(F.count("*").alias("queries"), *[mean(c) for c in ("recall_5", "recall_10", "reciprocal_rank", "distinct_ratio", "section_hit")])
     return metrics.agg(F.count("*").alias("queries"), *[mean(c) for c in ("recall_5", "recall_10", "reciprocal_rank", "distinct_ratio")])
 
 
@@ -73,6 +79,74 @@ def distribution(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return finite.groupBy(*by).agg(F.count("*").alias("count"), F.min(v).alias("min"), F.round(F.avg(v), 6).alias("mean"), at(0.5), at(0.95), at(0.99), F.max(v).alias("max"))
 
 
+@dataclass(frozen=True)
+class Definition:
+    """What a benchmark asks, and how often."""
+
+    queries: tuple[str, ...]
+    warm_runs: int
+    ignore: tuple[str, ...]
+    cells_from: int
+
+    @staticmethod
+    def read(text: str) -> Definition:
+        """From the JSON text of a definition file; ValueError, which says what is wrong, if it is none."""
+        said = json.loads(text)
+        if not isinstance(said, dict) or said.get("schemaVersion") != 1:
+            raise ValueError("not a benchmark definition of version 1")
+        texts = {k: said.get(k) for k in ("queries", "ignorePatterns")}
+        counts = {"warmRuns": 10, "annThreshold": 1}
+        wrong = [k for k, v in texts.items() if not isinstance(v, list) or not all(isinstance(x, str) and x.strip() for x in v)]
+        wrong += [k for k, least in counts.items() if type(said.get(k)) is not int or said[k] < least]
+        wrong += ["queries"] if texts["queries"] == [] else []
+        if wrong:
+            raise ValueError(f"missing or out of range: {', '.join(sorted(set(wrong)))}")
+        return Definition(tuple(texts["queries"]), said["warmRuns"], tuple(texts["ignorePatterns"]), said["annThreshold"])
+
+
+def upper_median(values: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """The middle value of each group, of an even number the upper one."""
+    order = Window.partitionBy(*by).orderBy(value)
+    placed = values.where(F.col(value).isNotNull()).withColumn("__at", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
+    return placed.where(F.col("__at") == F.floor(F.col("__n") / 2)).select(*by, F.col(value).alias(name))
+
+
+def warm_medians(samples: DataFrame, by: list[str], cold: int = 1) -> DataFrame:
+    """Of each group the number of queries, the median of their medians and the 95th percentile of all runs that are warm.
+
+    samples: columns of by, query_id, run (from 1) and ms; the first `cold` runs of a query are left out.
+    """
+    warm = samples.where(F.col("run") > cold)
+    medians = upper_median(warm, [*by, "query_id"], "ms", "median")
+    counts = medians.groupBy(*by).agg(F.count("*").alias("queries"))
+    high = warm.groupBy(*by).agg(F.expr("percentile_disc(0.95) within group (order by ms)").alias("p95"))
+    return counts.join(upper_median(medians, by, "median", "p50"), by).join(high, by)
+
+
+#: Settings in which reports of two models may differ.
+OF_MODEL = ("provider", "dimension")
+
+
+def incomparable(one: dict[str, object], other: dict[str, object]) -> list[str]:
+    """Names of the settings, other than the model's own, in which two benchmark reports differ: with any, figures don't compare."""
+    return sorted(k for k in one.keys() | other.keys() if k not in OF_MODEL and one.get(k) != other.get(k))
+
+
+def report_lines(figures: DataFrame, key: str) -> DataFrame:
+    """A table in Markdown, a line a row of `line` (from 0): a column for each of figures, rows by key."""
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\\\|")), F.lit("-"))
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    order = Window.orderBy(key)  # a report's rows: models or queries of a benchmark
+    body = figures.select((F.row_number().over(order) + 1).alias("line"), row([cell(c) for c in figures.columns]).alias("text"))
+    head = figures.sparkSession.createDataFrame([(0, f"| {' | '.join(figures.columns)} |"), (1, f"|{' --- |' * len(figures.columns)}")], "line int, text string")
+    return head.unionByName(body)
+
+
+def write_report(figures: DataFrame, key: str, path: str) -> None:
+    """The table as one text file below path."""
+    report_lines(figures, key).repartitionByRange(1, "line").sortWithinPartitions("line").select("text").write.text(path)
+
+
 def gate_failures(least: dict[str, float], most: dict[str, float]) -> Column:
     """All thresholds that a row of figures misses, as text, sorted by name."""
     low = [F.when(F.col(c) < t, F.lit(f"{c} below {t}")) for c, t in least.items()]

@@ -249,6 +249,13 @@ def latency_distribution(spark, sf_dir):
     return evaluation.distribution(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
+def warm_query_medians(spark, sf_dir):
+    """Each kind of event as a model, each user as a query, and its events in order as runs of it: the first is cold."""
+    order = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
+    samples = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("query_id"), F.row_number().over(order).alias("run"), F.col("value").alias("ms"))
+    return evaluation.warm_medians(samples, ["event_type"])
+
+
 def stage_throughput(spark, sf_dir):
     """Events a second of each kind, and the seconds its stage took."""
     seconds = (sessions.micros(F.max("ts")) - sessions.micros(F.min("ts"))) / 1_000_000
@@ -323,7 +330,7 @@ QUERIES = {
     for f in (
         line_table, original_line_places, original_ranges, fallback_line_units, chunk_documents, csv_records, markdown_units, html_title_text, html_units, xml_records, code_declarations, highlight_ranges, grep_lines, grep_matches, json_records, token_count_unicode, token_bucket_padding, file_identity_hash, fake_embedding,
         format_dispatch, ignore_glob_filter, scan_diff_classify, scan_progress, commit_visibility, vector_reuse_multiset, replace_by_key, delete_by_key, metadata_only_update, change_feed_apply, dedupe_max_score, debounce_sessions,
-        reconcile_wake, event_replay, latency_distribution, stage_throughput, count_by_format, corpus_rollup, section_hit, set_operations, json_leaves, enriched_text,
+        reconcile_wake, event_replay, latency_distribution, warm_query_medians, stage_throughput, count_by_format, corpus_rollup, section_hit, set_operations, json_leaves, enriched_text,
     )
 }
 
@@ -396,6 +403,12 @@ SQL = {
     "reconcile_wake": "with g as (select event_type, event_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by event_type order by ts, event_id)) as gap_us from events) select event_type, event_id, gap_us from g where gap_us >= 1200000000",
     "event_replay": "with l as (select * from events order by event_id desc limit 128), o as (select min(event_id) as oldest from l) select event_id, event_type from l, o where event_id > 5 or 5 < oldest - 1",
     "latency_distribution": "select event_type, count(*) as count, min(value) as min, round(avg(value), 6) as mean, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99, max(value) as max from events where isfinite(value) group by 1",
+    "warm_query_medians": """with s as (select event_type, user_id, value, row_number() over (partition by event_type, user_id order by ts, event_id) as run from events),
+      warm as (select * from s where run > 1),
+      placed as (select event_type, user_id, value, row_number() over (partition by event_type, user_id order by value) - 1 as pos, count(*) over (partition by event_type, user_id) as n from warm),
+      medians as (select event_type, value as median from placed where pos = n // 2),
+      again as (select event_type, median, row_number() over (partition by event_type order by median) - 1 as pos, count(*) over (partition by event_type) as n from medians)
+      select event_type, n as queries, median as p50, p95 from again join (select event_type, quantile_disc(value, 0.95) as p95 from warm group by 1) using (event_type) where pos = n // 2""",
     "stage_throughput": "with s as (select event_type, count(*) as events, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::double as seconds from events group by 1) select event_type, events, round(seconds, 3) as seconds, round(events / seconds, 9) as per_second from s",
     "count_by_format": "select lang, count(*) as files from documents group by 1",
     "corpus_rollup": "select count(*) filter (quality = 1) as supported, count(*) filter (quality = 0) as failed, count(*) filter (quality is null) as skipped, sum(strlen(text))::bigint as bytes, arg_max(doc_id, (n_chars, doc_id)) as largest, arg_min(doc_id, (n_chars, doc_id)) as smallest from documents left join labels using (doc_id)",
