@@ -52,10 +52,14 @@ def unquoted(query: Column) -> Column:
 
 
 def _first_of_each(values: Column) -> Column:
-    """Values of two characters or more, the first of those that differ in case only."""
-    lowered = F.transform(values, F.lower)
-    kept = F.filter(F.transform(values, lambda v, i: F.struct(v.alias("v"), (F.array_position(lowered, F.lower(v)) == i + 1).alias("first"))), lambda x: x["first"] & (F.length(x["v"]) >= 2))
-    return F.transform(kept, lambda x: x["v"])
+    """Values of two characters or more, the first of those that differ in case only. One fold: values are made once."""
+    none = F.array().cast("array<string>")
+
+    def step(held: Column, value: Column) -> Column:
+        known = (F.length(value) < 2) | F.array_contains(held["seen"], F.lower(value))
+        return F.when(known, held).otherwise(F.struct(F.array_append(held["seen"], F.lower(value)).alias("seen"), F.array_append(held["kept"], value).alias("kept")))
+
+    return F.aggregate(values, F.struct(none.alias("seen"), none.alias("kept")), step)["kept"]
 
 
 def query_terms(query: Column) -> Column:
