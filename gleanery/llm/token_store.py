@@ -47,7 +47,7 @@ class LibraryEncoder:
     strings), the library is asked once for each distinct pre-token; else for each text.
     """
 
-    def __init__(self, content: str, capacity: int = 250_000):
+    def __init__(self, content: str, capacity: int = 450_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -63,6 +63,7 @@ class LibraryEncoder:
             strings = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
             self._special = re.compile(f"({strings})") if strings else None
             self._find, self._letters = regex.compile(public_tokenizers.PATTERN).findall, byte_letters()
+            self._space = self._letters[0x20]
             self.books = [PieceBook(lead, self._pretokens, self._value, capacity) for lead in ("", " ")]
 
     def _pretokens(self, text: str) -> list[str]:
@@ -74,7 +75,11 @@ class LibraryEncoder:
         """By the library's model: no other step of it bears on a pre-token."""
         if token in self.special:
             return self.special[token]
-        return array(self._kind, map(_ID, self._tokenize(token.encode().decode("latin-1").translate(self._letters)))).tobytes()
+        if token.isascii() and token.isprintable():  # of these signs, only the space has a stand-in
+            letters = token.replace(" ", self._space)
+        else:
+            letters = token.encode().decode("latin-1").translate(self._letters)
+        return array(self._kind, map(_ID, self._tokenize(letters))).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.books:
