@@ -238,23 +238,18 @@ def bm25_pool(corpus: DataFrame | TextIndex, queries: DataFrame, config: SearchC
     return top(scores, config.bm25_candidates)
 
 
-def _fuzzy_keys(text: Column, lengths: list[Column], shifts: int, most: int) -> Column:
+def _fuzzy_keys(text: str, lengths: str, shifts: int, most: int) -> Column:
     """`length:part:letters` of the parts that a term of each length is cut into, each taken at up to `shifts` places about its own.
 
     A term that is at most d edits from a word is cut into d + 1 parts; one of them stands in the word unchanged, at most d
-    places off.
+    places off. text: a column's name; lengths: SQL for an array. One expression with lambdas: written out, it would be hundreds.
     """
-    keys = []
-    for length in lengths:
-        edits = F.when(length <= 4, min(1, most)).otherwise(min(2, most))
-        for part in range(min(2, most) + 1):
-            start = F.floor(length * part / (edits + 1)).cast("int")
-            size = F.floor(length * (part + 1) / (edits + 1)).cast("int") - start
-            for shift in range(-shifts, shifts + 1):
-                at = start + shift
-                inside = (part <= edits) & (at >= 0) & (F.lit(abs(shift)) <= edits) & (at + size <= F.length(text)) & (length >= 2)
-                keys.append(F.when(inside, F.concat_ws(":", length.cast("string"), F.lit(str(part)), F.substring(text, at + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    edits = f"IF(n <= 4, {min(1, most)}, {min(2, most)})"
+    start, end = f"((n * part) DIV ({edits} + 1))", f"((n * (part + 1)) DIV ({edits} + 1))"
+    inside = f"n >= 2 AND part <= {edits} AND abs(shift) <= {edits} AND {start} + shift >= 0 AND {end} + shift <= length({text})"
+    key = f"CASE WHEN {inside} THEN concat_ws(':', n, part, substring({text}, CAST({start} + shift + 1 AS INT), CAST({end} - {start} AS INT))) END"
+    nested = f"flatten(transform({lengths}, n -> flatten(transform(sequence(0, {min(2, most)}), part -> transform(sequence({-shifts}, {shifts}), shift -> {key})))))"
+    return F.expr(f"array_distinct(filter({nested}, x -> x IS NOT NULL))")
 
 
 def _grams(text: Column) -> Column:
@@ -276,8 +271,8 @@ def matching_values(values: DataFrame, asked: DataFrame, config: SearchConfig =
     if most:
         words = values.select("field", "value", F.explode(F.array_distinct(F.filter(F.split(v, r"[^\p{L}\p{N}_@.\-]+"), lambda p: p != ""))).alias("word"))
         reach = min(2, most)
-        keyed = words.select("word").distinct().withColumn("key", F.explode(_fuzzy_keys(F.col("word"), [F.length("word") + k for k in range(-reach, reach + 1)], reach, most)))
-        sought = asked.withColumn("key", F.explode(_fuzzy_keys(t, [F.length(t)], 0, most)))
+        keyed = words.select("word").distinct().withColumn("key", F.explode(_fuzzy_keys("word", f"transform(sequence({-reach}, {reach}), k -> length(word) + k)", reach, most)))
+        sought = asked.withColumn("__low", t).withColumn("key", F.explode(_fuzzy_keys("__low", "array(length(__low))", 0, most))).drop("__low")
         near = keyed.join(sought, "key").drop("key").distinct().where(F.levenshtein(F.col("word"), t) <= reach)
         met = met.unionByName(words.join(near, "word").drop("word")).distinct()
     return met.withColumn("kind", match_kind(F.col("value"), F.col("term"), most)).where("kind is not null")
