@@ -65,24 +65,32 @@ def listed(spark: SparkSession, root: str, ignore: list[str] | None = None, know
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     found = reader.load(top)
     if known is None:
-        return _read(_located(found, top, ignore or []))
-    held = known.select("file_id", "size", "modified_at_ms", "content_hash", "fingerprint_hash", "format", "mime_family", F.lit(True).alias("held"))
-    places = kept(_located(found.drop("content"), top, ignore or []).join(held, ["file_id", "size", "modified_at_ms"], "left"), "listing")
-    sure = F.coalesce(F.col("held") & exact_time(F.col("modified_at_ms")), F.lit(False))
-    ready = {"extension": extension(F.col("filename")), "read_status": F.lit("ready"), "last_error": F.lit(None).cast("string"), "text": F.lit(None).cast("string")}
-    same = places.where(sure).withColumns(ready)
-    names = [r.canonical_path for r in places.where(~sure).select("canonical_path").limit(BY_NAME + 1).collect()]
+        return finished(_located(found, top, ignore or []))
+    places, same = reusing(_located(found.drop("content"), top, ignore or []), known)
+    names = [r.canonical_path for r in places.select("canonical_path").limit(BY_NAME + 1).collect()]
     if not names:
-        return same.select(*_read(_located(found, top, ignore or [])).columns)
+        return same.select(*finished(_located(found, top, ignore or [])).columns)
     if len(names) <= BY_NAME:
         opened = reader.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", name) for name in names])
     else:
-        opened = found.join(places.where(~sure).select(F.col("canonical_path").alias("path")), "path", "left_semi")
-    fresh = _read(_located(opened, top, ignore or []))
+        opened = found.join(places.select(F.col("canonical_path").alias("path")), "path", "left_semi")
+    fresh = finished(_located(opened, top, ignore or []))
     return fresh.unionByName(same.select(*fresh.columns))
 
 
-def _read(rows: DataFrame) -> DataFrame:
+def reusing(places: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The files of a listing that must be opened, and those that keep the hashes of `known` (None without it)."""
+    if known is None:
+        return places, None
+    held = known.select("file_id", "size", "modified_at_ms", "content_hash", "fingerprint_hash", "format", "mime_family", F.lit(True).alias("held"))
+    both = kept(places.join(held, ["file_id", "size", "modified_at_ms"], "left"), "listing")
+    sure = F.coalesce(F.col("held") & exact_time(F.col("modified_at_ms")), F.lit(False))
+    ready = {"extension": extension(F.col("filename")), "read_status": F.lit("ready"), "last_error": F.lit(None).cast("string"), "text": F.lit(None).cast("string")}
+    return both.where(~sure).select(*places.columns), both.where(sure).withColumns(ready)
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """Rows of files with their bytes (content) as rows of a listing: hashes, format, status and text, without the bytes."""
     rows = inspected(rows.withColumn("content_hash", F.sha2("content", 256)))
     fingerprint = F.sha2(F.to_json(F.struct("size", "modified_at_ms", "content_hash")), 256)
     text = F.when(F.col("read_status") == "ready", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
@@ -101,7 +109,7 @@ def versions(rows: DataFrame, root: str) -> DataFrame:
         file_id(identity, path).alias("file_id"), identity.alias("root_identity"), "relative_path", F.concat(F.lit(f"{top}/"), path).alias("canonical_path"), basename(path).alias("filename"),
         F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size"), F.col("modified_at_ms").cast("double").alias("modified_at_ms"), F.coalesce("content", F.lit("").cast("binary")).alias("content"), "op", F.col("generation").cast("long").alias("generation"),
     )
-    return _read(said)
+    return finished(said)
 
 
 def coverage(spark: SparkSession, path: str, include: str = "") -> DataFrame:
