@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.chunks import chunked
-from ..operators import evaluation, grep, lines, maintenance, offsets
+from ..functions.paths import normal_path
+from ..operators import evaluation, fragments, grep, lines, maintenance, offsets
 from ..streaming import sessions
 from .retrieval import table
 
@@ -286,6 +287,31 @@ def set_operations(spark, sf_dir):
     return named(label.union(vector).distinct(), "either").unionByName(named(label.intersect(vector), "both")).unionByName(named(label.subtract(vector), "label alone")).unionByName(named(vector.subtract(label), "vector alone"))
 
 
+def normalized_paths(spark, sf_dir):
+    """Paths of pages with parts that lead up, empty and dot parts, backslashes and accents written apart, in one spelling."""
+    path = F.regexp_extract("url", "^https?://([^?#]*)", 1)
+    odd = F.concat(F.replace(F.replace(path, F.lit("."), F.lit("/../")), F.lit("e"), F.lit("e\u0301")), F.lit("\\x//./"), F.lit("y/"))
+    return table(spark, sf_dir, "pages").select("page_id", normal_path(odd).alias("path"))
+
+
+def _absolute(spark, sf_dir):
+    """Pages whose links from the root name their host."""
+    host = F.regexp_extract("url", "^(https?://[^/?#]*)", 1)
+    return table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit('href="/'), F.concat(F.lit('href="'), host, F.lit("/"))))
+
+
+def external_links(spark, sf_dir):
+    """The different addresses of the web that each page names, in order, with the text of the first link to each."""
+    found = _absolute(spark, sf_dir).select("page_id", F.posexplode(fragments.previewed(F.col("html"))["links"]).alias("place", "link"))
+    return found.select("page_id", F.col("place").cast("long").alias("place"), "link.href", "link.label")
+
+
+def safe_fragments(spark, sf_dir):
+    """Each page's body made safe to show."""
+    made = _absolute(spark, sf_dir).select("page_id", fragments.previewed(F.col("html")).alias("p"))
+    return made.select("page_id", F.col("p.safe").alias("safe"), F.size("p.links").cast("long").alias("links"))
+
+
 def json_leaves(spark, sf_dir):
     """Leaves of each event's properties as `path: value`."""
     leaves = F.from_json("props", "map<string,string>")
@@ -331,6 +357,7 @@ QUERIES = {
         line_table, original_line_places, original_ranges, fallback_line_units, chunk_documents, csv_records, markdown_units, html_title_text, html_units, xml_records, code_declarations, highlight_ranges, grep_lines, grep_matches, json_records, token_count_unicode, token_bucket_padding, file_identity_hash, fake_embedding,
         format_dispatch, ignore_glob_filter, scan_diff_classify, scan_progress, commit_visibility, vector_reuse_multiset, replace_by_key, delete_by_key, metadata_only_update, change_feed_apply, dedupe_max_score, debounce_sessions,
         reconcile_wake, event_replay, latency_distribution, warm_query_medians, stage_throughput, count_by_format, corpus_rollup, section_hit, set_operations, json_leaves, enriched_text,
+        normalized_paths, external_links, safe_fragments,
     )
 }
 
@@ -417,6 +444,17 @@ SQL = {
     "set_operations": """with l as (select doc_id from labels), v as (select vec_id as doc_id from embeddings)
       select 'either' as which, count(*) as n, coalesce(sum(doc_id), 0)::bigint as id_sum from (select * from l union select * from v) union all select 'both', count(*), coalesce(sum(doc_id), 0)::bigint from (select * from l intersect select * from v)
       union all select 'label alone', count(*), coalesce(sum(doc_id), 0)::bigint from (select * from l except select * from v) union all select 'vector alone', count(*), coalesce(sum(doc_id), 0)::bigint from (select * from v except select * from l)""",
+    "normalized_paths": f"""with odd as (select page_id, nfc_normalize(replace(replace(replace({_PATH}, '.', '/../'), 'e', 'e' || chr(769)) || chr(92) || 'x//./y/', chr(92), '/')) as path from pages),
+      parts as (select page_id, list_filter(string_split(path, '/'), lambda x: x not in ('', '.')) as ps from odd),
+      part as (select page_id, unnest(ps) as part, generate_subscripts(ps, 1) as place from parts),
+      level as (select *, sum(case when part = '..' then -1 else 1 end) over (partition by page_id order by place) as depth from part),
+      after as (select *, min(depth) over (partition by page_id order by place rows between current row and unbounded following) as least from level)
+      select page_id, case when min(depth) >= 0 then string_agg(part, '/' order by place) filter (part <> '..' and least >= depth) end as path from after group by 1""",
+    "external_links": r"""with a as (select page_id, regexp_extract_all(html, '<a href="/([^"]*)">', 1) as paths, regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1) as labels, regexp_extract(url, '^(https?://[^/?#]*)', 1) as host from pages),
+      l as (select page_id, lower(host) || '/' || array_to_string(list_transform(string_split(paths[k], ''), lambda c: case when c between '!' and '~' and c not in ('"', '#', '<', '>', '?', '^', '`', '{', '}') then c else url_encode(c) end), '') as href, labels[k] as label, k
+        from (select *, unnest(range(1, len(paths) + 1)) as k from a)),
+      f as (select page_id, href, min(k) as k, arg_min(label, k) as label from l group by 1, 2)
+      select page_id, row_number() over (partition by page_id order by k) - 1 as place, href, label from f""",
     "json_leaves": "with k as (select event_id, unnest(json_keys(props)) as path, props from events) select event_id, path, path || ': ' || json_extract_string(props, '$.' || path) as search_text from k",
     "enriched_text": "select doc_id, md5('Path: ' || source || '/' || doc_id || '.txt' || chr(10) || 'File: ' || doc_id || '.txt' || chr(10) || 'Format: text' || chr(10) || 'Heading: ' || lang || chr(10) || chr(10) || text) as text_md5 from documents",
 }

@@ -107,3 +107,20 @@ def test_addresses():
     }
     assert {k: web_address(k) for k in cases} == cases
     assert classified("#a b") == ("blocked", None) and classified(None) == ("blocked", None) and classified("mailto:x@y") == ("blocked", None)
+
+
+def test_query_of_safe_fragments(spark):
+    import pandas as pd
+
+    from gleanery.plans.catalogue import queries
+
+    folder = "/root/testdata/sf0.001"
+    pages = pd.read_parquet(f"{folder}/pages.parquet")
+    found = {r.page_id: (r.safe, r.links) for r in queries()["safe_fragments"](spark, folder).collect()}
+    assert set(found) == set(pages.page_id)
+    for page in pages.itertuples():
+        host = re.match("https?://[^/?#]*", page.url)[0]
+        made = Fragment(page.html.replace('href="/', f'href="{host}/'))
+        safe, links = found[page.page_id]
+        assert safe == made.safe and links == len(made.links) == len(set(re.findall('href="/([^"]*)', page.html)))
+        assert "track(" not in safe and "margin" not in safe and safe.startswith("<nav>") and safe.endswith("</footer>")
