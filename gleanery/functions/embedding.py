@@ -29,7 +29,7 @@ CONCEPTS = (
 
 @dataclass(frozen=True)
 class Profile:
-    """How a model wants its inputs, and how many tokens of them go to it at once."""
+    """Which model it is, how it wants its inputs, and how many tokens of them go to it at once."""
 
     max_tokens: int = 512
     batch_rows: int = 256
@@ -37,11 +37,26 @@ class Profile:
     document_prefix: str = ""
     query_prefix: str = ""
     suffix: str = ""
+    native_dimension: int | None = None  # before vectors are cut; None: as the provider's
+    revision: str = "1"
+    version: int = 1
+    pooling: str = "mean-v1"
+    tokenizer: str = "unicode-v1"
+    provenance: str = "built-in"
+    license: str = ""
+    device: str = "cpu"
+    quantization: str = "none"
+    normalization: str = "l2"
 
     def __post_init__(self):
         if min(self.max_tokens, self.batch_rows, self.batch_tokens) < 1:
             raise ValueError("a profile's numbers must be positive")
 
+    def identity(self) -> dict[str, object]:
+        """What an index depends on: all but the sizes of batches and the longest input."""
+        names = ("native_dimension", "revision", "version", "pooling", "document_prefix", "query_prefix", "suffix", "tokenizer", "provenance", "license", "device", "quantization", "normalization")
+        return {name: getattr(self, name) for name in names}
+
     def composed(self, text: str, query: bool = False) -> str:
         return (self.query_prefix if query else self.document_prefix) + text + self.suffix
 
@@ -119,25 +134,46 @@ def pooled(tokens: np.ndarray, mask: np.ndarray, how: str = "mean", size: int |
     return unit_rows(rows[:, : size or rows.shape[1]])
 
 
-def embedded(text: Column, provider: Provider, profile: Profile = Profile()) -> Column:
-    """array<float> of each text; a text that the provider refuses gets null, and its neighbours do not."""
+TOO_LONG, FAILED = "EMBEDDING_INPUT_TOO_LONG", "EMBEDDING_FAILED"
+
+
+def embedded_or_why(text: Column, provider: Provider, profile: Profile = Profile()) -> Column:
+    """struct<vector: array<float>, why: string> of each text; a text that gets no vector has a reason, and its neighbours do not.
 
-    @F.pandas_udf("array<float>")
-    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def vectors(texts: list[str]) -> list:
+    A text of more tokens than the profile's model takes is not cut and does not reach the provider. A batch that the provider
+    refuses is halved until the texts that it refuses are alone.
+    """
+
+    @F.pandas_udf("struct<vector: array<float>, why: string>")
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def vectors(texts: list[str]) -> list[tuple]:
             try:
-                return [v.astype(np.float32) for v in checked(provider, texts)]
-            except Exception:
-                return [None] if len(texts) == 1 else [v for t in texts for v in vectors([t])]
+                return [(v.astype(np.float32), None) for v in checked(provider, texts)]
+            except Exception as error:
+                if len(texts) == 1:
+                    return [(None, f"{FAILED}: {type(error).__name__}")]
+                half = len(texts) // 2
+                return vectors(texts[:half]) + vectors(texts[half:])
 
         for column in parts:
             texts = [profile.composed(t or "") for t in column]
-            made = [v for some in profile.batches([count_tokens(t) for t in texts]) for v in vectors(texts[some.start : some.stop])]
-            yield pd.Series(made, dtype=object)
+            counts = [count_tokens(t) for t in texts]
+            fine = [k for k, n in enumerate(counts) if n <= profile.max_tokens]
+            made: list[tuple] = [(None, TOO_LONG)] * len(texts)
+            for some in profile.batches([counts[k] for k in fine]):
+                places = fine[some.start : some.stop]
+                for k, found in zip(places, vectors([texts[k] for k in places])):
+                    made[k] = found
+            yield pd.DataFrame({"vector": pd.Series([v for v, _ in made], dtype=object), "why": pd.Series([w for _, w in made], dtype=object)})
 
     return embed(text)
 
 
+def embedded(text: Column, provider: Provider, profile: Profile = Profile()) -> Column:
+    """array<float> of each text; null for one that gets no vector (see embedded_or_why)."""
+    return embedded_or_why(text, provider, profile)["vector"]
+
+
 def checked(provider: Provider, texts: list[str]) -> np.ndarray:
     rows = np.asarray(provider.embed(texts), np.float64)
     if rows.shape != (len(texts), provider.dimension) or (np.abs(np.linalg.norm(rows, axis=1) - 1) > 1e-3).any():

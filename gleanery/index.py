@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,14 +10,17 @@ from pyspark.sql import functions as F
 
 from .config import IndexConfig
 from .functions.chunks import chunked
-from .functions.embedding import Provider, embedded
+from .functions.embedding import Profile, Provider, embedded_or_why
 from .operators import cells, lines
 from .operators.retrieval import lengths, postings
-from .operators.maintenance import deleted, index_decision, reuse_vectors
+from .operators.maintenance import compatibility, deleted, index_decision, reusable, reuse_vectors
 from .scratch import kept
 from .session import safe_unions
 from .sources.store import Snapshot, SnapshotStore
 
+#: Versions that describe an index; a change of these alone leaves its tables as they are.
+DESCRIPTOR, APPLICATION = 2, "0.3"
+
 
 def extracted(files: DataFrame) -> DataFrame:
     """Units of files (file_id, format, text), each format's rules applied to the formats that occur."""
@@ -49,8 +53,11 @@ def extracted(files: DataFrame) -> DataFrame:
 class Indexer:
     """Keeps a store's files, chunks, postings and vectors in step with a listing of files."""
 
-    def __init__(self, store: SnapshotStore, provider: Provider, config: IndexConfig = IndexConfig()):
+    def __init__(self, store: SnapshotStore, provider: Provider, config: IndexConfig = IndexConfig(), profile: Profile | None = None):
         self.store, self.provider, self.config = store, provider, config
+        self.profile = profile or Profile(max_tokens=config.max_tokens)
+        if config.max_tokens > self.profile.max_tokens:
+            raise ValueError("chunks may not be larger than the model's limit")
         safe_unions(store.spark)
 
     def settings(self) -> dict[str, object]:
@@ -58,12 +65,24 @@ class Indexer:
         c = self.config
         sizes = {k: getattr(c, k) for k in ("chunk_size_tokens", "chunk_overlap_tokens", "max_tokens")}
         versions = {k: getattr(c, k) for k in ("extractor_version", "chunker_version", "schema_version", "embedding_input_version")}
-        return {"provider": self.provider.name, "dimension": self.provider.dimension, **sizes, **versions}
+        described = {"descriptor_version": DESCRIPTOR, "application_version": APPLICATION}
+        return {"provider": self.provider.name, "dimension": self.provider.dimension, **self.profile.identity(), **sizes, **versions, **described}
+
+    def identity(self) -> str:
+        """What a stored vector was made under, kept with it: a vector of another identity is not used again."""
+        made, c = self.profile.identity(), self.config
+        names = ("revision", "version", "pooling", "document_prefix", "suffix", "tokenizer", "normalization", "device", "quantization")
+        versions = {k: getattr(c, k) for k in ("embedding_input_version", "extractor_version", "chunker_version", "schema_version")}
+        return json.dumps({"model": self.provider.name, "dimension": self.provider.dimension, **{k: made[k] for k in names}, **versions})
+
+    def compatibility(self, base: Snapshot | None = None) -> tuple[str, list[str]]:
+        """How the store's last commit stands to the present settings (see operators.maintenance.compatibility)."""
+        return compatibility((base or self.store.snapshot()).settings, self.settings())
 
     def differing(self, base: Snapshot | None = None) -> list[str]:
-        """Names of the settings in which the store's last commit differs; none before the first."""
-        stored = (base or self.store.snapshot()).settings
-        return [k for k, v in self.settings().items() if stored and stored.get(k) != v]
+        """Names of the settings for which all must be indexed again; none before the first commit."""
+        status, reasons = self.compatibility(base)
+        return reasons if status == "rebuild" else []
 
     def known(self) -> DataFrame:
         """Files indexed under the present settings, whose contents need no second reading while size and time are the same."""
@@ -93,11 +112,12 @@ class Indexer:
         made = chunked(units, self.config)
         text = F.concat(F.lit(f"embedding-input-v{self.config.embedding_input_version}\0"), "search_text")
         made = made.withColumn("embedding_input_hash", F.sha2(text, 256)).join(files.select("file_id", "filename", F.col("content_hash").alias("file_content_hash")), "file_id")
-        prior = base.read("chunks").where((F.col("embedding_model") == self.provider.name) & (F.size("vector") == self.provider.dimension))
+        prior = base.read("chunks").where(reusable(F.col("embedding_model"), F.col("vector"), self.identity(), self.provider.dimension))
         prior = prior.join(files.select("file_id"), "file_id", "left_semi")
         known = reuse_vectors(made, prior.select("file_id", "embedding_input_hash", "chunk_id", "vector").withColumnRenamed("chunk_id", "prior_id"), ["file_id", "embedding_input_hash"], "ordinal", "prior_id", ["vector"])
-        fresh = known.where("vector is null and search_text is not null").withColumn("vector", embedded(F.col("search_text"), self.provider))
-        return known.where("vector is not null or search_text is null").unionByName(fresh).withColumn("embedding_model", F.lit(self.provider.name))
+        fresh = known.where("vector is null and search_text is not null").withColumn("made", embedded_or_why(F.col("search_text"), self.provider, self.profile))
+        fresh = fresh.withColumns({"vector": F.col("made.vector"), "last_error": F.coalesce("last_error", "made.why")}).drop("made")
+        return known.where("vector is not null or search_text is null").unionByName(fresh).withColumn("embedding_model", F.lit(self.identity()))
 
     def run(self, listing: DataFrame) -> dict[str, int]:
         """Bring the store up to date; numbers of files by decision. Nothing is written if nothing changed.

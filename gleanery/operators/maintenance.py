@@ -68,11 +68,28 @@ def index_decision(stored: Column, compatible: Column, same_fingerprint: Column,
     return F.when(~ready & refused, "skipped").when(~ready, "failed").when(stored & compatible & same_fingerprint, "unchanged").when(stored & compatible, "metadata").otherwise("content")
 
 
-def differences(stored: dict[str, object], wanted: dict[str, object]) -> Column:
-    """Names of the settings in which a stored index differs from what is wanted, in the order of `wanted`, as an array."""
-    return F.array_compact(F.array(*[F.when(~F.lit(stored.get(k)).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in wanted.items()]))
+#: Settings that say how an index is described; where they alone differ, its tables stay as they are.
+DESCRIBING = ("descriptor_version", "application_version")
 
 
-def compatibility(reasons: Column, same_descriptor: Column) -> Column:
-    """`rebuild` if any setting differs, `migrate` if only the descriptor's own version does, else `compatible`."""
-    return F.when(F.size(reasons) > 0, "rebuild").when(~same_descriptor, "migrate").otherwise("compatible")
+def differences(stored: dict[str, object], wanted: dict[str, object]) -> list[str]:
+    """Names of the settings in which a stored index differs from what is wanted, in the order of `wanted`."""
+    return [name for name, value in wanted.items() if name not in stored or stored[name] != value]
+
+
+def compatibility(stored: dict[str, object], wanted: dict[str, object]) -> tuple[str, list[str]]:
+    """`rebuild`, `migrate` or `compatible`, and the settings that say so; `missing` where nothing is stored.
+
+    Whatever an index was made from outweighs how it is described.
+    """
+    if not stored:
+        return "missing", []
+    differing = differences(stored, wanted)
+    made = [name for name in differing if name not in DESCRIBING]
+    return ("rebuild", made) if made else ("migrate", differing) if differing else ("compatible", [])
+
+
+def reusable(identity: Column, vector: Column, wanted: str, dimension: int) -> Column:
+    """Whether a stored vector can stand for a new one: made under the same identity, as long as it must be, of finite numbers."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce((identity == wanted) & (F.size(vector) == dimension) & finite, F.lit(False))

@@ -244,11 +244,11 @@ def test_json_leaves():
 
 def test_compatibility_links_and_wrapping(spark):
     one = spark.range(1)
-    held = {"dimension": 32, "model": "a", "chunker": 2}
-    reasons = maintenance.differences(held, held | {"model": "b", "pooling": 1})
-    assert one.select(reasons.alias("r")).first().r == ["model", "pooling"]
-    said = lambda r, same: one.select(maintenance.compatibility(r, F.lit(same)).alias("c")).first().c
-    assert (said(reasons, True), said(maintenance.differences(held, held), False), said(maintenance.differences(held, held), True)) == ("rebuild", "migrate", "compatible")
+    held = {"dimension": 32, "model": "a", "chunker": 2, "application_version": "1"}
+    assert maintenance.differences(held, held | {"model": "b", "pooling": 1}) == ["model", "pooling"]
+    said = lambda **changed: maintenance.compatibility(held, held | changed)
+    assert (said(), said(application_version="2"), said(chunker=3, application_version="2")) == (("compatible", []), ("migrate", ["application_version"]), ("rebuild", ["chunker"]))
+    assert maintenance.compatibility({}, held) == ("missing", [])
     kinds = [one.select(T.link_kind(F.lit(x)).alias("k")).first().k for x in ("HTTPS://a", "#top", "javascript:x", "docs/a.md", None)]
     assert kinds == ["external", "fragment", "blocked", "blocked", "blocked"]
     assert [one.select(T.step_match(F.lit(c), F.lit(n), d).alias("w")).first().w for c, n, d in ((2, 3, 1), (0, 3, -1), (-1, 3, -1), (0, 0, 1))] == [0, 2, 2, -1]
