@@ -157,3 +157,18 @@ def gate_failures(least: dict[str, float], most: dict[str, float]) -> Column:
 def preferred(small: str, large: str, fixed_misses: Column, gain: float = 0.05) -> Column:
     """`base` if the large model's recall is higher by `gain` or it fixes an important miss; else `small`."""
     return F.when((F.round(F.col(large) - F.col(small), 9) >= gain) | (fixed_misses > 0), "base").otherwise("small")
+
+
+def corpus_report(files: DataFrame) -> DataFrame:
+    """part, name, files and bytes: of a listing (format, read_status, last_error, size) as a whole, by status, by the formats of
+    files that could be read, and by the reasons of those that failed.
+
+    Failed are files that are unreadable, unsafe or malformed; their reason is last_error, or the status where that is null.
+    All parts come from one pass; a null status counts as `unknown`.
+    """
+    status = F.coalesce("read_status", F.lit("unknown"))
+    reason = F.when(status.isin("unreadable", "unsafe", "malformed"), F.coalesce("last_error", status))
+    named = lambda part, name: F.struct(F.lit(part).alias("part"), name.alias("name"))
+    parts = F.array(named("all", F.lit("files")), named("status", status), named("format", F.when(status == "ready", F.coalesce("format", F.lit("unknown")))), named("failure", reason))
+    counted = files.groupBy("format", "read_status", "last_error").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return counted.select("files", "bytes", F.inline(F.filter(parts, lambda p: p["name"].isNotNull()))).groupBy("part", "name").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))

@@ -49,3 +49,9 @@ def matches(texts: DataFrame, text: Column, pattern: str, regex: bool = False, c
         return pd.DataFrame([([dict(zip(keys, m)) for m in found], more) for found, more in rows], columns=["matches", "limited"])
 
     return texts.withColumn("found", search(text))
+
+
+def nearest_match(matches: Column, line: Column) -> Column:
+    """The place (from 0) of the first match in a line or after it, else of the last one; -1 where there is none."""
+    before = F.size(F.filter(matches, lambda m: m["line"] < line))
+    return F.when(matches.isNotNull(), F.least(before, F.size(matches) - 1)).otherwise(-1)

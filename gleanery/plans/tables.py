@@ -272,6 +272,23 @@ def corpus_rollup(spark, sf_dir):
     return docs.agg(F.count_if(F.col("quality") == 1).alias("supported"), F.count_if(F.col("quality") == 0).alias("failed"), F.count_if(F.col("quality").isNull()).alias("skipped"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.struct("n_chars", "doc_id"))["doc_id"].alias("largest"), F.min(F.struct("n_chars", "doc_id"))["doc_id"].alias("smallest"))
 
 
+def corpus_report(spark, sf_dir):
+    """Documents by status, language and reason of failure: a poor one is malformed, a toxic one unsafe."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    status = F.when(F.col("toxic") == 1, "unsafe").when(F.col("quality") == 0, "malformed").when(F.col("quality") == 1, "ready").otherwise("unsupported")
+    error = F.when(F.col("quality") == 0, F.concat_ws(" ", F.lit("poor"), F.col("source")))
+    rows = docs.select(F.col("lang").alias("format"), status.alias("read_status"), error.alias("last_error"), F.octet_length("text").cast("long").alias("size"))
+    return evaluation.corpus_report(rows)
+
+
+def nearest_matches(spark, sf_dir):
+    """Of each document with matches, the one nearest to its middle line."""
+    docs = files(spark, sf_dir).withColumn("middle", F.regexp_count("text", F.lit("\n")) / 2 + 1)
+    found = grep.matches(docs, F.col("text"), "the", most=1 << 31).select("file_id", F.floor("middle").alias("middle"), F.col("found.matches").alias("matches"))
+    place = grep.nearest_match(F.col("matches"), F.col("middle"))
+    return found.where(F.size("matches") > 0).select("file_id", "middle", place.cast("long").alias("place"), F.get("matches", place)["line"].cast("long").alias("line"))
+
+
 def section_hit(spark, sf_dir):
     """Whether an answer of each conversation holds the first two words that its user wrote."""
     turns = table(spark, sf_dir, "conversations")
@@ -357,7 +374,7 @@ QUERIES = {
         line_table, original_line_places, original_ranges, fallback_line_units, chunk_documents, csv_records, markdown_units, html_title_text, html_units, xml_records, code_declarations, highlight_ranges, grep_lines, grep_matches, json_records, token_count_unicode, token_bucket_padding, file_identity_hash, fake_embedding,
         format_dispatch, ignore_glob_filter, scan_diff_classify, scan_progress, commit_visibility, vector_reuse_multiset, replace_by_key, delete_by_key, metadata_only_update, change_feed_apply, dedupe_max_score, debounce_sessions,
         reconcile_wake, event_replay, latency_distribution, warm_query_medians, stage_throughput, count_by_format, corpus_rollup, section_hit, set_operations, json_leaves, enriched_text,
-        normalized_paths, external_links, safe_fragments,
+        normalized_paths, external_links, safe_fragments, corpus_report, nearest_matches,
     )
 }
 
@@ -439,6 +456,14 @@ SQL = {
     "stage_throughput": "with s as (select event_type, count(*) as events, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::double as seconds from events group by 1) select event_type, events, round(seconds, 3) as seconds, round(events / seconds, 9) as per_second from s",
     "count_by_format": "select lang, count(*) as files from documents group by 1",
     "corpus_rollup": "select count(*) filter (quality = 1) as supported, count(*) filter (quality = 0) as failed, count(*) filter (quality is null) as skipped, sum(strlen(text))::bigint as bytes, arg_max(doc_id, (n_chars, doc_id)) as largest, arg_min(doc_id, (n_chars, doc_id)) as smallest from documents left join labels using (doc_id)",
+    "corpus_report": """with f as (select lang, source, strlen(text) as size, case when toxic = 1 then 'unsafe' when quality = 0 then 'malformed' when quality = 1 then 'ready' else 'unsupported' end as status, quality from documents left join labels using (doc_id)),
+      p as (select 'all' as part, 'files' as name, size from f union all select 'status', status, size from f union all select 'format', coalesce(lang, 'unknown'), size from f where status = 'ready'
+        union all select 'failure', case when quality = 0 then 'poor' || coalesce(' ' || source, '') else status end, size from f where status in ('unsafe', 'malformed'))
+      select part, name, count(*) as files, sum(size)::bigint as bytes from p group by 1, 2""",
+    "nearest_matches": """with l as (select doc_id as file_id, string_split(lower(text), chr(10)) as ls from documents), m as (select file_id, (len(ls) - 1) // 2 + 1 as middle, unnest(ls) as text, generate_subscripts(ls, 1) as line from l),
+      n as (select file_id, middle, line, len(string_split(text, 'the')) - 1 as found from m), s as (select *, sum(found) over (partition by file_id order by line) as upto from n where found > 0),
+      a as (select file_id, middle, sum(found) as total, coalesce(sum(found) filter (line < middle), 0) as before, min(line) filter (line >= middle) as next, max(line) as last from s group by 1, 2)
+      select file_id, middle, least(before, total - 1)::bigint as place, coalesce(next, last) as line from a""",
     "section_hit": """with t as (select conv_id, list(text order by turn) filter (role = 'assistant') as answers, regexp_extract_all(lower(first(text order by turn) filter (role = 'user')), '[\\p{L}\\p{N}]+')[1:2] as sections from conversations group by 1)
       select conv_id, case when len(sections) > 0 then coalesce(len(list_filter(answers, lambda a: len(list_filter(sections, lambda s: contains(lower(a), s))) > 0)), 0) > 0 end as hit from t""",
     "set_operations": """with l as (select doc_id from labels), v as (select vec_id as doc_id from embeddings)
