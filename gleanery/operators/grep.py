@@ -48,7 +48,8 @@ def matches(texts: DataFrame, text: Column, pattern: str, regex: bool = False, c
         keys = ("start", "end", "line", "column")
         return pd.DataFrame([([dict(zip(keys, m)) for m in found], more) for found, more in rows], columns=["matches", "limited"])
 
-    return texts.withColumn("found", search(text))
+    # said to be nondeterministic so that a filter on what is found does not search a second time
+    return texts.withColumn("found", search.asNondeterministic()(text))
 
 
 def nearest_match(matches: Column, line: Column) -> Column:
