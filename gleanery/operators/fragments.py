@@ -198,6 +198,9 @@ class Fragment:
                 kept |= {"href": href, "target": "_blank", "rel": "noopener noreferrer", "referrerpolicy": "no-referrer"}
             else:
                 kept |= {"href": href} if kind == "fragment" else {"aria-disabled": "true"}
+        elif "href" in kept:  # areas and parts of drawings lead somewhere as well
+            href = classified(kept["href"])[1]
+            kept = {n: v for n, v in kept.items() if n != "href"} | ({} if href is None else {"href": href})
         return f"<{name}{''.join(f' {n}="{_shown(v, True)}"' for n, v in kept.items())}>"
 
     def _end(self, name: str) -> None:

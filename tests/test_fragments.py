@@ -44,6 +44,7 @@ CASES = {
     "<p title=\"never closed>t<script>": "",
     "<xmp><script>a</script></xmp>": "&lt;script&gt;a&lt;/script&gt;",
     "<plaintext><b>": "&lt;b&gt;",
+    "<area href=javascript:x><svg><use href='#a'></use></svg>": '<area><svg><use href="#a"></use></svg>',
     "": "",
 }
 
