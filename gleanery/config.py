@@ -36,6 +36,7 @@ class SearchConfig:
     supplemental_cap: float = 0.15
     supplemental_decay: float = 0.25
     fuzzy_max_distance: int = 2
+    fuzzy_in_bytes: bool = False  # edits of fuzzy matches in bytes of UTF-8, not in characters
     max_distance: float = 0.9
     bm25_k1: float = 1.2
     bm25_b: float = 0.75

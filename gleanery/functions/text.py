@@ -111,15 +111,23 @@ def file_id(root: Column, path: Column) -> Column:
     return F.sha2(F.concat(F.lit("file-v1\0"), root, F.lit("\0"), path), 256)
 
 
-def match_kind(value: Column, term: Column, max_distance: int = 2) -> Column:
+def utf8_edits(one: Column, other: Column) -> Column:
+    """Edits between two texts, counted in bytes of UTF-8: never fewer than in characters."""
+    as_letters = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    return F.levenshtein(as_letters(one), as_letters(other))
+
+
+def match_kind(value: Column, term: Column, max_distance: int = 2, in_bytes: bool = False) -> Column:
     """exact, prefix, substring or fuzzy, the first that holds regardless of case; else null.
 
-    Fuzzy: some part of the value is within one edit (two for terms over four characters) of the whole term.
+    Fuzzy: some part of the value is within one edit (two for terms over four characters) of the whole term. in_bytes: edits are
+    counted in bytes of UTF-8, not in characters.
     """
+    edits = utf8_edits if in_bytes else F.levenshtein
     v, t = F.lower(value), F.lower(term)
     allowed = F.when(F.length(t) <= 4, min(1, max_distance)).otherwise(min(2, max_distance))
     parts = F.filter(F.split(v, r"[^\p{L}\p{N}_@.\-]+"), lambda p: p != "")
-    near = F.exists(parts, lambda p: (F.abs(F.length(p) - F.length(t)) <= allowed) & (F.levenshtein(p, t) <= allowed))
+    near = F.exists(parts, lambda p: (F.abs(F.length(p) - F.length(t)) <= allowed) & (edits(p, t) <= allowed))
     return F.when(v == t, "exact").when(F.startswith(v, t), "prefix").when(F.contains(v, t), "substring").when((allowed > 0) & near, "fuzzy")
 
 

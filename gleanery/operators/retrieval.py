@@ -262,7 +262,7 @@ def matching_values(values: DataFrame, asked: DataFrame, config: SearchConfig =
     """field, value, kind and the columns of asked (term among them) of every value that matches a term.
 
     Values meet terms by their first three letters (what holds a term holds those) and, for fuzzy matches, by parts of words;
-    only pairs that meet are compared.
+    only pairs that meet are compared. Edits in characters are never more than those in bytes, so one kind of keys serves both.
     """
     most = config.fuzzy_max_distance
     v, t = F.lower("value"), F.lower("term")
@@ -275,7 +275,7 @@ def matching_values(values: DataFrame, asked: DataFrame, config: SearchConfig =
         sought = asked.withColumn("__low", t).withColumn("key", F.explode(_fuzzy_keys("__low", "array(length(__low))", 0, most))).drop("__low")
         near = keyed.join(sought, "key").drop("key").distinct().where(F.levenshtein(F.col("word"), t) <= reach)
         met = met.unionByName(words.join(near, "word").drop("word")).distinct()
-    return met.withColumn("kind", match_kind(F.col("value"), F.col("term"), most)).where("kind is not null")
+    return met.withColumn("kind", match_kind(F.col("value"), F.col("term"), most, config.fuzzy_in_bytes)).where("kind is not null")
 
 
 def metadata_matches(chunks: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
