@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig
 from ..functions.text import match_kind, metadata_terms, quoted_phrases, stem, strength, terms, unquoted
 from ..schema import bucket
-from ..scratch import kept
+from ..scratch import dealt, kept
 
 SCORE_DIGITS = 6
 
+#: Chunks whose metadata one task compares.
+CHUNKS_A_TASK = 20_000
+
 
 def blocked(find: Callable[[DataFrame], DataFrame], queries: DataFrame, most: int) -> DataFrame:
     """What `find` finds for all queries, asked in blocks (by a hash of query_id) of at most `most`. Queries are computed once."""
@@ -297,7 +300,9 @@ def _described(chunks: DataFrame, *more: str) -> DataFrame:
     listed = lambda name, column: F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: entry(name, x))
     fixed = F.array(entry("filename", F.col("filename")), entry("filename", stem(F.col("filename"))), entry("path", F.col("relative_path")))
     fields = F.array_distinct(F.concat(fixed, listed("heading", "heading_trail"), listed("symbol", "symbols")))
-    rows = chunks.select("chunk_id", "file_id", "relative_path", *more, F.posexplode(fields).alias("field_at", "x"))
+    columns = chunks.select("chunk_id", "file_id", "relative_path", *more, "filename", "heading_trail", "symbols")
+    each = dealt(columns, "chunk_id", chunks.select("chunk_id"), CHUNKS_A_TASK)
+    rows = each.select("chunk_id", "file_id", "relative_path", *more, F.posexplode(fields).alias("field_at", "x"))
     return rows.select("chunk_id", "file_id", "relative_path", *more, "field_at", "x.*").where("value is not null")
 
 

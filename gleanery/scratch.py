@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str, rows: DataFrame, most: int) -> DataFrame:
+    """df dealt out by a hash of key, in a part for each `most` of `rows`: a task's work stays the same as the input grows.
+
+    Files that compress well hold many rows in one split; what is made of each row, and sorted, would then be one task's.
+    """
+    return df.repartition(max(1, ceil(rows.count() / most)), key)
