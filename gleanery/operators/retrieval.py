@@ -19,8 +19,10 @@ from ..scratch import dealt, kept
 
 SCORE_DIGITS = 6
 
-#: Chunks whose metadata one task compares.
+#: Chunks whose metadata, and whose terms, one task compares; rows of a term, a query and a chunk that one task adds up.
 CHUNKS_A_TASK = 20_000
+TEXTS_A_TASK = 10_000
+HITS_A_TASK = 2_000_000
 
 
 def blocked(find: Callable[[DataFrame], DataFrame], queries: DataFrame, most: int) -> DataFrame:
@@ -84,8 +86,11 @@ def scanned(chunks: DataFrame, kind: str, asked: list[dict], wanted: np.ndarray,
         if any(formats):
             kinds, kind_at = np.unique(batch["format"].astype(str), return_inverse=True)
             scores[~np.array([[not formats[q] or x in formats[q] for x in kinds] for q in some])[:, kind_at]] = -np.inf
-        q, c = np.nonzero(1 - scores < far)
-        return pd.DataFrame({"query_id": ids[some[q]], "chunk_id": batch["chunk_id"].to_numpy()[c], "raw_score": scores[q, c].round(SCORE_DIGITS)})
+        close, scores = 1 - scores < far, scores.round(SCORE_DIGITS)
+        if len(batch) > k:  # no more than the k best and their equals are sorted
+            close &= scores >= np.partition(np.where(close, scores, -np.inf), -k, axis=1)[:, -k, None]
+        q, c = np.nonzero(close)
+        return pd.DataFrame({"query_id": ids[some[q]], "chunk_id": batch["chunk_id"].to_numpy()[c], "raw_score": scores[q, c]})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
@@ -141,10 +146,12 @@ class TextIndex:
 
         A chunk's length stands in a posting of the empty term, which no text has.
         """
-        units = kept(asked.select(F.explode(terms(F.col(column))).alias("unit")).distinct(), "units")
+        length_of = asked.sparkSession.range(1).select(F.lit("").alias("unit"))
+        units = kept(asked.select(F.explode(terms(F.col(column))).alias("unit")).unionByName(length_of).distinct(), "units")
         listed = chunks.select("chunk_id", terms(F.coalesce(F.col("search_text"), F.lit(""))).alias("terms"))
-        held = listed.select("chunk_id", F.size("terms").alias("length"), F.posexplode(F.concat(F.array(F.lit("")), "terms")).alias("at", "unit"))
-        held = held.join(units.unionByName(units.sparkSession.createDataFrame([("",)], "unit string")), "unit", "left_semi")
+        listed = listed.select("chunk_id", F.size("terms").alias("length"), F.concat(F.array(F.lit("")), "terms").alias("terms"))
+        held = listed.select("chunk_id", "length", F.posexplode("terms").alias("at", "unit")).join(units, "unit", "left_semi")
+        held = dealt(held, "chunk_id", chunks.select("chunk_id"), TEXTS_A_TASK)  # what is sorted is a part's, not a split's
         rows = kept(held.groupBy("unit", "chunk_id", "length").agg(F.array_sort(F.collect_list(F.col("at") - 1)).alias("positions")), "postings")
         return TextIndex.stored(rows.where("unit != ''"), rows.where("unit = ''").select("chunk_id", "length"))
 
@@ -188,8 +195,10 @@ def match_scores(corpus: DataFrame | TextIndex, queries: DataFrame, config: Sear
     asked = kept(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("unit")), "asked")
     held = index.of_units(kept(asked.select("unit").distinct(), "units"))
     counts = kept(held.groupBy("unit").agg(F.count("*").alias("df")), "document-counts")
-    hits = held.select("unit", "chunk_id", "length", F.size("positions").alias("tf")).join(asked, "unit")
-    return _scored(hits, counts, index.sizes, config)
+    n_hits = counts.join(asked, "unit").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first().n
+    found = held.select("unit", "chunk_id", "length", F.size("positions").alias("tf"))
+    found = found.repartition(max(1, ceil(n_hits / HITS_A_TASK)), "chunk_id")  # a chunk's scores are added up where its postings are
+    return _scored(found.join(asked, "unit"), counts, index.sizes, config)
 
 
 def phrase_scores(corpus: DataFrame | TextIndex, phrases: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:

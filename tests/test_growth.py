@@ -12,3 +12,21 @@ def test_metadata_is_dealt_out_by_number_of_chunks(spark, monkeypatch):
     found = retrieval._described(chunks)
     sizes = found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert sum(r.n for r in sizes) == 300 and len(sizes) >= 8 and max(r.n for r in sizes) < 100
+
+
+def test_terms_and_scores_are_dealt_out_by_number(spark, monkeypatch):
+    chunks = spark.range(0, 100, 1, 1).select(F.col("id").alias("chunk_id"), F.concat(F.lit("tea leaf "), F.col("id").cast("string")).alias("search_text"))
+    queries = spark.createDataFrame([("q", "tea 7"), ("r", "leaf")], "query_id string, query string")
+    whole = {tuple(r) for r in retrieval.bm25_pool(chunks, queries).collect()}
+    monkeypatch.setattr(retrieval, "TEXTS_A_TASK", 10)
+    monkeypatch.setattr(retrieval, "HITS_A_TASK", 20)
+    index = retrieval.TextIndex.of(chunks, queries)
+    assert len(index.postings.inputFiles()) >= 8
+    assert {tuple(r) for r in retrieval.bm25_pool(index, queries).collect()} == whole and len(whole) == 200
+
+
+def test_nearest_of_many_equals(spark):
+    chunks = spark.range(0, 300, 1, 1).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("vector"))
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("r", [1.0, 1.0])], "query_id string, query_vector array<double>")
+    found = retrieval.vector_pool(chunks, queries, retrieval.SearchConfig(vector_candidates=160)).orderBy("query_id", "rank").collect()
+    assert [r.chunk_id for r in found] == [*range(0, 300, 2), *range(1, 21, 2), *range(1, 300, 2), *range(0, 20, 2)]
