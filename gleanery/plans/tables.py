@@ -9,9 +9,13 @@ from ..functions import text as T
 from ..functions.chunks import chunked
 from ..functions.paths import normal_path
 from ..operators import evaluation, fragments, grep, lines, maintenance, offsets
+from ..scratch import dealt
 from ..streaming import sessions
 from .retrieval import table
 
+#: Order lines that one task sorts.
+LINES_A_TASK = 1_000_000
+
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
@@ -203,7 +207,7 @@ def replace_by_key(spark, sf_dir):
     """Lines of finished orders replaced by one line an order; then lines and quantity of every order."""
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     window = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    kept = items.select("l_orderkey", "l_linenumber", "l_quantity")
+    kept = dealt(items.select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", items, LINES_A_TASK)  # sorted once for both joins
     new = kept.join(window, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.lit(1).alias("l_linenumber"), F.max("l_quantity").alias("l_quantity"))
     after = maintenance.replaced(kept, "l_orderkey", window, new)
     return after.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity"))
