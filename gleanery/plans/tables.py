@@ -323,7 +323,7 @@ def _absolute(spark, sf_dir):
 
 def external_links(spark, sf_dir):
     """The different addresses of the web that each page names, in order, with the text of the first link to each."""
-    found = _absolute(spark, sf_dir).select("page_id", F.posexplode(fragments.previewed(F.col("html"))["links"]).alias("place", "link"))
+    found = _absolute(spark, sf_dir).select("page_id", F.posexplode(fragments.linked(F.col("html"))).alias("place", "link"))
     return found.select("page_id", F.col("place").cast("long").alias("place"), "link.href", "link.label")
 
 
