@@ -73,10 +73,15 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
+def _usable(docs: DataFrame, held_out: Column | None, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Rows (id, lang, text) that may be learnt from."""
+    usable = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    return docs.where(usable if held_out is None else usable & ~held_out).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+
 def _learnt_from(docs: DataFrame, docs_per_language: int, max_languages: int | None, held_out: Column | None, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, lang, text) to learn from, and the ids and languages chosen among them."""
-    usable = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
-    pool = docs.where(usable if held_out is None else usable & ~held_out).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    pool = _usable(docs, held_out, id_col, text_col, lang_col)
     ids = pool.select("id", "lang").distinct()
     if max_languages is not None:
         ids = ids.join(pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang"), "lang", "left_semi")
@@ -133,18 +138,28 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
 
 
-def least_score(docs: DataFrame, profiles: RankProfiles, docs_per_language: int = 500, max_languages: int | None = None, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
-    """Half the score that all but a hundredth of the learned documents with letters reach: what is below is like no language learnt."""
-    pool, chosen = _learnt_from(docs, docs_per_language, max_languages, held_out, id_col, text_col, lang_col)
-    learned = pool.join(chosen, ["id", "lang"], "left_semi").select(predicted(docs.sparkSession, F.col("text"), profiles).alias("found"))
-    row = learned.where(F.col("found.lang_pred") != UNDETERMINED).agg(F.percentile_approx("found.score", 0.01, 10000)).first()
-    return (row[0] or 0.0) / 2
+#: Scores are counted in so many steps of equal size.
+STEPS = 10_000
+
+
+def least_score(docs: DataFrame, profiles: RankProfiles, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """Half the score that all but a hundredth of the documents with letters that may be learnt from reach: what is below is like
+    no language learnt. All of them are counted, by steps of their score."""
+    pool = _usable(docs, held_out, id_col, text_col, lang_col)
+    found = pool.select(predicted(docs.sparkSession, F.col("text"), profiles).alias("found")).where(F.col("found.lang_pred") != UNDETERMINED)
+    counts = sorted((r.step, r.n) for r in found.groupBy(F.floor(F.col("found.score") * STEPS).alias("step")).agg(F.count("*").alias("n")).collect())
+    left = 0.01 * sum(n for _, n in counts)
+    for step, n in counts:
+        left -= n
+        if left <= 0:
+            return step / STEPS / 2
+    return 0.0
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without those of no determinable language: no letters at all, or far from every profile. All others stay unchanged.
 
-    How far is too far follows from the documents learnt from. With nothing to learn from, every text that has letters stays.
+    How far is too far follows from all documents that may be learnt from. With nothing to learn from, every text that has letters stays.
     """
     held_out = F.coalesce(remainder(F.col(id_col), 4) == 2, F.lit(True))
     profiles = fit_profiles(docs, held_out=held_out, id_col=id_col, text_col=text_col, lang_col=lang_col)

@@ -1,8 +1,15 @@
 """What one task does stays the same as tables grow."""
 
+import random
+from datetime import datetime, timedelta
+from itertools import accumulate
+
+import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import retrieval
+from gleanery.llm import language_id
+from gleanery.operators import fragments, lines, retrieval
+from gleanery.streaming import sessions
 
 
 def test_metadata_is_dealt_out_by_number_of_chunks(spark, monkeypatch):
@@ -30,3 +37,46 @@ def test_nearest_of_many_equals(spark):
     queries = spark.createDataFrame([("q", [1.0, 0.0]), ("r", [1.0, 1.0])], "query_id string, query_vector array<double>")
     found = retrieval.vector_pool(chunks, queries, retrieval.SearchConfig(vector_candidates=160)).orderBy("query_id", "rank").collect()
     assert [r.chunk_id for r in found] == [*range(0, 300, 2), *range(1, 21, 2), *range(1, 300, 2), *range(0, 20, 2)]
+
+
+@pytest.mark.parametrize("cells", [1, 3, 4096])
+def test_bursts_by_cells(spark, monkeypatch, cells):
+    monkeypatch.setattr(sessions, "CELLS", cells)
+    rng = random.Random(7)
+    steps = [rng.choice([0, 1, 40, 99, 99.999999, 100, 100.000001, 101, 250, 5000]) for _ in range(300)]
+    at = [datetime(1969, 12, 31, 23, 0) + timedelta(seconds=s) for s in accumulate(steps)]
+    wanted, held = [], None
+    for ts in at:
+        if held is None or ts - held[1] >= timedelta(seconds=100):
+            held = [ts, ts, 0]
+            wanted.append(held)
+        held[1], held[2] = ts, held[2] + 1
+    events = spark.createDataFrame([(t,) for t in [*at, None]], "ts timestamp_ntz").repartition(5)
+    found = sessions.bursts(events, "100 seconds")
+    assert [list(r) for r in found.orderBy("first_ts").select("first_ts", "last_ts", "n_events").collect()] == wanted
+    plan = found._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan.split("HashAggregate")[0] and "session_window" not in plan
+
+
+def test_ranges_are_placed_in_parts_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(lines, "TEXTS_A_TASK", 10)
+    texts = spark.range(0, 100, 1, 1).select("id", F.lit("The heat; theat dede").alias("text"))
+    found = lines.highlight_ranges(texts, ["the", "heat", "de"]).withColumn("part", F.spark_partition_id()).collect()
+    assert {(r.start, r.end) for r in found} == {(0, 3), (4, 8), (10, 15), (16, 20)} and len(found) == 400 and len({r.part for r in found}) >= 8
+
+
+def test_links_alone_are_those_of_the_preview(spark):
+    pages = spark.createDataFrame([("<p><a href='https://a.b/c'>x <b>y</b></a><a href='https://a.b/c'>z</a><a href='/d'>d</a>",), ("",), (None,)], "html string")
+    rows = pages.select(fragments.linked(F.col("html")).alias("own"), fragments.previewed(F.col("html"))["links"].alias("links")).collect()
+    assert [r.own for r in rows] == [r.links for r in rows] and rows[0].own[0].label == "x y"
+
+
+def test_least_score_counts_all_documents(spark):
+    """Of 1,200 texts of one language 20, or 10, are far from its profile: a sample of 500 need not show how many."""
+    english = "the quick brown fox jumps over the lazy dog and runs through the green field"
+    docs = spark.createDataFrame([(k, english if k % 60 else "zq xj", "en") for k in range(1200)], "doc_id long, text string, lang string")
+    profiles = language_id.RankProfiles({"en": [int(c) for c in language_id.ranked(language_id.ngrams(english), 300)]}, 300)
+    odd, usual = profiles.predict("zq xj")[1], profiles.predict(english)[1]
+    assert odd < usual and language_id.least_score(docs, profiles) == int(odd * language_id.STEPS) / language_id.STEPS / 2
+    fewer = docs.where("text != 'zq xj' or doc_id < 600")
+    assert language_id.least_score(fewer, profiles) == int(usual * language_id.STEPS) / language_id.STEPS / 2
