@@ -15,7 +15,8 @@ TERM = r"[\p{L}\p{N}]+"
 QUERY_TERM = r"[\p{L}\p{N}_./:@-]+"
 PHRASE = r'"([^"\r\n]+)"'
 WORD_OR_SIGN = r"[\p{L}\p{N}_]+|[^\s]"
-WHITE = r"[\s ﻿  -     　]"
+#: What JavaScript trims.
+WHITE = " \t\n\v\f\r\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # File extensions with their formats and MIME families.
 EXTENSIONS = {
@@ -32,7 +33,7 @@ EXTENSIONS = {
 
 def js_trim(text: Column) -> Column:
     """Without white space at either end, no-break spaces and byte-order marks included."""
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def terms(text: Column) -> Column:

@@ -7,6 +7,9 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.config import IndexConfig
+from gleanery.functions import chunks
+from gleanery.functions.text import js_trim
 from gleanery.llm import language_id
 from gleanery.operators import fragments, lines, retrieval
 from gleanery.streaming import sessions
@@ -80,3 +83,40 @@ def test_least_score_counts_all_documents(spark):
     assert odd < usual and language_id.least_score(docs, profiles) == int(odd * language_id.STEPS) / language_id.STEPS / 2
     fewer = docs.where("text != 'zq xj' or doc_id < 600")
     assert language_id.least_score(fewer, profiles) == int(usual * language_id.STEPS) / language_id.STEPS / 2
+
+
+def test_a_text_is_read_once_to_be_packed(monkeypatch):
+    """Parts are counted from one reading, not by reading each part that may fit."""
+    seen = []
+    kinds, words = chunks._kinds(), chunks._WORD_OR_SIGN
+
+    class Watched:
+        def findall(self, text):
+            seen.append(len(text))
+            return words.findall(text)
+
+    monkeypatch.setattr(chunks, "_WORD_OR_SIGN", Watched())
+    text = " ".join(f"w{k}, x" for k in range(4000))
+    unit = {"display_text": text, "search_text": text, "start_line": 1, "end_line": 1, "start_offset": 0, "end_offset": len(text), "heading_trail": [], "symbols": []}
+    packed = chunks.Packer("a.txt", "text", IndexConfig()).pack([unit])
+    assert len(packed) > 30 and sum(seen) < len(text) and len(kinds) == 0x110000
+    # a count of another kind is asked for each part, with the same result
+    assert chunks.Packer("a.txt", "text", IndexConfig(), lambda t: chunks.count_tokens(t)).pack([unit]) == packed
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab, c!!d\n é_1中 \x1c\u0085", "😀a😀\U000104a0b", " \t x"])
+def test_counts_of_parts(text):
+    counts = chunks.part_counts(text)
+    assert all(counts(a, b) == chunks.count_tokens(text[a:b]) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
+
+
+def test_trimmed_as_in_javascript(spark):
+    """U+0085 is no white space there, and what stands before it stays."""
+    white = " \t\n\v\f\r ﻿       　"
+    rows = spark.createDataFrame([(f"{white}a b{white}",), (white,), ("a \u0085",), (None,)], "t string").select(js_trim(F.col("t")).alias("t")).collect()
+    assert [r.t for r in rows] == ["a b", "", "a \u0085", None]
+
+
+def test_line_ends_and_marks(spark):
+    rows = spark.createDataFrame([("﻿﻿a\r\r\nb\rc\n\r\n",), (None,), ("﻿",)], "t string").select(lines.normalized(F.col("t")).alias("t")).collect()
+    assert [r.t for r in rows] == ["﻿a\n\nb\nc\n\n", "", ""]
