@@ -10,6 +10,8 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 from itertools import islice
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: White space as the pattern's \s has it, and \x1c-\x1f, which cost nothing but a slower cut.
@@ -30,11 +32,41 @@ def _uneven(text: str) -> bool:
     return b"  " in raw or any(white in raw and (b" " + white in raw or white + b" " in raw) for white in _WHITE_BYTES)
 
 
+def _even(text: str) -> bool:
+    """Whether every space of the text is a cut."""
+    return not text.startswith(" ") and not text.endswith(" ") and not _uneven(text)
+
+
 def split_pieces(text: str) -> tuple[list[str], bool]:
     """The pieces, and whether all but the first have lost the space that they begin with."""
-    if not text.startswith(" ") and not text.endswith(" ") and not _uneven(text):
-        return text.split(" "), True
-    return _CUT.split(text), False
+    return (text.split(" "), True) if _even(text) else (_CUT.split(text), False)
+
+
+def split_many(texts: list[str]) -> tuple[list[list[str]], pa.ListArray]:
+    """Of each text the pieces as they stand (the first, or all where a space is no cut) and those that have lost their space."""
+    whole, rests = [], []
+    for text in texts:
+        first, _, rest = text.partition(" ") if _even(text) else ("", "", "")
+        whole.append([first] if first or not text else _CUT.split(text))
+        rests.append(rest or None)
+    return whole, pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+
+
+#: The pre-token pattern for texts of these signs alone, many at once, each with _STOP behind it, which is no such sign.
+_STOP = "\x00"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_OTHER_SIGN = re.compile(rf"[^\t\n\r -~{_LETTERS}]")
+_MANY = re.compile(rf"{_STOP}|'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9{_STOP}]+|\s+(?![^\s{_STOP}])|\s+")
+
+
+def pretokens_of_many(pieces: list[str], find: Callable[[str], list[str]]) -> list[list[str]]:
+    """The pre-tokens of each piece: by one search through all that have only common signs, by `find` of the others."""
+    uncommon = {piece for piece in pieces if _OTHER_SIGN.search(piece)} if _OTHER_SIGN.search("\n".join(pieces)) else ()
+    common = [piece for piece in pieces if piece not in uncommon] if uncommon else pieces
+    found = _MANY.findall(_STOP.join([*common, ""]))
+    ends = [k for k, token in enumerate(found) if token == _STOP]
+    cut = (found[start:end] for start, end in zip([0, *(end + 1 for end in ends)], ends))
+    return [find(piece) if piece in uncommon else next(cut) for piece in pieces] if uncommon else list(cut)
 
 
 #: Signs that are a pre-token by themselves behind letters.
@@ -121,33 +153,32 @@ class PieceEncoder:
 
 
 class PieceBook(dict):
-    """Values (bytes) of pieces behind `lead`, made when first asked for.
+    """Values (bytes) of pieces.
 
-    `value` gives that of one pre-token. A book of more than `capacity` pieces is followed by an empty one, which takes over what
-    is asked for again: common pieces stay, rare ones go, and memory is bounded by two books of pieces of at most LONGEST_KEPT
-    letters.
+    A book of more than `capacity` pieces is followed by an empty one, which takes over what is asked for again: common pieces
+    stay, rare ones go, and memory is bounded by two books of pieces of at most LONGEST_KEPT letters.
     """
 
-    def __init__(self, lead: str, pretokens: Callable[[str], Iterable[str]], value: Callable[[str], bytes], capacity: int, old: dict | None = None):
+    def __init__(self, capacity: int, old: dict | None = None):
         super().__init__()
-        self.lead, self.pretokens, self.value, self.capacity, self.old = lead, pretokens, value, capacity, old or {}
+        self.capacity, self.old = capacity, old or {}
 
     def following(self) -> PieceBook:
         """This book, or the one that follows it once it is full."""
         if len(self) <= self.capacity:
             return self
-        held, self.old = self, {}
-        return PieceBook(self.lead, self.pretokens, self.value, self.capacity, held)
-
-    def __missing__(self, piece: str) -> bytes:
-        found = dict.get(self.old, piece)
-        if found is None:
-            if piece.isalpha():  # letters alone, as most pieces: one pre-token
-                found = self.value(self.lead + piece)
-            elif piece and piece[-1] in _STOPS and piece[:-1].isalpha():
-                found = self[piece[:-1]] + self.value(piece[-1])
-            else:
-                found = b"".join(map(self.value, self.pretokens(self.lead + piece)))
-        if len(piece) <= LONGEST_KEPT:
-            self[piece] = found
+        self.old = {}
+        return PieceBook(self.capacity, self)
+
+    def known(self, pieces: list[str]) -> list[bytes | None]:
+        """The value of each piece, None for those in neither book."""
+        found = list(map(self.get, pieces))
+        if self.old and None in found:
+            for k in [k for k, value in enumerate(found) if value is None]:
+                if (value := self.old.get(pieces[k])) is not None:
+                    found[k] = self[pieces[k]] = value
         return found
+
+    def keep(self, pieces: list[str], values: Iterable[bytes]) -> None:
+        kept = zip(pieces, values)
+        self.update(kept if max(map(len, pieces), default=0) <= LONGEST_KEPT else [x for x in kept if len(x[0]) <= LONGEST_KEPT])

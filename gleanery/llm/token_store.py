@@ -22,10 +22,12 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 from operator import attrgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
 import zstandard
@@ -33,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, read_table, slices
-from .pieces import PieceBook, split_pieces
+from .pieces import PieceBook, pretokens_of_many, split_many
 from .token_counts import byte_letters
 
 _ID = attrgetter("id")
+_LEARNT_AT_ONCE = 1 << 14  # pieces
+_LETTERS_AT_ONCE = 1 << 22  # of texts that are looked up together: the more, the fewer pieces come in two of them
 _BLOCK = "shard int, block int, dictionary_hash string, first long, doc_ids array<long>, counts array<long>, offsets array<long>, frames binary"
 
 
@@ -44,7 +48,7 @@ class LibraryEncoder:
     """Ids of texts by the tokenizers library, from a tokenizer file's content, as little-endian numbers of `width` bytes.
 
     Where the file's settings make pieces independent of each other (byte-level pre-tokens, no normalizer, plain special
-    strings), the library is asked once for each distinct pre-token; else for each text.
+    strings), the library is asked once for each distinct pre-token that is remembered; else for each text.
     """
 
     def __init__(self, content: str, capacity: int = 450_000):
@@ -55,42 +59,91 @@ class LibraryEncoder:
         self._kind, self._tokenize = {2: "H", 4: "I"}[self.width], self.tokenizer.model.tokenize
         said = json.loads(content)
         before, added = said.get("pre_tokenizer") or {}, said.get("added_tokens", [])
-        plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
+        plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or any(map(str.isspace, x["content"])) for x in added)
         byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.books: list[PieceBook] = []
         if plain and byte_level and not said.get("normalizer") and not said.get("truncation"):
-            self.special = {x["content"]: array(self._kind, [x["id"]]).tobytes() for x in added}
+            self.special = {x["content"]: array(self._kind, [self.tokenizer.token_to_id(x["content"])]).tobytes() for x in added}
             strings = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
             self._special = re.compile(f"({strings})") if strings else None
-            self._find, self._letters = regex.compile(public_tokenizers.PATTERN).findall, byte_letters()
-            self._space = self._letters[0x20]
-            self.books = [PieceBook(lead, self._pretokens, self._value, capacity) for lead in ("", " ")]
+            self._find = regex.compile(public_tokenizers.PATTERN).findall
+            self._letters = np.zeros(256, "<u2")  # the stand-in of each byte, and of the byte that no text holds a space
+            for byte, letter in (byte_letters() | {0xFF: " "}).items():
+                self._letters[byte] = ord(letter)
+            self.books = [PieceBook(capacity), PieceBook(capacity)]  # of pieces as they stand, and of pieces behind a space
 
     def _pretokens(self, text: str) -> list[str]:
+        """Of one text, whatever it holds."""
         if self._special is None or self._special.search(text) is None:
             return self._find(text)
         return [token for k, part in enumerate(self._special.split(text)) for token in ([part] if k % 2 else self._find(part))]
 
-    def _value(self, token: str) -> bytes:
-        """By the library's model: no other step of it bears on a pre-token."""
-        if token in self.special:
-            return self.special[token]
-        if token.isascii() and token.isprintable():  # of these signs, only the space has a stand-in
-            letters = token.replace(" ", self._space)
+    def _ids(self, tokens: list[str]) -> list[bytes]:
+        """Of pre-tokens, by the library's model: no other step of it bears on them."""
+        letters = self._letters[np.frombuffer("\udcff".join(tokens).encode("utf-8", "surrogateescape"), np.uint8)].tobytes().decode("utf-16-le").split(" ")
+        found = list(map(self._tokenize, letters))
+        ids = array(self._kind, map(_ID, chain.from_iterable(found))).tobytes()
+        ends = [self.width * n for n in accumulate(map(len, found))]
+        return [ids[start:end] for start, end in zip([0, *ends], ends)]
+
+    def _tokens(self, tokens: list[str]) -> dict[str, bytes]:
+        """The values of distinct pre-tokens, which are pieces as well and are remembered as such."""
+        values = {token: self.special[token] for token in tokens if token in self.special} if self.special else {}
+        behind, other = [x for x in tokens if x[0] == " "], [x for x in tokens if x[0] != " " and x not in values]
+        for book, names, keys in ((self.books[1], behind, [x[1:] for x in behind]), (self.books[0], other, other)):
+            found = book.known(keys)
+            new = [k for k, value in enumerate(found) if value is None]
+            if new:
+                made = self._ids([names[k] for k in new])
+                book.keep([keys[k] for k in new], made)
+                for k, value in zip(new, made):
+                    found[k] = value
+            values.update(zip(names, found))
+        return values
+
+    def _learn(self, book: PieceBook, lead: str, pieces: list[str]) -> dict[str, bytes]:
+        """The values of distinct pieces that the book does not know."""
+        if self._special is not None and self._special.search("\0".join(pieces)):
+            values, others = {}, pieces
+            cut = [self._pretokens(lead + piece) for piece in pieces]
         else:
-            letters = token.encode().decode("latin-1").translate(self._letters)
-        return array(self._kind, map(_ID, self._tokenize(letters))).tobytes()
+            letters = list(filter(str.isalpha, pieces))  # as most pieces: one pre-token
+            values = dict(zip(letters, self._ids([lead + piece for piece in letters]))) if letters else {}
+            book.keep(letters, values.values())
+            others = [piece for piece in pieces if piece not in values]
+            cut = pretokens_of_many([lead + piece for piece in others], self._find)
+        value = self._tokens(list(dict.fromkeys(chain.from_iterable(cut)))).__getitem__
+        made = [b"".join(map(value, tokens)) for tokens in cut]
+        book.keep(others, made)
+        values.update(zip(others, made))
+        return values
+
+    def _values(self, book: PieceBook, pieces: list[str]) -> list[bytes]:
+        found = book.known(pieces)
+        new = [k for k, value in enumerate(found) if value is None]
+        for start in range(0, len(new), _LEARNT_AT_ONCE):
+            part = new[start : start + _LEARNT_AT_ONCE]
+            values = self._learn(book, " " if book is self.books[1] else "", [pieces[k] for k in part])
+            for k in part:
+                found[k] = values[pieces[k]]
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.books:
             for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 yield array(self._kind, found.ids).tobytes()
             return
-        for text in texts:
-            self.books = [book.following() for book in self.books]
-            plain, spaced = self.books
-            pieces, lost = split_pieces(text)
-            yield plain[pieces[0]] + b"".join(map(spaced.__getitem__, pieces[1:])) if lost else b"".join(map(plain.__getitem__, pieces))
+        plain, spaced = self.books = [book.following() for book in self.books]
+        whole, rests = split_many(texts)
+        firsts = list(dict.fromkeys(chain.from_iterable(whole)))
+        first = dict(zip(firsts, self._values(plain, firsts))).__getitem__
+        pieces = rests.flatten().dictionary_encode()  # a piece that comes often in these texts is looked up once
+        joined = pa.array(self._values(spaced, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices)
+        _, ends, ids = joined.buffers()
+        ends = np.frombuffer(ends, np.int64)[rests.offsets.to_numpy()].tolist() if len(joined) else [0] * (len(texts) + 1)
+        ids = memoryview(ids or b"")
+        for own, start, end in zip(whole, ends, ends[1:]):
+            yield b"".join([*map(first, own), ids[start:end]])
 
 
 @lru_cache(1)
@@ -134,7 +187,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
     end = end_id.to_bytes(width, "little")
 
     def serialized(encoder: LibraryEncoder, texts) -> Iterator[bytes]:
-        for part in slices(texts):
+        for part in slices(texts, _LETTERS_AT_ONCE):
             for ids in encoder.encode(part):
                 yield ids + end
 

@@ -1,5 +1,6 @@
 """The operators of the llm package against brute force, the public libraries, round trips and held-out rows."""
 
+import json
 import math
 import random
 import zlib
@@ -520,6 +521,36 @@ def test_books_of_few_pieces_change_nothing(mixed_rows, library):
     assert all(len(book) <= 3 + 8000 for book in encoder.books)
 
 
+def test_library_is_asked_once_for_a_pretoken():
+    encoder = token_store.LibraryEncoder(open(JSON, encoding="utf-8").read())
+    asked, tokenize = [], encoder._tokenize
+    encoder._tokenize = lambda letters: asked.append(letters) or tokenize(letters)
+    some = [" ".join(f"{word}{end}" for word in ("ab", "é", "cd-ef", "99") for end in ("", ",", ".", "!\n", "'s", "...")) for _ in range(2)]
+    list(encoder.encode(some)), list(encoder.encode([*some, "new, ab"]))
+    assert len(asked) == len(set(asked)) > 10
+
+
+def test_special_strings_of_letters_or_with_spaces(mixed_rows):
+    said = json.loads(open(JSON, encoding="utf-8").read())
+    for special in ("abc", "a b", "é"):
+        said["added_tokens"][0]["content"] = special
+        library, encoder = Tokenizer.from_str(json.dumps(said)), token_store.LibraryEncoder(json.dumps(said))
+        for text in ("xabcx abc, a b  abc", "abc", "é aé bé a b", *(t or "" for _, t, *_ in mixed_rows[:100])):
+            assert list(encoder.encode([text])) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+
+
+def test_pretokens_of_many():
+    import regex
+
+    from gleanery.llm.pieces import pretokens_of_many
+
+    draw, find = random.Random(33), regex.compile(public_tokenizers.PATTERN).findall
+    signs = list("ab  \n\t\r'stlvredmAZ09.,-_é×÷ÀɏĿ\0\x1cª²½中\u200b\u0301") + ["'s", "'ll", " \n", "\n "]
+    pieces = ["", *("".join(draw.choice(signs[: draw.choice((24, 40))]) for _ in range(draw.randint(0, 9))) for _ in range(20_000))]
+    expect = [find(piece) for piece in pieces]
+    assert pretokens_of_many(pieces, find) == expect and [pretokens_of_many([piece], find)[0] for piece in pieces] == expect
+
+
 def test_uneven_white_space_is_seen():
     from gleanery.llm.pieces import _UNEVEN, _uneven
 
