@@ -125,3 +125,16 @@ def test_query_of_safe_fragments(spark):
         safe, links = found[page.page_id]
         assert safe == made.safe and links == len(made.links) == len(set(re.findall('href="/([^"]*)', page.html)))
         assert "track(" not in safe and "margin" not in safe and safe.startswith("<nav>") and safe.endswith("</footer>")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PIECES, max_size=30).map("".join))
+def test_safe_body_stays_as_it_is(html):
+    """Within a body, where the preview puts it; alone, white space and titles that come first would count to the head."""
+    safe = Fragment(html).safe
+    assert Fragment(f"<body>{safe}</body>").safe == safe
+
+
+def test_head_ends_at_a_removed_element():
+    assert Fragment("<img src=x ><title>t</title>").safe == "<title>t</title>" and Fragment("<title>t</title>").safe == ""
+    assert Fragment("<img src=x <p> style=x ").safe == " style=x " and Fragment(" style=x ").safe == "style=x "
